@@ -15,7 +15,9 @@ def _step(links: DataFrame, large: bool) -> DataFrame:
         both = links.select("a", "b").unionByName(links.select(F.col("b").alias("a"), F.col("a").alias("b")))
     else:
         both = links
-    least = materialise(both.groupBy("a").agg(F.min("b").alias("m")).select("a", F.least("a", "m").alias("m")), "least")
+    least = both.groupBy("a").agg(F.min("b").alias("m")).select("a", F.least("a", "m").alias("m"))
+    if large:  # a table of its own, so that a node with very many links can be split in the join
+        least = materialise(least, "least")
     near = both.join(least, "a")
     if large:
         out = near.where("b > a").select(F.col("b").alias("a"), F.col("m").alias("b"))

@@ -179,7 +179,7 @@ def _all(frames: list[DataFrame]) -> DataFrame:
 
 def _alike(pairs: DataFrame, reps: DataFrame, threshold: float) -> DataFrame:
     """Pairs whose sizes allow the threshold and whose signatures don't put it out of reach (five standard deviations)."""
-    floor = threshold - 5 * math.sqrt(threshold * (1 - threshold) / TOKENS)
+    floor = _floor(threshold)
     one = reps.select(F.col("rep").alias("a"), F.col("n").alias("na"), F.col("sig").alias("sa"))
     two = reps.select(F.col("rep").alias("b"), F.col("n").alias("nb"), F.col("sig").alias("sb"))
     both = pairs.join(one, "a").join(two, "b").where(F.least("na", "nb") >= F.ceil(F.greatest("na", "nb") * F.lit(threshold - 1e-9)))
@@ -224,21 +224,47 @@ def link(docs: DataFrame, reps: DataFrame, size: int, num: int, den: int, recall
     groups = components(links)
     if stuck is None:
         return groups
-    # Nodes that never got small: documents not grouped with a pivot of their node so far choose a new pivot among
-    # themselves, which is compared with all documents of the node, until every one is grouped with a pivot.
-    whole, waiting = stuck.select("node", "rep"), stuck.select("node", "rep")
-    pivots = stuck.select("node", "pivot").distinct()
-    while True:
-        of = lambda c, g: groups.select(F.col("node").alias(c), F.col("component").alias(g))
-        named = waiting.join(pivots, "node").where("rep != pivot").join(of("rep", "g"), "rep", "left").join(of("pivot", "h"), "pivot", "left")
-        waiting = materialise(named.where(~F.coalesce(F.col("g") == F.col("h"), F.lit(False))).select("node", "rep"), "waiting")
-        if waiting.isEmpty():
-            return groups
-        first = F.min(F.struct(F.xxhash64("node", "rep").alias("o"), "rep"))
-        pivots = materialise(waiting.groupBy("node").agg(first.alias("p")).select("node", F.col("p.rep").alias("pivot")), "pivots")
-        more = _star(whole.join(pivots, "node")).distinct()
-        links = links.unionByName(confirm(_alike(more, reps, threshold), docs, size, num, den))
-        groups = components(links)
+    # Nodes that never got small: whoever is not grouped with the node's pivot by now is compared with all of its node.
+    of = lambda c, g: groups.select(F.col("node").alias(c), F.col("component").alias(g))
+    named = stuck.where("rep != pivot").join(of("rep", "g"), "rep", "left").join(of("pivot", "h"), "pivot", "left")
+    apart = materialise(named.where(~F.coalesce(F.col("g") == F.col("h"), F.lit(False))).select("node", "rep"), "apart")
+    if apart.isEmpty():
+        return groups
+    more = confirm(_against_all(apart, stuck.select("node", "rep"), reps, threshold).distinct(), docs, size, num, den)
+    return components(links.unionByName(more))
+
+
+def _floor(threshold: float) -> float:
+    """Share of equal tokens that a pair at the threshold stays above, by five standard deviations."""
+    return threshold - 5 * math.sqrt(threshold * (1 - threshold) / TOKENS)
+
+
+def _against_all(some: DataFrame, whole: DataFrame, reps: DataFrame, threshold: float, block: int = 2048) -> DataFrame:
+    """Pairs (a, b) of each row of some (node, rep) with each row of whole of the same node that sizes and signatures allow.
+    Both sides are dealt out in blocks, so that no task holds more than two blocks, whatever the size of a node."""
+    counts = materialise(some.groupBy("node").agg(F.count("*").alias("k")).join(whole.groupBy("node").agg(F.count("*").alias("m")), "node"), "node-sizes")
+    fields = reps.select("rep", "n", "sig")
+    of_block = lambda n, seed: F.pmod(F.xxhash64("rep", F.lit(seed)), F.ceil(F.col(n) / block)).cast("int")
+    ids = lambda n: F.sequence(F.lit(0), (F.ceil(F.col(n) / block) - 1).cast("int"))
+    left = some.join(counts, "node").join(fields, "rep").select("node", "rep", "n", "sig", of_block("k", 1).alias("i"), F.explode(ids("m")).alias("j"))
+    right = whole.join(counts, "node").join(fields, "rep").select("node", "rep", "n", "sig", F.explode(ids("k")).alias("i"), of_block("m", 2).alias("j"))
+    right = right.select(*(F.col(c).alias(f"{c}_") for c in right.columns))
+    floor = _floor(threshold)
+
+    def run(x: pa.Table, y: pa.Table) -> pa.Table:
+        found_a, found_b = [], []
+        if x.num_rows and y.num_rows:
+            y = y.rename_columns(x.column_names)
+            sx, sy = (_sigs(t["sig"]) for t in (x, y))
+            nx, ny = (np.asarray(t["n"].combine_chunks()) for t in (x, y))
+            rx, ry = (np.asarray(t["rep"].combine_chunks()) for t in (x, y))
+            for k in range(len(rx)):
+                near = ((sy == sx[k]).mean(axis=1) >= floor) & (np.minimum(ny, nx[k]) >= threshold * np.maximum(ny, nx[k]) - 1e-6) & (ry != rx[k])
+                found_a.append(np.minimum(ry[near], rx[k])), found_b.append(np.maximum(ry[near], rx[k]))
+        join = lambda z: pa.array(np.concatenate(z) if z else np.zeros(0, np.int64), pa.int64())
+        return pa.table({"a": join(found_a), "b": join(found_b)})
+
+    return left.groupBy("node", "i", "j").cogroup(right.groupBy("node_", "i_", "j_")).applyInArrow(run, "a long, b long")
 
 
 def deduplicate(docs: DataFrame, size: int = 5, num: int = 80, den: int = 100, id_col: str = "doc_id", text: str = "text", recall: float = 0.9999) -> DataFrame:
