@@ -10,11 +10,11 @@ padding.
 
 from __future__ import annotations
 
+import struct
 import zlib
 from collections import defaultdict, deque
 from collections.abc import Iterator
 
-import numpy as np
 import pyarrow as pa
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
@@ -133,9 +133,9 @@ def pack(docs: DataFrame, path: str, id_col: str = "doc_id", text: str = "text",
 
     def run(batches):
         pre = PreTokens(path)
-        words = Memo(lambda w: np.asarray(pre.ids(w), "<u4").tobytes())
+        words = Memo(lambda w: struct.pack(f"<{len(i := pre.ids(w))}I", *i))
         chunks = Memo(lambda chunk: b"".join(map(words.__getitem__, pre.cut(chunk))), 200_000)
-        tail = np.asarray([end_id], "<u4").tobytes()
+        tail = struct.pack("<I", end_id)
         packer, base = Packer(size, window), TaskContext.get().partitionId() << 40
         ids: list = []  # the id column's values as Arrow scalars, by document number of this batch
         rows: list = []

@@ -29,6 +29,11 @@ _CLIP = re.compile(r"[a-zß-öø-ž]+|'s|'t|'re|'ve|'m|'ll|'d|[0-9]|[^\sa-z0-9ß
 _CLIP_OF = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
 
 
+#: The sign of each byte in byte-level vocabularies: printable ones stand for themselves, the others follow from 256 on.
+_SHOWN = [*range(33, 127), *range(161, 173), *range(174, 256)]
+_BYTE_SIGNS = dict(zip((b for b in range(256) if b not in _SHOWN), range(256, 512)))
+
+
 class PreTokens:
     """Cuts texts into pre-tokens as a tokenizers file does; with added tokens as pieces of their own.
 
@@ -44,11 +49,12 @@ class PreTokens:
         self.tok = Tokenizer.from_file(path)
         with open(path, encoding="utf-8") as f:
             spec = json.load(f)
+        self.model = self.tok.model
         self.added = {x["content"]: x["id"] for x in spec.get("added_tokens") or []}
         self.specials = re.compile("|".join(map(re.escape, sorted(self.added, key=len, reverse=True)))) if self.added else None
         steps = [x.get("type") for x in (spec.get("normalizer") or {}).get("normalizers", [])]
         pres = (spec.get("pre_tokenizer") or {}).get("pretokenizers", [])
-        self.fast = steps == ["NFC", "Replace", "Lowercase"] and bool(pres) and pres[0].get("pattern", {}).get("Regex") == _CLIP_OF
+        self.fast = steps == ["NFC", "Replace", "Lowercase"] and len(pres) == 2 and pres[0].get("pattern", {}).get("Regex") == _CLIP_OF and pres[1].get("type") == "ByteLevel" and not pres[1].get("add_prefix_space")
         self._marks = tuple(self.added)
         #: No pre-token goes across white space, so a plain text is cut word by word, and each word only once.
         self.words = Memo(_CLIP.findall)
@@ -85,6 +91,10 @@ class PreTokens:
     def ids(self, word: str) -> list[int]:
         if word in self.added:
             return [self.added[word]]
+        if self.fast:  # a pre-token is normalised and cut already: only the merges are left
+            if not (word.isascii() and word.isprintable()):
+                word = word.encode().decode("latin-1").translate(_BYTE_SIGNS)
+            return [t.id for t in self.model.tokenize(word)]
         return self.tok.encode(word, add_special_tokens=False).ids
 
 
@@ -117,9 +127,7 @@ def piece_counts(words: DataFrame, path: str) -> DataFrame:
         pre = PreTokens(path)
         for b in batches:
             ws = b.column(b.schema.get_field_index("pretoken")).to_pylist()
-            plain = [w for w in ws if w not in pre.added]
-            got = iter([len(e.ids) for e in pre.tok.encode_batch(plain, add_special_tokens=False)])
-            n = [1 if w in pre.added else next(got) for w in ws]
+            n = [len(pre.ids(w)) for w in ws]
             yield pa.RecordBatch.from_arrays([*b.columns, pa.array(n, pa.int64())], names=[*b.schema.names, "pieces"])
 
     return words.mapInArrow(count, T.StructType([*words.schema.fields, T.StructField("pieces", T.LongType())]))
