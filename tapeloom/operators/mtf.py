@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from tapeloom.functions.lineage import cut
 from tapeloom.functions.scalar import holds, safe_divide
 from tapeloom.operators.bars import INTERVALS
 from tapeloom.operators.micro import trend_direction
@@ -55,9 +56,11 @@ def for_15m(bars_15m: DataFrame, bars_1h: DataFrame, bars_4h: DataFrame) -> Data
     if "session_vwap" in bars_1h.columns:
         v = bars_1h.select("symbol", (F.col("open_time") + INTERVALS["1h"]).alias("_closed"), F.col("session_vwap").alias("_v"))
         d = _join(d, v).withColumn("htf_1h_vwap_position", safe_divide(F.col("close") - F.col("_v"), F.col("_v"))).drop("_v")
+        d = cut(d)
     else:
         d = d.withColumn("htf_1h_vwap_position", F.lit(0.0))
-    d = _join(_join(d, context(bars_1h, "1h", "1h")), context(bars_4h, "4h", "4h"))
+    d = cut(_join(d, context(bars_1h, "1h", "1h")))
+    d = cut(_join(d, context(bars_4h, "4h", "4h")))
     d = on_slices(d, lambda x, w: x.withColumn("_own", trend_direction("close", 4, w)), 4)
     one, four = F.col("htf_1h_trend_dir"), F.col("htf_4h_trend_dir")
     return d.select(

@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from tapeloom.plans import features
+from tapeloom.plans import features, ledgers
 
-_ALL = {**features.QUERIES}
+_ALL = {**features.QUERIES, **ledgers.QUERIES}
 
 
 def queries() -> dict:

@@ -91,7 +91,7 @@ def payments(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 _SIX_SQL = "['RO','RF','AF','AO','NO','NF'][cast({0} % 6 as int) + 1]"
-TRADES = "trades as (select event_id as trade_id, event_type as symbol, value as price, cast(json_extract_string(props, '$.k') as bigint) + 1 as quantity, epoch_ms(ts) as transact_time, event_id % 2 = 0 as is_buyer_maker from events where value > 0)"
+TRADES = "trades as (select event_id as trade_id, event_type as symbol, value as price, cast(json_extract_string(props, '$.k') as bigint) + 1 as quantity, epoch_us(ts) // 1000 as transact_time, event_id % 2 = 0 as is_buyer_maker from events where value > 0)"
 
 
 def bars_sql(interval: str = "15m", name: str | None = None) -> str:
