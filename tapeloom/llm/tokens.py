@@ -57,7 +57,7 @@ class PreTokens:
         self.fast = steps == ["NFC", "Replace", "Lowercase"] and len(pres) == 2 and pres[0].get("pattern", {}).get("Regex") == _CLIP_OF and pres[1].get("type") == "ByteLevel" and not pres[1].get("add_prefix_space")
         self._marks = tuple(self.added)
         #: No pre-token goes across white space, so a plain text is cut word by word, and each word only once.
-        self.words = Memo(_CLIP.findall)
+        self.words = Memo(_CLIP.findall, 100_000)
 
     def plain(self, text: str) -> bool:
         return self.fast and not any(m in text for m in self._marks) and _PLAIN.match(text) is not None
@@ -149,7 +149,7 @@ def pretoken_totals(docs: DataFrame, path: str, text: str = "text") -> DataFrame
                 if x:
                     for w, k in pre.frequencies(x).items():
                         seen[w] = seen.get(w, 0) + k
-                if len(seen) > 400_000:
+                if len(seen) > 150_000:
                     yield flush()
         yield flush()
 
@@ -192,7 +192,7 @@ def count_tokens(docs: DataFrame, path: str, id_col: str = "doc_id", text: str =
                         else:
                             total += k * p
                 src.append(i), word.append(None), freq.append(total), size.append(n)
-                if len(src) > 100_000:
+                if len(src) > 30_000:
                     yield out(b, src, word, freq, size)
                     src, word, freq, size = [], [], [], []
             if src:
