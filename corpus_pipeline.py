@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tapeloom.llm import decontamination, neardup, packing, pii, toxicity
-from tapeloom.llm.common import is_held_out, scratch_path, table
+from tapeloom.llm.common import is_held_out, materialise, scratch_path, small, table
 from tapeloom.llm.queries import tokenizer_path
 
 COLUMNS = ("doc_id", "text", "lang", "source", "n_chars")
@@ -24,18 +24,19 @@ def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Of each group of near-duplicates (five-word shingles, similarity 0.8) the document with the smallest id stays; of
-    repeated rows of that id, one."""
-    groups = neardup.deduplicate(docs, size=5, num=80, den=100).select(F.col("doc_id").alias("_id"), "component_id", "kept")
-    # rows without an id can't be told apart by it: they are kept
-    gone = groups.where("not kept").select("_id").distinct()
-    left = docs.select(*COLUMNS).join(gone, F.col("doc_id") == F.col("_id"), "left_anti")
-    return left.where("doc_id is null").unionByName(left.where("doc_id is not null").dropDuplicates(["doc_id"]))
+    rows alike in id and text, one; rows without an id can't be told apart and stay."""
+    groups = neardup.deduplicate(docs, size=5, num=80, den=100).where("doc_id is not null").select(F.col("doc_id").alias("_id"), "kept")
+    marks = groups.groupBy("_id").agg((~F.bool_or("kept")).alias("_gone"), (F.count("*") > 1).alias("_again")).where("_gone or _again")
+    marked = docs.select(*COLUMNS).join(small(materialise(marks, "marks")), F.col("doc_id") == F.col("_id"), "left")
+    again = marked.where("not _gone and _again").select(*COLUMNS).dropDuplicates(["doc_id", "text"])
+    return marked.where("_id is null").select(*COLUMNS).unionByName(again)
 
 
 def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that hold ten consecutive words of a benchmark item, or a shorter item as a whole, go."""
     hit = decontamination.decontaminate(docs, table(spark, sf_dir, "benchmark"), window=10).where("contaminated")
-    return docs.select(*COLUMNS).join(hit.select("doc_id").distinct(), "doc_id", "left_anti").select(*COLUMNS)
+    ids = materialise(hit.select(F.col("doc_id").alias("_id")).distinct(), "contaminated")
+    return docs.select(*COLUMNS).join(small(ids), F.col("doc_id").eqNullSafe(F.col("_id")), "left_anti")
 
 
 def redact_personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

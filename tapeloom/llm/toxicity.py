@@ -157,11 +157,11 @@ class Lexicon:
         return Memo(judge)
 
     def features(self, text: str, memo) -> list[float]:
-        """(abuse, quoted, densest window, length): what the score is made of; zeros but for the length without a hit."""
+        """(abuse, quoted, densest window, length): what the score is made of; zeros without a hit, whatever the length."""
         words = text.lower().split()
         hits = {w: k for w in set(words) if (k := memo[w])}
         if not hits:
-            return [0.0, 0.0, 0.0, math.log1p(len(words))]
+            return [0.0, 0.0, 0.0, 0.0]
         spots = [(i, hits[w]) for i, w in enumerate(words) if w in hits]
         inside, opened = {}, False
         wanted = {i for i, _ in spots}
@@ -255,7 +255,7 @@ def choose_terms(counts: DataFrame, n_toxic: int, n_clean: int) -> tuple[list[st
     share = a / (a + b)
     gain = a * F.log(share / base) + F.when(b > 0, b * F.log((1 - share) / (1 - base))).otherwise(0.0)
     tried = counts.where("toxic > 1").count()
-    strong = (share >= 0.6) & (share > base) & (gain >= math.log(max(2, tried)) + 1)
+    strong = (share >= 0.6) & (share > base) & (gain >= math.log(max(2, tried)) + 3)
     rows = counts.where("toxic > 1").where(strong).withColumn("gain", gain).orderBy(F.desc("gain"), "word").limit(2 * MAX_TERMS).collect()
     terms = [r["word"] for r in rows if not r["word"].endswith("*") and len(r["word"]) > 2][:MAX_TERMS]
     stems = sorted((r["word"][:-1] for r in rows if r["word"].endswith("*") and r["clean"] == 0), key=lambda s: (len(s), s))
