@@ -135,8 +135,9 @@ def _deeper(rows: DataFrame, threshold: float) -> DataFrame:
 
 
 def _sized(rows: DataFrame, name: str) -> DataFrame:
-    """rows (node, rep) of nodes with company, with the node's size c and one of its documents, pivot, picked by hash."""
-    order = F.xxhash64("node", "rep")
+    """rows (node, rep) of nodes with company, with the node's size c and one of its documents, pivot, picked by a hash of
+    the documents alone, so that nodes that share most documents share the pivot and its pairs too."""
+    order = F.xxhash64("rep")
     nodes = rows.groupBy("node").agg(F.count("*").alias("c"), F.min(F.struct(order.alias("o"), "rep")).alias("p")).where("c > 1").select("node", "c", F.col("p.rep").alias("pivot"))
     return materialise(rows.join(materialise(nodes, f"{name}-nodes"), "node"), name)
 
@@ -227,10 +228,12 @@ def link(docs: DataFrame, reps: DataFrame, size: int, num: int, den: int, recall
     # Nodes that never got small: whoever is not grouped with the node's pivot by now is compared with all of its node.
     of = lambda c, g: groups.select(F.col("node").alias(c), F.col("component").alias(g))
     named = stuck.where("rep != pivot").join(of("rep", "g"), "rep", "left").join(of("pivot", "h"), "pivot", "left")
-    apart = materialise(named.where(~F.coalesce(F.col("g") == F.col("h"), F.lit(False))).select("node", "rep"), "apart")
+    own = F.coalesce("g", "rep").alias("g")
+    apart = materialise(named.where(~F.coalesce(F.col("g") == F.col("h"), F.lit(False))).select("node", "rep", own), "apart")
     if apart.isEmpty():
         return groups
-    more = confirm(_against_all(apart, stuck.select("node", "rep"), reps, threshold).distinct(), docs, size, num, den)
+    whole = stuck.join(of("rep", "g"), "rep", "left").select("node", "rep", own)
+    more = confirm(_against_all(apart, whole, reps, threshold).distinct(), docs, size, num, den)
     return components(links.unionByName(more))
 
 
@@ -240,14 +243,15 @@ def _floor(threshold: float) -> float:
 
 
 def _against_all(some: DataFrame, whole: DataFrame, reps: DataFrame, threshold: float, block: int = 2048) -> DataFrame:
-    """Pairs (a, b) of each row of some (node, rep) with each row of whole of the same node that sizes and signatures allow.
+    """Pairs (a, b) of each row of some (node, rep, g) with each row of whole of the same node that is in another group g so
+    far and that sizes and signatures allow.
     Both sides are dealt out in blocks, so that no task holds more than two blocks, whatever the size of a node."""
     counts = materialise(some.groupBy("node").agg(F.count("*").alias("k")).join(whole.groupBy("node").agg(F.count("*").alias("m")), "node"), "node-sizes")
     fields = reps.select("rep", "n", "sig")
     of_block = lambda n, seed: F.pmod(F.xxhash64("rep", F.lit(seed)), F.ceil(F.col(n) / block)).cast("int")
     ids = lambda n: F.sequence(F.lit(0), (F.ceil(F.col(n) / block) - 1).cast("int"))
-    left = some.join(counts, "node").join(fields, "rep").select("node", "rep", "n", "sig", of_block("k", 1).alias("i"), F.explode(ids("m")).alias("j"))
-    right = whole.join(counts, "node").join(fields, "rep").select("node", "rep", "n", "sig", F.explode(ids("k")).alias("i"), of_block("m", 2).alias("j"))
+    left = some.join(counts, "node").join(fields, "rep").select("node", "rep", "n", "sig", "g", of_block("k", 1).alias("i"), F.explode(ids("m")).alias("j"))
+    right = whole.join(counts, "node").join(fields, "rep").select("node", "rep", "n", "sig", "g", F.explode(ids("k")).alias("i"), of_block("m", 2).alias("j"))
     right = right.select(*(F.col(c).alias(f"{c}_") for c in right.columns))
     floor = _floor(threshold)
 
@@ -258,8 +262,9 @@ def _against_all(some: DataFrame, whole: DataFrame, reps: DataFrame, threshold:
             sx, sy = (_sigs(t["sig"]) for t in (x, y))
             nx, ny = (np.asarray(t["n"].combine_chunks()) for t in (x, y))
             rx, ry = (np.asarray(t["rep"].combine_chunks()) for t in (x, y))
+            gx, gy = (np.asarray(t["g"].combine_chunks()) for t in (x, y))
             for k in range(len(rx)):
-                near = ((sy == sx[k]).mean(axis=1) >= floor) & (np.minimum(ny, nx[k]) >= threshold * np.maximum(ny, nx[k]) - 1e-6) & (ry != rx[k])
+                near = ((sy == sx[k]).mean(axis=1) >= floor) & (np.minimum(ny, nx[k]) >= threshold * np.maximum(ny, nx[k]) - 1e-6) & (gy != gx[k])
                 found_a.append(np.minimum(ry[near], rx[k])), found_b.append(np.maximum(ry[near], rx[k]))
         join = lambda z: pa.array(np.concatenate(z) if z else np.zeros(0, np.int64), pa.int64())
         return pa.table({"a": join(found_a), "b": join(found_b)})
