@@ -157,7 +157,7 @@ class Lexicon:
         return Memo(judge)
 
     def features(self, text: str, memo) -> list[float]:
-        """(abuse, quoted, densest window, length): what the score is made of; zeros without a hit, whatever the length."""
+        """(abuse, quoted, densest window, 0): what the score is made of; zeros without a hit. The length plays no part."""
         words = text.lower().split()
         hits = {w: k for w in set(words) if (k := memo[w])}
         if not hits:
@@ -187,7 +187,7 @@ class Lexicon:
                 total -= kept[low][1]
                 low += 1
             best = max(best, total)
-        return [math.log1p(abuse), math.log1p(quoted), math.log1p(best), math.log1p(len(words))]
+        return [math.log1p(abuse), math.log1p(quoted), math.log1p(best), 0.0]
 
     def score(self, x: np.ndarray) -> np.ndarray:
         if not len(self.weights):
