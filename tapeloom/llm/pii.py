@@ -90,30 +90,38 @@ _DOTS = "․。．｡·"
 _BRACKETED = re.compile(r"\s{0,3}[\[({<]\s{0,2}(at|@|dot|\.|a|d|punkt|point|punto|arroba|plus|\+)\s{0,2}[\])}>]\s{0,3}", re.I)
 _WORD = re.compile(r"[^\W\d_]+")
 _SPELLED = "|".join(sorted(_DIGITS, key=len, reverse=True))
-# Cheap signs that a text can hold a disguise at all; texts without any are not normalised.
-_ODD = re.compile("[" + "".join(_LOOKALIKES) + _ZERO_WIDTH + _DASHES + _SPACES + _DOTS + "＠－０-９𝟎-𝟿ａ-ｚＡ-Ｚ]")
+# All places where normalise() can depart from the text, one pattern for each of its rules; the text between is copied.
+# Beyond 16 bits all characters are taken, because classes of such ones are slow.
+_ODD = re.compile("[" + re.escape("".join(c for c in map(chr, range(0x80, 0x10000)) if c in _LOOKALIKES or c in _ZERO_WIDTH + _DASHES + _SPACES or c in _DOTS and c != "·" or c > "˿" and (k := unicodedata.normalize("NFKC", c)) != c and len(k) == 1 and k.isascii())) + "\U00010000-\U0010ffff]")
 _BRACKET = re.compile(r"[\[({<]\s{0,2}(?:at|@|dot|\.|a|d|punkt|point|punto|arroba|plus|\+)\s{0,2}[\])}>]", re.I)
-_DOT_WORDS = ("dot", "punkt", "point", "punto")
-_DOT_WORD = re.compile(r"\s(?:dot|punkt|point|punto)\s")
-_LOOSE_AT = re.compile(r"\s@|@\s")
-_MIXED = re.compile(r"[0-9][OolIS|BZ]{1,3}[0-9]")
-_RARE_DIGITS = frozenset(_DIGITS) - {"un", "uno"}
-
-
-def suspicious(text: str) -> bool:
-    """Whether the text holds anything that normalising could turn into an identifier."""
-    if not text.isascii() and _ODD.search(text) or _MIXED.search(text):
-        return True
-    if any(c in text for c in "[({<") and _BRACKET.search(text) or "@" in text and _LOOSE_AT.search(text):
-        return True
-    low = text.lower()
-    if any(w in low for w in _DOT_WORDS) and _DOT_WORD.search(low):
-        return True
-    return not _RARE_DIGITS.isdisjoint(low.replace(",", " ").replace("-", " ").split())
-
-
-def normalise(text: str) -> tuple[str, list[int], list[int]]:
-    """(normalised, starts, ends): character i of the result was made of text[starts[i]:ends[i]]."""
+_LOOSE_AT = re.compile(r"@(?=\s|\Z)")
+_ANY_DIGIT = "".join(c for c in map(chr, range(0x10000)) if c.isdigit()) + "\U00010000-\U0010ffff"
+_MIXED = re.compile(rf"[{_ANY_DIGIT}][OolI|SBZ]{{1,7}}(?=[{_ANY_DIGIT}])")
+_SPOKEN = re.compile(r"\b(?:" + "|".join(f"{c}(?:{'|'.join(sorted((w[1:] for w in {*_DIGITS, *_SIGNS} if w[0] == c), key=len, reverse=True))})" for c in sorted({w[0] for w in {*_DIGITS, *_SIGNS}})) + r")\b")
+
+
+def changes(text: str) -> list[tuple[int, int]]:
+    """The places, in order, of everything that any rule of normalise() may rewrite; some may overlap."""
+    low = text
+    out = []
+    if not text.isascii():
+        out += [m.span() for m in _ODD.finditer(text)]
+        low = text.translate(_TABLE) if out else text
+    out += [m.span() for m in _BRACKET.finditer(text)]
+    out += [m.span() for m in _LOOSE_AT.finditer(text)] if "@" in text else []
+    out += [m.span() for m in _MIXED.finditer(text)]
+    same = low.lower()
+    if len(same) != len(low):  # a letter of two in lower case is in none of the words
+        same = "".join(c.lower() if len(c.lower()) == 1 else c for c in low)
+    for m in _SPOKEN.finditer(same.replace("_", " ")):
+        if m.group() in _DIGITS or _disguised(m.group(), text, *m.span(), True):
+            out.append(m.span())
+    out.sort()
+    return out
+
+
+def normalise(text: str, places: list[tuple[int, int]] | None = None) -> tuple[str, list[int], list[int]]:
+    """(normalised, starts, ends): character i of the result was made of text[starts[i]:ends[i]]. places: its changes()."""
     out: list[str] = []
     starts: list[int] = []
     ends: list[int] = []
@@ -132,7 +140,17 @@ def normalise(text: str) -> tuple[str, list[int], list[int]]:
 
     i, n, digits = 0, len(text), False  # digits: the last thing written was a spelled digit
     glue = False  # the last thing written was a sign made of a word, which takes in white space after it
+    ahead, busy = iter(changes(text) if places is None else places), 0
     while i < n:
+        while i >= busy and not digits and not glue:
+            a, b = next(ahead, (n, n))
+            j = max(i, a - 3) if a < n else n  # a bracket takes in up to three spaces before it
+            out += text[i:j]
+            starts += range(i, j)
+            ends += range(i + 1, j + 1)
+            i, busy = j, max(busy, b)
+            if i >= n:
+                return "".join(out), starts, ends
         c = text[i]
         m = _BRACKETED.match(text, i) if c in " \t\n[({<" else None
         if m:
@@ -235,11 +253,12 @@ def solid_digit(text: str, a: int) -> bool:
 def find(text: str) -> tuple[list[tuple[str, int, int]], list[tuple[str, int, int]]]:
     """(base, all): spans of a whole text. To the base spans come disguised ones that overlap none of them."""
     base = base_spans(text)
-    if not suspicious(text):
+    places = changes(text)
+    if not places:
         return base, base
     taken = sorted((a, b) for _, a, b in base)
     more = []
-    changed, starts, ends = normalise(text)
+    changed, starts, ends = normalise(text, places)
     if changed != text:
         for kind, a, b in base_spans(changed):
             s, e = starts[a], ends[b - 1]

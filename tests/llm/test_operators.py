@@ -120,6 +120,27 @@ def test_disguises_map_back_to_the_source(text, kind, found):
     assert new == [(kind, found)]
 
 
+@pytest.mark.parametrize(
+    ("text", "kind", "found"),
+    [
+        ("write to john.smith at example.com now", "email", "john.smith at example.com"),
+        ("maria arroba example.com", "email", "maria arroba example.com"),
+        ("call plus 49 151 23456789", "phone", "plus 49 151 23456789"),
+        ("4041 dash 8949 dash 7460 dash 8795", "card", "4041 dash 8949 dash 7460 dash 8795"),
+    ],
+)
+def test_every_rule_is_tried_on_every_text(text, kind, found):
+    assert [(k, text[a:b]) for k, a, b in pii.find(text)[1]] == [(kind, found)]
+
+
+def test_places_of_change_leave_nothing_out():
+    rng = random.Random(8)
+    parts = "john at arroba klammeraffe dot punkt plus minus dash one ZWEI fünf onе fіve un 4O41 8949 4041 1l1 2²l2 Oo @ [at] (dot) { @ } <d> , - . _ 42 + \u200b \u3000 \u2011 \u2024 · ＠ ４ ① 𝟗 Ⅷ K İ ｏne example.com +49".split(" ")
+    for _ in range(5000):
+        text = "".join(rng.choice(parts) + rng.choice(["", " ", " ", "  ", "\n"]) for _ in range(rng.randrange(1, 14)))
+        assert pii.normalise(text) == pii.normalise(text, [(0, len(text))]), text
+
+
 def test_clean_texts_have_no_spans():
     for t in ("he was at the house. dot then", "four zero", "at the of dot", "1.2.3", "300.1.1.1", "1234 5678 9012 3456", "a@b", "+12", ""):
         assert pii.find(t)[1] == [], t
