@@ -251,12 +251,11 @@ def solid_digit(text: str, a: int) -> bool:
 
 
 def find(text: str) -> tuple[list[tuple[str, int, int]], list[tuple[str, int, int]]]:
-    """(base, all): spans of a whole text. To the base spans come disguised ones that overlap none of them."""
+    """(base, all): spans of a whole text. To the base spans come disguised ones that lie in no base span of their kind."""
     base = base_spans(text)
     places = changes(text)
     if not places:
         return base, base
-    taken = sorted((a, b) for _, a, b in base)
     more = []
     changed, starts, ends = normalise(text, places)
     if changed != text:
@@ -266,11 +265,10 @@ def find(text: str) -> tuple[list[tuple[str, int, int]], list[tuple[str, int, in
                 s += 1
             while e > s and text[e - 1].isspace():
                 e -= 1
-            if not any(x < e and s < y for x, y in taken):
+            if not any(k == kind and x <= s and e <= y for k, x, y in base):
                 more.append((kind, s, e))
-                taken.append((s, e))
     order = {k: i for i, k in enumerate(KINDS)}
-    return base, sorted(base + more, key=lambda x: (order[x[0]], x[1])) if more else base
+    return base, sorted(base + more, key=lambda x: (order[x[0]], x[1], x[2])) if more else base
 
 
 def written(spans: list[tuple[str, int, int]]) -> str:
@@ -278,14 +276,14 @@ def written(spans: list[tuple[str, int, int]]) -> str:
 
 
 def redact(text: str, spans: list[tuple[str, int, int]]) -> str:
-    """text with every span replaced by its kind in brackets. Of overlapping spans the first, then the longest, counts."""
-    out, at = [], 0
+    """text with every span replaced by its kind in brackets. Overlapping spans are replaced as one, by the kind of the
+    first, then the longest, of them."""
+    out, end = [], 0
     for kind, a, b in sorted(spans, key=lambda x: (x[1], -x[2])):
-        if a < at:
-            continue
-        out += [text[at:a], f"[{kind.upper()}]"]
-        at = b
-    return "".join([*out, text[at:]])
+        if a >= end:
+            out += [text[end:a], f"[{kind.upper()}]"]
+        end = max(end, b)
+    return "".join([*out, text[end:]])
 
 
 def detect(docs: DataFrame, text: str = "text", spans_col: str = "pii", base_col: str | None = None, redacted: str | None = None) -> DataFrame:

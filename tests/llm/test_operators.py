@@ -141,6 +141,24 @@ def test_places_of_change_leave_nothing_out():
         assert pii.normalise(text) == pii.normalise(text, [(0, len(text))]), text
 
 
+@pytest.mark.parametrize(
+    ("text", "clean"),
+    [
+        ("to jоhn@example.com now", "to [EMAIL] now"),
+        ("to john@example.cоm now", "to [EMAIL] now"),
+        ("to john@mail.example dot com now", "to [EMAIL] now"),
+        ("call +49 151 123456 seven eight", "call [PHONE]"),
+    ],
+)
+def test_partly_disguised_identifiers_go_as_a_whole(text, clean):
+    base, every = pii.find(text)
+    assert set(base) <= set(every) and pii.redact(text, every) == clean
+
+
+def test_redaction_covers_the_union_of_spans():
+    assert pii.redact("0123456789", [("card", 3, 8), ("phone", 1, 5), ("ip", 8, 9)]) == "0[PHONE][IP]9"
+
+
 def test_clean_texts_have_no_spans():
     for t in ("he was at the house. dot then", "four zero", "at the of dot", "1.2.3", "300.1.1.1", "1234 5678 9012 3456", "a@b", "+12", ""):
         assert pii.find(t)[1] == [], t
