@@ -3,8 +3,9 @@
 Each document is a set of word shingles with a signature of minwise tokens. A tree starts with all documents at its root;
 every node picks, by its own hash, on average 1 / threshold places of the signature, and its documents go down to the
 children named by the tokens they have there, so that similar ones tend to stay together. Small nodes compare all their
-documents; larger ones branch again. Independent trees repeat this until the recall aimed at is reached. All links are
-confirmed on the full sets, and components of links are the groups.
+documents. Independent trees repeat this until the recall aimed at is reached. What shares a larger node starts again at
+the roots of deeper trees, as many more as that depth takes for the same recall, so that no pair depends on staying together
+in trees counted for fewer levels. All links are confirmed on the full sets, and components of links are the groups.
 """
 
 from __future__ import annotations
@@ -22,9 +23,8 @@ from tapeloom.llm.common import materialise, small
 from tapeloom.llm.components import components
 from tapeloom.llm.tokens import Memo, texts
 
-#: Minwise tokens of a signature, levels that every tree branches without looking, size of a node that is compared in
-#: full, and levels at most.
-TOKENS, FIRST_LEVELS, SMALL_NODE, LAST_LEVEL = 64, 3, 24, 9
+#: Minwise tokens of a signature, levels of the trees of each round, and size of a node that is compared in full.
+TOKENS, DEPTHS, SMALL_NODE = 64, (3, 6, 9), 24
 _MULT = np.random.default_rng(20240517).integers(1, 2**63, (2, TOKENS), dtype=np.uint64) | np.uint64(1)
 _C1, _C2, _C3 = np.uint64(0xFF51AFD7ED558CCD), np.uint64(0xC4CEB9FE1A85EC53), np.uint64(0x9E3779B97F4A7C15)
 _S = np.uint64(32)
@@ -61,12 +61,18 @@ def signature(hashes: np.ndarray) -> np.ndarray:
 
 def trees_needed(threshold: float, levels: int, recall: float) -> int:
     """Trees for which two sets of the threshold's similarity share a node at that depth, in one at least, with
-    probability recall; a node picks one place, and a second one with probability 1 / threshold - 1."""
+    probability recall; a node picks one place, and a second one with probability 1 / threshold - 1. All trees share the
+    signature, so the probability is taken over the number of its places at which such sets agree."""
     extra = min(1.0, 1 / threshold - 1)
-    s = 1.0
+    p = np.arange(TOKENS + 1) / TOKENS
+    weight = np.array([math.comb(TOKENS, k) * threshold**k * (1 - threshold) ** (TOKENS - k) for k in range(TOKENS + 1)])
+    s = np.ones(TOKENS + 1)
     for _ in range(levels):
-        s = (1 - extra) * threshold * s + extra * (1 - (1 - threshold * s) ** 2)
-    return max(1, math.ceil(math.log(1 - recall) / math.log(1 - s)))
+        s = (1 - extra) * p * s + extra * (1 - (1 - p * s) ** 2)
+    trees = 1
+    while weight @ (1 - s) ** trees > 1 - recall:
+        trees += 1
+    return trees
 
 
 def branch(nodes: np.ndarray, signatures: np.ndarray, threshold: float) -> tuple[np.ndarray, np.ndarray]:
@@ -104,17 +110,17 @@ def _sigs(column) -> np.ndarray:
     return np.frombuffer(b"".join(column.to_pylist()), np.uint32).reshape(-1, TOKENS)
 
 
-def _roots(reps: DataFrame, trees: int, threshold: float) -> DataFrame:
-    """(node, rep) at depth FIRST_LEVELS of every tree."""
+def _nodes(reps: DataFrame, trees: int, levels: int, threshold: float) -> DataFrame:
+    """(node, rep) at that depth of every tree; trees of other depths are others."""
 
     def run(batches):
-        roots = _mix(np.arange(1, trees + 1, dtype=np.uint64))
+        roots = _mix(np.arange(1, trees + 1, dtype=np.uint64) + np.uint64((levels - DEPTHS[0]) << 32))
         for b in batches:
             if not b.num_rows:
                 continue
             sig = _sigs(b.column(1))
             row, node = np.repeat(np.arange(len(sig)), trees), np.tile(roots, len(sig))
-            for _ in range(FIRST_LEVELS):
+            for _ in range(levels):
                 at, node = branch(node, sig[row], threshold)
                 row = row[at]
             yield pa.RecordBatch.from_arrays([pa.array(node.astype(np.int64), pa.int64()), b.column(0).take(pa.array(row))], names=["node", "rep"])
@@ -122,18 +128,6 @@ def _roots(reps: DataFrame, trees: int, threshold: float) -> DataFrame:
     return reps.select("rep", "sig").mapInArrow(run, "node long, rep long").distinct()
 
 
-def _deeper(rows: DataFrame, threshold: float) -> DataFrame:
-    """(node, rep, sig) -> (node, rep) one level down."""
-
-    def run(batches):
-        for b in batches:
-            if b.num_rows:
-                at, node = branch(b.column(0).to_numpy().astype(np.uint64), _sigs(b.column(2)), threshold)
-                yield pa.RecordBatch.from_arrays([pa.array(node.astype(np.int64), pa.int64()), b.column(1).take(pa.array(at))], names=["node", "rep"])
-
-    return rows.select("node", "rep", "sig").mapInArrow(run, "node long, rep long").distinct()
-
-
 def _sized(rows: DataFrame, name: str) -> DataFrame:
     """rows (node, rep) of nodes with company, with the node's size c and one of its documents, pivot, picked by a hash of
     the documents alone, so that nodes that share most documents share the pivot and its pairs too."""
@@ -142,10 +136,12 @@ def _sized(rows: DataFrame, name: str) -> DataFrame:
     return materialise(rows.join(materialise(nodes, f"{name}-nodes"), "node"), name)
 
 
-def _pairs_of_small(rows: DataFrame) -> DataFrame:
-    """All pairs of each node of at most SMALL_NODE documents."""
-    lists = rows.where(F.col("c") <= SMALL_NODE).groupBy("node").agg(F.array_sort(F.collect_list("rep")).alias("r"))
-    pairs = F.expr("flatten(transform(sequence(1, size(r) - 1), i -> transform(slice(r, i + 1, size(r)), x -> struct(element_at(r, i) AS a, x AS b))))")
+def _pairs_of_small(rows: DataFrame, groups: DataFrame | None) -> DataFrame:
+    """All pairs of each node of at most SMALL_NODE documents that are not in one group already."""
+    few = rows.where(F.col("c") <= SMALL_NODE)
+    own = few.select("node", "rep", F.col("rep").alias("g")) if groups is None else few.join(small(groups), F.col("rep") == F.col("of"), "left").select("node", "rep", F.coalesce("g", "rep").alias("g"))
+    lists = own.groupBy("node").agg(F.array_sort(F.collect_list(F.struct("rep", "g"))).alias("r")).where("size(r) > 1")
+    pairs = F.expr("flatten(transform(sequence(1, size(r) - 1), i -> transform(filter(slice(r, i + 1, size(r)), x -> x.g != element_at(r, i).g), x -> struct(element_at(r, i).rep AS a, x.rep AS b))))")
     return lists.select(F.explode(pairs).alias("p")).select("p.a", "p.b")
 
 
@@ -154,23 +150,6 @@ def _star(rows: DataFrame) -> DataFrame:
     return rows.where("rep != pivot").select(F.least("rep", "pivot").alias("a"), F.greatest("rep", "pivot").alias("b"))
 
 
-def candidates_by_paths(reps: DataFrame, threshold: float, recall: float) -> tuple[DataFrame, DataFrame | None]:
-    """(pairs (a, b), rows of nodes that stayed large down to the last level or None)."""
-    trees = trees_needed(threshold, FIRST_LEVELS, recall)
-    rows = _sized(_roots(reps, trees, threshold), "level")
-    found, level = [], FIRST_LEVELS
-    while True:
-        found.append(_pairs_of_small(rows))
-        big = rows.where(F.col("c") > SMALL_NODE)
-        if big.isEmpty():
-            return _all(found), None
-        found.append(_star(big))
-        if level >= LAST_LEVEL:
-            return _all(found), big
-        level += 1
-        rows = _sized(_deeper(big.join(reps.select("rep", "sig"), "rep"), threshold), "level")
-
-
 def _all(frames: list[DataFrame]) -> DataFrame:
     out = frames[0]
     for f in frames[1:]:
@@ -220,21 +199,38 @@ def confirm(pairs: DataFrame, docs: DataFrame, size: int, num: int, den: int) ->
 def link(docs: DataFrame, reps: DataFrame, size: int, num: int, den: int, recall: float) -> DataFrame:
     """(node, component) over the representatives that have links."""
     threshold = num / den
-    pairs, stuck = candidates_by_paths(reps, threshold, recall)
-    links = confirm(_alike(pairs, reps, threshold), docs, size, num, den)
-    groups = components(links)
-    if stuck is None:
-        return groups
-    # Nodes that never got small: whoever is not grouped with the node's pivot by now is compared with all of its node.
-    of = lambda c, g: groups.select(F.col("node").alias(c), F.col("component").alias(g))
-    named = stuck.where("rep != pivot").join(of("rep", "g"), "rep", "left").join(of("pivot", "h"), "pivot", "left")
-    own = F.coalesce("g", "rep").alias("g")
-    apart = materialise(named.where(~F.coalesce(F.col("g") == F.col("h"), F.lit(False))).select("node", "rep", own), "apart")
-    if apart.isEmpty():
-        return groups
-    whole = stuck.join(of("rep", "g"), "rep", "left").select("node", "rep", own)
-    more = confirm(_against_all(apart, whole, reps, threshold).distinct(), docs, size, num, den)
-    return components(links.unionByName(more))
+    links, found = link_by_paths(reps, threshold, recall, lambda pairs: confirm(pairs, docs, size, num, den))
+    return components(links.unionByName(found))
+
+
+def link_by_paths(reps: DataFrame, threshold: float, recall: float, confirm) -> tuple[DataFrame, DataFrame]:
+    """Confirmed links (a, b), in two tables, whose components are those of all links. Of each large node, the documents
+    are compared with its pivot; if that leaves some in other groups, all of the node go on to the next round."""
+    missed = (1 - recall) / len(DEPTHS)
+    some, found, links, groups = reps, [], None, None
+    for levels in DEPTHS:
+        rows = _sized(_nodes(some, trees_needed(threshold, levels, 1 - missed), levels, threshold), "level")
+        big = rows.where(F.col("c") > SMALL_NODE)
+        if big.isEmpty():
+            found.append(_pairs_of_small(rows, groups))
+            break
+        more = confirm(_alike(_star(big).distinct(), reps, threshold))
+        links = more if links is None else links.unionByName(more)
+        groups = components(links).select(F.col("node").alias("of"), F.col("component").alias("g"))
+        found.append(_pairs_of_small(rows, groups))
+        of = lambda c: small(groups.select(F.col("of").alias(c), F.col("g").alias(f"{c}_g")))  # noqa: B023, E731
+        named = big.join(of("rep"), "rep", "left").join(of("pivot"), "pivot", "left").select("node", "rep", F.coalesce("rep_g", "rep").alias("g"), F.coalesce("pivot_g", "pivot").alias("h"))
+        whole = materialise(named, "large")
+        apart = materialise(whole.where("g != h").select("node", "rep", "g"), "apart")
+        if apart.isEmpty():
+            break
+        if levels == DEPTHS[-1]:  # nodes that never got small: whoever is apart is compared with all of its node
+            found.append(_against_all(apart, whole.select("node", "rep", "g"), reps, threshold))
+            break
+        left = whole.join(apart.select("node").distinct(), "node").select("rep").distinct()
+        some = materialise(reps.join(left, "rep"), "left")
+    last = confirm(_alike(_all(found), reps, threshold))
+    return (last if links is None else links), last
 
 
 def _floor(threshold: float) -> float:

@@ -234,6 +234,40 @@ def test_near_duplicates_of_large_groups(spark):
     assert got == sorted(brute_groups(rows, 2, 80, 100), key=repr)
 
 
+def test_pairs_at_the_threshold_in_large_nodes(spark):
+    """Pairs of similarity 0.8 exactly among documents that all have much in common, so that nodes stay large for long."""
+    rng = np.random.default_rng(4)
+    make = lambda n: rng.integers(0, 2**63, n, dtype=np.uint64)
+    shared, rows = make(60), []
+    for i in range(400):
+        both = np.concatenate([shared, make(20)])
+        rows += [(2 * i + k, 90, neardup.signature(np.concatenate([both, make(10)])).tobytes()) for k in (0, 1)]
+    reps = common.materialise(spark.createDataFrame(rows, "rep long, n long, sig binary"), "reps")
+    true = lambda pairs: common.materialise(pairs.where("a % 2 = 0 and b = a + 1"), "true")
+    links, found = neardup.link_by_paths(reps, 0.8, 0.9999, true)
+    got = {(r["a"], r["b"]) for r in links.unionByName(found).collect()}
+    assert got == {(2 * i, 2 * i + 1) for i in range(400)}
+
+
+def test_trees_reach_the_recall_for_one_signature():
+    """Sets that agree in a binomial number of places: the share missed by all trees of the depth."""
+    rng = np.random.default_rng(5)
+    for levels in neardup.DEPTHS:
+        trees, missed, n = neardup.trees_needed(0.8, levels, 0.99), 0, 3000
+        agree = rng.random((n, neardup.TOKENS)) < 0.8
+        a = rng.integers(0, 2**32, (n, neardup.TOKENS), dtype=np.uint32)
+        b = np.where(agree, a, a ^ np.uint32(1))
+        for i in range(n):
+            nodes = []
+            for sig in (a[i : i + 1], b[i : i + 1]):
+                node = neardup._mix(np.arange(1, trees + 1, dtype=np.uint64) + np.uint64(i << 20))
+                for _ in range(levels):
+                    node = neardup.branch(node, np.repeat(sig, len(node), 0), 0.8)[1]
+                nodes.append(set(node.tolist()))
+            missed += nodes[0].isdisjoint(nodes[1])
+        assert missed / n < 0.016, levels
+
+
 def test_near_duplicates_without_ids_or_rows(spark):
     out = {tuple(r) for r in neardup.deduplicate(frame(spark, [(None, "a b c d e f"), (None, "a b c d e f"), (5, "zz yy")])).collect()}
     assert out == {(None, 2, None, True), (5, 1, 5, True)}
