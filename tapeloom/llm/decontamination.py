@@ -48,7 +48,7 @@ def decontaminate(docs: DataFrame, items: DataFrame, window: int = 10, shingle:
     their windows hit. Repeated items count once an id, repeated documents each come back. Without items nothing is hit.
     Columns other than id and text are ignored.
     """
-    docs = docs.select(F.monotonically_increasing_id().alias("_row"), F.col(id_col).alias("_id"), F.col(text).alias("_text"))
+    docs = materialise(docs.select(F.monotonically_increasing_id().alias("_row"), F.col(id_col).alias("_id"), F.col(text).alias("_text")), "rows")
     of_item = materialise(item_windows(items, window, item_id, item_text).withColumn("window", F.xxhash64(F.array_join("w", " "))), "windows")
     distinct = of_item.groupBy("window").agg(F.min("w").alias("w")).withColumn("n", F.size("w"))
 

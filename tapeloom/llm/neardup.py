@@ -277,7 +277,7 @@ def deduplicate(docs: DataFrame, size: int = 5, num: int = 80, den: int = 100, i
     empty sets and are linked with nothing. Null ids are never a group's smallest; a group of rows without ids has a null
     component_id and keeps all. Of repeated ids each row stands for itself. Other columns are ignored; no rows, no result.
     """
-    rows = docs.select(F.monotonically_increasing_id().alias("_row"), F.col(id_col).cast("long").alias("_id"), F.col(text).alias("_text"))
+    rows = materialise(docs.select(F.monotonically_increasing_id().alias("_row"), F.col(id_col).cast("long").alias("_id"), F.col(text).alias("_text")), "rows")
     known = materialise(sketches(rows.select("_row", "_id", "_text"), size), "sketches")
     classes = materialise(known.where("key is not null").groupBy("key").agg(F.min("_id").alias("least"), F.min("_row").alias("rep")), "classes")
     reps = materialise(classes.select("rep", "least").join(known.select(F.col("_row").alias("rep"), "n", "sig"), "rep"), "reps")

@@ -324,6 +324,25 @@ def test_decontamination_equals_brute_force(spark):
 # --- search -------------------------------------------------------------------------------------------------------
 
 
+@pytest.mark.parametrize("name", ["neardup", "decontamination"])
+def test_rows_are_numbered_in_one_scan(spark, tmp_dir, name):
+    """A second scan may be split otherwise and would number the rows otherwise, so the source is read once."""
+
+    def scan(batches):
+        for b in batches:
+            with open(f"{tmp_dir}/scans", "a") as f:
+                f.write("x" * b.num_rows)
+            yield b
+
+    words = [f"w{i}" for i in range(40)]
+    docs = frame(spark, [(i, " ".join(words[i % 3 :])) for i in range(9)])
+    docs = docs.mapInArrow(scan, docs.schema)
+    items = spark.createDataFrame([(1, " ".join(words[5:20]))], "item_id long, text string")
+    out = neardup.deduplicate(docs) if name == "neardup" else decontamination.decontaminate(docs, items)
+    assert len(out.collect()) == 9
+    assert len(open(f"{tmp_dir}/scans").read()) == 9
+
+
 def test_search_equals_brute_force(spark):
     rng = np.random.default_rng(5)
     x = np.round(rng.normal(size=(300, 8)), 1)
