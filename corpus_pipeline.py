@@ -22,21 +22,31 @@ def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return scored.where("predicted = 0").select(*COLUMNS)
 
 
+def numbered(docs: DataFrame) -> DataFrame:
+    """docs with a number of each row, _key, written once: ids may be missing or repeated."""
+    return materialise(docs.select(F.monotonically_increasing_id().alias("_key"), *COLUMNS), "numbered")
+
+
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each group of near-duplicates (five-word shingles, similarity 0.8) the document with the smallest id stays; of
-    rows alike in id and text, one; rows without an id can't be told apart and stay."""
-    groups = neardup.deduplicate(docs, size=5, num=80, den=100).where("doc_id is not null").select(F.col("doc_id").alias("_id"), "kept")
-    marks = groups.groupBy("_id").agg((~F.bool_or("kept")).alias("_gone"), (F.count("*") > 1).alias("_again")).where("_gone or _again")
-    marked = docs.select(*COLUMNS).join(small(materialise(marks, "marks")), F.col("doc_id") == F.col("_id"), "left")
-    again = marked.where("not _gone and _again").select(*COLUMNS).dropDuplicates(["doc_id", "text"])
-    return marked.where("_id is null").select(*COLUMNS).unionByName(again)
+    """Of each group of near-duplicates (five-word shingles, similarity 0.8) one row stays, that of the smallest id (rows
+    without an id come last). Blank texts are in no group: of those alike in id and text one stays, and all without an id."""
+    docs = numbered(docs)
+    rows = materialise(neardup.deduplicate(docs, size=5, num=80, den=100, row_col="_key"), "groups")
+    first = F.min(F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "_key")).alias("first")
+    firsts = materialise(rows.groupBy("group").agg(F.count("*").alias("k"), first).where("k > 1").select("group", F.col("first._key").alias("_first")), "firsts")
+    gone = rows.join(small(firsts), "group").where("_key != _first").select("_key", F.lit(True).alias("_gone"))
+    blank = rows.where("n_shingles = 0 and doc_id is not null").select("_key", F.lit(False).alias("_gone"))
+    marked = docs.join(small(materialise(gone.unionByName(blank), "marks")), "_key", "left")
+    again = marked.where("not _gone").select(*COLUMNS).dropDuplicates(["doc_id", "text"])
+    return marked.where("_gone is null").select(*COLUMNS).unionByName(again)
 
 
 def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that hold ten consecutive words of a benchmark item, or a shorter item as a whole, go."""
-    hit = decontamination.decontaminate(docs, table(spark, sf_dir, "benchmark"), window=10).where("contaminated")
-    ids = materialise(hit.select(F.col("doc_id").alias("_id")).distinct(), "contaminated")
-    return docs.select(*COLUMNS).join(small(ids), F.col("doc_id").eqNullSafe(F.col("_id")), "left_anti")
+    """Rows that hold ten consecutive words of a benchmark item, or a shorter item as a whole, go; others of the same id
+    stay."""
+    docs = numbered(docs)
+    hit = decontamination.decontaminate(docs, table(spark, sf_dir, "benchmark"), window=10, row_col="_key").where("contaminated")
+    return docs.join(small(materialise(hit.select("_key"), "contaminated")), "_key", "left_anti").select(*COLUMNS)
 
 
 def redact_personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -40,15 +40,19 @@ def item_windows(items: DataFrame, size: int, item_id: str, text: str) -> DataFr
     return rows.select("item_id", F.explode(F.transform(starts, lambda s: F.slice("w", s, size))).alias("w"))
 
 
-def decontaminate(docs: DataFrame, items: DataFrame, window: int = 10, shingle: int = 3, id_col: str = "doc_id", text: str = "text", item_id: str = "item_id", item_text: str = "text") -> DataFrame:
+def decontaminate(docs: DataFrame, items: DataFrame, window: int = 10, shingle: int = 3, id_col: str = "doc_id", text: str = "text", item_id: str = "item_id", item_text: str = "text", row_col: str | None = None) -> DataFrame:
     """Which words of each document lie in an occurrence of a window of a benchmark item.
 
     One row per row of docs: (id, n_words, n_hit, n_items, items (ids as sorted strings), contaminated). Null and empty
     texts have no words; items without words and null item texts have no windows; null item ids never count, though
     their windows hit. Repeated items count once an id, repeated documents each come back. Without items nothing is hit.
-    Columns other than id and text are ignored.
+    Columns other than id and text are ignored. row_col: a column of docs, a written table, with a number of each row; the
+    result has it too.
     """
-    docs = materialise(docs.select(F.monotonically_increasing_id().alias("_row"), F.col(id_col).alias("_id"), F.col(text).alias("_text")), "rows")
+    key = F.col(row_col).cast("long") if row_col else F.monotonically_increasing_id()
+    docs = docs.select(key.alias("_row"), F.col(id_col).alias("_id"), F.col(text).alias("_text"))
+    docs = docs if row_col else materialise(docs, "rows")
+    own = [F.col("_row").alias(row_col)] if row_col else []
     of_item = materialise(item_windows(items, window, item_id, item_text).withColumn("window", F.xxhash64(F.array_join("w", " "))), "windows")
     distinct = of_item.groupBy("window").agg(F.min("w").alias("w")).withColumn("n", F.size("w"))
 
@@ -68,7 +72,7 @@ def decontaminate(docs: DataFrame, items: DataFrame, window: int = 10, shingle:
     rows = docs.select("_row", "_id", F.size(words(F.col("_text"))).cast("long").alias("n_words"))
     if found is None:
         none = F.array().cast("array<string>")
-        return rows.select(F.col("_id").alias(id_col), "n_words", F.lit(0).cast("long").alias("n_hit"), F.lit(0).cast("long").alias("n_items"), none.alias("items"), F.lit(False).alias("contaminated"))
+        return rows.select(F.col("_id").alias(id_col), "n_words", F.lit(0).cast("long").alias("n_hit"), F.lit(0).cast("long").alias("n_items"), none.alias("items"), F.lit(False).alias("contaminated"), *own)
     found = materialise(found, "found")
 
     # the necessary shingle of each window: its rarest over the whole corpus
@@ -93,4 +97,4 @@ def decontaminate(docs: DataFrame, items: DataFrame, window: int = 10, shingle:
     result = materialise(covered.join(which, "_row", "left"), "hit-documents")
     out = rows.join(small(result), "_row", "left")
     n_hit = F.coalesce("n_hit", F.lit(0).cast("long"))
-    return out.select(F.col("_id").alias(id_col), "n_words", n_hit.alias("n_hit"), F.coalesce("n_items", F.lit(0).cast("long")).alias("n_items"), F.coalesce("items", F.array().cast("array<string>")).alias("items"), (n_hit > 0).alias("contaminated"))
+    return out.select(F.col("_id").alias(id_col), "n_words", n_hit.alias("n_hit"), F.coalesce("n_items", F.lit(0).cast("long")).alias("n_items"), F.coalesce("items", F.array().cast("array<string>")).alias("items"), (n_hit > 0).alias("contaminated"), *own)

@@ -268,7 +268,7 @@ def _against_all(some: DataFrame, whole: DataFrame, reps: DataFrame, threshold:
     return left.groupBy("node", "i", "j").cogroup(right.groupBy("node_", "i_", "j_")).applyInArrow(run, "a long, b long")
 
 
-def deduplicate(docs: DataFrame, size: int = 5, num: int = 80, den: int = 100, id_col: str = "doc_id", text: str = "text", recall: float = 0.9999) -> DataFrame:
+def deduplicate(docs: DataFrame, size: int = 5, num: int = 80, den: int = 100, id_col: str = "doc_id", text: str = "text", recall: float = 0.9999, row_col: str | None = None) -> DataFrame:
     """Groups of near-duplicate texts: one row per row of docs, (id, n_shingles, component_id, kept).
 
     Two texts are linked if den * |A and B| >= num * |A or B| for their sets of `size`-word shingles (by default five
@@ -276,17 +276,22 @@ def deduplicate(docs: DataFrame, size: int = 5, num: int = 80, den: int = 100, i
     of equal sets are one representative from the start, so copies cost nothing further. Null, empty and blank texts have
     empty sets and are linked with nothing. Null ids are never a group's smallest; a group of rows without ids has a null
     component_id and keeps all. Of repeated ids each row stands for itself. Other columns are ignored; no rows, no result.
+    row_col: a column of docs, a written table, with a number of each row; the result has it too, and group, a number of
+    the row's group that, unlike component_id, no other group shares.
     """
-    rows = materialise(docs.select(F.monotonically_increasing_id().alias("_row"), F.col(id_col).cast("long").alias("_id"), F.col(text).alias("_text")), "rows")
+    key = F.col(row_col).cast("long") if row_col else F.monotonically_increasing_id()
+    rows = docs.select(key.alias("_row"), F.col(id_col).cast("long").alias("_id"), F.col(text).alias("_text"))
+    rows = rows if row_col else materialise(rows, "rows")
     known = materialise(sketches(rows.select("_row", "_id", "_text"), size), "sketches")
     classes = materialise(known.where("key is not null").groupBy("key").agg(F.min("_id").alias("least"), F.min("_row").alias("rep")), "classes")
     reps = materialise(classes.select("rep", "least").join(known.select(F.col("_row").alias("rep"), "n", "sig"), "rep"), "reps")
     groups = materialise(link(rows, reps, size, num, den, recall), "groups")
     named = groups.join(reps.select(F.col("rep").alias("node"), "least"), "node")
     smallest = materialise(named.groupBy("component").agg(F.min("least").alias("c")), "smallest")
-    of_rep = groups.join(small(smallest), "component").select(F.col("node").alias("rep"), "c")
-    of_key = materialise(classes.join(small(materialise(of_rep, "grouped")), "rep", "left").select("key", F.coalesce("c", "least").alias("c")), "of-key")
-    alone = known.where("key is null").select("_id", "n", F.col("_id").alias("c"))
-    placed = known.where("key is not null").select("_id", "n", "key").join(of_key, "key").select("_id", "n", "c")
+    of_rep = groups.join(small(smallest), "component").select(F.col("node").alias("rep"), "component", "c")
+    of_key = materialise(classes.join(small(materialise(of_rep, "grouped")), "rep", "left").select("key", F.coalesce("component", "rep").alias("g"), F.coalesce("c", "least").alias("c")), "of-key")
+    alone = known.where("key is null").select("_row", "_id", "n", F.col("_row").alias("g"), F.col("_id").alias("c"))
+    placed = known.where("key is not null").select("_row", "_id", "n", "key").join(of_key, "key").select("_row", "_id", "n", "g", "c")
     out = placed.unionByName(alone)
-    return out.select(F.col("_id").alias(id_col), F.col("n").alias("n_shingles"), F.col("c").alias("component_id"), F.coalesce(F.col("_id") == F.col("c"), F.col("c").isNull()).alias("kept"))
+    own = [F.col("_row").alias(row_col), F.col("g").alias("group")] if row_col else []
+    return out.select(F.col("_id").alias(id_col), F.col("n").alias("n_shingles"), F.col("c").alias("component_id"), F.coalesce(F.col("_id") == F.col("c"), F.col("c").isNull()).alias("kept"), *own)

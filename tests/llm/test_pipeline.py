@@ -57,3 +57,22 @@ def test_stages_one_by_one(spark, tmp_dir):
         assert sorted(got, key=repr) == sorted(want, key=repr), name
         kept, seen = out, got
     assert corpus_pipeline.run(spark, tmp_dir).count() > 0
+
+
+def test_stages_judge_rows_and_not_ids(spark, tmp_dir):
+    """Rows without ids and of repeated ids: each stays or goes by its own text."""
+    rng = random.Random(3)
+    text = lambda n: " ".join(f"w{rng.randrange(10**6)}" for _ in range(n))
+    item, t, u, v = text(20), text(40), text(40), text(40)
+    spark.createDataFrame([(1, item)], "item_id long, text string").write.parquet(f"{tmp_dir}/benchmark.parquet")
+
+    def after(stage, rows):
+        docs = spark.createDataFrame([(i, x, "en", "s", len(x or "")) for i, x in rows], "doc_id long, text string, lang string, source string, n_chars long")
+        return sorted([(r["doc_id"], r["text"]) for r in stage(spark, docs, tmp_dir).collect()], key=repr)
+
+    bad = f"{t} {item}"
+    clean = [(None, u), (None, None), (5, v)]
+    assert after(corpus_pipeline.drop_contaminated, [(None, bad), (5, bad), *clean]) == sorted(clean, key=repr)
+    near = v.rsplit(" ", 1)[0]
+    rows = [(3, t), (7, u), (7, t), (None, t), (None, v), (None, v), (9, near), (9, near), (4, ""), (4, ""), (None, ""), (None, "")]
+    assert after(corpus_pipeline.drop_near_duplicates, rows) == sorted([(3, t), (7, u), (9, near), (4, ""), (None, ""), (None, "")], key=repr)
