@@ -130,6 +130,35 @@ class Automaton:
         return self.found[at]
 
 
+def _signs(word: str) -> tuple[bool, bool]:
+    """(opens, closes): a quote sign stands before, or behind, all letters and digits of the word."""
+    if not any(q in word for q in _QUOTES):
+        return False, False
+    core = [k for k, c in enumerate(word) if c.isalnum()]
+    if not core:  # a sign that stands alone may be either
+        return True, True
+    return any(c in _QUOTES for c in word[: core[0]]), any(c in _QUOTES for c in word[core[-1] + 1 :])
+
+
+def in_quotes(words: list[str], i: int) -> bool:
+    """Whether, within _SPAN words of word i, the nearest sign before it opens a quotation and the nearest behind it closes
+    one. Signs further off, or without a partner there, play no part."""
+    opens, closes = _signs(words[i])
+    if not opens:
+        for k in range(i - 1, max(-1, i - _SPAN - 1), -1):
+            before = _signs(words[k])
+            if any(before):
+                opens = before[0] and not (before[1] and any(c.isalnum() for c in words[k]))
+                break
+    if not closes:
+        for k in range(i + 1, min(len(words), i + _SPAN + 1)):
+            after = _signs(words[k])
+            if any(after):
+                closes = after[1] and not (after[0] and any(c.isalnum() for c in words[k]))
+                break
+    return opens and closes
+
+
 class Lexicon:
     """Terms and stems with what is needed to judge a text; small, and sent to every task."""
 
@@ -163,18 +192,11 @@ class Lexicon:
         if not hits:
             return [0.0, 0.0, 0.0, 0.0]
         spots = [(i, hits[w]) for i, w in enumerate(words) if w in hits]
-        inside, opened = {}, False
-        wanted = {i for i, _ in spots}
-        for i, w in enumerate(words):
-            n = sum(w.count(q) for q in _QUOTES)
-            if i in wanted:
-                inside[i] = opened or n > 0
-            opened ^= n % 2 == 1
         abuse = quoted = 0.0
         kept = []
         for i, weight in spots:
             factor = 1.0
-            if inside[i]:
+            if in_quotes(words, i):
                 near = {w.strip(_EDGE) for w in words[max(0, i - _SPAN) : i + _SPAN + 1]}
                 factor = _REPORTED if near & _REPORTS else _QUOTED
                 quoted += weight

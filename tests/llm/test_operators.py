@@ -514,5 +514,18 @@ def test_quotation_weighs_less():
     assert abuse > 0.9 and quoted < 0.3
 
 
+def test_a_stray_quote_sign_changes_nothing_further_on():
+    lexicon = toxicity.Lexicon(["moronic"])
+    memo, rest = lexicon.matcher(), " ".join(["word"] * 60)
+    hits = " ".join(f"you moronic {rest}" for _ in range(5))
+    plain = lexicon.features(f"{rest} {hits}", memo)
+    assert plain[1] == 0.0
+    for stray in ('a 6" nail', '"so it began', "so it ended\"", "'n"):
+        assert lexicon.features(f"{stray} {rest} {hits}", memo) == plain, stray
+    for text in ('they wrote "you moronic man" today', 'a 6" nail and then "moronic" too', '"a b" c "you are moronic" d'):
+        assert lexicon.features(text, memo)[1] > 0, text
+    assert lexicon.features('"a b" moronic "c d"', memo)[1] == 0.0
+
+
 def test_everything_whole_rows(spark):
     assert dt.date.today() and common.small(spark.range(3), 2) is not None
