@@ -8,6 +8,7 @@ mapped back to the source characters.
 
 from __future__ import annotations
 
+import bisect
 import hashlib
 import re
 import unicodedata
@@ -23,7 +24,7 @@ KINDS = ("email", "ip", "card", "phone")
 
 _DOMAIN = re.compile(r"@[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)+")
 _LOCAL = frozenset("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789._%+-")
-_IP = re.compile(r"[0-9]+(?:\.[0-9]+){3}")
+_DOTTED = re.compile(r"[0-9]+(?:\.[0-9]+)*")
 _CARD = re.compile(r"[0-9](?:[ -]?[0-9])+")
 _PHONE = re.compile(r"\+[0-9][ ().0-9-]+[0-9]")
 
@@ -49,12 +50,26 @@ def emails(text: str) -> list[tuple[int, int]]:
     return out
 
 
+def addresses(text: str) -> list[tuple[int, int]]:
+    """Leftmost matches of four dotted numbers: every run of dotted numbers is read once and cut into fours."""
+    out = []
+    for m in _DOTTED.finditer(text):
+        if m.group().count(".") < 3:
+            continue
+        at, parts = m.start(), m.group().split(".")
+        for k in range(0, len(parts) - 3, 4):
+            four = parts[k : k + 4]
+            size = sum(map(len, four)) + 3
+            if all(len(p.lstrip("0")) <= 3 and int(p.lstrip("0") or 0) <= 255 for p in four):
+                out.append((at, at + size))
+            at += size + 1
+    return out
+
+
 def base_spans(text: str) -> list[tuple[str, int, int]]:
     """The base spans of a text by kind, then start. Matches that fail their check are dropped and not tried again."""
     out = [("email", a, b) for a, b in emails(text)] if "@" in text else []
-    for m in _IP.finditer(text) if "." in text else ():
-        if all(len(p.lstrip("0")) <= 3 and int(p.lstrip("0") or 0) <= 255 for p in m.group().split(".")):
-            out.append(("ip", *m.span()))
+    out += [("ip", a, b) for a, b in addresses(text)] if "." in text else []
     for m in _CARD.finditer(text):
         if m.end() - m.start() >= 13:
             digits = m.group().replace(" ", "").replace("-", "")
@@ -259,13 +274,15 @@ def find(text: str) -> tuple[list[tuple[str, int, int]], list[tuple[str, int, in
     more = []
     changed, starts, ends = normalise(text, places)
     if changed != text:
+        known = {k: [(a, b) for kind, a, b in base if kind == k] for k in KINDS}  # in order, and apart from each other
         for kind, a, b in base_spans(changed):
             s, e = starts[a], ends[b - 1]
             while s < e and text[s].isspace():
                 s += 1
             while e > s and text[e - 1].isspace():
                 e -= 1
-            if not any(k == kind and x <= s and e <= y for k, x, y in base):
+            at = bisect.bisect_right(known[kind], (s, len(text))) - 1
+            if at < 0 or known[kind][at][1] < e:
                 more.append((kind, s, e))
     order = {k: i for i, k in enumerate(KINDS)}
     return base, sorted(base + more, key=lambda x: (order[x[0]], x[1], x[2])) if more else base
