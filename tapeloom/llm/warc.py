@@ -12,6 +12,7 @@ from __future__ import annotations
 import base64
 import hashlib
 import io
+import re
 import struct
 import uuid
 import zlib
@@ -23,7 +24,7 @@ import pyarrow.fs as pafs
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
-from pyspark.sql.datasource import DataSource, DataSourceReader, DataSourceWriter, EqualTo, In, InputPartition, IsNotNull, StringContains, StringStartsWith, WriterCommitMessage
+from pyspark.sql.datasource import DataSource, DataSourceArrowWriter, DataSourceReader, EqualTo, In, InputPartition, IsNotNull, StringContains, StringStartsWith, WriterCommitMessage
 
 from tapeloom.llm.common import materialise, scratch_path, small
 
@@ -43,6 +44,8 @@ SCHEMA = T.StructType(
 _HEADER = {"record_id": "warc-record-id", "record_type": "warc-type", "target_uri": "warc-target-uri", "payload_digest": "warc-payload-digest", "refers_to": "warc-refers-to"}
 _HTTP = b"HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\nContent-Length: %d\r\n\r\n"
 _DATE = "2024-01-01T00:00:00Z"
+_WRITTEN = ("record_id", "record_type", "target_uri", "payload_digest", "payload_bytes", "refers_to", "payload")
+_CONTROL = re.compile(r"[\x00-\x1f\x7f-\x9f\u2028\u2029]")
 
 
 def base32_sha1(payload: bytes) -> str:
@@ -50,44 +53,55 @@ def base32_sha1(payload: bytes) -> str:
 
 
 def member(record: bytes, level: int = 1) -> bytes:
-    """A gzip member whose extra field holds its own compressed and uncompressed lengths."""
+    """A gzip member whose extra field holds its own compressed and uncompressed lengths, 64 bits each."""
     z = zlib.compressobj(level, zlib.DEFLATED, -15)
     body = z.compress(record) + z.flush()
-    total = 10 + 2 + 12 + len(body) + 8
-    head = b"\x1f\x8b\x08\x04\0\0\0\0\0\xff" + struct.pack("<H", 12) + b"SL" + struct.pack("<HII", 8, total & 0xFFFFFFFF, len(record) & 0xFFFFFFFF)
+    total = 10 + 2 + 20 + len(body) + 8
+    head = b"\x1f\x8b\x08\x04\0\0\0\0\0\xff" + struct.pack("<H", 20) + b"SL" + struct.pack("<HQQ", 16, total, len(record))
     return head + body + struct.pack("<II", zlib.crc32(record), len(record) & 0xFFFFFFFF)
 
 
+def header_value(text: str) -> str:
+    """A value that stays on its line: control characters are written as % and two hexadecimal digits."""
+    return _CONTROL.sub(lambda m: f"%{ord(m.group()):02X}", text)
+
+
 def record(kind: str, record_id: str, uri: str, digest: str, payload: bytes, refers_to: str | None = None, payload_length: int | None = None) -> bytes:
-    lines = ["WARC/1.1", f"WARC-Type: {kind}", f"WARC-Record-ID: {record_id}", f"WARC-Date: {_DATE}", f"WARC-Target-URI: {uri}", f"WARC-Payload-Digest: sha1:{digest}", f"X-Payload-Length: {len(payload) if payload_length is None else payload_length}"]
+    fields = [("WARC-Type", kind), ("WARC-Record-ID", record_id), ("WARC-Date", _DATE), ("WARC-Target-URI", uri), ("WARC-Payload-Digest", f"sha1:{digest}"), ("X-Payload-Length", str(len(payload) if payload_length is None else payload_length))]
     if refers_to is not None:
-        lines += [f"WARC-Refers-To: {refers_to}", "WARC-Profile: http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"]
+        fields += [("WARC-Refers-To", refers_to), ("WARC-Profile", "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest")]
     block = _HTTP % len(payload) + payload
-    lines += ["Content-Type: application/http; msgtype=response", f"Content-Length: {len(block)}"]
-    return "\r\n".join(lines).encode() + b"\r\n\r\n" + block + b"\r\n\r\n"
+    fields += [("Content-Type", "application/http; msgtype=response"), ("Content-Length", str(len(block)))]
+    return "\r\n".join(["WARC/1.1", *(f"{k}: {header_value(v)}" for k, v in fields)]).encode("utf-8", "replace") + b"\r\n\r\n" + block + b"\r\n\r\n"
 
 
 class _Stream:
-    """A file as a run of bytes, inflated member by member; `skip_member` leaves the rest of a member unread."""
+    """A file as a run of bytes, inflated member by member; `drop` leaves the rest of a member unread. A file that ends
+    inside a member, a header or a payload raises ValueError."""
 
     def __init__(self, file, compressed: bool):
         self.file, self.compressed = file, compressed
-        self.buffer, self.z, self.next_at = b"", None, None
+        self.buffer, self.z, self.next_at, self.pending = bytearray(), None, None, b""
+        file.seek(0, 2)
+        self.size = file.tell()
+        file.seek(0)
+
+    def _cut(self):
+        return ValueError(f"the archive ends at byte {self.size}, inside a record")
 
     def _more(self) -> bool:
+        """Read on; False at the end of the file."""
         if not self.compressed:
             got = self.file.read(1 << 16)
             self.buffer += got
             return bool(got)
         while True:
-            if self.z is None:
-                self._open()
-                if self.z is None:
-                    return False
+            if self.z is None and not self._open():
+                return False
             raw = self.pending or self.file.read(1 << 15)
             self.pending = b""
             if not raw:
-                return False
+                raise self._cut()
             self.buffer += self.z.decompress(raw)
             if self.z.eof:
                 self.file.seek(self.file.tell() - len(self.z.unused_data))
@@ -96,69 +110,81 @@ class _Stream:
             if self.buffer:
                 return True
 
-    def _open(self) -> None:
+    def _open(self) -> bool:
         start = self.file.tell()
-        head = self.file.read(24)
+        head = self.file.read(32)
         if not head:
-            return
+            return False
         self.next_at = None
-        if len(head) == 24 and head[3] & 4 and head[12:14] == b"SL":
-            self.next_at = start + struct.unpack("<I", head[16:20])[0]
+        if len(head) == 32 and head[3] & 4 and head[12:16] == b"SL\x10\0":
+            self.next_at = start + struct.unpack("<Q", head[16:24])[0]
         self.z, self.pending = zlib.decompressobj(31), head
+        return True
 
-    def until(self, mark: bytes, limit: int = 1 << 20) -> bytes | None:
-        at = self.buffer.find(mark)
-        while at < 0:
-            if len(self.buffer) > limit or not self._more():
-                return None
-            at = self.buffer.find(mark)
-        out, self.buffer = self.buffer[:at], self.buffer[at + len(mark) :]
+    def until(self, mark: bytes) -> bytes:
+        seen = 0
+        while (at := self.buffer.find(mark, seen)) < 0:
+            seen = max(0, len(self.buffer) - len(mark) + 1)
+            if not self._more():
+                raise self._cut()
+        out = bytes(self.buffer[:at])
+        del self.buffer[: at + len(mark)]
         return out
 
     def take(self, n: int) -> bytes:
-        while len(self.buffer) < n and self._more():
-            pass
-        out, self.buffer = self.buffer[:n], self.buffer[n:]
+        while len(self.buffer) < n:
+            if not self._more():
+                raise self._cut()
+        out = bytes(self.buffer[:n])
+        del self.buffer[:n]
         return out
 
     def drop(self, n: int) -> None:
         """Pass over n bytes; inside a member of known length that ends with them, by seeking."""
         if self.compressed and self.next_at is not None and self.z is not None:
+            if self.next_at > self.size:
+                raise self._cut()
             self.file.seek(self.next_at)
-            self.buffer, self.z, self.pending = b"", None, b""
+            self.buffer, self.z, self.pending = bytearray(), None, b""
             return
         if not self.compressed and len(self.buffer) < n:
-            self.file.seek(self.file.tell() + n - len(self.buffer))
-            self.buffer = b""
+            to = self.file.tell() + n - len(self.buffer)
+            if to > self.size:
+                raise self._cut()
+            self.file.seek(to)
+            self.buffer = bytearray()
             return
-        left = n
-        while left > 0:
-            part = self.take(min(left, 1 << 16))
-            if not part:
-                break
-            left -= len(part)
+        while n > 0:
+            n -= len(self.take(min(n, 1 << 16)))
+
+    def between(self) -> bool:
+        """Pass over the line ends between records; False at the end of the file."""
+        while True:
+            while self.buffer[:2] == b"\r\n":
+                del self.buffer[:2]
+            if len(self.buffer) >= 2:
+                return True
+            if not self._more():
+                if self.buffer:
+                    raise self._cut()
+                return False
 
 
 def records(file, compressed: bool, wanted=lambda h: True, payloads: bool = True) -> Iterator[tuple[dict[str, str], bytes | None]]:
-    """(headers by lower-case name, payload or None) of the records that `wanted` says yes to on their headers."""
+    """(headers by lower-case name, payload or None) of the records that `wanted` says yes to on their headers. A file that
+    ends inside a record, or a record without a length, raises ValueError."""
     s = _Stream(file, compressed)
-    while True:
-        while s.buffer[:2] == b"\r\n" or not s.buffer:
-            if s.buffer:
-                s.buffer = s.buffer[2:]
-            elif not s._more():
-                return
-        head = s.until(b"\r\n\r\n")
-        if head is None:
-            return
+    while s.between():
         headers = {}
-        for line in head.decode("utf-8", "replace").split("\r\n")[1:]:
+        for line in s.until(b"\r\n\r\n").decode("utf-8", "replace").split("\r\n")[1:]:
             name, _, value = line.partition(":")
             headers[name.strip().lower()] = value.strip()
-        length = int(headers.get("content-length", 0))
-        if not wanted(headers) or not payloads:
-            s.drop(length + 4)
-            if wanted(headers):
+        if not headers.get("content-length", "").isdigit():
+            raise ValueError("a record without a Content-Length")
+        length, asked = int(headers["content-length"]), wanted(headers)
+        if not asked or not payloads:
+            s.drop(length)
+            if asked:
                 yield headers, None
             continue
         block = s.take(length)
@@ -246,26 +272,30 @@ class Written(WriterCommitMessage):
     names: list
 
 
-class WarcWriter(DataSourceWriter):
-    """Rows (record_id, record_type, target_uri, payload_digest, payload_bytes, refers_to, payload), in that order or by
-    name; file names hold the attempt, so that a task that runs twice leaves nothing behind."""
+class WarcWriter(DataSourceArrowWriter):
+    """Arrow batches of record_id, record_type, target_uri, payload_digest, payload_bytes, refers_to and payload; file names
+    are new for every attempt, so that a task that runs twice leaves nothing behind."""
 
-    def __init__(self, options, schema):
-        self.path, self.most, self.names = options["path"], int(options.get("filebytes", 64 << 20)), schema.names
+    def __init__(self, options):
+        self.path, self.most = options["path"], int(options.get("filebytes", 64 << 20))
 
     def write(self, iterator):
         fs, root = pafs.FileSystem.from_uri(self.path)
         fs.create_dir(f"{root}/_temporary", recursive=True)
         done, out, size = [], None, 0
-        for row in iterator:
-            if out is None or size > self.most:
-                if out:
-                    out.close()
-                done.append(f"{uuid.uuid4().hex}.warc.gz")
-                out, size = fs.open_output_stream(f"{root}/_temporary/{done[-1]}", compression=None), 0
-            data = member(record(row["record_type"], row["record_id"], row["target_uri"] or "", row["payload_digest"], bytes(row["payload"] or b""), row["refers_to"], row["payload_bytes"]))
-            out.write(data)
-            size += len(data)
+        for batch in iterator:
+            columns = [batch.column(batch.schema.get_field_index(n)) for n in _WRITTEN]
+            for a in range(0, batch.num_rows, 256):
+                for row in zip(*(c.slice(a, 256).to_pylist() for c in columns), strict=True):
+                    if out is None or size > self.most:
+                        if out:
+                            out.close()
+                        done.append(f"{uuid.uuid4().hex}.warc.gz")
+                        out, size = fs.open_output_stream(f"{root}/_temporary/{done[-1]}", compression=None), 0
+                    record_id, kind, uri, digest, length, refers_to, payload = row
+                    data = member(record(kind, record_id, uri or "", digest, payload or b"", refers_to, length))
+                    out.write(data)
+                    size += len(data)
         if out:
             out.close()
         return Written(names=done)
@@ -299,7 +329,7 @@ class WarcDataSource(DataSource):
         return WarcReader(schema, self.options)
 
     def writer(self, schema, overwrite):
-        return WarcWriter(self.options, schema)
+        return WarcWriter(self.options)
 
 
 def register(spark: SparkSession) -> None:
@@ -311,6 +341,7 @@ def page_records(pages: DataFrame, min_payload: int = 0, id_col: str = "page_id"
     """One record per row: the row with the largest id among those of one payload (of min_payload bytes at least) is the
     response and the others revisit it; smaller payloads are responses all. Null html is an empty payload. If rows with
     that largest id repeat they are all responses. Rows without an id revisit a row that has one, else are responses.
+    Null urls are empty; control characters in urls are written as % and two digits, so that no url breaks a header.
 
     Payloads are compared by their SHA-1; only digests that occur more than once are joined back.
     """
