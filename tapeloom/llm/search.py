@@ -1,34 +1,43 @@
 """Exact top-k search by inner product with pivot-table elimination.
 
-Queries and candidates are dealt out in blocks to a grid. Every candidate has its distances to many pivots worked out
-once; |d(q, p) - d(x, p)| is a lower bound of d(q, x) for every pivot p, and the largest of them over the pivots bounds
-the inner product from above: q.x = (|q|^2 + |x|^2 - d(q, x)^2) / 2. A query looks at candidates in the order of their
-bounds and stops as soon as no further bound reaches its k-th best score.
+A table, made and written once, holds the distances of every vector to a few dozen pivots, which lie far apart. For every
+pivot p, |d(q, p) - d(x, p)| is a lower bound of d(q, x), and the largest of them bounds the inner product from above:
+q.x = (|q|^2 + |x|^2 - d(q, x)^2) / 2. Vectors are dealt out in blocks of those with the same nearest pivot. A query looks
+first into the blocks of its own nearest pivot; the k-th best score that it finds there goes with it, and it is sent on only
+to blocks where the range of distances to every pivot leaves room for a better one. In a block it looks at candidates in
+the order of their bounds and stops as soon as no further bound reaches its k-th best score.
 """
 
 from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
+from pyspark import Accumulator
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-#: Integers beyond this have inner products that a long may not hold.
-LARGEST = 1 << 24
+from tapeloom.llm.common import materialise
+
+#: Pivots, and rows (those with the least hashes of their numbers) that they are picked from.
+PIVOTS, PIVOT_SAMPLE = 32, 4096
+#: Candidates, and queries, that one task holds at most, about.
+BLOCK, QUERY_BLOCK = 32_768, 8192
 _PER_STEP = 64  # candidates evaluated at a time, in the order of their bounds
 
 
 def integer_vectors(df: DataFrame, id_col: str = "vec_id", vector: str = "embedding", scale: float = 256.0) -> DataFrame:
-    """(id, v): v = floor(scale * x) as longs. Null vectors, null ids and vectors with null, NaN or infinite components,
-    or with components beyond LARGEST, take no part. Of several rows of one id the smallest vector counts."""
-    fine = F.forall(vector, lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x.cast("double") * scale) < LARGEST))
-    rows = df.where(F.col(id_col).isNotNull() & F.col(vector).isNotNull()).where((F.size(vector) > 0) & fine)
-    made = rows.select(F.col(id_col).alias("id"), F.transform(vector, lambda x: F.floor(x.cast("double") * scale).cast("long")).alias("v"))
-    return made.groupBy("id").agg(F.min("v").alias("v"))
+    """(row, id, v), written: a number of the row, and floor(scale * x) of its components as whole doubles. Null vectors, null
+    ids and vectors with null, NaN or infinite components take no part. Rows of one id each stand for themselves."""
+    fine = F.forall(vector, lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x.cast("double")) < float("inf")))
+    whole = F.transform(vector, lambda x: F.col("_") * x.cast("double"))
+    rows = df.where(F.col(id_col).isNotNull() & F.col(vector).isNotNull()).where(fine).select(F.col(id_col).cast("long").alias("id"), F.col(vector), F.lit(float(scale)).alias("_"))
+    # floor() gives longs, which end at 2^63; doubles beyond 2^52 are whole anyway
+    v = F.transform(whole, lambda x: F.when(F.abs(x) < 2.0**52, F.floor(x).cast("double")).otherwise(x))
+    return materialise(rows.select(F.monotonically_increasing_id().alias("row"), "id", v.alias("v")), "vectors")
 
 
 def pivots_of(x: np.ndarray, n: int) -> np.ndarray:
-    """n pivots of a block, each the vector farthest from those before it."""
+    """n pivots of a sample, each the vector farthest from those before it."""
     picked = [int(np.argmax((x * x).sum(axis=1)))]
     far = ((x - x[picked[0]]) ** 2).sum(axis=1)
     while len(picked) < min(n, len(x)):
@@ -37,64 +46,156 @@ def pivots_of(x: np.ndarray, n: int) -> np.ndarray:
     return x[picked]
 
 
-def search_block(queries: np.ndarray, query_ids: np.ndarray, x: np.ndarray, ids: np.ndarray, k: int, n_pivots: int = 32):
-    """The k best of a block for every query: lists of (query, score, id). Exact; ties go to the smaller id."""
+def _padded(vectors: list, n: int) -> np.ndarray:
+    """Vectors cut, or filled up with zeros, to n components: one and the same pivot for all vectors of that length."""
+    out = np.zeros((len(vectors), n))
+    for i, v in enumerate(vectors):
+        out[i, : min(n, len(v))] = v[:n]
+    return out
+
+
+def _matrix(column, n: int) -> np.ndarray:
+    return np.asarray(column.combine_chunks().flatten() if isinstance(column, pa.ChunkedArray) else column.flatten(), float).reshape(-1, n)
+
+
+def pivot_table(vectors: DataFrame, pivots: list) -> DataFrame:
+    """vectors (row, id, v) with n, their lengths, d, their distances to the pivots, and pivot, the nearest one's number."""
+
+    def run(batches):
+        for b in batches:
+            d = np.zeros((b.num_rows, len(pivots)), np.float32)
+            values = b.column(2).to_pylist()
+            for n in {len(v) for v in values}:
+                at = np.flatnonzero([len(v) == n for v in values])
+                x, p = np.asarray([values[i] for i in at], float).reshape(len(at), n), _padded(pivots, n)
+                with np.errstate(all="ignore"):
+                    d[at] = np.sqrt(np.maximum(0, (x * x).sum(axis=1)[:, None] + (p * p).sum(axis=1) - 2 * x @ p.T))
+            d = np.nan_to_num(d, nan=np.inf)
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), b.column(2), pa.array([len(v) for v in values], pa.int32()), pa.ListArray.from_arrays(pa.array(np.arange(len(d) + 1) * len(pivots), pa.int32()), pa.array(d.reshape(-1))), pa.array(d.argmin(axis=1), pa.int32())], names=["row", "id", "v", "n", "d", "pivot"])
+
+    return materialise(vectors.select("row", "id", "v").mapInArrow(run, "row long, id long, v array<double>, n int, d array<float>, pivot int"), "pivot-table")
+
+
+def _bounds(q2, x2, low, largest):
+    """Upper bounds of inner products from lower bounds of distances, with room for the rounding of single precision."""
+    with np.errstate(all="ignore"):
+        return np.nan_to_num((q2 + x2 - low * low) / 2 + 4e-6 * (1 + largest), nan=np.inf, posinf=np.inf)
+
+
+def _gaps(a, b, axis):
+    with np.errstate(all="ignore"):
+        return np.nan_to_num(np.abs(a - b), nan=0.0, posinf=0.0).max(axis=axis, initial=0.0)
+
+
+def search_block(q: np.ndarray, q_rows, q_d: np.ndarray, floor: np.ndarray, x: np.ndarray, rows, ids, d: np.ndarray, k: int) -> tuple[list, int]:
+    """The k best of a block for every query, of those that reach its floor: (index of query, score, id), and how many
+    candidates were evaluated. Exact; ties go to the smaller id."""
     order = np.argsort(ids, kind="stable")
-    x, ids = x[order], ids[order]
-    xf, qf = x.astype(np.float64), queries.astype(np.float64)
-    pivots = pivots_of(xf, n_pivots)
-    x2, q2, p2 = (xf * xf).sum(axis=1), (qf * qf).sum(axis=1), (pivots * pivots).sum(axis=1)
-    table = np.sqrt(np.maximum(0, x2[None, :] + p2[:, None] - 2 * pivots @ xf.T))  # pivots x candidates, worked out once
-    to_query = np.sqrt(np.maximum(0, q2[None, :] + p2[:, None] - 2 * pivots @ qf.T))
-    slack = 1e-6 * (1 + x2.max(initial=0) + q2.max(initial=0))  # rounding of the distances
-    out = []
-    for j in range(len(queries)):
-        low = np.abs(table - to_query[:, j, None]).max(axis=0)
-        bound = (q2[j] + x2 - low * low) / 2 + slack
-        bound[ids == query_ids[j]] = -np.inf
-        left = np.argsort(-bound, kind="stable")
-        best_s, best_i = np.zeros(0, np.int64), np.zeros(0, np.int64)
-        at = 0
-        while at < len(left):
+    x, ids, rows, d = x[order], ids[order], rows[order], d[order].T.copy()
+    with np.errstate(all="ignore"):
+        x2, q2 = (x * x).sum(axis=1), (q * q).sum(axis=1)
+    largest = max(x2.max(initial=0), q2.max(initial=0), float(np.square(d.astype(float)).max(initial=0)))
+    safe = np.abs(x).max(initial=0) * np.abs(q).max(initial=0) * max(1, x.shape[1]) < 2.0**62
+    xi, qi = (x.astype(np.int64), q.astype(np.int64)) if safe else ([[int(c) for c in v] for v in x], [[int(c) for c in v] for v in q])
+    out, seen = [], 0
+    for j in range(len(q)):
+        bound = _bounds(q2[j], x2, _gaps(d, q_d[j][:, None], 0), largest)
+        bound[rows == q_rows[j]] = -np.inf
+        left = np.flatnonzero(bound >= floor[j])
+        left = left[np.argsort(-bound[left], kind="stable")]
+        best: list[tuple] = []
+        for at in range(0, len(left), _PER_STEP):
             step = left[at : at + _PER_STEP]
-            step = step[np.isfinite(bound[step])]
-            if not len(step) or len(best_s) == k and bound[step[0]] < best_s[-1]:
+            if len(best) == k and bound[step[0]] < best[-1][0] or bound[step[0]] == -np.inf:
                 break
-            s = x[step] @ queries[j]
-            s, i = np.concatenate([best_s, s]), np.concatenate([best_i, ids[step]])
-            top = np.lexsort((i, -s))[:k]
-            best_s, best_i = s[top], i[top]
-            at += _PER_STEP
-        out += [(query_ids[j], s, i) for s, i in zip(best_s.tolist(), best_i.tolist())]
-    return out
+            step = step[bound[step] > -np.inf]
+            scores = (xi[step] @ qi[j]).tolist() if safe else [sum(map(int.__mul__, xi[i], qi[j])) for i in step]
+            seen += len(step)
+            best = sorted([*best, *zip(scores, ids[step].tolist())], key=lambda r: (-r[0], r[1]))[:k]
+        out += [(j, s, i) for s, i in best]
+    return out, seen
 
 
-def search(vectors: DataFrame, is_query, k: int = 5, candidate_block: int = 4096, query_block: int = 1024, n_pivots: int = 32) -> DataFrame:
-    """The k best of all rows for every row for which is_query holds: (query_id, rank, vec_id, score).
+_FOUND = "query_row long, query_id long, score long, wide double, vec_id long"
 
-    vectors: (id, v), one row an id, as from integer_vectors. Only vectors of one length are compared. Rows and queries
-    are dealt out by a hash to blocks of about the given sizes, and each pair of a candidate block and a query block is
-    one task's work, so that memory is bounded while the number of tasks grows with the data; every query block is sent
-    once to every candidate block, and each row once to every query block. No rows give no rows.
-    """
-    vectors = vectors.withColumn("n", F.size("v"))
-    size = {r["q"]: r["n"] for r in vectors.groupBy(F.coalesce(is_query, F.lit(False)).alias("q")).agg(F.count("*").alias("n")).collect()}
-    n_c = max(1, -(-sum(size.values()) // candidate_block))
-    n_q = max(1, -(-size.get(True, 0) // query_block))
-    key = F.pmod(F.xxhash64("id"), F.lit(n_c))
-    left = vectors.select("id", "v", "n", key.alias("c"), F.explode(F.sequence(F.lit(0), F.lit(n_q - 1))).alias("q"))
-    asked = vectors.where(is_query).select("id", "v", "n", F.explode(F.sequence(F.lit(0), F.lit(n_c - 1))).alias("c"), F.pmod(F.xxhash64("id", F.lit(1)), F.lit(n_q)).cast("int").alias("q"))
-    schema = "query_id long, score long, vec_id long"
+
+def _cells(candidates: DataFrame, queries: DataFrame, k: int, evaluated: Accumulator | None) -> DataFrame:
+    """Found rows of every cell: candidates (c, sub, q, ...) and queries (c, sub, q, ..., floor) of one block and length."""
 
     def run(key, a: pa.Table, b: pa.Table) -> pa.Table:
-        if not a.num_rows or not b.num_rows:
-            return pa.table({"query_id": pa.array([], pa.int64()), "score": pa.array([], pa.int64()), "vec_id": pa.array([], pa.int64())})
-        n = key[2].as_py()
-        unpack = lambda t: (np.asarray(t["v"].combine_chunks().flatten(), np.int64).reshape(-1, n), np.asarray(t["id"].combine_chunks(), np.int64))
-        (x, ids), (qs, qids) = unpack(a), unpack(b)
-        got = search_block(qs, qids, x, ids, k, n_pivots)
-        return pa.table({"query_id": pa.array([r[0] for r in got], pa.int64()), "score": pa.array([r[1] for r in got], pa.int64()), "vec_id": pa.array([r[2] for r in got], pa.int64())})
-
-    found = left.groupBy(F.col("c").cast("int").alias("c"), "q", "n").cogroup(asked.groupBy("c", "q", "n")).applyInArrow(run, schema)
-    rank = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id"))
+        found = []
+        if a.num_rows and b.num_rows:
+            n = key[3].as_py()
+            get = lambda t, c: np.asarray(t[c].combine_chunks())
+            x, q, pivots = _matrix(a["v"], n) if n else np.zeros((a.num_rows, 0)), _matrix(b["v"], n) if n else np.zeros((b.num_rows, 0)), len(a["d"][0])
+            q_rows, q_ids = get(b, "row"), get(b, "id")
+            got, seen = search_block(q, q_rows, _matrix(b["d"], pivots), get(b, "floor"), x, get(a, "row"), get(a, "id"), _matrix(a["d"], pivots).astype(np.float32), k)
+            if evaluated is not None:
+                evaluated.add(seen)
+            found = [(int(q_rows[j]), int(q_ids[j]), max(-(1 << 63), min((1 << 63) - 1, s)), float(s) if abs(s) < 10**300 else np.inf * (1 if s > 0 else -1), i) for j, s, i in got]
+        columns = list(zip(*found, strict=True)) or [[]] * 5
+        return pa.table({c: pa.array(v, t) for c, v, t in zip(("query_row", "query_id", "score", "wide", "vec_id"), columns, (pa.int64(), pa.int64(), pa.int64(), pa.float64(), pa.int64()), strict=True)})
+
+    return candidates.groupBy("c", "sub", "q", "n").cogroup(queries.groupBy("c", "sub", "q", "n")).applyInArrow(run, _FOUND)
+
+
+def search(vectors: DataFrame, is_query, k: int = 5, block: int = BLOCK, query_block: int = QUERY_BLOCK, n_pivots: int = PIVOTS, evaluated: Accumulator | None = None) -> DataFrame:
+    """The k best of all other rows for every row for which is_query holds: (query_id, rank, vec_id, score).
+
+    vectors: (row, id, v), as from integer_vectors. Only vectors of one length are compared; rows of equal ids each stand for
+    themselves, as queries and as candidates. A row goes once to the blocks of queries of its pivot, a query to the blocks that
+    its bounds leave; a task holds one block of each. Scores beyond a long are cut to its ends, and ranked by the nearest
+    double. No rows give no rows. evaluated: counts the candidates whose inner products were worked out.
+    """
+    spark = vectors.sparkSession
+    sample = [r["v"] for r in vectors.orderBy(F.xxhash64("row"), "row").select("v").limit(PIVOT_SAMPLE).collect()]  # bounded
+    if not sample:
+        return spark.createDataFrame([], "query_id long, rank int, vec_id long, score long")
+    with np.errstate(all="ignore"):
+        pivots = np.nan_to_num(pivots_of(_padded(sample, max(map(len, sample))), n_pivots)).tolist()
+    rows = pivot_table(vectors, pivots)
+    rows = rows.withColumn("asks", F.coalesce(is_query, F.lit(False)))
+    ranges = [f(F.col("d")[i]).alias(f"{name}{i}") for i in range(len(pivots)) for name, f in (("a", F.min), ("b", F.max))]
+    x2 = F.max(F.aggregate("v", F.lit(0.0), lambda s, c: s + c * c)).alias("x2")
+    kept = {r["pivot"]: r for r in rows.groupBy("pivot").agg(F.count("*").alias("m"), x2, *ranges).collect()}  # a row for each pivot
+    n_queries = rows.where("asks").count()
+    n_q = max(1, -(-n_queries // query_block))
+    subs = F.create_map(*(F.lit(z) for p, r in kept.items() for z in (p, -(-r["m"] // block))))
+    q_of = F.pmod(F.xxhash64("row", F.lit(1)), F.lit(n_q)).cast("int").alias("q")
+    fields = ["row", "id", "v", "n", "d"]
+    candidates = rows.select(F.col("pivot").alias("c"), F.pmod(F.xxhash64("row"), subs[F.col("pivot")]).cast("int").alias("sub"), F.explode(F.sequence(F.lit(0), F.lit(n_q - 1))).alias("q"), *fields)
+    asked = rows.where("asks").select(*fields, "pivot", q_of)
+    into = lambda frame, c: frame.withColumn("c", c).withColumn("sub", F.explode(F.sequence(F.lit(0), subs[F.col("c")] - 1)))
+
+    home = into(asked.withColumn("floor", F.lit(float("-inf"))), F.col("pivot"))
+    first = materialise(_cells(candidates, home.select("c", "sub", "q", "floor", *fields), k, evaluated), "found-at-home")
+    place = F.row_number().over(Window.partitionBy("query_row").orderBy(F.desc("score"), F.desc("wide"), "vec_id"))
+    floors = first.withColumn("place", place).where(F.col("place") == k).select(F.col("query_row").alias("row"), F.least(F.col("score").cast("double"), "wide").alias("floor"))
+
+    numbers = sorted(kept)
+    low = np.asarray([[kept[c][f"a{i}"] for i in range(len(pivots))] for c in numbers])
+    high = np.asarray([[kept[c][f"b{i}"] for i in range(len(pivots))] for c in numbers])
+    most = np.asarray([kept[c]["x2"] for c in numbers])
+
+    def reach(batches):
+        """Queries with the pivots, but their own, whose blocks may hold a score of their floor."""
+        for b in batches:
+            at, to = [], []
+            d, own, floor = _matrix(b.column(4), len(pivots)), np.asarray(b.column(5)), np.asarray(b.column(7))
+            for j, v in enumerate(b.column(2).to_pylist()):
+                with np.errstate(all="ignore"):
+                    q2 = float(np.square(np.asarray(v, float)).sum())
+                    gap = np.nan_to_num(np.maximum(0, np.maximum(low - d[j], d[j] - high)), nan=0.0, posinf=0.0).max(axis=1)
+                    top = _bounds(q2, most, gap, np.maximum(np.maximum(q2, most), np.square(high.max(axis=1))))
+                for c in np.flatnonzero(top >= floor[j]):
+                    if numbers[c] != own[j]:
+                        at.append(j), to.append(numbers[c])
+            at = pa.array(at, pa.int64())
+            yield pa.RecordBatch.from_arrays([b.column(i).take(at) for i in (0, 1, 2, 3, 4, 6, 7)] + [pa.array(to, pa.int32())], names=[*fields, "q", "floor", "to"])
+
+    open_ = asked.join(floors, "row", "left").select(*fields, "pivot", "q", F.coalesce("floor", F.lit(float("-inf"))).alias("floor"))
+    sent = open_.mapInArrow(reach, "row long, id long, v array<double>, n int, d array<float>, q int, floor double, to int")
+    away = into(sent, F.col("to")).select("c", "sub", "q", "floor", *fields)
+    found = first.unionByName(_cells(candidates, away, k, evaluated))
+    rank = F.row_number().over(Window.partitionBy("query_row").orderBy(F.desc("score"), F.desc("wide"), "vec_id"))
     return found.withColumn("rank", rank).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
