@@ -1,9 +1,10 @@
 """Benchmark decontamination by a prefix-filtered set join, in DataFrame operations alone.
 
-A window of an item (consecutive words) is a set of shingles at fixed distances. A document contains the window only if it
-contains each of its shingles, so one of them is enough to find candidates: the rarest in the corpus. Its place in the
-window and in the document fix where the window would have to begin, which bounds position and length, and the other
-shingles must then stand at their own places, which proves the containment.
+A window of an item (consecutive words) is a set of shingles. A document contains the window only if it contains each of
+them, so the prefix of its shingles in the order of rarity that is necessary to find it is one: the rarest. Rarity is
+reckoned from the frequencies of the items' words over all documents, counted first, so that only the rarest shingle of
+each window is ever joined to the documents. Its place in the window and in the document fix where the window would have
+to begin, which bounds position and length, and the words that stand there prove or disprove the containment.
 """
 
 from __future__ import annotations
@@ -24,13 +25,10 @@ def words(text):
     return F.array_remove(F.split(low, _SPLIT), "")  # only the first and the last part can be empty
 
 
-def positions(tokens: DataFrame, size: int) -> DataFrame:
-    """tokens (_row, w) -> (_row, pos, h): the hash of every run of `size` words, by the place of its first word."""
-    shifted = [F.col("w") if k == 0 else F.slice("w", k + 1, F.size("w")) for k in range(size)]
-    side_by_side = tokens.where(F.size("w") >= size).select("_row", *(c.alias(f"t{k}") for k, c in enumerate(shifted)))
-    names = [f"t{k}" for k in range(size)]
-    runs = side_by_side.select("_row", F.posexplode(F.arrays_zip(*names)).alias("pos", "z")).where(f"z.{names[-1]} is not null")
-    return runs.select("_row", "pos", F.xxhash64(F.concat_ws(" ", *(F.col(f"z.{n}") for n in names))).alias("h"))
+def shingles(w: str, size: int):
+    """A hash of `size` words from every place of the array w on; the last size - 1 hold fewer words."""
+    rest = "".join(f", get({w}, i + {k})" for k in range(1, size))
+    return F.expr(f"transform({w}, (x, i) -> xxhash64(x{rest}))")
 
 
 def item_windows(items: DataFrame, size: int, item_id: str, text: str) -> DataFrame:
@@ -40,6 +38,24 @@ def item_windows(items: DataFrame, size: int, item_id: str, text: str) -> DataFr
     return rows.select("item_id", F.explode(F.transform(starts, lambda s: F.slice("w", s, size))).alias("w"))
 
 
+def necessary(windows: DataFrame, tokens: DataFrame, shingle: int) -> DataFrame:
+    """windows (window, w) -> (window, n, k, place, h): the rarest shingle of each window, k words from place on.
+
+    The documents' frequencies of the windows' words, of which a shingle's expected frequency is the product, rank the
+    shingles; a window with a word that stands nowhere is nowhere, and left out.
+    """
+    vocabulary = materialise(windows.select(F.explode("w").alias("word")).distinct(), "vocabulary")
+    counted = tokens.select(F.explode("w").alias("word")).join(small(vocabulary), "word").groupBy("word").agg(F.count("*").alias("f"))
+    counted = materialise(counted, "word-counts")
+    placed = windows.select("window", F.size("w").alias("n"), F.posexplode("w").alias("at", "word"))
+    known = placed.join(small(counted), "word").groupBy("window", "n").agg(F.array_sort(F.collect_list(F.struct("at", F.log("f").alias("f"), "word"))).alias("p"))
+    parts = known.where(F.size("p") == F.col("n")).withColumn("k", F.least("n", F.lit(shingle)))
+    sums = "transform(sequence(0, n - k), i -> struct(aggregate(slice(p, i + 1, k), 0D, (s, x) -> s + x.f) AS f, i AS place))"
+    best = parts.select("window", "n", "k", F.expr("transform(p, x -> x.word)").alias("w"), F.expr(f"array_min({sums})").alias("best"))
+    sizes = [F.when(F.col("k") == size, F.get(shingles("w", size), F.col("best.place"))) for size in range(1, shingle + 1)]
+    return best.select("window", "n", "k", F.col("best.place").alias("place"), F.coalesce(*sizes).alias("h"))
+
+
 def decontaminate(docs: DataFrame, items: DataFrame, window: int = 10, shingle: int = 3, id_col: str = "doc_id", text: str = "text", item_id: str = "item_id", item_text: str = "text", row_col: str | None = None) -> DataFrame:
     """Which words of each document lie in an occurrence of a window of a benchmark item.
 
@@ -50,51 +66,36 @@ def decontaminate(docs: DataFrame, items: DataFrame, window: int = 10, shingle:
     result has it too.
     """
     key = F.col(row_col).cast("long") if row_col else F.monotonically_increasing_id()
-    docs = docs.select(key.alias("_row"), F.col(id_col).alias("_id"), F.col(text).alias("_text"))
-    docs = docs if row_col else materialise(docs, "rows")
+    split = docs.select(key.alias("_row"), F.col(id_col).alias("_id"), words(F.col(text)).alias("w"))
+    tokens = materialise(split.select("_row", "_id", F.size("w").cast("long").alias("n_words"), "w"), "words")  # split once, numbered once
     own = [F.col("_row").alias(row_col)] if row_col else []
-    of_item = materialise(item_windows(items, window, item_id, item_text).withColumn("window", F.xxhash64(F.array_join("w", " "))), "windows")
-    distinct = of_item.groupBy("window").agg(F.min("w").alias("w")).withColumn("n", F.size("w"))
-
-    # the shingles of every window with their places; a window shorter than a shingle is one shingle
-    k = F.least(F.col("n"), F.lit(shingle))
-    parts = distinct.select("window", "n", k.alias("k"), F.posexplode(F.expr(f"transform(sequence(1, n - least(n, {shingle}) + 1), i -> xxhash64(array_join(slice(w, i, least(n, {shingle})), ' ')))")).alias("place", "h"))
-    parts = materialise(parts, "shingles")
-    wanted = materialise(parts.select("k", "h").distinct(), "wanted")
-    lengths = sorted(r["k"] for r in wanted.select("k").distinct().collect())  # at most `shingle` values
-
-    # where they stand in the documents: the one pass over all words
-    tokens = docs.select("_row", words(F.col("_text")).alias("w"))
-    found = None
-    for size in lengths:
-        here = positions(tokens, size).join(small(wanted.where(F.col("k") == size).select("h")), "h").select("_row", "pos", F.lit(size).alias("k"), "h")
-        found = here if found is None else found.unionByName(here)
-    rows = docs.select("_row", "_id", F.size(words(F.col("_text"))).cast("long").alias("n_words"))
-    if found is None:
-        none = F.array().cast("array<string>")
-        return rows.select(F.col("_id").alias(id_col), "n_words", F.lit(0).cast("long").alias("n_hit"), F.lit(0).cast("long").alias("n_items"), none.alias("items"), F.lit(False).alias("contaminated"), *own)
-    found = materialise(found, "found")
-
-    # the necessary shingle of each window: its rarest over the whole corpus
-    rarity = found.groupBy("k", "h").agg(F.count("*").alias("f"))
-    rank = F.row_number().over(Window.partitionBy("window").orderBy("f", "place"))
-    known = parts.join(rarity, ["k", "h"], "left")
-    # a window with a shingle that stands nowhere is nowhere
-    prefix = known.where("f is not null").withColumn("r", rank).where("r = 1").select("window", "n", "k", "h", "place")
-    missing = known.where("f is null").select("window").distinct()
-    prefix = materialise(prefix.join(missing, "window", "left_anti"), "prefix")
-
-    # candidates by the rare shingle, with the place where the window would begin; then all its shingles at their places
-    start = F.col("pos") - F.col("place")
-    candidates = found.join(small(prefix), ["k", "h"]).where(start >= 0).select("_row", start.alias("start"), "window", "n")
-    proof = candidates.join(small(parts.select("window", "k", "place", "h")), "window").select("_row", (F.col("start") + F.col("place")).alias("pos"), "k", "h", "start", "window", "n")
-    proven = proof.join(found, ["_row", "pos", "k", "h"]).groupBy("_row", "start", "window", "n").agg(F.count("*").alias("have"))
-    hits = materialise(proven.where(F.col("have") == F.col("n") - F.least(F.col("n"), F.lit(shingle)) + 1).select("_row", "start", "window", "n"), "hits")
-
-    covered = hits.select("_row", F.explode(F.expr("sequence(start, start + n - 1)")).alias("pos")).distinct().groupBy("_row").agg(F.count("*").alias("n_hit"))
-    named = of_item.where("item_id is not null").select("window", F.col("item_id").cast("string").alias("item_id")).distinct()
-    which = hits.select("_row", "window").distinct().join(small(materialise(named, "named")), "window").select("_row", "item_id").distinct().groupBy("_row").agg(F.count("*").alias("n_items"), F.array_sort(F.collect_list("item_id")).alias("items"))
-    result = materialise(covered.join(which, "_row", "left"), "hit-documents")
-    out = rows.join(small(result), "_row", "left")
+    of_item = materialise(item_windows(items, window, item_id, item_text), "item-windows")
+    windows = materialise(of_item.select("w").distinct().select(F.monotonically_increasing_id().alias("window"), "w"), "windows")
+    prefix = materialise(necessary(windows, tokens, shingle), "prefix")
+
+    # candidates: where the necessary shingle of a window stands, and the window fits around it
+    candidates = None
+    for k in sorted(r["k"] for r in prefix.select("k").distinct().collect()):  # at most `shingle` values
+        stands = tokens.where(F.col("n_words") >= k).select("_row", "n_words", F.posexplode(shingles("w", k)).alias("pos", "h"))
+        start = F.col("pos") - F.col("place")
+        here = stands.join(small(prefix.where(F.col("k") == k).drop("k")), "h").where((start >= 0) & (start + F.col("n") <= F.col("n_words")))
+        here = here.select("_row", start.alias("start"), "window", "n")
+        candidates = here if candidates is None else candidates.unionByName(here)
     n_hit = F.coalesce("n_hit", F.lit(0).cast("long"))
-    return out.select(F.col("_id").alias(id_col), "n_words", n_hit.alias("n_hit"), F.coalesce("n_items", F.lit(0).cast("long")).alias("n_items"), F.coalesce("items", F.array().cast("array<string>")).alias("items"), (n_hit > 0).alias("contaminated"), *own)
+    columns = [F.col("_id").alias(id_col), "n_words", n_hit.alias("n_hit"), F.coalesce("n_items", F.lit(0).cast("long")).alias("n_items"), F.coalesce("items", F.array().cast("array<string>")).alias("items"), (n_hit > 0).alias("contaminated"), *own]
+    if candidates is None:
+        return tokens.withColumns({"n_hit": F.lit(0).cast("long"), "n_items": F.lit(0).cast("long"), "items": F.array().cast("array<string>")}).select(*columns)
+    candidates = materialise(candidates, "candidates")
+
+    # the words that stand there are those of the window
+    there = tokens.select("_row", "w").join(small(candidates), "_row").select("_row", "start", "window", "n", F.slice("w", F.col("start") + 1, F.col("n")).alias("x"))
+    hits = there.join(small(windows), "window").where("x = w").select("_row", "start", "n", "window")
+    hits = materialise(hits, "hits")
+
+    before = F.max(F.col("start") + F.col("n")).over(Window.partitionBy("_row").orderBy("start", "n").rowsBetween(Window.unboundedPreceding, -1))
+    fresh = F.greatest(F.lit(0), F.col("start") + F.col("n") - F.greatest("start", F.coalesce(before, "start")))
+    covered = hits.withColumn("fresh", fresh).groupBy("_row").agg(F.sum("fresh").alias("n_hit"))
+    named = materialise(of_item.where("item_id is not null").join(small(windows), "w").select("window", F.col("item_id").cast("string").alias("item_id")).distinct(), "named")
+    which = hits.select("_row", "window").distinct().join(small(named), "window").select("_row", "item_id").distinct().groupBy("_row").agg(F.count("*").alias("n_items"), F.array_sort(F.collect_list("item_id")).alias("items"))
+    result = materialise(covered.join(which, "_row", "left"), "hit-documents")
+    return tokens.select("_row", "_id", "n_words").join(small(result), "_row", "left").select(*columns)
