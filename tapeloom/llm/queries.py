@@ -8,7 +8,8 @@ from pyspark.sql import functions as F
 from tapeloom.llm import decontamination, neardup, packing, pii, quality, search, sharding, tokens, toxicity, warc
 from tapeloom.llm.common import is_held_out, table
 
-SHARD_BYTES = 4 << 20
+#: Small enough for the test tables to have many shards.
+SHARD_BYTES = 256 << 10
 
 
 def tokenizer_path(name: str = "word_bpe_49k.json") -> str:
@@ -84,17 +85,17 @@ def queries() -> dict:
 
 _OP1 = """
 with v as (
-  select vec_id, list_transform(embedding, lambda x: cast(floor(256 * cast(x as double)) as bigint)) as e
+  select row_number() over () as r, vec_id, list_transform(embedding, lambda x: cast(floor(256 * cast(x as double)) as bigint)) as e
   from embeddings
-  where embedding is not null and len(embedding) > 0
+  where vec_id is not null and embedding is not null
     and len(list_filter(embedding, lambda x: x is null or not isfinite(x))) = 0),
 scored as (
-  select q.vec_id as query_id, c.vec_id,
-         cast(list_sum(list_transform(list_zip(q.e, c.e), lambda p: p[1] * p[2])) as bigint) as score
-  from v q join v c on c.vec_id <> q.vec_id and len(c.e) = len(q.e)
+  select q.r, q.vec_id as query_id, c.vec_id,
+         cast(coalesce(list_sum(list_transform(list_zip(q.e, c.e), lambda p: p[1] * p[2])), 0) as bigint) as score
+  from v q join v c on c.r <> q.r and len(c.e) = len(q.e)
   where q.vec_id % 50 = 0)
 select query_id, cast(rank as integer) as rank, vec_id, score
-from (select *, row_number() over (partition by query_id order by score desc, vec_id) as rank from scored) s
+from (select *, row_number() over (partition by r order by score desc, vec_id) as rank from scored) s
 where rank <= 5
 """
 

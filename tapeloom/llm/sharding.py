@@ -23,7 +23,7 @@ def hash_bits(id_col: str, text: str):
     return F.concat(bits(key.cast("binary"), 2), bits(F.concat(key, F.lit("\n"), F.coalesce(F.col(text), F.lit(""))).cast("binary"), 2))
 
 
-def shard(docs: DataFrame, limit_bytes: int, id_col: str = "doc_id", text: str = "text", max_depth: int = 192) -> DataFrame:
+def shard(docs: DataFrame, limit_bytes: int, id_col: str = "doc_id", text: str = "text", max_depth: int = 192, columns: tuple[str, ...] = ()) -> DataFrame:
     """One row per row of docs: (id, n_bytes, shard (its hash prefix), depth, shard_bytes, shard_docs, fits).
 
     The shard of a row is the shortest prefix of its hash bits whose rows hold at most limit_bytes of UTF-8 together, and
@@ -31,8 +31,7 @@ def shard(docs: DataFrame, limit_bytes: int, id_col: str = "doc_id", text: str =
     text are (they have equal bits to the end; fits is false for them). Null texts have 0 bytes; null ids share a key and
     are parted by their texts. Columns other than id and text are ignored. An empty table gives no rows.
     """
-    spark = docs.sparkSession
-    rows = docs.select(F.col(id_col), F.coalesce(F.octet_length(text), F.lit(0)).cast("long").alias("n_bytes"), hash_bits(id_col, text).alias("bits"))
+    rows = docs.select(F.col(id_col), *columns, F.coalesce(F.octet_length(text), F.lit(0)).cast("long").alias("n_bytes"), hash_bits(id_col, text).alias("bits"))
     rows = materialise(rows, "keys")
     directory = None
     open_rows = rows
@@ -57,4 +56,11 @@ def shard(docs: DataFrame, limit_bytes: int, id_col: str = "doc_id", text: str =
             break
         open_rows = materialise(open_rows.withColumn("cell", F.substring("bits", 1, depth + _STEP)).join(small(left), "cell").drop("cell"), "open")
         depth += _STEP
-    return directory.select(id_col, "n_bytes", "shard", "depth", "shard_bytes", "shard_docs", (F.col("shard_bytes") <= limit_bytes).alias("fits"))
+    return directory.select(id_col, *columns, "n_bytes", "shard", "depth", "shard_bytes", "shard_docs", (F.col("shard_bytes") <= limit_bytes).alias("fits"))
+
+
+def write_shards(docs: DataFrame, path: str, limit_bytes: int, id_col: str = "doc_id", text: str = "text", columns: tuple[str, ...] = ()) -> None:
+    """Write the shards of docs as Parquet, a folder shard=... for each, with id, text and the named columns. A task writes
+    whole shards, each of which holds limit_bytes at most, but for those that can't be split (see `shard`)."""
+    placed = shard(docs, limit_bytes, id_col, text, columns=(text, *columns))
+    placed.select(id_col, text, *columns, "shard").repartition("shard").write.partitionBy("shard").parquet(path)
