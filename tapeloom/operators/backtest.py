@@ -5,7 +5,11 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from tapeloom.functions.lineage import cut
 from tapeloom.functions.scalar import DAY_MS, safe_divide
+from tapeloom.operators.ledger import first_touch
+from tapeloom.operators.risk import with_costs
+from tapeloom.operators.series import asof, on_slices
 
 
 def daily_returns(curve: DataFrame, by: list[str], ts: str = "ts", equity: str = "equity") -> DataFrame:
@@ -92,34 +96,75 @@ def walk_forward_summary(windows: DataFrame) -> DataFrame:
     return gate(one, WALK_FORWARD_GATE)
 
 
-def table_backtest(labelled: DataFrame, cost_bps: float = 7.0, start: float = 10_000.0, risk: float = 0.1) -> tuple[DataFrame, DataFrame]:
-    """(trades, curve) of labelled bars with a direction: enter at the close, leave at t1_bar, net of cost, `risk` of the
-    equity each; P&L is booked at the exit. Days without an exit are not in the curve."""
-    net = F.col("future_return") * F.col("direction") - cost_bps / 10_000.0
-    trades = labelled.select("symbol", "open_time", F.col("exit_time").alias("ts"), net.alias("ret"), (net * start * risk).alias("pnl"))
-    days = trades.groupBy("symbol", F.floor(F.col("ts") / DAY_MS).alias("day")).agg(F.sum("pnl").alias("pnl"), F.max("ts").alias("ts"))
-    w = Window.partitionBy("symbol").orderBy("day").rowsBetween(Window.unboundedPreceding, 0)
-    return trades, days.select("symbol", "ts", (start + F.sum("pnl").over(w)).alias("equity"))
+def next_bar(signals: DataFrame, bars: DataFrame) -> DataFrame:
+    """signals (symbol, created_at, ...) with entry_time and entry_price: the open of the first bar after created_at. Those
+    without such a bar are left out."""
+    ahead = bars.select("symbol", (-F.col("open_time")).alias("_ahead"), F.col("open").alias("entry_price"))
+    d = asof(signals.withColumn("_at", -F.col("created_at") - 1), ahead.withColumn("entry_time", -F.col("_ahead")), "_at", "_ahead", ["entry_time", "entry_price"])
+    return d.where("entry_price is not null").drop("_at")
+
+
+def table_backtest(signals: DataFrame, bars: DataFrame, start: float = 10_000.0, risk: float = 0.1, stop: float = 0.02, target: float = 0.03, market: dict[str, float] | None = None, bar_ms: int = DAY_MS) -> DataFrame:
+    """One trade per signal (id, symbol, direction, created_at) that ends: entered at the open of the next bar with `risk`
+    of the starting equity, left at the first touch of stop or target (fractions of the entry price), net of the fees and
+    slippage of both sides and of funding for the hours held. market: daily_volume, volatility and funding_rate."""
+    entered = next_bar(signals.select("id", "symbol", "direction", "created_at"), bars)
+    sign = F.when(F.col("direction") == "long", 1.0).otherwise(-1.0)
+    price = F.col("entry_price")
+    entered = entered.select("id", "symbol", "direction", "entry_price", (price * (1.0 - sign * stop)).alias("stop_loss"), (price * (1.0 + sign * target)).alias("take_profit"), F.col("entry_time").alias("created_at"))
+    closed = first_touch(entered, bars, bar_ms)
+    market = {"daily_volume": 30e9, "volatility": 0.6, "funding_rate": 0.0003} | (market or {})
+    d = closed.withColumns({k: F.lit(float(v)) for k, v in market.items()} | {"notional": F.lit(start * risk), "hours_held": F.col("duration_minutes") / 60.0, "is_long": F.col("direction") == "long"})
+    d = with_costs(d)
+    gross = F.col("notional") * F.col("pnl_pct") / 100.0
+    return d.select("id", "symbol", "direction", F.col("created_at").alias("entry_time"), "entry_price", "close_price", F.col("closed_at").alias("ts"), "result", gross.alias("gross_pnl"), "total_cost", (gross - F.col("total_cost")).alias("pnl"))
+
+
+def trade_curve(trades: DataFrame, by: list[str], start: float = 10_000.0, first: DataFrame | None = None) -> DataFrame:
+    """Equity (by, ts, equity) after each day's exits. first: (by, ts) of a row with the starting equity, before any exit."""
+    days = trades.groupBy(*by, F.floor((F.col("ts") - 1) / DAY_MS).alias("_day")).agg(F.sum("pnl").alias("_pnl"), F.max("ts").alias("ts"))
+    w = Window.partitionBy(*by).orderBy("_day").rowsBetween(Window.unboundedPreceding, 0)
+    curve = days.select(*by, "ts", (F.lit(start) + F.sum("_pnl").over(w)).alias("equity"))
+    return curve if first is None else curve.unionByName(first.select(*by, "ts", F.lit(start).alias("equity")))
+
+
+def walk_forward_backtest(signals: DataFrame, bars: DataFrame, windows: DataFrame, start: float = 10_000.0, **kw) -> DataFrame:
+    """Metrics of the table back-test of every test window (fold, test_from, test_to), all in one job: trades that are entered
+    and left inside the window, from the starting equity. Windows without a trade are left out."""
+    trades = cut(table_backtest(signals, bars, start, **kw), "trades")
+    inside = trades.join(F.broadcast(windows.select("fold", "test_from", "test_to")), (F.col("entry_time") >= F.col("test_from")) & (F.col("ts") <= F.col("test_to")))  # a few windows
+    first = inside.select("fold", F.col("test_from").alias("ts")).distinct()
+    curve = cut(trade_curve(inside, ["fold"], start, first), "curves")
+    return trade_metrics(inside, ["fold"]).join(equity_metrics(curve, ["fold"]), "fold")
 
 
 def buy_and_hold(bars: DataFrame, start: float = 10_000.0) -> DataFrame:
     """Equity of holding each symbol from its first close on."""
     first = bars.groupBy("symbol").agg(F.min_by("close", "open_time").alias("_c0"))
-    return bars.join(F.broadcast(first), "symbol").select("symbol", F.col("open_time").alias("ts"), (safe_divide("close", "_c0") * start).alias("equity"))
+    return bars.join(first, "symbol").select("symbol", F.col("open_time").alias("ts"), (safe_divide("close", "_c0") * start).alias("equity"))
 
 
 def random_entries(bars: DataFrame, p: float = 0.05, hold: int = 5, seed: int = 7, slice_bars: int = 4096) -> DataFrame:
-    """Bars where a seeded hash says enter (probability p), none within `hold` bars of an earlier entry of its slice, with
-    the return of holding. Entries are thinned slice by slice, so that slices are independent tasks; one that would hold
-    across the end of its slice is not taken."""
-    from tapeloom.operators.series import on_slices
-
+    """Bars where a seeded hash says enter (probability p), none within `hold` bars of an earlier entry of its symbol, with
+    the return of holding. What an entry rules out depends on the entries before it alone, so bars are thinned slice by
+    slice for each of the `hold` distances at which the last entry before a slice may stand, and the slices, a row for each,
+    are put together afterwards."""
     d = on_slices(bars, lambda x, w: x.withColumn("_exit", F.lead("close", hold).over(w)), 0, hold)
     u = F.pmod(F.xxhash64("symbol", "open_time", F.lit(seed)), F.lit(1_000_000)) / 1_000_000.0
-    near = d.where((u < p) & F.col("_exit").isNotNull() & (F.col("bar_idx") % slice_bars < slice_bars - hold))
-    lists = near.groupBy("symbol", F.floor(F.col("bar_idx") / slice_bars).alias("s")).agg(F.array_sort(F.collect_list(F.struct("bar_idx", "open_time", "close", "_exit"))).alias("e"))
-    greedy = F.expr(f"aggregate(e, slice(e, 1, 0), (kept, x) -> if(size(kept) = 0 or x.bar_idx - element_at(kept, -1).bar_idx >= {hold}, concat(kept, array(x)), kept))")
-    out = lists.select("symbol", F.explode(greedy).alias("x"))
+    near = d.where((u < p) & F.col("_exit").isNotNull())
+    s = F.floor(F.col("bar_idx") / slice_bars)
+    lists = near.groupBy("symbol", s.alias("s")).agg(F.array_sort(F.collect_list(F.struct("bar_idx", "open_time", "close", "_exit"))).alias("e"))
+    # free: the first bar of the slice, counted from its start, that no entry before the slice rules out
+    free = lists.select("symbol", "s", "e", F.explode(F.sequence(F.lit(0), F.lit(hold - 1))).alias("free"))
+    greedy = F.expr(f"aggregate(e, slice(e, 1, 0), (kept, x) -> if(x.bar_idx - s * {slice_bars} >= free and (size(kept) = 0 or x.bar_idx - element_at(kept, -1).bar_idx >= {hold}), concat(kept, array(x)), kept))")
+    thinned = cut(free.select("symbol", "s", "free", greedy.alias("k")), "thinned")
+    last = F.get("k", F.size("k") - 1)["bar_idx"]
+    left = F.when(F.size("k") > 0, F.greatest(last + hold - (F.col("s") + 1) * slice_bars, F.lit(0))).otherwise(F.lit(0))
+    steps = thinned.groupBy("symbol", "s").agg(F.transform(F.array_sort(F.collect_list(F.struct("free", left.cast("int").alias("left")))), lambda x: x["left"]).alias("next"))
+    runs = steps.groupBy("symbol").agg(F.array_sort(F.collect_list(F.struct("s", "next"))).alias("r"))
+    chain = F.expr("aggregate(r, named_struct('at', cast(-2 as bigint), 'f', 0, 'o', array(named_struct('s', cast(-1 as bigint), 'free', 0))), (a, x) -> named_struct('at', x.s, 'f', element_at(x.next, if(x.s = a.at + 1, a.f, 0) + 1), 'o', concat(a.o, array(named_struct('s', x.s, 'free', if(x.s = a.at + 1, a.f, 0))))), a -> a.o)")
+    chosen = runs.select("symbol", F.explode(chain).alias("c")).select("symbol", "c.s", "c.free")
+    out = thinned.join(chosen, ["symbol", "s", "free"]).select("symbol", F.explode("k").alias("x"))
     return out.select("symbol", F.col("x.bar_idx").alias("bar_idx"), F.col("x.open_time").alias("open_time"), safe_divide(F.col("x._exit") - F.col("x.close"), F.col("x.close")).alias("ret"))
 
 

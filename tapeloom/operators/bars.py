@@ -43,7 +43,7 @@ def resample(bars: DataFrame, interval: str) -> DataFrame:
 def intrabar(children: DataFrame, interval: str = "4h", breakout: int = 4, least: int = 5) -> DataFrame:
     """Per coarse bar, of its child bars: cvd_sum, cvd_slope (least-squares slope of the running cvd over its index,
     against its largest absolute value or 1), realised volatility (root of summed squared log returns) and the share of
-    children that close beyond the extremes of the `breakout` before them (0 with fewer than `least` children)."""
+    children whose high or low goes beyond the extremes of the `breakout` before them (0 with fewer than `least` children)."""
     parent = bucket("open_time", interval)
     w = Window.partitionBy("symbol", "parent").orderBy("open_time")
     d = children.select("symbol", "open_time", "high", "low", "close", parent.alias("parent"), (2 * F.col("taker_buy_volume") - F.col("volume")).alias("cvd"))
@@ -53,7 +53,7 @@ def intrabar(children: DataFrame, interval: str = "4h", breakout: int = 4, least
         F.sum("cvd").over(w.rowsBetween(Window.unboundedPreceding, 0)).alias("run"),
         (F.row_number().over(w) - 1).cast("double").alias("i"),
         F.ln(F.col("close") / F.lag("close").over(w)).alias("r"),
-        F.when(F.count("*").over(prior) == breakout, (F.col("close") > F.max("high").over(prior)) | (F.col("close") < F.min("low").over(prior))).alias("out"),
+        F.when(F.count("*").over(prior) == breakout, (F.col("high") > F.max("high").over(prior)) | (F.col("low") < F.min("low").over(prior))).alias("out"),
     )
     n = F.count("*")
     slope = F.when(n >= 2, F.regr_slope("run", "i"))

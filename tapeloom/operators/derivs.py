@@ -2,11 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from tapeloom.functions.scalar import flag, safe_divide, zero
-from tapeloom.operators.series import SLICE, asof, correlation, full, on_slices, rolling, zscore
+from tapeloom.functions.scalar import clip, flag, safe_divide, zero
+from tapeloom.operators.series import SLICE, asof, full, on_slices, rolling, zscore
 
 
 def bars_for(minutes: int, bar_minutes: int) -> int:
@@ -88,27 +88,47 @@ def oi_derived(bars: DataFrame) -> DataFrame:
 
 
 def oi_velocity(bars: DataFrame, n: int = 24) -> DataFrame:
-    """Velocity and acceleration of open interest, its correlation with the price over n bars, a flag for exhaustion
-    (open interest rises while the price stalls: correlation below -0.3) and a z-score of the velocity."""
+    """Of the last n bars (fewer at the start, from the third on; zeros before): relative change of open interest (0 where
+    it was not positive), the change of that, its correlation with the returns of the price, its z-score against the bars
+    before, and exhaustion: 60 % of the bars before, and two at least, rose, but this one falls (from the fifth bar on)."""
+
+    def change(c, w):
+        before = F.lag(c).over(w)
+        return F.when(before > 0, (F.col(c) - before) / before).when(before.isNotNull(), 0.0)
 
     def step(d, w):
-        before = F.lag("oi_value").over(w)
-        d = d.withColumn("oi_velocity", safe_divide(F.col("oi_value") - before, before))
-        d = d.select("*", zero(F.col("oi_velocity") - F.lag("oi_velocity").over(w)).alias("oi_acceleration"), correlation("close", "oi_value", w, n).alias("oi_price_corr"), zscore("oi_velocity", w, n).alias("oi_velocity_zscore"))
-        return d.withColumn("oi_exhaustion", flag((F.col("oi_velocity") > 0) & (F.col("oi_price_corr") < -0.3)))
+        d = d.select("*", change("oi_value", w).alias("_v"), change("close", w).alias("_r"))
+        here, prior = w.rowsBetween(-(n - 2), 0), w.rowsBetween(-(n - 2), -1)
+        started, v = F.col("bar_idx") >= 2, F.col("_v")
+        deviation = F.stddev_pop("_v").over(prior)
+        k = F.count("_v").over(prior)
+        tired = (F.col("bar_idx") >= 4) & (F.count(F.when(v > 0, 1)).over(prior) >= F.greatest(F.lit(2), F.floor(k * 0.6))) & (v < 0)
+        together = safe_divide(F.covar_pop("_r", "_v").over(here), F.stddev_pop("_r").over(here) * F.stddev_pop("_v").over(here))
+        return d.select(
+            "*",
+            F.when(started, v).otherwise(0.0).alias("oi_velocity"),
+            F.when(started, v - F.lag("_v").over(w)).otherwise(0.0).alias("oi_acceleration"),
+            F.when(started, clip(together, -1.0, 1.0)).otherwise(0.0).alias("oi_price_divergence"),
+            flag(tired).alias("oi_exhaustion"),
+            F.when(started & (deviation > 0), (v - F.avg("_v").over(prior)) / deviation).otherwise(0.0).alias("oi_velocity_zscore"),
+        ).drop("_v", "_r")
 
-    return on_slices(bars, step, n + 2)
+    return on_slices(bars, step, n + 1)
 
 
-def annualised_basis(perp: DataFrame, spot: DataFrame, n: int = 180, per_year: float = 1095.0) -> DataFrame:
-    """Perpetual against spot price as of each bar, times `per_year` settlement periods; z-score against the last n bars,
-    and -1, 0 or 1 where that is beyond 2."""
+def annualised_basis(perp: DataFrame, spot: DataFrame, n: int = 90, interval_hours: int = 8) -> DataFrame:
+    """Perpetual against spot price as of each bar in basis points, with the z-score against the n bars before; the funding
+    rate as percent a year, and -1 where that is over 30, 1 where it is under -10, else 0. All 0 without two prices."""
     d = asof(perp, spot.select("symbol", F.col("open_time").alias("spot_time"), F.col("close").alias("spot")), "open_time", "spot_time", ["spot"])
+    known = F.coalesce((F.col("spot") > 0) & (F.col("close") > 0), F.lit(False))
 
     def step(x, w):
-        x = x.withColumn("basis_annualized", safe_divide(F.col("close") - F.col("spot"), F.col("spot")) * per_year)
-        x = x.withColumn("basis_zscore", zscore("basis_annualized", w, n))
-        return x.withColumn("basis_extreme_sign", F.when(F.col("basis_zscore") > 2, 1).when(F.col("basis_zscore") < -2, -1).otherwise(0))
+        x = x.withColumn("_b", F.when(known, (F.col("close") - F.col("spot")) / F.col("spot") * 10_000.0))
+        yearly = F.when(known, zero("funding_rate") * (24.0 / interval_hours) * 365.0 * 100.0).otherwise(0.0)
+        prior = w.rowsBetween(-n, -1)
+        deviation = F.stddev_pop("_b").over(prior)
+        z = F.when(known & (deviation > 0), (F.col("_b") - F.avg("_b").over(prior)) / deviation).otherwise(0.0)
+        return x.select("*", F.coalesce("_b", F.lit(0.0)).alias("basis_bps"), yearly.alias("basis_annualized"), z.alias("basis_zscore_30d"), F.when(yearly > 30.0, -1).when(yearly < -10.0, 1).otherwise(0).alias("basis_extreme_sign")).drop("_b")
 
     return on_slices(d, step, n)
 
@@ -122,12 +142,46 @@ def settlements(marks: DataFrame) -> DataFrame:
     return rows.groupBy("symbol", when.alias("settled_at")).agg(F.max_by("rate", F.struct("ts", "rate")).alias("rate"), F.count("*").alias("ticks"))
 
 
-def sentiment(rows: DataFrame, weights: dict[str, float] | None = None) -> DataFrame:
-    """A weighted mean of whichever scores a row has, each held between -1 and 1; 0 if it has none."""
-    weights = weights or {"funding_score": 0.3, "oi_score": 0.3, "flow_score": 0.4}
-    held = {c: F.when(F.col(c) > 1, 1.0).when(F.col(c) < -1, -1.0).otherwise(F.col(c)) for c in weights}
-    top = sum((F.coalesce(held[c] * w, F.lit(0.0)) for c, w in weights.items()), F.lit(0.0))
-    bottom = sum((F.when(F.col(c).isNotNull(), F.lit(w)).otherwise(0.0) for c, w in weights.items()), F.lit(0.0))
-    return rows.withColumn("sentiment", safe_divide(top, bottom))
-
-
+def sentiment(rows: DataFrame, fear_greed="fear_greed", ratio="long_short_ratio", top_ratio="top_trader_ls_ratio") -> DataFrame:
+    """The fear and greed index (50 if unknown) from 0 to 1, its extremes (1 under 20, -1 over 80), how far top traders lean
+    from the rest (log ratio over 1.5, held within 1; unknown ratios are 1), and the score of all three, held within 1."""
+    index = clip(F.coalesce(F.nanvl(F.col(fear_greed).cast("double"), F.lit(None)), F.lit(50.0)), 0.0, 100.0)
+    known = lambda c: F.coalesce(F.nanvl(F.col(c).cast("double"), F.lit(None)), F.lit(1.0))
+    lean = F.when((known(ratio) > 0) & (known(top_ratio) > 0), clip(F.ln(known(top_ratio) / known(ratio)) / 1.5, -1.0, 1.0)).otherwise(0.0)
+    extreme = F.when(index < 20, 1).when(index > 80, -1).otherwise(0)
+    score = 0.6 * (index / 100.0 - 0.5) * 2.0 + 0.4 * lean + 0.2 * extreme
+    return rows.select("*", (index / 100.0).alias("fear_greed_norm"), extreme.alias("fear_greed_extreme"), lean.alias("ls_divergence"), clip(score, -1.0, 1.0).alias("sentiment_score"))
+
+
+def liquidation_proximity(rows: DataFrame, liquidations: DataFrame, lookback_hours: int = 24) -> DataFrame:
+    """rows (symbol, open_time, close, and atr if there is one) with what the forced orders (symbol, time, price, qty, side) of
+    the hours up to each say: the distance in percent (10 at most, 0 without) to the nearest of the three largest clusters of
+    SELL orders above the price and of BUY orders below it, the imbalance of their notionals, and the share and the notional of
+    the last hour before the newest order. Clusters are bins of a tenth of the atr (of half a percent of the price where it is
+    unknown); equal ones rank by price. Orders without a positive price and quantity don't count. All 0 without orders."""
+    hour, day = 3_600_000, 86_400_000
+    price, atr = F.col("close"), F.col("atr") if "atr" in rows.columns else F.lit(None).cast("double")
+    size = F.coalesce(F.nanvl(atr, F.lit(None)), price * 0.005) * 0.1
+    asked = rows.where(price > 0).select("symbol", "open_time", price.alias("_p"), F.when(size > 0, size).otherwise(price * 0.0005).alias("_bin"))
+    days = F.sequence(F.floor((F.col("open_time") - lookback_hours * hour) / day), F.floor(F.col("open_time") / day))
+    orders = liquidations.where("price > 0 and qty > 0").select("symbol", F.col("time").alias("_t"), "price", (F.col("price") * F.col("qty")).alias("_n"), F.upper("side").alias("_side"), F.floor(F.col("time") / day).alias("_day"))
+    near = asked.withColumn("_day", F.explode(days)).join(orders, ["symbol", "_day"]).where((F.col("_t") <= F.col("open_time")) & (F.col("_t") > F.col("open_time") - lookback_hours * hour))
+    key = ["symbol", "open_time"]
+    newest = near.groupBy(*key).agg(F.max("_t").alias("_now"))
+    near = near.join(newest, key)
+    recent = F.when(F.col("_t") >= F.col("_now") - hour, F.col("_n")).otherwise(0.0)
+    bins = near.groupBy(*key, "_p", "_bin", "_side", F.floor(F.col("price") / F.col("_bin")).alias("_b")).agg(F.sum("_n").alias("_n"), F.sum(recent).alias("_h"))
+    rank = F.row_number().over(Window.partitionBy(*key, "_side").orderBy(F.desc("_n"), "_b"))
+    middle = (F.col("_b") + 0.5) * F.col("_bin")
+    ranked = bins.withColumn("_k", rank).withColumn("_d", (middle - F.col("_p")) / F.col("_p") * 100.0)
+    of = lambda side: F.coalesce(F.sum(F.when(F.col("_side") == side, F.col("_n"))), F.lit(0.0))
+    nearest = lambda side, d: F.least(F.coalesce(F.min(F.when((F.col("_side") == side) & (F.col("_k") <= 3) & (d > 0), d)), F.lit(0.0)), F.lit(10.0))
+    total, last = of("SELL") + of("BUY"), F.coalesce(F.sum("_h"), F.lit(0.0))
+    found = ranked.groupBy(*key).agg(
+        nearest("SELL", F.col("_d")).alias("liq_cluster_long_pct"),
+        nearest("BUY", -F.col("_d")).alias("liq_cluster_short_pct"),
+        safe_divide(of("SELL") - of("BUY"), total).alias("liq_imbalance"),
+        clip(safe_divide(last, total), 0.0, 1.0).alias("liq_cascade_risk"),
+        last.alias("liq_volume_1h"),
+    )
+    return rows.join(found, key, "left").fillna(0.0, [c for c in found.columns if c.startswith("liq_")])

@@ -5,9 +5,12 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from tapeloom.functions.lineage import cut
 from tapeloom.functions.scalar import DAY_MS, at, safe_divide
 
 CLOSED = ("win", "loss", "breakeven")
+#: Days whose extremes stand together, for the search of first touches.
+BLOCK_DAYS = 32
 
 
 def with_timeframe(signals: DataFrame) -> DataFrame:
@@ -30,100 +33,129 @@ def page(rows: DataFrame, newest: str = "created_at", limit: int = 20, offset: i
     return rows.orderBy(F.desc(newest), F.desc("id")).offset(offset).limit(limit)
 
 
-def first_touch(signals: DataFrame, bars: DataFrame, stages: tuple[int, ...] = (7, 60), bar_ms: int = DAY_MS, skip_recent: int = 0, now_ms: int | None = None) -> DataFrame:
+def first_touch(signals: DataFrame, bars: DataFrame, bar_ms: int = DAY_MS, skip_recent: int = 0, now_ms: int | None = None) -> DataFrame:
     """Close open signals (id, symbol, direction, entry_price, stop_loss, take_profit, created_at) at the first bar from
     created_at on that touches stop or target, the stop first within a bar; with P&L, adverse and favourable excursion up
     to that bar, ratio of reward to risk and duration. Signals that nothing touches are left out, and so are those
     younger than skip_recent bars.
 
-    Bars are looked up day by day: first the days right after the signal, then, for those still open, more of them, and
-    at last all the rest; only unresolved signals go into the next stage.
+    Bars stand in a row per symbol and day, days in a row per symbol and block of BLOCK_DAYS, blocks in a row per symbol,
+    each with its extremes. A signal meets five such rows at most: its own day, the rest of its own block, the later blocks,
+    the days of the first of them that touches, and the bars of the first day that does. No join multiplies rows.
     """
     if now_ms is not None and skip_recent:
         signals = signals.where(F.col("created_at") <= now_ms - skip_recent * bar_ms)
-    b = bars.select("symbol", F.col("open_time").alias("_t"), "high", "low", F.floor(F.col("open_time") / DAY_MS).alias("_day"))
+    extremes = F.max("high").alias("high"), F.min("low").alias("low")
+    listed = lambda t, name: F.array_sort(F.collect_list(F.struct(F.col(t).alias("t"), "high", "low"))).alias(name)
+    day = F.floor(F.col("open_time") / DAY_MS)
+    days = cut(bars.groupBy("symbol", day.alias("day")).agg(*extremes, listed("open_time", "bars")), "days")
+    blocks = cut(days.groupBy("symbol", F.floor(F.col("day") / BLOCK_DAYS).alias("block")).agg(*extremes, listed("day", "days")), "blocks")
+    symbols = blocks.groupBy("symbol").agg(listed("block", "blocks"))
+
     long = F.col("direction") == "long"
-    adverse = F.when(long, F.col("low") - F.col("entry_price")).otherwise(F.col("entry_price") - F.col("high"))
-    favour = F.when(long, F.col("high") - F.col("entry_price")).otherwise(F.col("entry_price") - F.col("low"))
-    stop = F.when(long, F.col("low") <= F.col("stop_loss")).otherwise(F.col("high") >= F.col("stop_loss"))
-    target = F.when(long, F.col("high") >= F.col("take_profit")).otherwise(F.col("low") <= F.col("take_profit"))
-
-    def touches(open_: DataFrame, days: int | None) -> DataFrame:
-        day0 = F.floor(F.col("created_at") / DAY_MS)
-        if days is None:
-            near = open_.join(b, "symbol")
-        else:
-            near = open_.withColumn("_day", F.explode(F.sequence(day0, day0 + days))).join(b, ["symbol", "_day"]).drop("_day")
-        near = near.where(F.col("_t") >= F.col("created_at"))
-        hit = F.min(F.when(stop | target, F.struct("_t", F.when(stop, 0).otherwise(1).alias("won"))))
-        found = near.groupBy("id").agg(hit.alias("_hit")).where("_hit is not null")
-        path = near.join(found, "id").where(F.col("_t") <= F.col("_hit._t"))
-        return path.groupBy("id").agg(F.first("_hit").alias("_hit"), F.min(adverse).alias("_mae"), F.max(favour).alias("_mfe"))
-
-    done, left = None, signals
-    for days in (*stages, None):
-        got = touches(left, days)
-        done = got if done is None else done.unionByName(got)
-        left = left.join(got.select("id"), "id", "left_anti")
-    d = signals.join(done, "id")
-    won = F.col("_hit.won") == 1
+    stop = lambda x: F.when(long, x["low"] <= F.col("stop_loss")).otherwise(x["high"] >= F.col("stop_loss"))
+    touch = lambda x: stop(x) | F.when(long, x["high"] >= F.col("take_profit")).otherwise(x["low"] <= F.col("take_profit"))
+
+    def look(d: DataFrame, rows: str, after, name: str, whole: bool = False) -> DataFrame:
+        """The first of rows from `after` on that touches, as name, and the extremes of those before it (or with it)."""
+        d = d.withColumn("_seen", F.filter(rows, after))
+        d = d.withColumn(name, F.get(F.filter("_seen", touch), F.lit(0)))
+        until = F.filter("_seen", lambda x: F.col(name).isNull() | ((x["t"] <= F.col(f"{name}.t")) if whole else (x["t"] < F.col(f"{name}.t"))))
+        high, low = F.array_max(F.transform(until, lambda x: x["high"])), F.array_min(F.transform(until, lambda x: x["low"]))
+        return d.withColumn("_high", F.greatest("_high", high)).withColumn("_low", F.least("_low", low)).drop("_seen", rows)
+
+    own = F.floor(F.col("created_at") / DAY_MS)
+    nothing = F.lit(None).cast("double")
+    d = signals.withColumns({"_high": nothing, "_low": nothing, "day": own, "block": F.floor(own / BLOCK_DAYS)})
+    d = d.join(days.select("symbol", "day", "bars"), ["symbol", "day"], "left")
+    d = look(d, "bars", lambda x: x["t"] >= F.col("created_at"), "_hit1", whole=True)
+    d = d.join(blocks.select("symbol", "block", "days"), ["symbol", "block"], "left")
+    d = d.withColumn("days", F.when(F.col("_hit1").isNull(), F.col("days")))
+    d = look(d, "days", lambda x: x["t"] > F.col("day"), "_day2")
+    d = d.join(symbols, "symbol", "left")
+    d = d.withColumn("blocks", F.when(F.col("_hit1").isNull() & F.col("_day2").isNull(), F.col("blocks")))
+    d = look(d, "blocks", lambda x: x["t"] > F.col("block"), "_block3").withColumn("block", F.col("_block3.t"))
+    d = d.join(blocks.select("symbol", "block", "days"), ["symbol", "block"], "left")
+    d = look(d, "days", lambda x: F.lit(True), "_day4").withColumn("day", F.coalesce("_day2.t", "_day4.t"))
+    d = d.join(days.select("symbol", "day", "bars"), ["symbol", "day"], "left")
+    d = look(d, "bars", lambda x: F.lit(True), "_hit5", whole=True).withColumn("_hit", F.coalesce("_hit1", "_hit5")).where("_hit is not null")
+
+    won = ~stop(F.col("_hit"))
     price = F.when(won, F.col("take_profit")).otherwise(F.col("stop_loss"))
-    move = F.when(F.col("direction") == "long", price - F.col("entry_price")).otherwise(F.col("entry_price") - price)
-    pct = lambda x: safe_divide(x * 100.0, F.col("entry_price"))
+    entry = F.col("entry_price")
+    move = F.when(long, price - entry).otherwise(entry - price)
+    adverse = F.when(long, F.col("_low") - entry).otherwise(entry - F.col("_high"))
+    favour = F.when(long, F.col("_high") - entry).otherwise(entry - F.col("_low"))
+    pct = lambda x: safe_divide(x * 100.0, entry)
     return d.select(
         *signals.columns,
         F.when(won, "win").otherwise("loss").alias("result"),
         price.alias("close_price"),
-        (F.col("_hit._t") + bar_ms).alias("closed_at"),
+        (F.col("_hit.t") + bar_ms).alias("closed_at"),
         pct(move).alias("pnl_pct"),
-        pct(F.least("_mae", F.lit(0.0))).alias("mae_pct"),
-        pct(F.greatest("_mfe", F.lit(0.0))).alias("mfe_pct"),
-        safe_divide(F.abs(F.col("take_profit") - F.col("entry_price")), F.abs(F.col("entry_price") - F.col("stop_loss"))).alias("rr_ratio"),
-        F.floor((F.col("_hit._t") + bar_ms - F.col("created_at")) / 60000).alias("duration_minutes"),
+        pct(F.least(adverse, F.lit(0.0))).alias("mae_pct"),
+        pct(F.greatest(favour, F.lit(0.0))).alias("mfe_pct"),
+        safe_divide(F.abs(F.col("take_profit") - entry), F.abs(entry - F.col("stop_loss"))).alias("rr_ratio"),
+        F.floor((F.col("_hit.t") + bar_ms - F.col("created_at")) / 60000).alias("duration_minutes"),
     )
 
 
 def daily_equity(closed: DataFrame, by: list[str] | None = None, start: float = 100.0) -> DataFrame:
-    """Summed P&L in percent per day of closing, the equity that compounds it, its running peak and drawdown in percent.
-    A day that loses everything leaves equity 0 from then on."""
+    """Per day of closing: trades, summed P&L in percent (a missing one is 0), the equity that compounds it, and how far, in
+    percent (0 or less), that is from its running peak. Rows that never closed are left out."""
     by = by or []
-    days = closed.where(F.col("result").isin(*CLOSED)).groupBy(*by, F.to_date(at("closed_at")).alias("date")).agg(F.sum("pnl_pct").alias("pnl_pct"), F.count("*").alias("trades"))
+    pnl = F.coalesce("pnl_pct", F.lit(0.0))
+    days = closed.where(F.col("result").isin(*CLOSED) & F.col("closed_at").isNotNull()).groupBy(*by, F.to_date(at("closed_at")).alias("date")).agg(F.sum(pnl).alias("pnl_pct"), F.count("*").alias("trades"))
     w = Window.partitionBy(*by).orderBy("date").rowsBetween(Window.unboundedPreceding, 0)
-    growth = 1.0 + F.col("pnl_pct") / 100.0
-    ruined = F.max((growth <= 0).cast("int")).over(w)
-    equity = F.when(ruined == 1, 0.0).otherwise(start * F.exp(F.sum(F.when(growth > 0, F.ln(growth))).over(w)))
-    d = days.withColumn("equity", equity)
+    d = days.withColumn("equity", F.lit(start) * F.product(1.0 + F.col("pnl_pct") / 100.0).over(w))
     peak = F.greatest(F.max("equity").over(w), F.lit(start))
-    return d.select(*by, "date", "trades", "pnl_pct", "equity", (safe_divide(peak - F.col("equity"), peak) * 100.0).alias("drawdown_pct"))
+    return d.select(*by, "date", "trades", "pnl_pct", "equity", ((F.col("equity") - peak) / peak * 100.0).alias("drawdown_pct"))
 
 
 def _stats():
-    won, lost = F.col("pnl_pct") > 0, F.col("pnl_pct") < 0
+    """Closed, won and lost rows, and what was gained and lost by them."""
     n = F.count_if(F.col("result").isin(*CLOSED))
-    win, loss = F.count_if(F.col("result") == "win"), F.count_if(F.col("result") == "loss")
-    gain, cost = F.coalesce(F.sum(F.when(won, F.col("pnl_pct"))), F.lit(0.0)), F.coalesce(-F.sum(F.when(lost, F.col("pnl_pct"))), F.lit(0.0))
-    return n, win, loss, gain, cost
+    of = lambda kind: F.coalesce(F.sum(F.when(F.col("result") == kind, F.col("pnl_pct"))), F.lit(0.0))
+    return n, F.count_if(F.col("result") == "win"), F.count_if(F.col("result") == "loss"), of("win"), -of("loss")
+
+
+def _profit_factor(gain, cost):
+    """Gain over loss; without losses unknown, or 0 if there is no gain either."""
+    return F.when(cost != 0, gain / F.abs(cost)).when(gain > 0, F.lit(None)).otherwise(F.lit(0.0))
 
 
-def performance(signals: DataFrame, as_of_ms: int, days: int | None = None, by: list[str] | None = None) -> DataFrame:
-    """Counts, win rate, profit factor (null without losses), expected value, totals, mean ratio, hours and confidence, and
-    from the daily P&L the worst drawdown and, from ten closed signals on, Sharpe, Sortino and Calmar ratios (365 days)."""
+#: Closed signals from which on ratios are given.
+MIN_RATIO_SAMPLE = 10
+
+
+def performance(signals: DataFrame, as_of_ms: int, days: int | None = None, by: list[str] | None = None, start: float = 100.0) -> DataFrame:
+    """Of the signals created up to as_of_ms (of the last `days`): counts, wins among the decided, profit factor (null
+    without losses, 0 without gains too), mean P&L, mean ratio, hours and confidence. From the P&L summed per day of closing:
+    the total that it compounds to, the worst drawdown (0 or less), and, from ten closed signals on, the Sharpe ratio
+    (365 days; 0 for fewer than two days or no deviation), the Sortino ratio (by the sample deviation of losing days; the
+    Sharpe ratio if there is none) and the Calmar ratio (0 without a drawdown)."""
     by = by or []
     d = with_timeframe(signals).where(F.col("created_at") <= as_of_ms)
     if days:
         d = d.where(F.col("created_at") >= as_of_ms - days * DAY_MS)
     n, win, loss, gain, cost = _stats()
+    closed = F.col("result").isin(*CLOSED)
+    mean = lambda c: F.coalesce(F.avg(c), F.lit(0.0))
     base = d.groupBy(*by).agg(
         F.count("*").alias("total"), n.alias("closed"), win.alias("wins"), loss.alias("losses"), F.count_if(F.col("result") == "rejected").alias("rejected"), F.count_if(F.col("result") == "open").alias("open"),
-        safe_divide(win, n).alias("win_rate"), F.when(cost > 0, gain / cost).alias("profit_factor"), safe_divide(gain - cost, n).alias("expected_value"), (gain - cost).alias("total_pnl"),
-        F.avg(F.when(F.col("result").isin(*CLOSED), F.col("rr_ratio"))).alias("avg_rr"), (F.avg(F.when(F.col("result").isin(*CLOSED), F.col("duration_minutes"))) / 60.0).alias("avg_hours"), F.avg("confidence").alias("avg_confidence"), F.min("created_at").alias("live_since"),
+        safe_divide(win, win + loss).alias("win_rate"), _profit_factor(gain, cost).alias("profit_factor"), mean(F.when(closed, F.coalesce("pnl_pct", F.lit(0.0)))).alias("expected_value"),
+        mean(F.when(closed, F.col("rr_ratio"))).alias("avg_rr"), (mean(F.when(closed, F.col("duration_minutes"))) / 60.0).alias("avg_hours"), mean("confidence").alias("avg_confidence"), F.min("created_at").alias("live_since"),
+        F.greatest(F.lit(1), F.floor((F.lit(as_of_ms) - F.floor(F.min("created_at") / DAY_MS) * DAY_MS) / DAY_MS)).alias("days_tracked"),
     )
-    daily = daily_equity(d, by)
-    r = F.col("pnl_pct")
-    risk = daily.groupBy(*by).agg(F.max("drawdown_pct").alias("max_drawdown"), (safe_divide(F.avg(r), F.stddev_samp(r)) * 365.0**0.5).alias("_s"), (safe_divide(F.avg(r), F.sqrt(F.avg(F.when(r < 0, r * r).otherwise(0.0)))) * 365.0**0.5).alias("_t"), F.sum(r).alias("_p"), F.count("*").alias("_d"))
+    daily = daily_equity(d, by, start).withColumn("r", F.col("pnl_pct") / 100.0)
+    down = F.when(F.col("r") < 0, F.col("r"))
+    risk = daily.groupBy(*by).agg(F.min("drawdown_pct").alias("max_drawdown"), F.max_by("equity", "date").alias("_e"), F.avg("r").alias("_m"), F.stddev_samp("r").alias("_s"), F.stddev_samp(down).alias("_t"))
     both = base.join(risk, by, "left") if by else base.crossJoin(risk)  # one row each
-    enough = F.col("closed") >= 10
-    return both.select(*base.columns, F.coalesce("max_drawdown", F.lit(0.0)).alias("max_drawdown"), F.when(enough, F.col("_s")).alias("sharpe"), F.when(enough, F.col("_t")).alias("sortino"), F.when(enough & (F.col("max_drawdown") > 0), F.col("_p") / F.col("_d") * 365.0 / F.col("max_drawdown")).alias("calmar"))
+    year, enough = F.lit(365.0), F.col("closed") >= MIN_RATIO_SAMPLE
+    sharpe = F.when(F.col("_s") > 0, F.col("_m") / F.col("_s") * F.sqrt(year)).otherwise(0.0)
+    sortino = F.when(F.col("_t") > 0, F.col("_m") / F.col("_t") * F.sqrt(year)).otherwise(sharpe)
+    calmar = F.when(F.col("max_drawdown") != 0, F.col("_m") * year * 100.0 / F.abs("max_drawdown")).otherwise(0.0)
+    return both.select(*base.columns, F.coalesce((F.col("_e") / start - 1.0) * 100.0, F.lit(0.0)).alias("total_pnl_pct"), F.coalesce("max_drawdown", F.lit(0.0)).alias("max_drawdown"), *(F.when(enough, x).alias(name) for name, x in (("sharpe", sharpe), ("sortino", sortino), ("calmar", calmar))))
 
 
 def cube(signals: DataFrame, as_of_ms: int, timeframes=("all", "4h", "15m", "1h"), periods=(7, 30, 90)) -> DataFrame:
@@ -137,9 +169,10 @@ def cube(signals: DataFrame, as_of_ms: int, timeframes=("all", "4h", "15m", "1h"
 
 
 def monthly(closed: DataFrame) -> DataFrame:
+    """Per month of closing: trades, wins, losses, summed P&L, and wins among the decided (0 if none is)."""
     d = closed.where(F.col("result").isin(*CLOSED))
     n, win, loss, gain, cost = _stats()
-    return d.groupBy(F.date_format(at("closed_at"), "yyyy-MM").alias("month")).agg(F.count("*").alias("trades"), win.alias("wins"), loss.alias("losses"), F.sum("pnl_pct").alias("pnl_pct"), safe_divide(win, n).alias("win_rate"))
+    return d.groupBy(F.date_format(at("closed_at"), "yyyy-MM").alias("month")).agg(F.count("*").alias("trades"), win.alias("wins"), loss.alias("losses"), F.sum(F.coalesce("pnl_pct", F.lit(0.0))).alias("pnl_pct"), safe_divide(win, win + loss).alias("win_rate"))
 
 
 def daily_stats(signals: DataFrame) -> DataFrame:

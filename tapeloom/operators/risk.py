@@ -45,7 +45,7 @@ def cost_table(rows: DataFrame, sizes: list[float], **kw) -> DataFrame:
     return with_costs(rows.crossJoin(F.broadcast(cells)), is_maker="is_maker", **kw)  # a few cells
 
 
-def sized(rows: DataFrame, equity="equity", risk: float = 0.01, stop_atrs: float = 1.5, max_leverage: float = 3.0, reward: float = 1.5) -> DataFrame:
+def sized(rows: DataFrame, equity="equity", risk: float = 0.01, stop_atrs: float = 1.5, max_leverage: float = 10.0, reward: float = 1.5) -> DataFrame:
     """Position by the true range: contracts, notional and leverage (held at the largest), stop and target prices."""
     stop = F.col("atr") * stop_atrs
     eq, entry = col(equity), F.col("entry_price")
@@ -62,16 +62,17 @@ class Limits:
     weekly: float = -0.08
     daily: float = -0.03
     losses: int = 5
-    pause_hours: float = 24.0
+    pause_hours: float = 4.0
     positions: int = 3
     confidence: float = 0.55
     funding: float = 0.001
     atr_pct: float = 0.02
-    min_return_bps: float = 20.0
+    min_return_bps: float = 15.0
 
 
 def gated(rows: DataFrame, limits: Limits = Limits()) -> DataFrame:
-    """reason (null if none) and approved: the first of nine filters that fails, in order. An unknown funding rate blocks;
+    """reason (null if none) and approved: the first of the filters that fails, in order; without a
+    notional no return covers the costs. An unknown funding rate blocks;
     after a streak of losses a signal is blocked until the pause since the last loss is over, and for good if its time is
     unknown."""
     c = F.col
@@ -85,6 +86,7 @@ def gated(rows: DataFrame, limits: Limits = Limits()) -> DataFrame:
         ("confidence", c("confidence") < limits.confidence),
         ("funding_rate", c("funding_rate").isNull() | (F.abs("funding_rate") > limits.funding)),
         ("volatility", c("atr_pct") > limits.atr_pct),
+        ("zero_notional", F.coalesce(c("notional") <= 0, F.lit(True))),
         ("expected_return", c("atr_pct") * 10_000.0 < F.greatest(F.lit(limits.min_return_bps), F.coalesce(c("total_cost_bps") * 3.0, F.lit(0.0)))),
     ]
     reason = F.coalesce(*(F.when(test, name) for name, test in checks))

@@ -179,20 +179,19 @@ OI_SQL = with_(
 
 def oi_velocity(spark, d):
     x = derivs.oi_velocity(derivs.oi_features(T.daily(spark, d), T.metrics(spark, d), 1440), 24)
-    return rounded(x.select(*KEY, "oi_velocity", "oi_acceleration", "oi_price_corr", "oi_exhaustion"), 4)
-
-
-def _mean24(x):
-    return _roll(f"avg({x})", 24)
+    return rounded(x.select(*KEY, "oi_velocity", "oi_acceleration", "oi_price_divergence", "oi_exhaustion", "oi_velocity_zscore"), 4)
 
 
+_CHANGE = "case when lag({0}) over w > 0 then ({0} - lag({0}) over w) / lag({0}) over w when lag({0}) over w is not null then 0.0 end"
 OI_VELOCITY_SQL = with_(
     DAILY,
     METRICS,
     "j as (select b.*, coalesce(m.sum_open_interest_value, 0.0) as oi from bars b asof left join metrics m on b.symbol = m.symbol and b.open_time >= m.create_time)",
-    f"k as (select *, {div('oi - lag(oi) over w', 'lag(oi) over w')} as v, {_mean24('close * oi')} - {_mean24('close')} * {_mean24('oi')} as cov, greatest({_mean24('close * close')} - {_mean24('close')} * {_mean24('close')}, 0.0) as vx, greatest({_mean24('oi * oi')} - {_mean24('oi')} * {_mean24('oi')}, 0.0) as vy, row_number() over w as n from j {W})",
-    f"l as (select *, case when n >= 24 then {div('cov', 'sqrt(vx) * sqrt(vy)')} else 0.0 end as c, coalesce(v - lag(v) over w, 0.0) as a from k {W})",
-) + " select symbol, open_time, " + out("v as oi_velocity", "a as oi_acceleration", "c as oi_price_corr", digits=4) + ", cast(v > 0 and c < -0.3 as int) as oi_exhaustion from l"
+    f"k as (select *, {_CHANGE.format('oi')} as v, {_CHANGE.format('close')} as r, row_number() over w as n from j {W})",
+    "l as (select *, lag(v) over w as pv, corr(r, v) over here as c, avg(v) over prior as m, stddev_pop(v) over prior as sd, count(v) over prior as k, count(case when v > 0 then 1 end) over prior as up from k"
+    " window w as (partition by symbol order by open_time), here as (partition by symbol order by open_time rows between 22 preceding and current row), prior as (partition by symbol order by open_time rows between 22 preceding and 1 preceding))",
+) + " select symbol, open_time, " + out("case when n >= 3 then v else 0.0 end as oi_velocity", "case when n >= 3 then v - pv else 0.0 end as oi_acceleration", "case when n >= 3 and not isnan(c) then greatest(least(c, 1.0), -1.0) else 0.0 end as oi_price_divergence", "case when n >= 3 and sd > 0 then (v - m) / sd else 0.0 end as oi_velocity_zscore", digits=4) + ", cast(coalesce(n >= 5 and up >= greatest(2, floor(k * 0.6)) and v < 0, false) as int) as oi_exhaustion from l"
+
 
 _CLOCK = ("trading_session", "session_hour_sin", "session_hour_cos", "is_overlap", "is_dead_zone", "hours_to_session_end", "hours_to_funding_mark", "pre_funding_window", "post_funding_window", "funding_window_urgency", "day_of_week_sin", "day_of_week_cos", "is_weekend", "is_monday_asia_window", "is_high_vol_day")
 
@@ -240,7 +239,7 @@ SESSION_MOMENTUM_SQL = with_(
     f"r as (select *, {div('close - lag(close) over w', 'lag(close) over w')} as ret, row_number() over w as k from v {W})",
 ) + " select symbol, open_time, " + out(f"first_value(ret) {_BLOCK} as session_open_return", f"{div(f'close - first_value(close) {_BLOCK}', f'first_value(close) {_BLOCK}')} as session_return_cumulative", f"case when k >= 3 then {_roll('sum(ret)', 3)} else 0.0 end as session_momentum_3bar", *(f"{div(f'vw - lag(vw, {n}) over w', f'lag(vw, {n}) over w')} as vwap_slope_{n}bar" for n in (3, 6))) + f", close > vw as price_above_vwap from r {W}"
 
-_ORB = [f"orb_{s}_{n}" for n in session.SESSIONS for s in ("high", "low", "range")]
+_ORB = [f"orb_{s}_{n}" for n in session.SESSIONS for s in ("high", "low", "range")] + [f"orb_range_{n}_atr_pct" for n in session.SESSIONS]
 
 
 def opening_ranges(spark, d):
@@ -254,11 +253,11 @@ def _orb_sql() -> str:
     return with_(
         TRADES,
         bars_sql(),
-        f"a as (select *, open_time // 3600000 % 24 as h, coalesce({_full(_roll('avg(volume)', 20), 20)}, volume) as av from bars {W})",
+        f"a as (select *, open_time // 3600000 % 24 as h, coalesce({_full(_roll('avg(volume)', 20), 20)}, 0.0) as av, coalesce({_full(_roll('avg(high - low)', 14), 14)}, 0.0) as height from bars {W})",
         f"b as (select *, {raw} from a)",
         f"c as (select *, {fill}, case when h < 5 then 0 when h < 8 then 1 when h < 13 then 2 when h < 22 then 3 else 0 end as current_session from b {W})",
         f"e as (select *, {pick('high')}, {pick('low')}, least(greatest((h - case current_session when 2 then 8 when 3 then 13 else 0 end) * 4, 0), 200) as since, case current_session when 1 then 32 when 3 then 36 else 20 end as len from c)",
-    ) + " select symbol, open_time, " + out(*(f"orb_{s}_{n} as orb_{s}_{n}" for n in session.SESSIONS for s in ("high", "low")), *(f"orb_high_{n} - orb_low_{n} as orb_range_{n}" for n in session.SESSIONS), f"{div('high_now - close', 'close')} as dist_to_orb_high_pct", f"{div('close - low_now', 'close')} as dist_to_orb_low_pct") + ", case when close > high_now then 1 when close < low_now then -1 else 0 end as price_vs_current_orb, close > high_now and volume >= av * 1.3 as orb_breakout_bull, close < low_now and volume >= av * 1.3 as orb_breakout_bear, cast(since as int) as bars_since_session_open, since <= 2 or len - since <= 2 as is_session_trap_zone, current_session from e"
+    ) + " select symbol, open_time, " + out(*(f"orb_{s}_{n} as orb_{s}_{n}" for n in session.SESSIONS for s in ("high", "low")), *(f"orb_high_{n} - orb_low_{n} as orb_range_{n}" for n in session.SESSIONS), *(f"{div(f'orb_high_{n} - orb_low_{n}', 'height')} as orb_range_{n}_atr_pct" for n in session.SESSIONS), f"{div('high_now - close', 'close')} as dist_to_orb_high_pct", f"{div('close - low_now', 'close')} as dist_to_orb_low_pct") + ", case when close > high_now then 1 when close < low_now then -1 else 0 end as price_vs_current_orb, close > high_now and volume >= av * 1.3 as orb_breakout_bull, close < low_now and volume >= av * 1.3 as orb_breakout_bear, cast(since as int) as bars_since_session_open, since <= 2 or len - since <= 2 as is_session_trap_zone, current_session from e"
 
 
 def mtf_1h(spark, d):
@@ -306,11 +305,57 @@ INTRABAR_SQL = with_(
     TRADES,
     bars_sql("15m"),
     "a as (select symbol, open_time // 14400000 * 14400000 as p, open_time, high, low, close, 2 * taker_buy_volume - volume as cvd from bars)",
-    "b as (select *, sum(cvd) over q as run, row_number() over q - 1 as i, ln(close / lag(close) over q) as r, case when count(*) over q4 = 4 then close > max(high) over q4 or close < min(low) over q4 end as out_ from a window q as (partition by symbol, p order by open_time), q4 as (partition by symbol, p order by open_time rows between 4 preceding and 1 preceding))",
+    "b as (select *, sum(cvd) over q as run, row_number() over q - 1 as i, ln(close / lag(close) over q) as r, case when count(*) over q4 = 4 then high > max(high) over q4 or low < min(low) over q4 end as out_ from a window q as (partition by symbol, p order by open_time), q4 as (partition by symbol, p order by open_time rows between 4 preceding and 1 preceding))",
     "c as (select symbol, p as open_time, sum(cvd) as s, case when count(*) >= 2 then coalesce(regr_slope(run, i) / greatest(max(abs(run)), 1.0), 0.0) else 0.0 end as sl, coalesce(sqrt(sum(r * r)), 0.0) as rv, case when count(*) >= 5 then coalesce(cast(sum(out_::int) as double) / nullif(count(out_), 0), 0.0) else 0.0 end as bs from b group by 1, 2)",
 ) + " select symbol, open_time, " + out("s as cvd_sum", "sl as cvd_slope", "rv as realized_vol", "bs as breakout_share") + " from c"
 
 
+def basis(spark, d):
+    perp = derivs.funding_features(T.daily(spark, d), T.funding(spark, d), 1440)
+    spot = T.daily(spark, d).withColumn("close", F.col("open"))
+    return rounded(derivs.annualised_basis(perp, spot, 30).select(*KEY, "basis_bps", "basis_annualized", "basis_zscore_30d", "basis_extreme_sign"), 4)
+
+
+BASIS_SQL = with_(
+    DAILY,
+    FUNDING,
+    "j as (select b.*, coalesce(f.fundingRate, 0.0) as fr from bars b asof left join funding f on b.symbol = f.symbol and b.open_time >= f.fundingTime)",
+    "k as (select *, case when open > 0 and close > 0 then (close - open) / open * 10000.0 end as bp, fr * 3 * 365.0 * 100.0 as ya from j)",
+    "l as (select *, avg(bp) over p as m, stddev_pop(bp) over p as sd from k window p as (partition by symbol order by open_time rows between 30 preceding and 1 preceding))",
+) + " select symbol, open_time, " + out("bp as basis_bps", "ya as basis_annualized", "case when sd > 0 then (bp - m) / sd else 0.0 end as basis_zscore_30d", digits=4) + ", case when ya > 30 then -1 when ya < -10 then 1 else 0 end as basis_extreme_sign from l"
+
+
+def sentiment(spark, d):
+    x = derivs.oi_features(T.daily(spark, d), T.metrics(spark, d), 1440)
+    x = x.select(*KEY, (F.col("trade_count") % 101).alias("fear_greed"), F.col("ls_ratio").alias("long_short_ratio"), F.col("taker_vol_ratio").alias("top_trader_ls_ratio"))
+    return rounded(derivs.sentiment(x).select(*KEY, "fear_greed_norm", "fear_greed_extreme", "ls_divergence", "sentiment_score"))
+
+
+SENTIMENT_SQL = with_(
+    DAILY,
+    METRICS,
+    "j as (select b.symbol, b.open_time, b.trade_count % 101 as fg, coalesce(m.count_long_short_ratio, 0.0) as ls, coalesce(m.sum_taker_long_short_vol_ratio, 0.0) as tv from bars b asof left join metrics m on b.symbol = m.symbol and b.open_time >= m.create_time)",
+    "k as (select *, case when ls > 0 and tv > 0 then greatest(least(ln(tv / ls) / 1.5, 1.0), -1.0) else 0.0 end as lean, case when fg < 20 then 1 when fg > 80 then -1 else 0 end as ex from j)",
+) + " select symbol, open_time, ex as fear_greed_extreme, " + out("fg / 100.0::double as fear_greed_norm", "lean as ls_divergence", "greatest(least(0.6 * (fg / 100.0::double - 0.5) * 2 + 0.4 * lean + 0.2 * ex, 1.0), -1.0) as sentiment_score") + " from k"
+
+
+def liquidations(spark, d):
+    orders = T.trades(spark, d).select("symbol", F.col("transact_time").alias("time"), "price", F.col("quantity").alias("qty"), F.when(F.col("is_buyer_maker"), "SELL").otherwise("BUY").alias("side"))
+    rows = T.bars(spark, d, "4h").select(*KEY, "close", (F.col("high") - F.col("low")).alias("atr"))
+    return rounded(derivs.liquidation_proximity(rows, orders).select(*KEY, "liq_cluster_long_pct", "liq_cluster_short_pct", "liq_imbalance", "liq_cascade_risk", "liq_volume_1h"), 4)
+
+
+LIQUIDATIONS_SQL = with_(
+    TRADES,
+    bars_sql("4h"),
+    "r as (select symbol, open_time, close as p, case when (high - low) * 0.1 > 0 then (high - low) * 0.1 else close * 0.0005 end as bin from bars)",
+    "n as (select r.*, t.transact_time as t, t.price, t.price * t.quantity as n, case when t.is_buyer_maker then 'SELL' else 'BUY' end as side, max(t.transact_time) over (partition by r.symbol, r.open_time) as last from r join trades t on t.symbol = r.symbol and t.transact_time <= r.open_time and t.transact_time > r.open_time - 86400000)",
+    "b as (select symbol, open_time, p, bin, side, floor(price / bin) as b, sum(n) as n, coalesce(sum(n) filter (t >= last - 3600000), 0.0) as h from n group by all)",
+    "k as (select *, row_number() over (partition by symbol, open_time, side order by n desc, b) as k, ((b + 0.5) * bin - p) / p * 100 as d from b)",
+    "g as (select symbol, open_time, least(coalesce(min(d) filter (side = 'SELL' and k <= 3 and d > 0), 0.0), 10.0) as lp, least(coalesce(min(-d) filter (side = 'BUY' and k <= 3 and d < 0), 0.0), 10.0) as sp, coalesce(sum(n) filter (side = 'SELL'), 0.0) as ln_, coalesce(sum(n) filter (side = 'BUY'), 0.0) as sn, sum(h) as h from k group by 1, 2)",
+) + " select r.symbol, r.open_time, " + out("coalesce(lp, 0.0) as liq_cluster_long_pct", "coalesce(sp, 0.0) as liq_cluster_short_pct", "coalesce((ln_ - sn) / (ln_ + sn), 0.0) as liq_imbalance", "case when ln_ + sn > 0 then least(h / (ln_ + sn), 1.0) else 0.0 end as liq_cascade_risk", "coalesce(h, 0.0) as liq_volume_1h", digits=4) + " from r left join g on r.symbol = g.symbol and r.open_time = g.open_time"
+
+
 def regimes(spark, d):
     x = regime.detect(T.daily(spark, d), lookback=120, min_bars=100, window=100)
     return rounded(x.select(*KEY, "atr", "adx", "atr_pct", "atr_percentile", "regime"))
@@ -393,6 +438,9 @@ QUERIES = {
     "session_vwap": (session_vwap, SESSION_VWAP_SQL),
     "weekly_vwap": (weekly_vwap, WEEKLY_VWAP_SQL),
     "session_momentum": (session_momentum, SESSION_MOMENTUM_SQL),
+    "basis": (basis, BASIS_SQL),
+    "sentiment": (sentiment, SENTIMENT_SQL),
+    "liquidations": (liquidations, LIQUIDATIONS_SQL),
     "opening_ranges": (opening_ranges, _orb_sql()),
     "mtf_1h": (mtf_1h, MTF_1H_SQL),
     "mtf_15m": (mtf_15m, MTF_15M_SQL),

@@ -75,7 +75,7 @@ def default_cut(spark, d):
 
 CUT_SQL = with_(DAILY) + " select min(open_time) + cast(floor((max(open_time) - min(open_time)) * (1.0 - 0.2)) as bigint) as cut from bars"
 
-T0, T1 = 694_224_000_000, 904_608_000_000
+T0, T1 = 788_918_400_000, 1_004_572_800_000  # 1995-01-01 to 2001-11-01
 
 
 def purged_folds(spark, d):
@@ -88,13 +88,13 @@ FOLDS_SQL = with_(DAILY, "f(fold, train_to, test_from, test_to) as (values " + "
 
 
 def walk_forward(spark, d):
-    windows = labels.walk_forward_windows(spark, 696_729_600_000, T1, 12, 3, 2)  # from Jan 30
+    windows = labels.walk_forward_windows(spark, 791_424_000_000, T1, 12, 3, 2)  # from Jan 30
     return labels.assign_folds(T.daily(spark, d), windows).groupBy("fold", "role").agg(F.count("*").alias("n"), F.min("open_time").alias("first_time"), F.max("open_time").alias("last_time"))
 
 
 WALK_SQL = with_(
     DAILY,
-    "r(fold, a) as (select 1, make_timestamp(696729600000 * 1000) union all select fold + 1, a + interval 3 month from r where a + interval 3 month + interval 12 month + interval 3 month <= make_timestamp(904608000000 * 1000))",
+    "r(fold, a) as (select 1, make_timestamp(791424000000 * 1000) union all select fold + 1, a + interval 3 month from r where a + interval 3 month + interval 12 month + interval 3 month <= make_timestamp(1004572800000 * 1000))",
     "f as (select fold, epoch_ms(a) as train_from, epoch_ms(a + interval 12 month) - 172800000 as train_to, epoch_ms(a + interval 12 month) as test_from, epoch_ms(a + interval 12 month + interval 3 month) as test_to from r)",
     recursive=True,
 ) + " select fold, case when open_time >= test_from then 'test' else 'train' end as role, count(*) as n, min(open_time) as first_time, max(open_time) as last_time from bars join f on (open_time >= train_from and open_time < train_to) or (open_time >= test_from and open_time < test_to) group by 1, 2"
@@ -180,19 +180,22 @@ def performance_cube(spark, d):
 def _perf_sql(cells: str, keys: str) -> str:
     """Performance per cell; cells is a query over signals that adds the keys."""
     on = " and ".join(f"b.{k} = r.{k}" for k in keys.split(", ")) if keys else "true"
-    part = f"partition by {keys} " if keys else ""
-    group = f"group by {keys}" if keys else ""
-    lead = f"{keys}, " if keys else ""
+    part, group, lead = (f"partition by {keys} ", f"group by {keys}", f"{keys}, ") if keys else ("", "", "")
+    first = "min(created_at) // 86400000 * 86400000"
     return with_(
         SIGNALS,
         f"s as ({cells})",
-        f"b as (select {lead}count(*) as total, count(*) filter (result in {CLOSED}) as closed, count(*) filter (result = 'win') as wins, count(*) filter (result = 'loss') as losses, count(*) filter (result = 'rejected') as rejected, count(*) filter (result = 'open') as open, coalesce(sum(pnl_pct) filter (pnl_pct > 0), 0) as g, coalesce(-sum(pnl_pct) filter (pnl_pct < 0), 0) as l, avg(rr_ratio) filter (result in {CLOSED}) as avg_rr, avg(duration_minutes) filter (result in {CLOSED}) / 60.0 as avg_hours, avg(confidence) as avg_confidence, min(created_at) as live_since from s {group})",
-        f"d as (select {lead}closed_at // 86400000 as day, sum(pnl_pct) as p from s where result in {CLOSED} group by {lead}closed_at // 86400000)",
-        f"e as (select *, 100 * exp(sum(case when p > -100 then ln(1 + p / 100) end) over q) as eq0, max((p <= -100)::int) over q as ruined from d window q as ({part}order by day))",
-        "e1 as (select *, case when ruined = 1 then 0.0 else eq0 end as eq from e)",
-        f"e2 as (select *, greatest(max(eq) over ({part}order by day), 100.0) as peak from e1)",
-        f"r as (select {lead}max((peak - eq) / peak * 100) as mdd, avg(p) / stddev_samp(p) * sqrt(365) as s_, case when sum(case when p < 0 then 1 else 0 end) > 0 then avg(p) / sqrt(avg(case when p < 0 then p * p else 0.0 end)) * sqrt(365) else 0.0 end as t_, sum(p) as tp, count(*) as dd from e2 {group})",
-    ) + f" select {', '.join('b.' + k for k in keys.split(', ')) + ',' if keys else ''} total, closed, wins, losses, rejected, open, live_since, " + out("case when closed > 0 then wins / closed else 0.0 end as win_rate", "case when l > 0 then g / l end as profit_factor", "case when closed > 0 then (g - l) / closed else 0.0 end as expected_value", "g - l as total_pnl", "avg_rr as avg_rr", "avg_hours as avg_hours", "avg_confidence as avg_confidence", "coalesce(mdd, 0.0) as max_drawdown", "case when closed >= 10 then coalesce(s_, 0.0) end as sharpe", "case when closed >= 10 then coalesce(t_, 0.0) end as sortino", "case when closed >= 10 and mdd > 0 then tp / dd * 365 / mdd end as calmar") + f" from b left join r on {on}"
+        f"b as (select {lead}count(*) as total, count(*) filter (result in {CLOSED}) as closed, count(*) filter (result = 'win') as wins, count(*) filter (result = 'loss') as losses, count(*) filter (result = 'rejected') as rejected, count(*) filter (result = 'open') as open, coalesce(sum(pnl_pct) filter (result = 'win'), 0) as g, coalesce(-sum(pnl_pct) filter (result = 'loss'), 0) as l,"
+        f" avg(coalesce(pnl_pct, 0)) filter (result in {CLOSED}) as ev, avg(rr_ratio) filter (result in {CLOSED}) as rr, avg(duration_minutes) filter (result in {CLOSED}) / 60.0 as hours, avg(confidence) as conf, min(created_at) as live_since, greatest(1, ({AS_OF} - {first}) // 86400000) as days_tracked from s {group})",
+        f"d as (select {lead}closed_at // 86400000 as day, sum(coalesce(pnl_pct, 0)) as p from s where result in {CLOSED} and closed_at is not null group by {lead}closed_at // 86400000)",
+        f"e as (select *, 100 * product(1 + p / 100) over ({part}order by day) as eq from d)",
+        f"f as (select *, greatest(max(eq) over ({part}order by day), 100.0) as peak from e)",
+        f"r as (select {lead}min((eq - peak) / peak * 100) as mdd, arg_max(eq, day) as eq, avg(p / 100) as m, stddev_samp(p / 100) as sd, stddev_samp(p / 100) filter (p < 0) as dsd from f {group})",
+        f"j as (select b.*, r.mdd, r.eq, r.m, case when r.sd > 0 then r.m / r.sd * sqrt(365) else 0.0 end as sh, r.dsd from b left join r on {on})",
+    ) + f" select {lead}total, closed, wins, losses, rejected, open, live_since, days_tracked, " + out(
+        "case when wins + losses > 0 then wins / (wins + losses) else 0.0 end as win_rate", "case when l <> 0 then g / abs(l) when g > 0 then null else 0.0 end as profit_factor", "coalesce(ev, 0.0) as expected_value", "coalesce(rr, 0.0) as avg_rr", "coalesce(hours, 0.0) as avg_hours", "coalesce(conf, 0.0) as avg_confidence",
+        "coalesce((eq / 100 - 1) * 100, 0.0) as total_pnl_pct", "coalesce(mdd, 0.0) as max_drawdown", "case when closed >= 10 then sh end as sharpe", "case when closed >= 10 then case when dsd > 0 then m / dsd * sqrt(365) else sh end end as sortino", "case when closed >= 10 then case when mdd <> 0 then m * 365 * 100 / abs(mdd) else 0.0 end end as calmar",
+    ) + " from j"
 
 
 PERFORMANCE_SQL = _perf_sql(f"select * from signals where created_at <= {AS_OF}", "")
@@ -200,23 +203,22 @@ CUBE_SQL = _perf_sql(f"select s.*, tf, period_days from (select *, unnest(['all'
 
 
 def daily_equity(spark, d):
-    x = ledger.daily_equity(T.signals(spark, d).where("symbol = 'RO' and id % 40 = 1"))  # one account of the ledger
-    return rounded(x, 4)
+    return rounded(ledger.daily_equity(T.signals(spark, d), ["symbol"]))
 
 
 EQUITY_SQL = with_(
     SIGNALS,
-    f"d as (select cast(make_timestamp(closed_at * 1000) as date) as date, count(*) as trades, sum(pnl_pct) as p from signals where symbol = 'RO' and id % 40 = 1 and result in {CLOSED} group by 1)",
-    "e as (select *, 100 * exp(sum(ln(1 + p / 100)) over (order by date)) as eq from d)",
-    "f as (select *, greatest(max(eq) over (order by date), 100.0) as peak from e)",
-) + " select date, trades, " + out("p as pnl_pct", "eq as equity", "(peak - eq) / peak * 100 as drawdown_pct", digits=4) + " from f"
+    f"d as (select symbol, cast(make_timestamp(closed_at * 1000) as date) as date, count(*) as trades, sum(pnl_pct) as p from signals where result in {CLOSED} group by 1, 2)",
+    "e as (select *, 100 * product(1 + p / 100) over (partition by symbol order by date) as eq from d)",
+    "f as (select *, greatest(max(eq) over (partition by symbol order by date), 100.0) as peak from e)",
+) + " select symbol, date, trades, " + out("p as pnl_pct", "eq as equity", "(eq - peak) / peak * 100 as drawdown_pct") + " from f"
 
 
 def monthly_pnl(spark, d):
     return rounded(ledger.monthly(T.signals(spark, d)))
 
 
-MONTHLY_SQL = with_(SIGNALS) + f" select strftime(make_timestamp(closed_at * 1000), '%Y-%m') as month, count(*) as trades, count(*) filter (result = 'win') as wins, count(*) filter (result = 'loss') as losses, " + out("sum(pnl_pct) as pnl_pct", "count(*) filter (result = 'win') / count(*) as win_rate") + f" from signals where result in {CLOSED} group by 1"
+MONTHLY_SQL = with_(SIGNALS) + f" select strftime(make_timestamp(closed_at * 1000), '%Y-%m') as month, count(*) as trades, count(*) filter (result = 'win') as wins, count(*) filter (result = 'loss') as losses, " + out("sum(pnl_pct) as pnl_pct", "case when count(*) filter (result in ('win', 'loss')) > 0 then count(*) filter (result = 'win') / count(*) filter (result in ('win', 'loss')) else 0.0 end as win_rate") + f" from signals where result in {CLOSED} group by 1"
 
 
 def ledger_stats(spark, d):
@@ -282,6 +284,60 @@ TOUCH_SQL = with_(
 ) + " select id, symbol, direction, created_at, case when won = 1 then 'win' else 'loss' end as result, ht + 86400000 as closed_at, cast(floor((ht + 86400000 - created_at) / 60000) as bigint) as duration_minutes, " + out("entry_price as entry_price", "stop_loss as stop_loss", "take_profit as take_profit", "cp as close_price", "case when direction = 'long' then cp - entry_price else entry_price - cp end * 100 / entry_price as pnl_pct", "least(mae, 0) * 100 / entry_price as mae_pct", "greatest(mfe, 0) * 100 / entry_price as mfe_pct", "abs(take_profit - entry_price) / abs(entry_price - stop_loss) as rr_ratio", digits=9) + " from r"
 
 
+def _taken(spark, d):
+    """Every closed signal of the ledger, to be traded anew."""
+    return T.signals(spark, d).where("closed_at is not null").select("id", "symbol", "direction", "created_at")
+
+
+def table_backtest(spark, d):
+    return rounded(backtest.table_backtest(_taken(spark, d), T.daily(spark, d)), 9)
+
+
+_TRADED = (
+    DAILY,
+    SIGNALS,
+    "p0 as (select s.id, s.symbol, s.direction, b.open_time as t0, b.open as e, case when s.direction = 'long' then 1.0::double else -1.0::double end as sg from signals s asof join bars b on s.symbol = b.symbol and s.created_at < b.open_time where s.closed_at is not null)",
+    "p as (select *, e * (1 - sg * 0.02) as sl, e * (1 + sg * 0.03) as tp from p0)",
+    "q as (select p.*, b.open_time as t, case when sg > 0 then b.low <= sl else b.high >= sl end as st, case when sg > 0 then b.high >= tp else b.low <= tp end as tg from p join bars b on b.symbol = p.symbol and b.open_time >= p.t0)",
+    "h as (select id, min(t) as ht, arg_min(st, t) as lost from q where st or tg group by 1)",
+    "tr0 as (select p.*, ht + 86400000 as ts, lost, case when lost then sl else tp end as cp from p join h using (id))",
+    "tr1 as (select *, 1000 * (cp - e) * sg / e as gross, (ts - t0) / 3600000.0 as hours from tr0)",
+    "tr as (select *, 2 * 1000 * 0.0005 * 0.9 + 2 * 1000 * 0.5 * 0.6 * sqrt(1000 / 30e9) + 1000 * 0.0003 * hours / 8 * sg as cost from tr1)",
+)
+TRADES_SQL = with_(*_TRADED) + " select id, symbol, direction, t0 as entry_time, ts, case when lost then 'loss' else 'win' end as result, " + out("e as entry_price", "cp as close_price", "gross as gross_pnl", "cost as total_cost", "gross - cost as pnl", digits=9) + " from tr"
+
+
+def walk_forward_backtest(spark, d):
+    windows = labels.walk_forward_windows(spark, 791_424_000_000, T1, 12, 3, 2)
+    return rounded(backtest.walk_forward_backtest(_taken(spark, d), T.daily(spark, d), windows), 4)
+
+
+_WALKED = (
+    "w0(fold, a) as (select 1, make_timestamp(791424000000 * 1000) union all select fold + 1, a + interval 3 month from w0 where a + interval 3 month + interval 12 month + interval 3 month <= make_timestamp(1004572800000 * 1000))",
+    "w1 as (select fold, epoch_ms(a + interval 12 month) as test_from, epoch_ms(a + interval 12 month + interval 3 month) as test_to from w0)",
+    "i as (select fold, test_from, tr.*, gross - cost as pnl from tr join w1 on t0 >= test_from and ts <= test_to)",
+    "tm as (select fold, count(*) as trades, 100.0 * count(*) filter (pnl > 0) / count(*) as wr, case when coalesce(-sum(pnl) filter (pnl < 0), 0) > 0 then coalesce(sum(pnl) filter (pnl > 0), 0) / -sum(pnl) filter (pnl < 0) else 'inf'::double end as pf from i group by 1)",
+    "c0 as (select fold, (ts - 1) // 86400000 as dd, sum(pnl) as p, max(ts) as ts from i group by 1, 2)",
+    "cv as (select fold, ts, 10000 + sum(p) over (partition by fold order by dd) as eq from c0 union all select distinct fold, test_from, 10000.0::double from i)",
+    "dy as (select fold, ts // 86400000 as day, arg_max(eq, ts) as eq from cv group by 1, 2)",
+    "dr as (select *, eq / nullif(greatest(lag(eq) over (partition by fold order by day), 0), 0) - 1 as r from dy)",
+    "sh as (select fold, count(r) as n, avg(r) as m, stddev_samp(r) as sd from dr group by 1)",
+    "pk as (select *, max(eq) over (partition by fold order by ts) as peak from cv)",
+    "ag as (select fold, max(case when peak > 0 then (peak - eq) / peak * 100 else 0.0 end) as mdd, arg_min(eq, ts) as e0, arg_max(eq, ts) as e1, (max(ts) - min(ts)) / 86400000.0 as days from pk group by 1)",
+    "mt as (select fold, trades, wr, pf, case when n >= 2 and sd >= 1e-8 then m / sd * sqrt(365) else 0.0 end as sharpe, mdd, e1 / e0 - 1 as tot, case when days > 0 and e1 / e0 > 0 then pow(e1 / e0, 365 / days) - 1 else 0.0 end as ann from tm join sh using (fold) join ag using (fold))",
+)
+WALK_BACKTEST_SQL = with_(*_TRADED, *_WALKED, recursive=True) + " select fold, trades, " + out("wr as win_rate", "pf as profit_factor", "sharpe as sharpe", "mdd as max_drawdown", "tot as total_return", "ann as annual_return", "case when mdd > 0 then ann / (mdd / 100) else 0.0 end as calmar", digits=4) + " from mt"
+
+
+def walk_forward_gate(spark, d):
+    windows = labels.walk_forward_windows(spark, 791_424_000_000, T1, 12, 3, 2)
+    one = backtest.walk_forward_summary(backtest.walk_forward_backtest(_taken(spark, d), T.daily(spark, d), windows))
+    return rounded(one.withColumn("failed", F.array_join("failed", ",")), 4)
+
+
+WALK_GATE_SQL = with_(*_TRADED, *_WALKED, "g as (select count(*) as windows, 100.0 * count(*) filter (tot > 0) / count(*) as pp, avg(sharpe) as av, min(sharpe) as wo, sum(tot) as su from mt)", recursive=True) + " select windows, " + out("pp as profitable_pct", "av as avg_sharpe", "wo as worst_sharpe", "su as sum_return", digits=4) + ", pp >= 60 and av >= 0 and wo >= -1 and su >= 0 as passed, array_to_string(list_filter([case when pp < 60 then 'profitable_pct' end, case when av < 0 then 'avg_sharpe' end, case when wo < -1 then 'worst_sharpe' end, case when su < 0 then 'sum_return' end], lambda x: x is not null), ',') as failed from g"
+
+
 def position_diff(spark, d):
     c = T.table(spark, d, "customer")
     own = c.where("c_custkey % 3 <> 0").select(F.col("c_custkey").cast("string").alias("symbol"), F.round("c_acctbal").alias("qty"))
@@ -406,7 +462,7 @@ RISK_SQL = with_(
     SIGNALS,
     "o as (select s.id, s.symbol, s.direction, s.created_at, s.confidence, b.close as e from signals s asof join bars b on s.symbol = b.symbol and s.created_at >= b.open_time where s.result = 'open')",
     "p as (select *, e * 0.01 as atr, case when direction = 'long' then 1 else -1 end as sg, 10000 * 0.01 / (e * 0.01 * 1.5) * e as want from o)",
-) + " select id, " + out("least(want, 30000.0) / e as contracts", "least(want, 30000.0) as notional", "case when want > 30000 then 3.0 else want / 10000 end as leverage", "e - sg * atr * 1.5 as stop_loss", "e + sg * atr * 1.5 * 1.5 as take_profit", digits=8) + """, r as reason, r is null as approved from (select *, case when id % 20 > 15 then 'max_drawdown' when id % 11 >= 8 then 'weekly_loss' when id % 5 >= 3 then 'daily_loss' when id % 7 >= 5 and id % 48 < 24 then 'consecutive_losses' when id % 4 >= 3 then 'max_positions' when confidence < 0.55 then 'confidence' when id % 9 = 0 or id % 13 > 10 then 'funding_rate' when (id % 25) / 1000.0 > 0.02 then 'volatility' when (id % 25) * 10.0 < 20 then 'expected_return' end as r from p)"""
+) + " select id, " + out("least(want, 100000.0) / e as contracts", "least(want, 100000.0) as notional", "case when want > 100000 then 10.0 else want / 10000 end as leverage", "e - sg * atr * 1.5 as stop_loss", "e + sg * atr * 1.5 * 1.5 as take_profit", digits=8) + """, r as reason, r is null as approved from (select *, case when id % 20 > 15 then 'max_drawdown' when id % 11 >= 8 then 'weekly_loss' when id % 5 >= 3 then 'daily_loss' when id % 7 >= 5 and id % 48 < 4 then 'consecutive_losses' when id % 4 >= 3 then 'max_positions' when confidence < 0.55 then 'confidence' when id % 9 = 0 or id % 13 > 10 then 'funding_rate' when (id % 25) / 1000.0 > 0.02 then 'volatility' when (id % 25) * 10.0 < 15 then 'expected_return' end as r from p)"""
 
 
 def buy_and_hold(spark, d):
@@ -484,7 +540,7 @@ def win_rate_t(spark, d):
     return rounded(validation.win_rate_t(m), 4)
 
 
-WIN_T_SQL = with_(SIGNALS, f"m as (select strftime(make_timestamp(closed_at * 1000), '%Y-%m') as m, 100.0::double * count(*) filter (result = 'win') / count(*) as w, count(*) as k from signals where result in {CLOSED} group by 1)") + " select count(*) as windows, " + out("sum(w * k) / sum(k) as weighted_win_rate", "(sum(w * k) / sum(k) - 50) * sqrt(count(*)) / stddev_samp(w) as t_stat", "(sum(w * k) / sum(k) / 100 - 0.5) * sqrt(sum(k)) / 0.5 as z_stat", digits=4) + " from m"
+WIN_T_SQL = with_(SIGNALS, f"m as (select strftime(make_timestamp(closed_at * 1000), '%Y-%m') as m, 100.0::double * count(*) filter (result = 'win') / count(*) filter (result in ('win', 'loss')) as w, count(*) as k from signals where result in {CLOSED} group by 1)") + " select count(*) as windows, " + out("sum(w * k) / sum(k) as weighted_win_rate", "(sum(w * k) / sum(k) - 50) * sqrt(count(*)) / stddev_samp(w) as t_stat", "(sum(w * k) / sum(k) / 100 - 0.5) * sqrt(sum(k)) / 0.5 as z_stat", digits=4) + " from m"
 
 
 def symbols(spark, d):
@@ -530,10 +586,10 @@ STRIDE_SQL = with_(TRADES, "a as (select *, row_number() over (partition by symb
 def range_scan(spark, d):
     from tapeloom.sources.store import scan
 
-    return rounded(scan(T.daily(spark, d), "RF", 741_484_800_000, 757_382_400_000, ["symbol", "open_time", "close", "volume"]))
+    return rounded(scan(T.daily(spark, d), "NO", 852_076_800_000, 883_612_800_000, ["symbol", "open_time", "close", "volume"]))
 
 
-SCAN_SQL = with_(DAILY) + " select symbol, open_time, round(close, 6) + 0.0 as close, volume from bars where symbol = 'RF' and open_time between 741484800000 and 757382400000"
+SCAN_SQL = with_(DAILY) + " select symbol, open_time, round(close, 6) + 0.0 as close, volume from bars where symbol = 'NO' and open_time between 852076800000 and 883612800000"
 
 
 def daily_stats(spark, d):
@@ -567,6 +623,9 @@ QUERIES = {
     "ledger_snapshot": (snapshot, SNAPSHOT_SQL),
     "newest_signals": (newest_page, PAGE_SQL),
     "first_touch": (first_touch, TOUCH_SQL),
+    "table_backtest": (table_backtest, TRADES_SQL),
+    "walk_forward_backtest": (walk_forward_backtest, WALK_BACKTEST_SQL),
+    "walk_forward_gate": (walk_forward_gate, WALK_GATE_SQL),
     "position_diff": (position_diff, DIFF_SQL),
     "largest_gaps": (gap_list, GAPS_SQL),
     "quality_report": (quality_report, REPORT_SQL),

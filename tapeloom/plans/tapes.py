@@ -60,7 +60,7 @@ def metrics(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def signals(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """orders as a ledger of signals."""
+    """orders as a ledger of signals, each on a hundredth of the account."""
     o = table(spark, sf_dir, "orders")
     k, cust = F.col("o_orderkey"), F.col("o_custkey")
     result = F.when(F.col("o_orderstatus") == "O", "open").when(k % 11 == 0, "rejected").when(k % 10 < 5, "win").when(k % 10 < 9, "loss").otherwise("breakeven")
@@ -74,7 +74,7 @@ def signals(spark: SparkSession, sf_dir: str) -> DataFrame:
         created.alias("created_at"),
         result.alias("result"),
         F.when(result != "open", created + (4 + k % 90) * 3_600_000).alias("closed_at"),
-        F.when(result == "win", 1 + F.floor("o_totalprice") % 3).when(result == "loss", -(1 + F.floor("o_totalprice") % 3)).when(result == "breakeven", 0).cast("double").alias("pnl_pct"),
+        (F.when(result == "win", 1 + F.floor("o_totalprice") % 3).when(result == "loss", -(1 + F.floor("o_totalprice") % 3)).when(result == "breakeven", 0).cast("double") / 100.0).alias("pnl_pct"),
         (1 + (cust % 5) / 4).alias("rr_ratio"),
     )
     return d.withColumn("duration_minutes", ((F.col("closed_at") - F.col("created_at")) / 60000).cast("long"))
@@ -122,7 +122,7 @@ signals as (select o_orderkey as id, {_SIX_SQL.format('o_orderkey')} as symbol,
     case when o_custkey % 7 = 0 then null when o_custkey % 3 = 0 then '15m' when o_custkey % 3 = 1 then '1h' else '4h' end as timeframe,
     (50 + o_custkey % 50) / 100.0::double as confidence, created_at, result,
     case when result <> 'open' then created_at + (4 + o_orderkey % 90) * 3600000 end as closed_at,
-    cast(case result when 'win' then 1 + floor(o_totalprice) % 3 when 'loss' then -(1 + floor(o_totalprice) % 3) when 'breakeven' then 0 end as double) as pnl_pct,
+    cast(case result when 'win' then 1 + floor(o_totalprice) % 3 when 'loss' then -(1 + floor(o_totalprice) % 3) when 'breakeven' then 0 end as double) / 100.0::double as pnl_pct,
     1 + (o_custkey % 5) / 4.0::double as rr_ratio,
     case when result <> 'open' then (4 + o_orderkey % 90) * 60 end as duration_minutes from sig0)"""
 USERS = "users as (select c_custkey as user_id, case when c_acctbal > 5000 then 'premium' else 'free' end as role, c_custkey % 97 = 0 as banned from customer)"
