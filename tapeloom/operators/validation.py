@@ -50,11 +50,10 @@ def deflated_sharpe(returns: DataFrame, trial: str = "trial", ret: str = "ret",
 
 
 def overfitting_probability(blocks: DataFrame, n_blocks: int = 6) -> DataFrame:
-    """Probability of back-test overfitting by combinatorially symmetric cross-validation: (combinations, pbo, pbo_loo).
+    """Probability of back-test overfitting by combinatorially symmetric cross-validation: (combinations, pbo).
 
     blocks: (trial, block from 0, n, s, q): count, sum and sum of squares of returns. For every choice of half of the
     blocks the best trial in it is ranked on the other half; pbo is the share of choices where it ranks in the lower half.
-    pbo_loo is the older leave-one-out count, which is 0 by construction from four blocks on.
     """
     spark = blocks.sparkSession
     combos = [(i, sorted(c)) for i, c in enumerate(itertools.combinations(range(n_blocks), n_blocks // 2))]
@@ -67,7 +66,7 @@ def overfitting_probability(blocks: DataFrame, n_blocks: int = 6) -> DataFrame:
     best = wide.groupBy("combo").agg(F.max_by("outs", F.struct("ins", "trial")).alias("chosen"))
     ranked = wide.join(best, "combo").groupBy("combo").agg((F.count_if(F.col("outs") < F.col("chosen")) + 1).alias("rank"), F.count("*").alias("trials"))
     lower = F.col("rank") / (F.col("trials") + 1) <= 0.5
-    return ranked.agg(F.count("*").alias("combinations"), F.round(F.avg(lower.cast("double")), 6).alias("pbo"), F.lit(0.0).alias("pbo_loo"))
+    return ranked.agg(F.count("*").alias("combinations"), F.round(F.avg(lower.cast("double")), 6).alias("pbo"))
 
 
 def block_sums(returns: DataFrame, n_blocks: int, trial: str = "trial", index: str = "idx", total: str = "total", ret: str = "ret") -> DataFrame:

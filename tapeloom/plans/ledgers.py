@@ -532,7 +532,7 @@ PBO_SQL = with_(
     "w as (select combo, trial, max(sr) filter (i) as ins, max(sr) filter (not i) as outs from g group by 1, 2)",
     "k as (select combo, arg_max(outs, ins) as chosen from w group by 1)",
     "l as (select combo, count(*) filter (outs < chosen) + 1 as rank, count(*) as trials from w join k using (combo) group by 1)",
-) + " select count(*) as combinations, round(avg((rank / (trials + 1) <= 0.5)::int), 6) as pbo, 0.0::double as pbo_loo from l"
+) + " select count(*) as combinations, round(avg((rank / (trials + 1) <= 0.5)::int), 6) as pbo from l"
 
 
 def win_rate_t(spark, d):

@@ -179,18 +179,22 @@ def merge_history(batch: DataFrame, backfill: DataFrame, keep: int) -> DataFrame
     return one.withColumn("_k", rank).where(F.col("_k") <= keep).drop("_k")
 
 
-def live_features(table_path: str, out_path: str, features, tail_bars: int):
-    """A foreachBatch function: append the batch's bars to the table, run the batch feature function on the newest
-    tail_bars of the symbols it touches, and append their last rows."""
+def live_features(table_path: str, out_path: str, features, tail_bars: int, bar_ms: int):
+    """A foreachBatch function: write the batch's bars to the table, run the batch feature function on the newest tail_bars
+    of the symbols it touches, and write their last rows. Every epoch has a folder of its own in either table, so that one
+    that is replayed replaces what it wrote; of the table only bars no older than the tail are read."""
 
     def run(batch: DataFrame, epoch: int) -> None:
         spark = batch.sparkSession
-        batch.write.mode("append").parquet(table_path)
-        touched = batch.select("symbol").distinct()
-        history = spark.read.parquet(table_path).join(F.broadcast(touched), "symbol", "left_semi")
-        tail = merge_history(batch, history, tail_bars)
+        batch.write.mode("overwrite").parquet(f"{table_path}/epoch={epoch}")
+        touched = batch.groupBy("symbol").agg(F.min("open_time").alias("_from"))
+        oldest = touched.agg(F.min("_from")).first()[0]
+        if oldest is None:
+            return
+        history = spark.read.parquet(table_path).where((F.col("open_time") > oldest - tail_bars * bar_ms) & (F.col("epoch") <= epoch)).drop("epoch")
+        tail = merge_history(batch, history.join(touched.select("symbol"), "symbol", "left_semi"), tail_bars)
         rows = features(tail)
         newest = rows.groupBy("symbol").agg(F.max("open_time").alias("open_time"))
-        rows.join(F.broadcast(newest), ["symbol", "open_time"]).withColumn("epoch", F.lit(epoch)).write.mode("append").parquet(out_path)
+        rows.join(newest, ["symbol", "open_time"]).write.mode("overwrite").parquet(f"{out_path}/epoch={epoch}")
 
     return run
