@@ -12,19 +12,20 @@ from collections.abc import Iterable
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tapeloom.llm.common import materialise
-from tapeloom.llm.neardup import shingle_set
+from tapeloom.llm.common import materialise, small
+from tapeloom.llm.neardup import shingle_set, signature
 from tapeloom.llm.tokens import Memo, texts
 
 #: Labelled rows that the lexicon and the weights are learned from, at most (about: rows are picked by a hash of their id).
 FIT_ROWS = 30_000
-#: Terms of the lexicon, and clean words that the automaton must not take for misspelled terms, at most.
-MAX_TERMS, MAX_ALLOWED = 5_000, 50_000
+#: Tokens of a signature by which near-copies among them are told, and the share of equal ones that makes two rows copies.
+COPY_TOKENS, COPY_SHARE = 16, 0.5
 
 _EDGE = ".,;:!?\"'()[]{}<>«»„“”‘’*_~-–—…|%&$#"
 _QUOTES = "\"«»„“”"
@@ -186,11 +187,11 @@ class Lexicon:
         return Memo(judge)
 
     def features(self, text: str, memo) -> list[float]:
-        """(abuse, quoted, densest window, 0): what the score is made of; zeros without a hit. The length plays no part."""
+        """(abuse, quoted, densest window): what the score is made of; zeros without a hit. The length plays no part."""
         words = text.lower().split()
         hits = {w: k for w in set(words) if (k := memo[w])}
         if not hits:
-            return [0.0, 0.0, 0.0, 0.0]
+            return [0.0, 0.0, 0.0]
         spots = [(i, hits[w]) for i, w in enumerate(words) if w in hits]
         abuse = quoted = 0.0
         kept = []
@@ -209,7 +210,7 @@ class Lexicon:
                 total -= kept[low][1]
                 low += 1
             best = max(best, total)
-        return [math.log1p(abuse), math.log1p(quoted), math.log1p(best), 0.0]
+        return [math.log1p(abuse), math.log1p(quoted), math.log1p(best)]
 
     def score(self, x: np.ndarray) -> np.ndarray:
         if not len(self.weights):
@@ -226,18 +227,30 @@ def _grams(text: str) -> set[str]:
 
 
 def one_of_copies(rows: DataFrame) -> DataFrame:
-    """rows (_id, text, y) without those that share the least hash of their word pairs with another row: of near-copies
-    few are left, so that the words of one much-copied text don't pass for evidence."""
+    """rows (_id, text, y) without near-copies: of those that share the least hash of their word pairs, the one of the smallest
+    id stays, and those with under half of its minwise tokens, so that the words of one much-copied text don't pass for
+    evidence. Rows without words teach nothing and go."""
 
     def run(batches):
         memo = Memo(xxhash.xxh3_64_intdigest)
         for b in batches:
-            least = [int(s[0]) - (1 << 63) if len(s := shingle_set(x, 2, memo)) else None for _, x in texts(b, "text")]
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(least, pa.int64())], names=["_id", "least"])
+            sets = [shingle_set(x, 2, memo) for _, x in texts(b, "text")]
+            least = [int(s[0]) - (1 << 63) if len(s) else None for s in sets]
+            signs = [signature(s, COPY_TOKENS).tobytes() if len(s) else None for s in sets]
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(least, pa.int64()), pa.array(signs, pa.binary())], names=["_id", "least", "sig"])
 
-    schema = T.StructType([rows.schema["_id"], T.StructField("least", T.LongType())])
-    kept = rows.select("_id", "text").mapInArrow(run, schema).where("least is not null").groupBy("least").agg(F.min("_id").alias("_id")).select("_id").distinct()
-    return rows.join(F.broadcast(kept), "_id")  # of a bounded sample
+    schema = T.StructType([rows.schema["_id"], T.StructField("least", T.LongType()), T.StructField("sig", T.BinaryType())])
+    known = materialise(rows.select("_id", "text").mapInArrow(run, schema).where("least is not null"), "toxic-signatures")
+    first = known.groupBy("least").agg(F.min(F.struct("_id", "sig")).alias("f")).select("least", F.col("f._id").alias("first"), F.col("f.sig").alias("other"))
+
+    def apart(batches):
+        for b in batches:
+            x, y = (np.frombuffer(b"".join(b.column(k).to_pylist()), np.uint32).reshape(-1, COPY_TOKENS) for k in (2, 3))
+            keep = ((x == y).mean(axis=1) < COPY_SHARE) | np.asarray(pc.equal(b.column(0), b.column(1)))
+            yield pa.RecordBatch.from_arrays([b.column(0)], names=["_id"]).filter(pa.array(keep))
+
+    kept = known.join(first, "least").select("_id", "first", "sig", "other").mapInArrow(apart, T.StructType([rows.schema["_id"]])).distinct()
+    return rows.join(small(materialise(kept, "toxic-kept")), "_id")
 
 
 def word_counts(rows: DataFrame) -> DataFrame:
@@ -278,8 +291,8 @@ def choose_terms(counts: DataFrame, n_toxic: int, n_clean: int) -> tuple[list[st
     gain = a * F.log(share / base) + F.when(b > 0, b * F.log((1 - share) / (1 - base))).otherwise(0.0)
     tried = counts.where("toxic > 1").count()
     strong = (share >= 0.6) & (share > base) & (gain >= math.log(max(2, tried)) + 3)
-    rows = counts.where("toxic > 1").where(strong).withColumn("gain", gain).orderBy(F.desc("gain"), "word").limit(2 * MAX_TERMS).collect()
-    terms = [r["word"] for r in rows if not r["word"].endswith("*") and len(r["word"]) > 2][:MAX_TERMS]
+    rows = counts.where("toxic > 1").where(strong).withColumn("gain", gain).orderBy(F.desc("gain"), "word").collect()  # of a bounded sample
+    terms = [r["word"] for r in rows if not r["word"].endswith("*") and len(r["word"]) > 2]
     stems = sorted((r["word"][:-1] for r in rows if r["word"].endswith("*") and r["clean"] == 0), key=lambda s: (len(s), s))
     if stems:
         heads = counts.sparkSession.createDataFrame([(s,) for s in stems], "stem string")
@@ -328,7 +341,7 @@ def learn(docs: DataFrame, labels: DataFrame, train, label: str = "toxic", id_co
     n = known.count()
     share = min(1.0, fit_rows / n) if n else 1.0
     known = known.where(F.pmod(F.xxhash64(id_col), F.lit(1_000_000)) < int(share * 1_000_000))  # about fit_rows: small enough to send to every task
-    rows = materialise(docs.select(F.col(id_col).alias("_id"), F.col(text).alias("text")).join(F.broadcast(known.withColumnRenamed(id_col, "_id")), "_id").select("_id", "text", "y"), "toxic-copies")
+    rows = materialise(docs.select(F.col(id_col).alias("_id"), F.col(text).alias("text")).join(small(materialise(known.withColumnRenamed(id_col, "_id"), "toxic-labels")), "_id").select("_id", "text", "y"), "toxic-copies")
     rows = materialise(one_of_copies(rows).select("text", "y"), "toxic-fit")
     sizes = {r["y"]: r["n"] for r in rows.groupBy("y").agg(F.count("*").alias("n")).collect()}
     counts = materialise(word_counts(rows), "toxic-words")
@@ -345,10 +358,10 @@ def learn(docs: DataFrame, labels: DataFrame, train, label: str = "toxic", id_co
             yield pa.RecordBatch.from_arrays([pa.array([w for w in ws if (m := auto.match(w)) and m[0] > 0], pa.string())], names=["word"])
 
     clean = counts.where("clean > 0 and clean >= toxic and not endswith(word, '*')")
-    allowed = [r["word"] for r in clean.select("word").mapInArrow(near, "word string").limit(MAX_ALLOWED).collect()]
+    allowed = [r["word"] for r in clean.select("word").mapInArrow(near, "word string").collect()]  # of a bounded sample
     lexicon = Lexicon(terms, stems, allowed)
     got = feature_rows(rows, spark.sparkContext.broadcast(lexicon), ["y"]).groupBy("y", "x").agg(F.count("*").alias("n")).toPandas()  # of a bounded sample
-    x, y, n_rows = np.asarray(got["x"].tolist(), float).reshape(-1, 4), got["y"].to_numpy(float), got["n"].to_numpy(int)
+    x, y, n_rows = np.asarray(got["x"].tolist(), float).reshape(-1, 3), got["y"].to_numpy(float), got["n"].to_numpy(int)
     lexicon.weights = fit_weights(np.repeat(x, n_rows, axis=0), np.repeat(y, n_rows))
     return lexicon
 
@@ -369,7 +382,7 @@ def score_toxicity(docs: DataFrame, labels: DataFrame, train, label: str = "toxi
         lex = shared.value
         memo = lex.matcher()
         for b in batches:
-            x = np.array([lex.features(t or "", memo) for _, t in texts(b.select([at]), text)], float).reshape(-1, 4)
+            x = np.array([lex.features(t or "", memo) for _, t in texts(b.select([at]), text)], float).reshape(-1, 3)
             s = lex.score(x)
             cols = [b.column(names.index(f.name)) for f in keep]
             yield pa.RecordBatch.from_arrays([*cols, pa.array(s, pa.float64()), pa.array((s >= threshold).astype("int32"), pa.int32())], names=[f.name for f in keep] + ["score", "predicted"])
