@@ -1,7 +1,6 @@
 """The training-data operators against brute force, and their defined results on odd rows."""
 
 import collections
-import datetime as dt
 import itertools
 import random
 import zlib
@@ -164,6 +163,56 @@ def test_clean_texts_have_no_spans():
         assert pii.find(t)[1] == [], t
 
 
+def test_address_scan_equals_the_pattern():
+    import re
+
+    pattern = re.compile(r"[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)")
+    rng = random.Random(13)
+    for _ in range(20_000):
+        s = "".join(rng.choice(["1", "25", "255", "256", "007", ".", ".", ".", " ", "x"]) for _ in range(rng.randrange(24)))
+        want = [m.span() for m in pattern.finditer(s) if all(int(p) <= 255 for p in m.group().split("."))]
+        assert pii.addresses(s) == want, s
+
+
+@pytest.mark.parametrize("text", ["1" * (1 << 20) + ".", "1." * (1 << 19), "9 " * (1 << 19), "+1 (" * (1 << 18), "a@" * (1 << 19), "mail a.b@c.de now " * 60_000, "at one dot " * 100_000, " " * (1 << 20) + "@", "x" * (1 << 20) + " at y"])
+def test_very_long_texts_take_linear_time(text):
+    import time
+
+    began = time.process_time()
+    pii.base_spans(text)
+    assert time.process_time() - began < 2
+    pii.find(text)
+    assert time.process_time() - began < 30
+
+
+def test_the_query_of_personal_data_equals_the_contract(spark, tmp_dir):
+    """op2_pii on a small table against the patterns of its contract, tried one by one."""
+    import hashlib
+    import re
+
+    from tapeloom.llm import queries
+
+    patterns = {"email": r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+", "ip": r"[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)", "card": r"[0-9]([\x20-]?[0-9])+", "phone": r"\+[0-9][\x20().0-9-]+[0-9]"}
+
+    def luhn(d):
+        return sum(sum(divmod(int(c) * (1 + k % 2), 10)) for k, c in enumerate(reversed(d))) % 10 == 0
+
+    def fine(kind, s):
+        d = re.sub(r"\D", "", s)
+        return {"email": True, "ip": kind != "ip" or all(int(p) <= 255 for p in s.split(".")), "card": 13 <= len(d) <= 19 and luhn(d), "phone": 9 <= len(d) <= 15}[kind]
+
+    rng = random.Random(21)
+    parts = ["a.b@c.de", "x@y", "1.2.3.4", "300.1.1.1", "1.2.3.4.5.6.7.8.9", "4041894974608795", "4041-8949 7460-8795", "4041 8949 7460 8796", "+49 151 23456789", "+1 (988) 555-2485", "+12", "é", "word", "at", "dot", "\n", "12345", "."]
+    rows = [(i, "".join(rng.choice(parts) + rng.choice(["", " ", ", "]) for _ in range(rng.randrange(0, 20)))) for i in range(300)] + [(900, None), (901, ""), (None, "a@b.co"), (900, "1.1.1.1")]
+    frame(spark, rows).write.parquet(f"{tmp_dir}/documents.parquet")
+    got = sorted(map(tuple, queries.op2_pii(spark, tmp_dir).select("doc_id", "n_email", "n_ip", "n_card", "n_phone", "base_sha256").collect()), key=repr)
+    want = []
+    for i, t in rows:
+        spans = [(k, *m.span()) for k, p in patterns.items() for m in re.finditer(p, t or "") if fine(k, m.group())]
+        want.append((i, *(sum(s[0] == k for s in spans) for k in patterns), hashlib.sha256(",".join(f"{k}:{a}:{b}" for k, a, b in spans).encode()).hexdigest()))
+    assert got == sorted(want, key=repr)
+
+
 def test_detect_keeps_rows_and_columns(spark):
     rows = [*ODD, (20, "mail a.b@c.de or +1 (988) 555-2485; 4041894974608795")]
     d = frame(spark, rows)
@@ -234,38 +283,78 @@ def test_near_duplicates_of_large_groups(spark):
     assert got == sorted(brute_groups(rows, 2, 80, 100), key=repr)
 
 
-def test_pairs_at_the_threshold_in_large_nodes(spark):
-    """Pairs of similarity 0.8 exactly among documents that all have much in common, so that nodes stay large for long."""
-    rng = np.random.default_rng(4)
-    make = lambda n: rng.integers(0, 2**63, n, dtype=np.uint64)
-    shared, rows = make(60), []
-    for i in range(400):
-        both = np.concatenate([shared, make(20)])
-        rows += [(2 * i + k, 90, neardup.signature(np.concatenate([both, make(10)])).tobytes()) for k in (0, 1)]
-    reps = common.materialise(spark.createDataFrame(rows, "rep long, n long, sig binary"), "reps")
-    true = lambda pairs: common.materialise(pairs.where("a % 2 = 0 and b = a + 1"), "true")
-    links, found = neardup.link_by_paths(reps, 0.8, 0.9999, true)
-    got = {(r["a"], r["b"]) for r in links.unionByName(found).collect()}
-    assert got == {(2 * i, 2 * i + 1) for i in range(400)}
-
-
-def test_trees_reach_the_recall_for_one_signature():
-    """Sets that agree in a binomial number of places: the share missed by all trees of the depth."""
-    rng = np.random.default_rng(5)
-    for levels in neardup.DEPTHS:
-        trees, missed, n = neardup.trees_needed(0.8, levels, 0.99), 0, 3000
-        agree = rng.random((n, neardup.TOKENS)) < 0.8
-        a = rng.integers(0, 2**32, (n, neardup.TOKENS), dtype=np.uint32)
-        b = np.where(agree, a, a ^ np.uint32(1))
-        for i in range(n):
-            nodes = []
-            for sig in (a[i : i + 1], b[i : i + 1]):
-                node = neardup._mix(np.arange(1, trees + 1, dtype=np.uint64) + np.uint64(i << 20))
-                for _ in range(levels):
-                    node = neardup.branch(node, np.repeat(sig, len(node), 0), 0.8)[1]
-                nodes.append(set(node.tolist()))
-            missed += nodes[0].isdisjoint(nodes[1])
-        assert missed / n < 0.016, levels
+def planted(n, rng, shared=0):
+    """n pairs of sets of similarity 0.80 to 0.85, all with as many more elements in common."""
+    make = lambda k: rng.integers(0, 2**63, k, dtype=np.uint64)
+    common_to_all, out = make(shared), []
+    for _ in range(n):
+        own = int(rng.integers(8, 12))
+        both = np.concatenate([common_to_all, make(9 * 9 - shared)])
+        out.append([np.unique(np.concatenate([both, make(own - k)])) for k in (0, 0)])
+    pairs = [(x, y) for x, y in out if 0.8 <= len(both := np.intersect1d(x, y)) / (len(x) + len(y) - len(both)) <= 0.85]
+    assert len(pairs) > 0.7 * n
+    return pairs
+
+
+@pytest.mark.parametrize("compared", [0, 4096])
+def test_pairs_at_the_threshold_in_large_nodes(spark, monkeypatch, compared):
+    """Pairs near the threshold among documents that all have much in common, so that nodes stay large for long: by deeper
+    trees, and cell by cell."""
+    monkeypatch.setattr(neardup, "BLOCK", 8)
+    monkeypatch.setattr(neardup, "CELL", 16)
+    monkeypatch.setattr(neardup, "COMPARED", compared)
+    rows = []
+    for i, pair in enumerate(planted(300, np.random.default_rng(4), 55)):
+        rows += [(2 * i + k, len(s), bytearray(neardup.signature(s).tobytes()), s.view(np.int64).tolist()) for k, s in enumerate(pair)]
+    reps = common.materialise(spark.createDataFrame(rows, "rep long, n long, sig binary, s array<long>"), "reps")
+    groups = neardup.link_by_paths(reps.drop("s"), 80, 100, 0.9999, lambda some: some.join(reps.select("rep", "s"), "rep"))
+    got = {r["node"]: r["component"] for r in groups.collect()}
+    assert got == {i: i - i % 2 for i in range(len(rows))}
+
+
+@pytest.mark.parametrize("levels", neardup.DEPTHS)
+def test_recall_of_the_trees_of_each_depth(levels):
+    """Real sets of similarity 0.80 to 0.85, with the trees of a run: the share of pairs that share a node in some tree."""
+    pairs = planted(3000, np.random.default_rng(levels))
+    trees = neardup.trees_needed(0.8, levels, 1 - (1 - 0.9999) / len(neardup.DEPTHS))
+    n = len(pairs)
+    assert n >= 2000
+    places = []
+    for side in (0, 1):
+        sig = np.stack([neardup.signature(p[side]) for p in pairs])
+        row, node = np.repeat(np.arange(n), trees), np.tile(neardup._mix(np.arange(1, trees + 1, dtype=np.uint64)), n)
+        for _ in range(levels):
+            at, node = neardup.branch(node, sig[row], 0.8)
+            row = row[at]
+        places.append(np.stack([row.astype(np.uint64), node]).T)
+    together = set(map(tuple, places[0].tolist())) & set(map(tuple, places[1].tolist()))
+    assert len({r for r, _ in together}) / n >= 0.999
+
+
+def test_links_of_a_task_equal_all_pairs():
+    """Groups joined by the links of one task are the components of all links, whichever way the pairs are counted."""
+    rng = np.random.default_rng(3)
+    for size, spread in ((12, 3), (60, 9), (60, 14)):
+        base = rng.integers(0, 2**40, 60)
+        sets = []
+        for _ in range(size):
+            x = base.copy()
+            x[rng.integers(0, 60, int(rng.integers(0, spread)))] = rng.integers(0, 2**40)
+            sets.append(np.unique(x))
+        sig = np.stack([neardup.signature(s.astype(np.uint64)) for s in sets])
+        n, ids = np.asarray([len(s) for s in sets]), np.arange(size)
+        for left, right in ((ids, None), (ids[: size // 2], ids[size // 2 :])):
+            links = neardup.Links(ids, n, ids, sig, sets, 80, 100)
+            links.all_of(left, right)
+            parent = list(range(size))
+            find = lambda x: x if parent[x] == x else find(parent[x])  # noqa: B023, E731
+            for i, j in itertools.combinations(range(size), 2):
+                shared = len(np.intersect1d(sets[i], sets[j]))
+                if (right is None or i < size // 2 <= j) and shared * 100 >= 80 * (n[i] + n[j] - shared):
+                    parent[find(j)] = find(i)
+            same = lambda labels: {tuple(np.flatnonzero(labels == x)) for x in labels}
+            assert same(links.g) == same(np.asarray([find(i) for i in range(size)]))
+            assert len(links.found) == size - len(set(links.g))
 
 
 def test_near_duplicates_without_ids_or_rows(spark):
@@ -343,24 +432,54 @@ def test_rows_are_numbered_in_one_scan(spark, tmp_dir, name):
     assert len(open(f"{tmp_dir}/scans").read()) == 9
 
 
+def brute_search(rows, mod, k):
+    """rows (id, vector) -> (query_id, rank, vec_id, score), in Python's own integers."""
+    import math
+
+    whole = [(i, [math.floor(256 * float(c)) for c in v]) for i, v in rows if i is not None and v is not None and all(c is not None and math.isfinite(c) for c in v)]
+    out = []
+    for a, (i, q) in enumerate(whole):
+        if i % mod == 0:
+            scores = [(-sum(x * y for x, y in zip(q, v)), j) for b, (j, v) in enumerate(whole) if b != a and len(v) == len(q)]
+            out += [(i, r + 1, j, max(-(2**63), min(2**63 - 1, -s))) for r, (s, j) in enumerate(sorted(scores)[:k])]
+    return sorted(out)
+
+
 def test_search_equals_brute_force(spark):
     rng = np.random.default_rng(5)
     x = np.round(rng.normal(size=(300, 8)), 1)
-    rows = [(i, [float(v) for v in r]) for i, r in enumerate(x)]
+    rows = [(i, [float(np.float32(v)) for v in r]) for i, r in enumerate(x)]
     rows[10] = (10, rows[11][1])  # ties
-    rows += [(900, None), (901, [1.0, None] + [0.0] * 6), (902, [float("nan")] + [0.0] * 7), (903, [float("inf")] + [0.0] * 7), (None, [0.5] * 8), (904, [])]
-    v = search.integer_vectors(spark.createDataFrame([(i, e, "x") for i, e in rows], "vec_id long, embedding array<float>, v string"))
-    got = sorted(map(tuple, search.search(v, F.col("id") % 25 == 0, k=5, candidate_block=64, query_block=4, n_pivots=6).collect()))
-    q = np.floor(256 * np.asarray([np.float32(r[1]) for r in rows[:300]], np.float64)).astype(np.int64)
-    want = []
-    for i in range(0, 300, 25):
-        s = q @ q[i]
-        best = sorted((j for j in range(300) if j != i), key=lambda j: (-s[j], j))[:5]
-        want += [(i, r + 1, j, int(s[j])) for r, j in enumerate(best)]
-    assert got == sorted(want)
+    rows += [(900, None), (901, [1.0, None] + [0.0] * 6), (902, [float("nan")] + [0.0] * 7), (903, [float("inf")] + [0.0] * 7), (None, [0.5] * 8)]
+    rows += [(950, []), (904, []), (905, [1.0]), (975, [2.0]), (25, rows[3][1]), (3, rows[3][1])]  # other lengths, repeated ids
+    v = search.integer_vectors(spark.createDataFrame([(i, e, "x", 1) for i, e in rows], "vec_id long, embedding array<float>, v string, row int"))
+    got = sorted(map(tuple, search.search(v, F.col("id") % 25 == 0, k=5, block=64, query_block=4, n_pivots=6).collect()))
+    assert got == brute_search(rows, 25, 5)
     assert search.search(v.limit(0), F.col("id") % 25 == 0).count() == 0
 
 
+def test_search_takes_all_finite_vectors(spark):
+    """Components whose products a long can't hold, or only just, keep vectors in."""
+    rng = np.random.default_rng(6)
+    rows = [(i, [float(c) for c in rng.normal(size=4) * 10.0 ** rng.integers(0, 9)]) for i in range(80)] + [(100, [1e6, -3e5, 0.5, 1e6]), (150, [1e30, 1.0, -1e30, 3.0]), (151, [-1e30, 1.0, 1e30, 5e7]), (200, [1e200, 0.0, 0.0, 0.0])]
+    v = search.integer_vectors(spark.createDataFrame(rows, "vec_id long, embedding array<double>"))
+    got = sorted(map(tuple, search.search(v, F.col("id") % 50 == 0, k=5, block=16, query_block=2, n_pivots=5).collect()))
+    assert got == brute_search(rows, 50, 5)
+
+
+def test_search_evaluates_few_candidates_of_clustered_vectors(spark):
+    rng = np.random.default_rng(7)
+    centres = rng.normal(size=(40, 16)) * 3
+    rows = [(i, [float(c) for c in centres[i % 40] + rng.normal(size=16) * 0.1]) for i in range(4000)]
+    v = search.integer_vectors(spark.createDataFrame(rows, "vec_id long, embedding array<double>"))
+    seen = spark.sparkContext.accumulator(0)
+    got = sorted(map(tuple, search.search(v, F.col("id") % 50 == 0, evaluated=seen).collect()))
+    assert got == brute_search(rows, 50, 5)
+    share = seen.value / (80 * 3999)
+    print(f"evaluated {share:.1%} of all pairs")
+    assert share < 0.2
+
+
 # --- sharding -----------------------------------------------------------------------------------------------------
 
 
@@ -430,6 +549,47 @@ def test_filters_are_checked_on_headers_and_payloads_skipped():
     assert [len(p) for _, p in warc.from_bytes(plain)] == [100 * i for i in range(9)]
 
 
+def test_damaged_archives_raise():
+    import io
+
+    whole = [warc.record("response", f"<r:{i}>", "http://h", "D", bytes(random.Random(i).randbytes(5000))) for i in range(3)]
+    for packed, compressed in ((b"".join(whole), False), (b"".join(map(warc.member, whole)), True)):
+        assert len(list(warc.records(io.BytesIO(packed), compressed))) == 3
+        for cut in (len(packed) - 3000, len(packed) // 3 + 20, 40):
+            for payloads in (True, False):
+                with pytest.raises(ValueError, match="ends at byte"):
+                    list(warc.records(io.BytesIO(packed[:cut]), compressed, payloads=payloads))
+    with pytest.raises(ValueError, match="Content-Length"):
+        list(warc.records(io.BytesIO(b"WARC/1.1\r\nWARC-Type: x\r\n\r\n"), False))
+
+
+def test_long_headers_and_control_characters():
+    import io
+
+    url = "http://h/" + "x" * (3 << 20)
+    data = warc.record("response", "<r:1>", url, "D", b"abc") + warc.record("response", "<r:2>", "http://h/\r\n\r\nWARC/1.1\r\n\0\x85", "D", b"de")
+    for packed, compressed in ((data, False), (warc.member(data), True)):
+        got = list(warc.records(io.BytesIO(packed), compressed))
+        assert [(h["warc-record-id"], p) for h, p in got] == [("<r:1>", b"abc"), ("<r:2>", b"de")]
+        assert got[0][0]["warc-target-uri"] == url and got[1][0]["warc-target-uri"] == "http://h/%0D%0A%0D%0AWARC/1.1%0D%0A%00%85"
+
+
+def test_members_of_four_gigabytes_are_skipped_whole():
+    import struct
+
+    head = warc.member(b"x" * 100)
+    assert struct.unpack("<HQQ", head[14:32]) == (16, len(head), 100)
+
+
+def test_shards_are_written_whole(spark, tmp_dir):
+    rows = [(i, "x" * (i % 300)) for i in range(300)] + [(None, None), (5, "")]
+    sharding.write_shards(frame(spark, rows), f"{tmp_dir}/s", 2000, columns=("w",))
+    back = spark.read.parquet(f"{tmp_dir}/s")
+    assert sorted([(r["doc_id"], r["text"]) for r in back.collect()], key=repr) == sorted(rows, key=repr)
+    sizes = [r["b"] for r in back.groupBy("shard").agg(F.sum(F.coalesce(F.octet_length("text"), F.lit(0))).alias("b")).collect()]
+    assert len(sizes) > 10 and max(sizes) <= 2000
+
+
 # --- quality and toxicity -----------------------------------------------------------------------------------------
 
 
@@ -508,7 +668,7 @@ def test_automaton_equals_edit_distances():
 
 
 def test_quotation_weighs_less():
-    lex = toxicity.Lexicon(["moronic"], weights=(-3.0, 6.0, 0.0, 3.0, 0.0))
+    lex = toxicity.Lexicon(["moronic"], weights=(-3.0, 6.0, 0.0, 3.0))
     memo = lex.matcher()
     abuse, quoted = (lex.score(np.array([lex.features(t, memo)]))[0] for t in ("you are a moronic man and so on", 'the word "moronic" is a term in the example'))
     assert abuse > 0.9 and quoted < 0.3
@@ -525,7 +685,3 @@ def test_a_stray_quote_sign_changes_nothing_further_on():
     for text in ('they wrote "you moronic man" today', 'a 6" nail and then "moronic" too', '"a b" c "you are moronic" d'):
         assert lexicon.features(text, memo)[1] > 0, text
     assert lexicon.features('"a b" moronic "c d"', memo)[1] == 0.0
-
-
-def test_everything_whole_rows(spark):
-    assert dt.date.today() and common.small(spark.range(3), 2) is not None

@@ -3,6 +3,7 @@
 import random
 
 import corpus_pipeline
+from tapeloom.llm import common
 from tests.llm.test_operators import brute_groups, brute_hits
 
 
@@ -76,3 +77,21 @@ def test_stages_judge_rows_and_not_ids(spark, tmp_dir):
     near = v.rsplit(" ", 1)[0]
     rows = [(3, t), (7, u), (7, t), (None, t), (None, v), (None, v), (9, near), (9, near), (4, ""), (4, ""), (None, ""), (None, "")]
     assert after(corpus_pipeline.drop_near_duplicates, rows) == sorted([(3, t), (7, u), (9, near), (4, ""), (None, ""), (None, "")], key=repr)
+
+
+def test_stages_on_odd_rows(spark, tmp_dir):
+    """Nulls in any column, empty and long texts, repeated rows, clashing names, no labels, no items; and no rows at all."""
+    from tests.llm.test_operators import LONG
+
+    spark.createDataFrame([], "item_id long, text string").write.parquet(f"{tmp_dir}/benchmark.parquet")
+    spark.createDataFrame([(None, None, None)], "doc_id long, quality int, toxic int").write.parquet(f"{tmp_dir}/labels.parquet")
+    schema = "doc_id long, text string, lang string, source string, n_chars long, score double, _key long, pii string, group long, ids string"
+    rows = [(1, None), (2, ""), (3, "  "), (None, None), (None, "word"), (4, LONG), (5, "one two three"), (5, "one two three")]
+    for some in (rows, []):
+        docs = spark.createDataFrame([(i, t, None, None, None, 0.5, 7, "p", 9, "q") for i, t in some], schema)
+        kept = []
+        for name, stage in corpus_pipeline.STAGES:
+            docs = common.materialise(stage(spark, docs, tmp_dir), name)
+            kept.append((name, docs.count()))
+        want = [("toxicity", 8), ("near_duplicates", 7), ("decontamination", 7), ("pii", 7)] if some else [(n, 0) for n, _ in corpus_pipeline.STAGES[:4]]
+        assert kept[:4] == want and (kept[4][1] >= 7 if some else kept[4][1] == 0)
