@@ -1,7 +1,8 @@
 """From raw documents to packed token sequences: five stages, each written as Parquet and read again by the next.
 
 Part of the training-data subpackage. Every stage works on all rows that the one before it kept. All stages but the last
-return the columns of documents: doc_id, text, lang, source, n_chars.
+return the columns of documents: doc_id, text, lang, source, n_chars; further columns of docs, whatever their names, are
+left out. Any of the columns may be null. An empty table gives an empty one.
 """
 
 from __future__ import annotations
@@ -17,7 +18,8 @@ COLUMNS = ("doc_id", "text", "lang", "source", "n_chars")
 
 
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that the toxicity score rejects go. It learns from the labelled rows that are not held out."""
+    """Documents that the toxicity score rejects go. It learns from the labelled rows that are not held out. Null and empty
+    texts, and all without labels to learn from, stay; of repeated ids and rows each is judged by its own text."""
     scored = toxicity.score_toxicity(docs.select(*COLUMNS), table(spark, sf_dir, "labels"), ~is_held_out("doc_id", 4, 2))
     return scored.where("predicted = 0").select(*COLUMNS)
 
@@ -43,20 +45,22 @@ def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> D
 
 def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Rows that hold ten consecutive words of a benchmark item, or a shorter item as a whole, go; others of the same id
-    stay."""
+    stay, and so do null and empty texts. Without items all rows stay."""
     docs = numbered(docs)
     hit = decontamination.decontaminate(docs, table(spark, sf_dir, "benchmark"), window=10, row_col="_key").where("contaminated")
     return docs.join(small(materialise(hit.select("_key"), "contaminated")), "_key", "left_anti").select(*COLUMNS)
 
 
 def redact_personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Personal data, plain or disguised, is replaced by its kind; n_chars is counted anew."""
+    """Personal data, plain or disguised, is replaced by its kind; n_chars is counted anew (null for a null text). All rows
+    stay."""
     clean = pii.detect(docs.select(*COLUMNS), redacted="clean")
     return clean.select("doc_id", F.col("clean").alias("text"), "lang", "source", F.length("clean").cast("long").alias("n_chars"))
 
 
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """All texts as sequences of 4096 token ids, a row per piece with its ids."""
+    """All texts as sequences of 4096 token ids, a row per piece with its ids. Null and empty texts are their end sign alone;
+    rows of repeated or missing ids are packed one by one."""
     return packing.pack(docs, tokenizer_path(), size=4096, end_id=2)
 
 
