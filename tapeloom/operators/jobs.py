@@ -2,12 +2,12 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from tapeloom.functions.lineage import cut
 from tapeloom.functions.scalar import safe_divide
-from tapeloom.operators import derivs, labels, micro, mtf, regime, session
+from tapeloom.operators import derivs, labels, micro, models, mtf, regime, session
 from tapeloom.operators.series import index_bars
 
 
@@ -16,7 +16,7 @@ def trim(features: DataFrame, lookback: int = 540, base: int = 200) -> DataFrame
     alone if it has no more than base."""
     d = features if "bar_idx" in features.columns else index_bars(features)
     n = d.groupBy("symbol").agg(F.max("bar_idx").alias("_last"))
-    d = d.join(F.broadcast(n), "symbol")
+    d = d.join(n, "symbol")
     count = F.col("_last") + 1
     first = F.when(count > base + lookback, base + lookback).when(count > base, base).otherwise(F.col("_last"))
     return d.where(F.col("bar_idx") >= first).drop("_last")
@@ -72,3 +72,53 @@ def null_audit(features: DataFrame, names: list[str]) -> DataFrame:
     from tapeloom.operators.audit import null_counts
 
     return null_counts(features, names)
+
+
+# The base models' regimes and barriers (up, down, bars).
+BASE_MODELS = {"trend": (("trend_up", "trend_down"), (1.25, 1.0, 4)), "high_vol": (("high_vol",), (1.25, 1.0, 6))}
+
+
+def meta_dataset(features: DataFrame, score, models: dict = BASE_MODELS, cost: float = 0.0006) -> DataFrame:
+    """Rows of a meta model: of each base model the bars of its regimes with its barriers' outcome, its probability (score(rows,
+    name) adds p_up), direction and confidence, the net return after cost, and whether that is positive."""
+    out = None
+    for name, (regimes, (up, down, bars)) in models.items():  # a few models
+        rows = labels.triple_barrier(features, up, down, bars).where(F.col("regime").isin(*regimes))
+        one = labels.meta_labels(score(rows, name), cost).withColumn("base_regime", F.lit(name))
+        out = one if out is None else out.unionByName(one, allowMissingColumns=True)
+    return out
+
+
+def meta_summary(rows: DataFrame) -> DataFrame:
+    """Of all rows, of each base model and of each symbol: rows, positive ones and their share, mean confidence, mean and
+    deviation of the net return."""
+    by = rows.groupingSets([[], ["base_regime"], ["symbol"]], "base_regime", "symbol")
+    n, good = F.count("*"), F.sum("meta_target")
+    return by.agg(n.alias("rows"), good.alias("good"), (good * 100.0 / n).alias("good_pct"), F.avg("base_confidence").alias("mean_confidence"), F.avg("net_return").alias("mean_net"), F.stddev_samp("net_return").alias("std_net"))
+
+
+def split_by_time(rows: DataFrame, share: float = 0.7) -> DataFrame:
+    """role 'train' for the first `share` of the rows in the order of time and 'test' for the rest; rows of one time go
+    together, to the side that the first of them is on."""
+    times = cut(rows.groupBy("open_time").agg(F.count("*").alias("_k")))
+    months = times.groupBy(F.floor(F.col("open_time") / (30 * 86_400_000)).alias("_m")).agg(F.sum("_k").alias("_s"))
+    before = months.select("_m", F.coalesce(F.sum("_s").over(Window.orderBy("_m").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("_b"))  # a row a month
+    inside = times.withColumn("_m", F.floor(F.col("open_time") / (30 * 86_400_000)))
+    inside = inside.withColumn("_i", F.coalesce(F.sum("_k").over(Window.partitionBy("_m").orderBy("open_time").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))
+    total = times.agg(F.sum("_k").alias("_t"))
+    roles = inside.join(before, "_m").crossJoin(total).select("open_time", F.when(F.col("_b") + F.col("_i") < F.floor(F.col("_t") * share), "train").otherwise("test").alias("role"))  # total: one row
+    return rows.join(roles, "open_time")
+
+
+def meta_model(rows: DataFrame, features: list[str], share: float = 0.7, thresholds: tuple[float, ...] = (0.5, 0.55, 0.6, 0.65, 0.7), kind: str = "logistic"):
+    """(model, report, thresholds): a model of meta_target fitted on the first `share` of the time with the classes weighted
+    alike; one row of its test: rows, share of good ones, AUC, win rate and profit factor without the gate; and its table of
+    thresholds."""
+    d = cut(split_by_time(rows, share))
+    as_target = d.withColumn("target", F.when(F.col("meta_target") == 1, 1).otherwise(-1))
+    model = models.fit(as_target.where("role = 'train'"), features, kind=kind)
+    test = cut(models.score(model, as_target.where("role = 'test'").drop("p_up"), features))
+    net = F.col("net_return")
+    won, lost = F.coalesce(F.sum(F.when(net > 0, net)), F.lit(0.0)), F.coalesce(-F.sum(F.when(net < 0, net)), F.lit(0.0))
+    report = test.agg(F.count("*").alias("test_rows"), F.avg("meta_target").alias("base_rate"), F.lit(models.auc(test)).alias("auc"), (F.count_if(net > 0) * 100.0 / F.count("*")).alias("win_rate"), F.when(lost > 0, won / lost).otherwise(F.lit(float("inf"))).alias("profit_factor"))
+    return model, report, labels.threshold_table(test, list(thresholds), p="p_up")

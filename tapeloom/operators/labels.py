@@ -64,7 +64,7 @@ def uniqueness_weights(spans: DataFrame, first: str = "_bar_idx", last: str = "t
     own = laid.join(load, ["symbol", "_t"]).groupBy("symbol", "_a", "_b").agg((F.sum(1.0 / F.col("_c")) / F.count("*")).alias("_u"), F.count("*").alias("_k"))
     rows = spans.join(own, (spans["symbol"] == own["symbol"]) & (F.col(first) == F.col("_a")) & (F.col(last) == F.col("_b"))).select(spans["*"], "_u")
     mean = rows.groupBy("symbol").agg(F.avg("_u").alias("_m"))
-    return rows.join(F.broadcast(mean), "symbol").withColumn("weight", safe_divide("_u", "_m", 1.0)).drop("_u", "_m")
+    return rows.join(mean, "symbol").withColumn("weight", safe_divide("_u", "_m", 1.0)).drop("_u", "_m")
 
 
 def temporal_split(rows: DataFrame, cut_ms, embargo: int = 24) -> DataFrame:
@@ -73,7 +73,7 @@ def temporal_split(rows: DataFrame, cut_ms, embargo: int = 24) -> DataFrame:
     d = rows if "bar_idx" in rows.columns else index_bars(rows)
     train = F.col("open_time") < cut
     ends = d.where(train).groupBy("symbol").agg(F.max("bar_idx").alias("_end"))
-    d = d.join(F.broadcast(ends), "symbol", "left").withColumn("role", F.when(train, "train").otherwise("test"))
+    d = d.join(ends, "symbol", "left").withColumn("role", F.when(train, "train").otherwise("test"))
     return d.where((F.col("role") == "test") | (F.col("bar_idx") <= F.col("_end") - embargo)).drop("_end")
 
 
@@ -95,7 +95,7 @@ def training_rows(labelled: DataFrame, cut_ms: int, regimes: list[str] | None, b
     within `embargo` bars of wall-clock time before the cut left out."""
     d = labelled.where(F.col("regime").isin(*regimes)) if regimes else labelled
     two = d.groupBy("symbol").agg(F.countDistinct(target).alias("k")).where("k >= 2").select("symbol")
-    d = d.join(F.broadcast(two), "symbol", "left_semi")
+    d = d.join(two, "symbol", "left_semi")
     t = F.col("open_time")
     return d.withColumn("role", F.when(t < cut_ms - embargo * bar_ms, "train").when(t >= cut_ms, "test")).where("role is not null")
 

@@ -232,3 +232,30 @@ def latest(changes: DataFrame, key: list[str], version: str) -> DataFrame:
     """The row of the highest version of each key: an upsert ledger as appended changes and this view."""
     rest = [c for c in changes.columns if c not in key]
     return changes.groupBy(*key).agg(F.max_by(F.struct(*rest), F.col(version)).alias("_r")).select(*key, "_r.*")
+
+
+def users_by_role(users: DataFrame, role: str | None = None) -> DataFrame:
+    """Users of a role, or of any, that are not banned (an unknown flag is no ban), by id."""
+    d = users.where(~F.coalesce("banned", F.lit(False)))
+    return (d.where(F.col("role") == role) if role else d).orderBy("user_id")
+
+
+def pending_payments(payments: DataFrame, method: str | None = None) -> DataFrame:
+    """Payments that wait, of one method or of any, the newest first."""
+    d = payments.where(F.col("status") == "pending")
+    return (d.where(F.col("method") == method) if method else d).orderBy(F.desc("created_at"), F.desc("payment_id"))
+
+
+def created_per_day(signals: DataFrame) -> DataFrame:
+    """How many signals were created on each date."""
+    return signals.groupBy(F.to_date(at("created_at")).alias("date")).agg(F.count("*").alias("signals"))
+
+
+def newest_of_all(sources: dict[str, DataFrame], limit: int = 20, offset: int = 0) -> DataFrame:
+    """A page of the newest signals over all ledgers."""
+    return page(union_ledgers(**sources), limit=limit, offset=offset)
+
+
+def best_runs(runs: DataFrame, metric: str, top: int = 5, key: str = "run_id") -> DataFrame:
+    """The runs with the largest metric, ties by id; a missing metric comes last."""
+    return runs.orderBy(F.desc_nulls_last(metric), key).limit(top)

@@ -77,8 +77,7 @@ def flow_derived(bars: DataFrame) -> DataFrame:
 
 def volume_session_features(bars: DataFrame) -> DataFrame:
     """Volume against the mean of the up to 20 bars before it at the same hour of day (1 without any), and against the
-    mean of the 3 bars before it. Of one-hour bars or finer ones, 20 of the same hour lie within 20 days of them."""
-    from pyspark.sql import Window
+    mean of the 3 bars before it."""
 
     def step(d, w):
         before = [_lag("volume", n, w) for n in (1, 2, 3)]
@@ -86,10 +85,11 @@ def volume_session_features(bars: DataFrame) -> DataFrame:
         mean = F.try_divide(sum((F.coalesce(c, F.lit(0.0)) for c in before), F.lit(0.0)), known)
         return d.withColumn("volume_momentum_3bar", safe_divide("volume", mean, 1.0))
 
-    hour = F.pmod(F.floor(F.col("open_time") / HOUR_MS), F.lit(24))
-    same = Window.partitionBy("symbol", "_hour").orderBy("open_time").rowsBetween(-20, -1)
-    out = on_slices(bars, step, 3).withColumn("_hour", hour)
-    return out.withColumn("volume_vs_session_avg", safe_divide("volume", F.avg("volume").over(same), 1.0)).drop("_hour")
+    # numbered and sliced by symbol and hour of day
+    hour = F.concat_ws("@", "symbol", F.pmod(F.floor(F.col("open_time") / HOUR_MS), F.lit(24)))
+    out = on_slices(bars, step, 3).withColumnRenamed("bar_idx", "_bar").withColumn("_hour", hour)
+    mean = lambda d, w: d.withColumn("volume_vs_session_avg", safe_divide("volume", F.avg("volume").over(w.rowsBetween(-20, -1)), 1.0))
+    return on_slices(out, mean, 20, key="_hour").drop("bar_idx", "_hour").withColumnRenamed("_bar", "bar_idx")
 
 
 def efficiency_features(bars: DataFrame) -> DataFrame:
@@ -153,7 +153,7 @@ def vpin(trades: DataFrame, bucket_size: float, buckets: int = 50, mode: str = "
     d = on_slices(d, lambda x, w: x.withColumn("r", F.coalesce(F.ln(F.col("price") / F.lag("price").over(w)), F.lit(0.0))), 1, ts="transact_time")
     sigma = d.groupBy("symbol").agg(F.stddev_pop("r").alias("sigma"))
     d = d.withColumn("q", F.col("quantity").cast("decimal(38,9)"))
-    d = running(d, {"upto": ("sum", "q")}, order="bar_idx", span_ms=65_536).join(F.broadcast(sigma), "symbol")
+    d = running(d, {"upto": ("sum", "q")}, order="bar_idx", span_ms=65_536).join(sigma, "symbol")
     size = F.lit(bucket_size).cast("decimal(38,9)")
     first = F.floor((F.col("upto") - F.col("q")) / size).cast("long")
     last = (F.ceil(F.col("upto") / size) - 1).cast("long")
@@ -167,7 +167,7 @@ def vpin(trades: DataFrame, bucket_size: float, buckets: int = 50, mode: str = "
         chosen = whole.where(F.col("b") < buckets)
     else:
         newest = whole.groupBy("symbol").agg(F.max("b").alias("top"))
-        chosen = whole.join(F.broadcast(newest), "symbol").where(F.col("b") > F.col("top") - buckets)
+        chosen = whole.join(newest, "symbol").where(F.col("b") > F.col("top") - buckets)
     got = chosen.where("sigma > 0").groupBy("symbol").agg(F.count("*").alias("buckets"), (F.sum("gap") / (F.count("*") * bucket_size)).alias("vpin"))
     out = sigma.join(got, "symbol", "left")
     return out.select("symbol", F.coalesce("buckets", F.lit(0)).cast("long").alias("buckets"), clip(F.coalesce("vpin", F.lit(0.5)), 0.0, 1.0).alias("vpin"))

@@ -4,8 +4,10 @@ from __future__ import annotations
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from tapeloom.functions.scalar import safe_divide
 from tapeloom.operators.series import SLICE, ewm, on_slices, rolling
@@ -49,17 +51,29 @@ def adx(bars: DataFrame, period: int = 14) -> DataFrame:
     return d.drop("_true_range", "_plus_dm", "_minus_dm", "_dx")
 
 
-def atr_percentile(bars: DataFrame, lookback: int = 540) -> DataFrame:
-    """Share of the positive true ranges of the last `lookback` bars below the current one; 0.5 without any."""
+def _recurrence(x: np.ndarray, k: float, at: int, seed: float) -> np.ndarray:
+    """y = y' + k (x - y') from position `at` on, where it is seed; NaN before."""
+    out = np.full(len(x), np.nan)
+    if at < len(x):
+        out[at] = y = seed
+        for i, v in enumerate(x[at + 1 :].tolist(), at + 1):
+            out[i] = y = y + k * (v - y)
+    return out
 
-    def step(d, w):
-        seen = F.collect_list("atr").over(rolling(w, lookback))
-        d = d.withColumn("_seen", seen)
-        valid = F.size(F.filter("_seen", lambda x: x > 0))
-        below = F.expr("size(filter(_seen, x -> x > 0 and x < atr))")
-        return d.withColumn("atr_percentile", F.when(valid > 0, below / valid).otherwise(0.5)).drop("_seen")
 
-    return on_slices(bars, step, lookback, size=max(SLICE, lookback))
+def _wilder_of(x: np.ndarray, period: int, start: int, first: int) -> np.ndarray:
+    """_wilder() of a run of bars from number `first` on. A run that begins after `start` begins with its first value, which
+    has no weight left after its halo."""
+    at = max(0, start - first)
+    seed = x[max(0, at - period + 1) : at + 1].mean() if start >= first and at < len(x) else x[0]
+    return _recurrence(x, 1.0 / period, at, seed)
+
+
+def percentile_of(x: np.ndarray, lookback: int) -> np.ndarray:
+    """Share of the positive values of the last `lookback` that are below the current one; 0.5 without any."""
+    seen = np.lib.stride_tricks.sliding_window_view(np.concatenate([np.zeros(lookback - 1), x]), lookback)
+    valid = (seen > 0).sum(axis=1)
+    return np.where(valid > 0, ((seen > 0) & (seen < x[:, None])).sum(axis=1) / np.maximum(valid, 1), 0.5)
 
 
 def hurst_of(prices: np.ndarray, shortest: int = 2, longest: int = 20) -> float:
@@ -100,34 +114,62 @@ def hurst(bars: DataFrame, window: int = 300, min_bars: int = 300, every: int =
     return d.drop("_w").withColumn("_at", at).join(anchors, ["symbol", "_at"], "left").drop("_at").fillna(0.5, ["hurst"])
 
 
-def detect(bars: DataFrame, period: int = 14, lookback: int = 540, min_bars: int = 300, window: int = 300, vol_threshold: float = 0.80, trend_threshold: float = 20.0) -> DataFrame:
+def detect(bars: DataFrame, period: int = 14, lookback: int = 540, min_bars: int = 300, window: int = 300, vol_threshold: float = 0.80, trend_threshold: float = 20.0, every: int = 6) -> DataFrame:
     """regime, hurst, adx, atr_pct, atr_percentile, trend_strength, regime_confidence for every bar.
 
     high_vol where the true range ranks above vol_threshold; else, with adx above trend_threshold, trend_up or trend_down
     by the slope of an exponential mean over max(2, period // 3) bars; else range. Bars before min_bars are neutral, but
-    for adx.
+    for adx. All recurrences, ranks and exponents (every sixth bar) of a slice are worked out in one go, with a halo beyond
+    which no weight is left in a double.
     """
     slope_bars = max(2, period // 3)
-    d = atr_percentile(atr(adx(true_range(bars), period), period), lookback)
-    d = ewm(d, "close", 2.0 / (period + 1), "_ema")
-    d = hurst(d, window, min_bars)
-
-    def step(x, w):
-        return x.withColumn("_slope", F.when(F.col("bar_idx") >= slope_bars, F.col("_ema") - F.lag("_ema", slope_bars).over(w)).otherwise(F.coalesce(F.col("close") - F.lag("close").over(w), F.lit(0.0))))
-
-    d = on_slices(d, step, slope_bars)
+    made = [T.StructField(c, T.DoubleType()) for c in ("atr", "adx", "hurst", "_rank", "_slope")]
+
+    def kernel(t: pa.Table) -> pa.Table:
+        t = t.sort_by("bar_idx")
+        number = np.asarray(t["bar_idx"].combine_chunks(), np.int64)
+        high, low, close = (np.asarray(t[c].cast(pa.float64()).combine_chunks().to_numpy(zero_copy_only=False)) for c in ("high", "low", "close"))
+        first = int(number[0])
+        before = np.concatenate([[np.nan], close[:-1]])
+        up, down = np.concatenate([[0.0], np.diff(high)]), np.concatenate([[0.0], -np.diff(low)])
+        spread = np.fmax(np.fmax(high - low, np.abs(high - before)), np.abs(low - before))
+        moves = np.where((up > down) & (up > 0), up, 0.0), np.where((down > up) & (down > 0), down, 0.0)
+        atr_ = np.nan_to_num(_wilder_of(spread, period, period - 1, first))
+        with np.errstate(all="ignore"):
+            rng, plus, minus = (_wilder_of(x, period, period, first) for x in (spread, *moves))
+            plus, minus = (np.nan_to_num(x / rng, posinf=0.0) * 100.0 for x in (plus, minus))
+            index = np.nan_to_num(np.abs(plus - minus) / (plus + minus), posinf=0.0) * 100.0
+        index[number < period] = np.nan
+        adx_ = np.nan_to_num(_wilder_of(index, period, 2 * period - 1, first))
+        mean = _recurrence(close, 2.0 / (period + 1), 0, close[0])
+        ago = np.concatenate([np.full(slope_bars, np.nan), mean])[: len(mean)]
+        slope = np.where(number >= slope_bars, mean - ago, np.nan_to_num(close - before))
+        exponent, own = np.full(len(close), 0.5), np.flatnonzero(np.asarray(t["_shift"].combine_chunks()) == 0)
+        if len(own):
+            anchors = np.flatnonzero((number >= min_bars) & ((number - min_bars) % every == 0) & (np.arange(len(number)) > own[0] - every))
+            for i in anchors:
+                exponent[i : i + every] = hurst_of(close[max(0, i - window + 1) : i + 1])
+        for f, x in zip(made, (atr_, adx_, exponent, percentile_of(atr_, lookback), slope), strict=True):
+            t = t.append_column(f.name, pa.array(x))
+        return t
+
+    def step(d: DataFrame, w) -> DataFrame:
+        return d.groupBy("symbol", "_slice").applyInArrow(kernel, T.StructType([*d.schema.fields, *made]))
+
+    old = [c for c in ("atr", "adx", "hurst", "regime", "atr_pct", "atr_percentile", "trend_strength", "regime_confidence") if c in bars.columns]
+    halo = max(lookback, window) + 96 * period
+    d = on_slices(bars.drop(*old), step, halo, size=max(SLICE, halo))
     ready = F.col("bar_idx") >= min_bars
-    label = F.when(F.col("atr_percentile") > vol_threshold, "high_vol").when(F.col("adx") > trend_threshold, F.when(F.col("_slope") > 0, "trend_up").otherwise("trend_down")).otherwise("range")
+    label = F.when(F.col("_rank") > vol_threshold, "high_vol").when(F.col("adx") > trend_threshold, F.when(F.col("_slope") > 0, "trend_up").otherwise("trend_down")).otherwise("range")
     strength = F.least(F.greatest(0.4 * F.abs(F.col("hurst") - 0.5) * 2.0 + 0.6 * F.least(F.col("adx") / 50.0, F.lit(1.0)), F.lit(0.0)), F.lit(1.0))
-    kept = [c for c in d.columns if c not in ("atr_percentile", "_ema", "_slope", "true_range", "plus_dm", "minus_dm", "regime", "atr_pct", "trend_strength", "regime_confidence")]
     return d.select(
-        *kept,
+        "*",
         F.when(ready, label).otherwise("range").alias("regime"),
         F.when(ready, safe_divide(F.col("atr"), F.col("close"))).otherwise(0.0).alias("atr_pct"),
-        F.when(ready, F.col("atr_percentile")).otherwise(0.5).alias("atr_percentile"),
+        F.when(ready, F.col("_rank")).otherwise(0.5).alias("atr_percentile"),
         F.when(ready, strength).otherwise(0.0).alias("trend_strength"),
         F.when(ready, strength).otherwise(0.0).alias("regime_confidence"),
-    )
+    ).drop("_rank", "_slope")
 
 
 def statistics(bars: DataFrame) -> DataFrame:

@@ -358,7 +358,7 @@ LIQUIDATIONS_SQL = with_(
 
 def regimes(spark, d):
     x = regime.detect(T.daily(spark, d), lookback=120, min_bars=100, window=100)
-    return rounded(x.select(*KEY, "atr", "adx", "atr_pct", "atr_percentile", "regime"))
+    return rounded(x.select(*KEY, "atr", "adx", "atr_pct", "atr_percentile", "regime", "hurst", "trend_strength"))
 
 
 _WILDER = """n as (select *, row_number() over w as k, lag(close) over w as pc, high - lag(high) over w as up, lag(low) over w - low as dn from bars window w as (partition by symbol order by open_time)),
@@ -375,26 +375,47 @@ x as (select *, case when k >= 15 then coalesce(case when pi_ + mi > 0 then abs(
 y as (select *, avg(dx) over (partition by symbol order by open_time rows between 13 preceding and current row) as dx14 from x),
 z as (select symbol, open_time, k, null::double as adx from y where k = 1
   union all select y.symbol, y.open_time, y.k, case when y.k < 28 then null when y.k = 28 then y.dx14 else (z.adx * 13 + y.dx) / 14 end from z join y on y.symbol = z.symbol and y.k = z.k + 1)"""
-REGIME_SQL = with_(
+_REGIME = (
     DAILY,
     _WILDER,
     "f as (select y.symbol, y.open_time, y.k, y.close, coalesce(y.atr, 0.0) as atr, coalesce(z.adx, 0.0) as adx, case when y.k > 4 then y.ema - lag(y.ema, 4) over (partition by y.symbol order by y.k) else coalesce(y.close - lag(y.close) over (partition by y.symbol order by y.k), 0.0) end as slope from y join z using (symbol, k, open_time))",
     "h as (select *, list(atr) over (partition by symbol order by k rows between 119 preceding and current row) as seen from f)",
     "g as (select *, case when len(list_filter(seen, lambda x: x > 0)) > 0 then cast(len(list_filter(seen, lambda x: x > 0 and x < atr)) as double) / len(list_filter(seen, lambda x: x > 0)) else 0.5 end as pct from h)",
-    recursive=True,
-) + " select symbol, open_time, " + out("atr as atr", "adx as adx", "case when k > 100 then atr / close else 0.0 end as atr_pct", "case when k > 100 then pct else 0.5 end as atr_percentile") + ", case when k <= 100 then 'range' when pct > 0.8 then 'high_vol' when adx > 20 then case when slope > 0 then 'trend_up' else 'trend_down' end else 'range' end as regime from g"
+    "lab as (select symbol, open_time, k, atr, adx, case when k > 100 then atr / close else 0.0 end as atr_pct, case when k > 100 then pct else 0.5 end as atr_percentile, case when k <= 100 then 'range' when pct > 0.8 then 'high_vol' when adx > 20 then case when slope > 0 then 'trend_up' else 'trend_down' end else 'range' end as regime from g)",
+)
+_HURST = (
+    "u0 as (select symbol, open_time, close, row_number() over (partition by symbol order by open_time) - 1 as k from bars)",
+    "u1 as (select symbol, k, list(close) over (partition by symbol order by k rows between 99 preceding and current row) as p from u0)",
+    "u2 as (select symbol, k, i, ln(p[i + 1] / p[i]) as r from u1, range(1, 100) t(i) where k >= 100 and (k - 100) % 6 = 0)",
+    "u3 as (select symbol, k, l, (i - 1) // l as c, i, r, avg(r) over (partition by symbol, k, l, (i - 1) // l) as m from u2, range(2, 21) t(l) where (i - 1) // l < 99 // l)",
+    "u4 as (select *, sum(r - m) over (partition by symbol, k, l, c order by i) as walk from u3)",
+    "u5 as (select symbol, k, l, c, max(walk) - min(walk) as spread, stddev_samp(r) as dev from u4 group by 1, 2, 3, 4)",
+    "u6 as (select symbol, k, l, avg(spread / dev) as rs from u5 where dev > 0 group by 1, 2, 3)",
+    "u7 as (select symbol, k, case when count(*) >= 2 then greatest(least(regr_slope(ln(rs), ln(l)), 1.0), 0.0) else 0.5 end as h from u6 where rs > 0 group by 1, 2)",
+    "hu as (select u0.symbol, u0.open_time, u0.k, coalesce(u7.h, 0.5) as hurst from u0 left join u7 on u7.symbol = u0.symbol and u7.k = u0.k - (u0.k - 100) % 6 and u0.k >= 100)",
+)
+REGIME_SQL = with_(*_REGIME, *_HURST, recursive=True) + " select symbol, open_time, regime, " + out("atr as atr", "adx as adx", "atr_pct as atr_pct", "atr_percentile as atr_percentile", "hurst as hurst", "case when lab.k > 100 then greatest(least(0.4 * abs(hurst - 0.5) * 2 + 0.6 * least(adx / 50, 1.0), 1.0), 0.0) else 0.0 end as trend_strength") + " from lab join hu using (symbol, open_time)"
 
 
 def regime_statistics(spark, d):
     return regime.statistics(regime.detect(T.daily(spark, d), lookback=120, min_bars=100, window=100))
 
 
+STATISTICS_SQL = with_(*_REGIME, *_HURST, "by_regime as (select regime, count(*) as n, avg(hurst) as h, avg(atr_pct) as a from lab join hu using (symbol, open_time) group by 1)", recursive=True) + " select v.regime, coalesce(n, 0) as bars, round(coalesce(n, 0) * 100.0 / sum(n) over (), 2) as pct, round(coalesce(h, 0.0), 4) as mean_hurst, round(coalesce(a, 0.0), 6) as mean_atr from (values ('trend_up'), ('trend_down'), ('range'), ('high_vol')) v(regime) left join by_regime using (regime)"
+
+
 def regime_transitions(spark, d):
     return regime.transitions(regime.detect(T.daily(spark, d), lookback=120, min_bars=100, window=100))
 
 
+TRANSITIONS_SQL = with_(*_REGIME, "steps as (select regime as to_regime, lag(regime) over (partition by symbol order by k) as from_regime from lab)", recursive=True) + " select from_regime, to_regime, count(*) as n from steps where from_regime <> to_regime group by 1, 2 order by n desc, from_regime, to_regime limit 10"
+
+
 def hurst_histogram(spark, d):
-    return regime.histogram(regime.hurst(T.daily(spark, d), 100, 100), "hurst")
+    return rounded(regime.histogram(regime.hurst(T.daily(spark, d), 100, 100), "hurst"))
+
+
+HISTOGRAM_SQL = with_(DAILY, *_HURST, "e as (select min(hurst) as lo, max(hurst) as hi from hu)", "x as (select least(floor((hurst - lo) * 10 / (hi - lo)), 9)::int as bin, count(*) as n from hu, e group by 1)") + " select b::int as bin, " + out("lo + (hi - lo) * b / 10 as bin_start") + ", coalesce(n, 0) as n from range(10) t(b) cross join e left join x on x.bin = b"
 
 
 def vpin(spark, d):
@@ -446,9 +467,9 @@ QUERIES = {
     "mtf_15m": (mtf_15m, MTF_15M_SQL),
     "intrabar_4h": (intrabar_4h, INTRABAR_SQL),
     "regime_labels": (regimes, REGIME_SQL),
-    "regime_statistics": (regime_statistics, None),
-    "regime_transitions": (regime_transitions, None),
-    "hurst_histogram": (hurst_histogram, None),
+    "regime_statistics": (regime_statistics, STATISTICS_SQL),
+    "regime_transitions": (regime_transitions, TRANSITIONS_SQL),
+    "hurst_histogram": (hurst_histogram, HISTOGRAM_SQL),
     "vpin": (vpin, VPIN_SQL),
     "funding_settlements": (settlement_rates, SETTLEMENTS_SQL),
 }

@@ -484,7 +484,7 @@ def _trial_returns(spark, d):
 
     x = on_slices(x, lambda y, w: y.withColumn("ret", F.ln(F.col("close") / F.lag("close").over(w))), 1).where("ret is not null")
     n = x.groupBy("symbol").agg(F.count("*").alias("total"))
-    return x.join(F.broadcast(n), "symbol").select(F.col("symbol").alias("trial"), (F.col("bar_idx") - 1).alias("idx"), "total", "ret")
+    return x.join(n, "symbol").select(F.col("symbol").alias("trial"), (F.col("bar_idx") - 1).alias("idx"), "total", "ret")
 
 
 def deflated_sharpe(spark, d):
@@ -592,6 +592,64 @@ def range_scan(spark, d):
 SCAN_SQL = with_(DAILY) + " select symbol, open_time, round(close, 6) + 0.0 as close, volume from bars where symbol = 'NO' and open_time between 852076800000 and 883612800000"
 
 
+def meta_dataset(spark, d):
+    b = T.daily(spark, d).withColumn("atr_pct", F.lit(0.01))
+    b = b.withColumn("regime", F.element_at(F.array(*(F.lit(r) for r in ("trend_up", "trend_down", "range", "high_vol"))), (F.col("trade_count") % 4 + 1).cast("int")))
+    score = lambda rows, name: rows.withColumn("p_up", 0.3 + F.pmod(F.floor(F.col("close")) + F.col("trade_count"), F.lit(50)) / 100.0)
+    return rounded(jobs.meta_summary(jobs.meta_dataset(b, score)))
+
+
+def _barrier_sql(name: str, up: float, down: float, h: int, regimes: str) -> str:
+    hits = ", ".join(f"case when lead(close, {k}) over w >= close * (1 + {up} * 0.01) then {k} when lead(close, {k}) over w <= close * (1 - {down} * 0.01) then -{k} end" for k in range(1, h + 1))
+    return f"select '{name}' as base_regime, symbol, regime, p, ahead[coalesce(abs(hit), {h})] / close - 1 as ret from (select *, coalesce({hits}) as hit, lead(close, {h}) over w as f, list(close) over (partition by symbol order by open_time rows between 1 following and {h} following) as ahead from rb {W}) where f is not null and regime in ({regimes})"
+
+
+META_SUMMARY_SQL = with_(
+    DAILY,
+    "rb as (select *, ['trend_up', 'trend_down', 'range', 'high_vol'][trade_count % 4 + 1] as regime, 0.3 + cast((cast(floor(close) as bigint) + trade_count) % 50 as double) / 100.0 as p from bars)",
+    "m as (" + _barrier_sql("trend", 1.25, 1.0, 4, "'trend_up', 'trend_down'") + " union all " + _barrier_sql("high_vol", 1.25, 1.0, 6, "'high_vol'") + ")",
+    "n as (select *, ret * case when p >= 0.5 then 1 else -1 end - 0.0006 as net, greatest(p, 1 - p) as conf from m)",
+) + " select base_regime, symbol, count(*) as rows, count(*) filter (net > 0) as good, " + out("100.0 * count(*) filter (net > 0) / count(*) as good_pct", "avg(conf) as mean_confidence", "avg(net) as mean_net", "stddev_samp(net) as std_net") + " from n group by grouping sets ((), (base_regime), (symbol))"
+
+
+def pending_payments(spark, d):
+    return ledger.pending_payments(T.payments(spark, d), "stars").select("payment_id", "amount_usd", "created_at")
+
+
+PENDING_SQL = with_(PAYMENTS) + " select payment_id, amount_usd, created_at from payments where status = 'pending' and method = 'stars'"
+
+
+def users_by_role(spark, d):
+    return ledger.users_by_role(T.users(spark, d), "premium")
+
+
+ROLE_SQL = with_(USERS) + " select * from users where role = 'premium' and not banned"
+
+
+def created_per_day(spark, d):
+    return ledger.created_per_day(T.signals(spark, d))
+
+
+CREATED_SQL = with_(SIGNALS) + " select cast(make_timestamp(created_at * 1000) as date) as date, count(*) as signals from signals group by 1"
+
+
+def newest_of_all(spark, d):
+    s = T.signals(spark, d)
+    parts = {f"ledger_{x}": s.where(F.col("timeframe") == x) for x in ("15m", "1h", "4h")}
+    return ledger.newest_of_all(parts, 25, 5).select("source", "id", "symbol", "created_at")
+
+
+NEWEST_SQL = with_(SIGNALS) + " select 'ledger_' || timeframe as source, id, symbol, created_at from signals where timeframe is not null order by created_at desc, id desc limit 25 offset 5"
+
+
+def best_runs(spark, d):
+    runs = T.table(spark, d, "customer").select(F.col("c_custkey").alias("run_id"), F.col("c_acctbal").alias("sharpe_ratio"))
+    return ledger.best_runs(runs, "sharpe_ratio", 5)
+
+
+BEST_SQL = "select c_custkey as run_id, c_acctbal as sharpe_ratio from customer order by c_acctbal desc, c_custkey limit 5"
+
+
 def daily_stats(spark, d):
     return ledger.daily_stats(T.signals(spark, d)).select("timeframe", "date", "trades", "wins", F.round("pnl_pct", 6).alias("pnl_pct"))
 
@@ -643,6 +701,12 @@ QUERIES = {
     "win_rate_t": (win_rate_t, WIN_T_SQL),
     "symbol_counts": (symbols, SYMBOL_SQL),
     "mean_funding": (mean_funding, FUND_MEAN_SQL),
+    "meta_dataset": (meta_dataset, META_SUMMARY_SQL),
+    "pending_payments": (pending_payments, PENDING_SQL),
+    "users_by_role": (users_by_role, ROLE_SQL),
+    "signals_per_day": (created_per_day, CREATED_SQL),
+    "newest_of_all_ledgers": (newest_of_all, NEWEST_SQL),
+    "best_runs": (best_runs, BEST_SQL),
     "dataset_daily": (dataset_4h, None),
     "dataset_15m": (dataset_15m, None),
     "random_entries": (random_entries, None),

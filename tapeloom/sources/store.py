@@ -94,7 +94,7 @@ def stride_sample(trades: DataFrame, start_ms: int, end_ms: int, k: int) -> Data
 
     d = index_bars(trades.where(F.col("transact_time").between(start_ms, end_ms)), "symbol", "transact_time")
     n = d.groupBy("symbol").agg(F.count("*").alias("_n"))
-    d = d.join(F.broadcast(n), "symbol")
+    d = d.join(n, "symbol")
     return d.where(F.col("bar_idx") % F.ceil(F.col("_n") / F.lit(k)) == 0).drop("_n", "bar_idx")
 
 
@@ -111,7 +111,7 @@ def deduplicated(*parts: DataFrame) -> DataFrame:
 def better_source(local: DataFrame, other: DataFrame, end_ms: int, bar_ms: int) -> DataFrame:
     """Per symbol the local bars if they reach to within two bars of the end, else the other source's."""
     ok = local.groupBy("symbol").agg((F.max("open_time") >= end_ms - 2 * bar_ms).alias("_ok")).where("_ok").select("symbol")
-    return local.join(F.broadcast(ok), "symbol", "left_semi").unionByName(other.join(F.broadcast(ok), "symbol", "left_anti"), allowMissingColumns=True)
+    return local.join(ok, "symbol", "left_semi").unionByName(other.join(ok, "symbol", "left_anti"), allowMissingColumns=True)
 
 
 def inventory(spark: SparkSession, root: str, data_type: str) -> DataFrame:

@@ -7,7 +7,7 @@ import statistics
 import pytest
 from pyspark.sql import functions as F
 
-from tapeloom.operators import audit, backtest, bars, derivs, labels, ledger, models, regime, risk, session, validation
+from tapeloom.operators import audit, backtest, bars, derivs, jobs, labels, ledger, models, regime, risk, session, validation
 from tapeloom.sources import store
 from tapeloom.streaming import streams
 
@@ -271,3 +271,29 @@ def test_a_replayed_epoch_changes_nothing(spark, tmp_dir):
     run(batch(3, 4), 1)
     assert spark.read.parquet(f"{tmp_dir}/t").count() == 4
     assert sorted((r["epoch"], r["open_time"] // HOUR, r["n"]) for r in spark.read.parquet(f"{tmp_dir}/o").collect()) == [(0, 2, 2), (1, 4, 3)]
+
+
+def test_meta_model_learns_when_the_base_model_is_right(spark):
+    rng = random.Random(4)
+    rows = []
+    for k in range(1200):
+        x, p = rng.random(), rng.random()
+        right = rng.random() < (0.9 if x > 0.5 else 0.15)
+        up = p >= 0.5
+        rows.append(("X" if k % 2 else "Y", (k // 2) * HOUR, x, p, (0.01 if up == right else -0.01), "trend_up"))
+    d = labels.meta_labels(spark.createDataFrame(rows, "symbol string, open_time long, x double, p_up double, future_return double, regime string"), 0.0006)
+    _, report, table = jobs.meta_model(d, ["x", "hour_sin"], 0.7)
+    r = report.first()
+    assert r["test_rows"] == 360 and r["auc"] > 0.8
+    t = {x["threshold"]: x for x in table.collect()}
+    assert t[0.6]["win_rate"] > 0.75 > r["win_rate"] / 100 and 0 < t[0.6]["n_taken"] < 300
+    split = jobs.split_by_time(d, 0.7).groupBy("role").agg(F.count("*").alias("n"), F.min("open_time").alias("a"), F.max("open_time").alias("b"))
+    s = {x["role"]: x for x in split.collect()}
+    assert s["train"]["n"] == 840 and s["train"]["b"] < s["test"]["a"]
+
+
+def test_no_registered_query_is_empty(spark):
+    from tapeloom.plans import registry
+
+    empty = [n for n, f in registry.queries().items() if f(spark, "/root/testdata/sf0.01").isEmpty()]
+    assert not empty
