@@ -85,7 +85,11 @@ def document_statistics(docs: DataFrame, id_col: str, text: str) -> DataFrame:
 
 @dataclass
 class Model:
-    """Per class: log prior, mean, inverse of the Cholesky factor of its shrunk covariance, log of its determinant."""
+    """Per class: log prior, mean, inverse of the Cholesky factor of its shrunk covariance, log of its determinant.
+
+    temperature divides the difference of the log densities before it becomes a probability: the statistics of a text hang
+    together, so that the densities alone would be far too sure of themselves. It moves no score across 0.5.
+    """
 
     classes: dict[int, tuple[float, np.ndarray, np.ndarray, float]]
     base: float

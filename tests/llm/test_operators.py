@@ -626,6 +626,25 @@ def test_quality_on_held_out_rows(spark):
     assert quality.score_quality(frame(spark, []), labels, ~held).count() == 0
 
 
+def test_quality_scores_are_differences_of_log_densities():
+    """Scores against densities worked out without Cholesky factors, from covariances shrunk as the docstring says."""
+    rng = np.random.default_rng(8)
+    x = {0: rng.normal(size=(200, quality.SIZE)) @ rng.normal(size=(quality.SIZE, quality.SIZE)) * 0.3, 1: rng.normal(size=(350, quality.SIZE)) + 0.5}
+    sums = {c: (len(v), v.sum(axis=0), v.T @ v) for c, v in x.items()}
+    model = quality.fit(sums, own=0.7, ridge=0.15)
+    cov = {c: np.cov(v.T, bias=True) for c, v in x.items()}
+    pooled = sum(len(v) * cov[c] for c, v in x.items()) / 550
+    rows, side = rng.normal(size=(50, quality.SIZE)), []
+    for c, v in x.items():
+        share = 0.7 * len(v) / (len(v) + quality.SIZE)
+        s = share * cov[c] + (1 - share) * pooled
+        s = 0.85 * s + 0.15 * np.diag(np.diag(s)) + 1e-4 * np.eye(quality.SIZE)
+        d = rows - v.mean(axis=0)
+        side.append(np.log(len(v) / 550) - 0.5 * (np.einsum("ij,ij->i", d @ np.linalg.inv(s), d) + np.linalg.slogdet(s)[1]))
+    want = 1 / (1 + np.exp(-np.clip((side[1] - side[0]) / model.temperature, -500, 500)))
+    assert np.allclose(model.score(rows), want, rtol=1e-6, atol=1e-12)
+
+
 def test_toxicity_on_held_out_rows_and_misspellings(spark):
     docs, labels = labelled(spark)
     held = common.is_held_out("doc_id", 4, 2)
