@@ -67,6 +67,11 @@ def uniqueness_weights(spans: DataFrame, first: str = "_bar_idx", last: str = "t
     return rows.join(mean, "symbol").withColumn("weight", safe_divide("_u", "_m", 1.0)).drop("_u", "_m")
 
 
+def weight_summary(rows: DataFrame, by: list[str] | None = None) -> DataFrame:
+    """Rows, and the least, largest and mean weight."""
+    return rows.groupBy(*(by or [])).agg(F.count("*").alias("rows"), F.min("weight").alias("min_weight"), F.max("weight").alias("max_weight"), F.avg("weight").alias("mean_weight"))
+
+
 def temporal_split(rows: DataFrame, cut_ms, embargo: int = 24) -> DataFrame:
     """role 'train' before the cut and 'test' from it on; the last `embargo` training rows of each symbol go."""
     cut = F.lit(cut_ms) if isinstance(cut_ms, int) else cut_ms

@@ -50,14 +50,22 @@ def uniqueness_weights(spark, d):
     return rounded(labels.uniqueness_weights(rows).select("symbol", "open_time", "weight"))
 
 
-WEIGHTS_SQL = with_(
+_WEIGHTS = (
     DAILY,
     _BARRIER,
     "s as (select * from tb where label <> 0)",
     "l as (select symbol, open_time, unnest(range(k, t1 + 1)) as t from s)",
     "c as (select symbol, t, count(*) as c from l group by 1, 2)",
     "u as (select symbol, open_time, avg(1.0 / c) as u from l join c using (symbol, t) group by 1, 2)",
-) + " select symbol, open_time, round(u / avg(u) over (partition by symbol), 6) + 0.0 as weight from u"
+)
+WEIGHTS_SQL = with_(*_WEIGHTS) + " select symbol, open_time, round(u / avg(u) over (partition by symbol), 6) + 0.0 as weight from u"
+
+
+def weight_summary(spark, d):
+    return rounded(labels.weight_summary(labels.uniqueness_weights(labels.target_rows(_barrier(spark, d))), ["symbol"]))
+
+
+WEIGHT_SUMMARY_SQL = with_(*_WEIGHTS, "ws as (select symbol, u / avg(u) over (partition by symbol) as w from u)") + " select symbol, count(*) as rows, " + out("min(w) as min_weight", "max(w) as max_weight", "avg(w) as mean_weight") + " from ws group by 1"
 
 CUT = 852_076_800_000  # 1997-01-01
 
@@ -661,6 +669,7 @@ QUERIES = {
     "triple_barrier": (triple_barrier, BARRIER_SQL),
     "label_statistics": (label_statistics, LABEL_STATS_SQL),
     "uniqueness_weights": (uniqueness_weights, WEIGHTS_SQL),
+    "weight_summary": (weight_summary, WEIGHT_SUMMARY_SQL),
     "temporal_split": (temporal_split, SPLIT_SQL),
     "default_cut": (default_cut, CUT_SQL),
     "purged_folds": (purged_folds, FOLDS_SQL),

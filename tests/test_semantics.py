@@ -7,6 +7,7 @@ import statistics
 import pytest
 from pyspark.sql import functions as F
 
+from tapeloom.functions import scalar
 from tapeloom.operators import audit, backtest, bars, derivs, jobs, labels, ledger, models, regime, risk, session, validation
 from tapeloom.sources import store
 from tapeloom.streaming import streams
@@ -273,6 +274,11 @@ def test_a_replayed_epoch_changes_nothing(spark, tmp_dir):
     assert sorted((r["epoch"], r["open_time"] // HOUR, r["n"]) for r in spark.read.parquet(f"{tmp_dir}/o").collect()) == [(0, 2, 2), (1, 4, 3)]
 
 
+def test_open_times_of_close_times(spark):
+    d = spark.createDataFrame([(HOUR - 1,), (HOUR,), (2 * HOUR - 1,)], "t long").select(scalar.bar_open_of_close("t", HOUR).alias("o"))
+    assert [r["o"] for r in d.collect()] == [0, 0, HOUR]
+
+
 def test_meta_model_learns_when_the_base_model_is_right(spark):
     rng = random.Random(4)
     rows = []
