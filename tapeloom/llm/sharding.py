@@ -60,7 +60,8 @@ def shard(docs: DataFrame, limit_bytes: int, id_col: str = "doc_id", text: str =
 
 
 def write_shards(docs: DataFrame, path: str, limit_bytes: int, id_col: str = "doc_id", text: str = "text", columns: tuple[str, ...] = ()) -> None:
-    """Write the shards of docs as Parquet, a folder shard=... for each, with id, text and the named columns. A task writes
-    whole shards, each of which holds limit_bytes at most, but for those that can't be split (see `shard`)."""
+    """Write the shards of docs as Parquet, a folder shard=b<bits> for each, with id, text and the named columns. A task
+    writes whole shards, each of which holds limit_bytes at most, but for those that can't be split (see `shard`)."""
     placed = shard(docs, limit_bytes, id_col, text, columns=(text, *columns))
-    placed.select(id_col, text, *columns, "shard").repartition("shard").write.partitionBy("shard").parquet(path)
+    named = F.concat(F.lit("b"), "shard").alias("shard")  # bits alone would be read back as numbers
+    placed.select(id_col, text, *columns, named).repartition("shard").write.partitionBy("shard").parquet(path)
