@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tapeloom.llm import decontamination, neardup, packing, pii, quality, search, sharding, tokens, toxicity, warc
+from tapeloom.llm import bloomlm, decontamination, lexical, neardup, packing, pii, quality, search, sharding, tokens, toxicity, turns, warc
 from tapeloom.llm.common import is_held_out, table
 
 #: Small enough for the test tables to have many shards.
@@ -73,6 +73,24 @@ def op10_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(table(spark, sf_dir, "documents"), tokenizer_path(), size=4096, end_id=2).drop("ids")
 
 
+def op11_lexical_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The 20 best documents of every benchmark item."""
+    return lexical.search(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"), k=20)
+
+
+def op12_lm_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Log10 probabilities of all documents, learned from those not held out."""
+    held = is_held_out("doc_id", 5, 1)
+    scored = bloomlm.score_texts(table(spark, sf_dir, "documents"), ~held)
+    return scored.select("doc_id", held.alias("held_out"), "n_tokens", "n_known", "train_tokens", "base_score", "score")
+
+
+def op13_conversation_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All conversations, damaged by rule and repaired."""
+    rows = table(spark, sf_dir, "conversations")
+    return turns.repair(turns.damage(rows), rows)
+
+
 def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
     import corpus_pipeline
 
@@ -80,7 +98,7 @@ def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict:
-    return {f.__name__: f for f in (op1_exact_topk, op2_pii, op3_quality, op4_token_counts, op5_toxicity, op6_near_duplicates, op7_decontamination, op8_sharding, op9_warc, op10_packing, pipeline)}
+    return {f.__name__: f for f in (op1_exact_topk, op2_pii, op3_quality, op4_token_counts, op5_toxicity, op6_near_duplicates, op7_decontamination, op8_sharding, op9_warc, op10_packing, op11_lexical_search, op12_lm_scores, op13_conversation_repair, pipeline)}
 
 
 _OP1 = """
@@ -169,5 +187,69 @@ from b
 """
 
 
+_WORDS11 = r"list_filter(regexp_split_to_array(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+'), lambda x: x <> '')"
+_OP11 = f"""
+with d as (select row_number() over () as r, doc_id, {_WORDS11} as w from documents),
+i as (select row_number() over () as i, item_id, {_WORDS11} as w from benchmark),
+whole as (select count(*) as n, cast(sum(len(w)) as bigint) as l from d where len(w) > 0),
+asked as (select i, item_id, t, count(*) as k from (select i, item_id, unnest(w) as t from i) x group by all),
+held as (select r, doc_id, n, t, count(*) as tf from (select r, doc_id, len(w) as n, unnest(w) as t from d) x where t in (select t from asked) group by all),
+weight as (select t, cast(floor(1000 * ln(cast(2 * n + 2 as double) / (2 * df + 1))) as bigint) as w from (select t, count(*) as df from held group by t) f, whole),
+scored as (
+  select i, item_id, r, doc_id, cast(sum(k * weight.w * ((1000000000 * tf) // (1000 * tf + 12 * (75 + (25 * held.n * whole.n) // whole.l)))) as bigint) as score
+  from asked join held using (t) join weight using (t), whole group by all)
+select item_id, cast(rank as integer) as rank, doc_id, score
+from (select *, row_number() over (partition by i order by score desc, doc_id nulls last) as rank from scored where score > 0) s
+where rank <= 20
+"""
+
+_STATES = "(values (0, 'u', 0), (1, 'u', 2), (2, 'a', 1), (3, 'u', 0)) g(state, want, closing)"  # nothing, after s, after u, after a
+_OP13 = r"""
+with recursive crc(i, c, k) as (select i, i, 0 from range(256) t(i) union all select i, case when c & 1 = 1 then xor(c >> 1, 3988292384) else c >> 1 end, k + 1 from crc where k < 8),
+codes as (select list(c order by i) as tab from crc where k = 8),
+src as (select row_number() over () as r, conv_id, turn, coalesce(role, ' ') as role, coalesce(text, ' ') as text,
+  coalesce(cast(conv_id as varchar), ' ') || ':' || coalesce(cast(turn as varchar), ' ') as key from conversations),
+kinds as (select src.*, xor(list_reduce(list_concat([4294967295], list_transform(string_split(key, ''), lambda x: cast(ascii(x) as bigint))),
+  lambda h, x: xor(h >> 8, tab[(xor(h, x) & 255) + 1])), 4294967295) % 20 as kind from src, codes),
+hurt as (select r * 2 + copy as r, conv_id, turn, case when kind = 4 then 'user' else role end as role,
+  case when kind = 1 then '' when kind = 2 then regexp_replace(text, '[.!?]', '', 'g') else text end as text
+  from kinds, range(2) t(copy) where kind <> 0 and (copy = 0 or kind = 3)),
+placed as (select *, row_number() over (partition by conv_id order by turn nulls first, r) as i,
+  row_number() over (partition by conv_id, role, text order by turn nulls first, r) > 1 as again from hurt),
+flagged as (select *, case when not regexp_matches(text, '[^\x20\x09-\x0D]') then 'b' when again then 'd'
+  when not regexp_matches(text, '[.!?][\x20\x09-\x0D]*\z') then 't' else '-' end as f from placed),
+convs as (select row_number() over () as c, conv_id from (select distinct conv_id from conversations) x),
+t as (select convs.c, f.i, substr(f.role, 1, 1) as ini, f.role, f.text, f.f in ('b', 'd') as bad, case when f.f = 't' then 3 else 0 end as extra
+  from flagged f join convs on f.conv_id is not distinct from convs.conv_id),
+ways(c, i, state, way) as (
+  select c, 0, 0, {'cost': 0, 'audit': '', 'made': ''} from convs
+  union all
+  select c, i, state, min(way) from (
+    select w.c, t.i, o.state, {'cost': w.way.cost + o.cost, 'audit': w.way.audit || o.edits, 'made': w.way.made || o.made} as way
+    from ways w join t on t.c = w.c and t.i = w.i + 1 join """ + _STATES + r""" on g.state = w.state,
+    lateral (
+      select w.state as state, 4 as cost, 'D' as edits, '' as made
+      union all select case g.want when 'u' then 2 else 3 end, t.extra, 'K', t.role || ':' || t.text || chr(10) where not t.bad and t.ini = g.want
+      union all select 1, t.extra, 'K', t.role || ':' || t.text || chr(10) where not t.bad and t.ini = 's' and w.state = 0
+      union all select case g.want when 'u' then 2 else 3 end, 3 + t.extra, 'R', case g.want when 'u' then 'user:' else 'assistant:' end || t.text || chr(10) where not t.bad and t.ini <> g.want
+      union all select case g.want when 'u' then 3 else 2 end, 3 + t.extra, 'IK', case g.want when 'u' then 'user:' else 'assistant:' end || chr(10) || t.role || ':' || t.text || chr(10)
+        where not t.bad and t.ini in ('u', 'a') and t.ini <> g.want
+      union all select case g.want when 'u' then 3 else 2 end, 6 + t.extra, 'IR', case g.want when 'u' then 'user:' || chr(10) || 'assistant:' else 'assistant:' || chr(10) || 'user:' end || t.text || chr(10)
+        where not t.bad and t.ini not in ('u', 'a')
+      union all select case g.want when 'u' then 2 else 3 end, 7, 'ID', case g.want when 'u' then 'user:' else 'assistant:' end || chr(10)) o) x
+  group by c, i, state),
+ends as (select w.c, min({'cost': w.way.cost + 3 * g.closing, 'audit': w.way.audit || repeat('I', g.closing),
+    'made': w.way.made || case g.closing when 2 then 'user:' || chr(10) || 'assistant:' || chr(10) when 1 then 'assistant:' || chr(10) else '' end}) as way
+  from ways w join (select c, count(*) as n from t group by c) k on k.c = w.c and k.n = w.i join """ + _STATES + r""" on g.state = w.state group by w.c),
+near as (select conv_id, substr(role, 1, 1) as x, lag(substr(role, 1, 1)) over (partition by conv_id order by i) as y, i from flagged),
+bad as (select conv_id, count(*) as illegal from near where i > 1 and coalesce(y, '') || coalesce(x, '') not in ('su', 'ua', 'au') group by conv_id),
+sums as (select conv_id, max(turn) - min(turn) + 1 - count(distinct turn) as gaps, count(*) filter (f = 'b') as b, count(*) filter (f = 'd') as d, count(*) filter (f = 't') as t from flagged group by conv_id)
+select convs.conv_id, cast(coalesce(gaps, 0) as bigint) as gaps, coalesce(b, 0) as blank, coalesce(d, 0) as duplicate, coalesce(sums.t, 0) as truncated,
+  coalesce(illegal, 0) as illegal, cast(coalesce(e.way.cost, 0) as bigint) as cost, coalesce(e.way.audit, '') as audit,
+  sha256(coalesce(substr(e.way.made, 1, greatest(length(e.way.made) - 1, 0)), '')) as repaired_sha256
+from convs left join sums on sums.conv_id is not distinct from convs.conv_id left join bad on bad.conv_id is not distinct from convs.conv_id left join ends e on e.c = convs.c
+"""
+
+
 def oracle_sql() -> dict[str, str]:
-    return {"op1_exact_topk": _OP1, "op6_near_duplicates": _OP6, "op7_decontamination": _OP7, "op8_sharding": _OP8, "op9_warc": _OP9}
+    return {"op11_lexical_search": _OP11, "op13_conversation_repair": _OP13, "op1_exact_topk": _OP1, "op6_near_duplicates": _OP6, "op7_decontamination": _OP7, "op8_sharding": _OP8, "op9_warc": _OP9}
