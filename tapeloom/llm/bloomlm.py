@@ -32,7 +32,7 @@ HEAD = 1 << 19
 CHUNK, HOLD = 2 << 20, 4_000_000
 #: Quantisation: counts of one level differ by this factor at most. Hash functions of the filter: an absent entry is found
 #: with probability 2 ** -HASHES.
-BASE, HASHES = 1.5, 8
+BASE, HASHES = 1.5, 6
 #: Weight of the distribution of single words in that of a word's followers, in counts.
 PRIOR = 300.0
 
@@ -233,13 +233,14 @@ def filter_blocks(texts: DataFrame, words: DataFrame, depth: int) -> DataFrame:
 class Segment:
     """Some blocks of a filter, for probing. Blocks that aren't among them hold nothing."""
 
-    def __init__(self, depth: int, blocks: list[tuple[int, int, bytes]]):
+    def __init__(self, depth: int, blocks, n_bytes: int):
+        """blocks: (block, bits in number, bits), n_bytes in all; one after another, so that nothing is held twice."""
         self.depth, self.size, self.first = depth, np.zeros(1 << depth, np.int64), np.zeros(1 << depth, np.int64)
-        at = 0
+        self.data, at = np.zeros(n_bytes, np.uint8), 0
         for k, n_bits, bits in blocks:
             self.size[k], self.first[k] = n_bits, 8 * at
+            self.data[at : at + len(bits)] = np.frombuffer(bits, np.uint8)
             at += len(bits)
-        self.data = np.frombuffer(b"".join(bits for _, _, bits in blocks), np.uint8)
 
     def levels(self, keys: np.ndarray, most: int) -> np.ndarray:
         """The level of each key: the last q for which (key, 1) to (key, q) are all found."""
@@ -309,8 +310,9 @@ def score_texts(docs: DataFrame, train, id_col: str = "doc_id", text: str = "tex
     exact = spark.sparkContext.broadcast((keys, top["c"].to_numpy(np.int64)[order]))
 
     def segment(first: int, last: int):
-        got = blocks.where((F.col("block") >= first) & (F.col("block") <= last)).select("block", "n_bits", "bits").orderBy("block").toArrow()  # at most segment_bytes
-        return spark.sparkContext.broadcast(Segment(depth, [(r["block"], r["n_bits"], r["bits"]) for r in got.to_pylist()]))
+        n_bytes = sum((n_bits + 7) // 8 for k, n_bits in sizes if first <= k <= last)  # at most segment_bytes
+        got = blocks.where((F.col("block") >= first) & (F.col("block") <= last)).select("block", "n_bits", "bits")
+        return spark.sparkContext.broadcast(Segment(depth, map(tuple, got.toLocalIterator()), n_bytes))
 
     def found(part, h, back, known):
         """Levels of words and pairs: what this segment has, or else what an earlier one had."""
