@@ -27,7 +27,7 @@ SEGMENT_BYTES = 128 << 20
 #: Training tokens of a block, about: a block's n-grams are gathered in one task.
 BLOCK_TOKENS = 500_000
 #: Most frequent words whose exact counts go to every task, at most.
-HEAD = 1 << 19
+HEAD = 1 << 18
 #: Bytes of text turned into hashes at once, and tokens counted before their counts are sent.
 CHUNK, HOLD = 2 << 20, 4_000_000
 #: Quantisation: counts of one level differ by this factor at most. Hash functions of the filter: an absent entry is found
@@ -154,6 +154,17 @@ def word_counts(texts: DataFrame) -> DataFrame:
     return texts.mapInArrow(count, "h long, c long").groupBy("h").agg(F.sum("c").alias("c"))
 
 
+def frequent(words: DataFrame, most: int) -> DataFrame:
+    """The words whose count reaches the least power of two that at most `most` words reach."""
+    power = F.floor(F.log2("c"))
+    kept, least = 0, 63
+    for r in words.groupBy(power.alias("p")).agg(F.count("*").alias("n")).orderBy(F.desc("p")).collect():  # a row per power of two
+        if kept + r["n"] > most:
+            break
+        kept, least = kept + r["n"], r["p"]
+    return words.where(power >= least)
+
+
 def _bounds() -> np.ndarray:
     """The smallest count of each level."""
     return np.asarray([math.ceil(BASE**q) for q in range(int(62 * math.log(2) / math.log(BASE)))], np.int64)
@@ -304,10 +315,11 @@ def score_texts(docs: DataFrame, train, id_col: str = "doc_id", text: str = "tex
     most = max((q for _, q in means), default=0)
     mean = [np.zeros(most + 2)] + [np.asarray([0.0] + [means.get((kind, q), float(_bounds()[q - 1])) for q in range(1, most + 2)]) for kind in (1, 2)]
     starts = float(words.where(F.col("h") == int(END.view(np.int64)[0])).agg(F.coalesce(F.sum("c"), F.lit(0))).first()[0])
-    top = words.orderBy(F.desc("c"), "h").limit(head).toPandas()  # at most `head` rows
-    keys, order = np.sort(top["h"].to_numpy(np.int64).view(_U)), np.argsort(top["h"].to_numpy(np.int64).view(_U))
+    top = frequent(words, head).toArrow()  # at most `head` rows
+    keys, counts = top["h"].to_numpy().view(_U), top["c"].to_numpy()
+    order = np.argsort(keys)
     share = math.log10(n + 0.5 * (v + 1))
-    exact = spark.sparkContext.broadcast((keys, top["c"].to_numpy(np.int64)[order]))
+    exact = spark.sparkContext.broadcast((keys[order], counts[order]))
 
     def segment(first: int, last: int):
         n_bytes = sum((n_bits + 7) // 8 for k, n_bits in sizes if first <= k <= last)  # at most segment_bytes
