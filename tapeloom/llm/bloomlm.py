@@ -23,13 +23,13 @@ from pyspark.sql import types as T
 from tapeloom.llm.common import materialise
 
 #: A segment of the filter, what is broadcast at once, has at most this many bytes (one block at least).
-SEGMENT_BYTES = 128 << 20
+SEGMENT_BYTES = 64 << 20
 #: Training tokens of a block, about: a block's n-grams are gathered in one task.
 BLOCK_TOKENS = 500_000
 #: Most frequent words whose exact counts go to every task, at most.
 HEAD = 1 << 18
 #: Bytes of text turned into hashes at once, and tokens counted before their counts are sent.
-CHUNK, HOLD = 2 << 20, 4_000_000
+CHUNK, HOLD = 1 << 20, 4_000_000
 #: Quantisation: counts of one level differ by this factor at most. Hash functions of the filter: an absent entry is found
 #: with probability 2 ** -HASHES.
 BASE, HASHES = 1.5, 6
@@ -393,8 +393,14 @@ def score_texts(docs: DataFrame, train, id_col: str = "doc_id", text: str = "tex
     now, parts = rows.select("_row", "_id", "_text"), segments(sizes, segment_bytes)
     held = T.StructType([*now.schema.fields, T.StructField("one", T.BinaryType()), T.StructField("two", T.BinaryType())])
     for first, last in parts[:-1]:
-        now = materialise(now.mapInArrow(look(segment(first, last)), held), "levels")
-    scored = materialise(now.mapInArrow(final(segment(*parts[-1]) if parts else None), schema), "scored")
+        part = segment(first, last)
+        now = materialise(now.mapInArrow(look(part), held), "levels")
+        part.destroy()  # the pass is written: the workers make room for the next segment
+    part = segment(*parts[-1]) if parts else None
+    scored = materialise(now.mapInArrow(final(part), schema), "scored")
+    for sent in (part, exact):
+        if sent:
+            sent.destroy()
     own = scored.where("h is null").select("_row", "_id", F.col("k").alias("n"), "known", "base", "score")
     rare = scored.where("h is not null").join(words, "h", "left")
     base = F.col("k") * (F.log10(F.coalesce("c", F.lit(0)) + 0.5) - share)
