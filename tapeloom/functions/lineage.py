@@ -5,20 +5,26 @@ from __future__ import annotations
 import tempfile
 import uuid
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 
 
-def cut(df: DataFrame, name: str = "cut") -> DataFrame:
-    """df as a written table under spark.checkpoint.dir, so that what builds on it more than once doesn't run what is before
-    it again. The files outlive the loss of executors. Where the setting is missing, a local session (tests) gets a temporary
-    folder; on a cluster, whose executors would each write to their own disk, that is an error."""
-    spark = df.sparkSession
+def scratch(spark: SparkSession, name: str) -> str:
+    """A new path under spark.checkpoint.dir, the folder that the driver and all executors share. Where the setting is missing,
+    a local session (tests) gets a temporary folder; on a cluster, whose executors would each write to their own disk, that is
+    an error."""
     root = spark.conf.get("spark.checkpoint.dir", None)
     if not root:
         if not spark.sparkContext.master.startswith("local"):
             raise RuntimeError("spark.checkpoint.dir must name a folder that the driver and all executors share")
         root = tempfile.mkdtemp(prefix="spark-tapeloom-")
         spark.conf.set("spark.checkpoint.dir", root)
-    path = f"{root.rstrip('/')}/tapeloom/{name}-{uuid.uuid4().hex}"
+    return f"{root.rstrip('/')}/tapeloom/{name}-{uuid.uuid4().hex}"
+
+
+def cut(df: DataFrame, name: str = "cut") -> DataFrame:
+    """df as a written table under spark.checkpoint.dir, so that what builds on it more than once doesn't run what is before
+    it again. The files outlive the loss of executors."""
+    spark = df.sparkSession
+    path = scratch(spark, name)
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)

@@ -2,12 +2,12 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from tapeloom.functions.scalar import DAY_MS, safe_divide
 from tapeloom.operators.bars import INTERVALS
-from tapeloom.operators.series import on_slices
+from tapeloom.operators.series import SLICE, on_slices
 
 
 def completeness(rows: DataFrame, ts: str = "open_time", by: str = "symbol", monthly: bool = False, first: str | None = None, last: str | None = None, listed: int = 50) -> DataFrame:
@@ -78,12 +78,19 @@ def anomalies(bars: DataFrame, funding: DataFrame | None = None, metrics: DataFr
     return out
 
 
-def clock_drift(rows: DataFrame, ts: str = "transact_time", file: str = "_file", order: str = "_pos") -> DataFrame:
-    """Per file, over all its rows: whether times never go back, and the longest step."""
-    from pyspark.sql import Window
+def clock_drift(rows: DataFrame, ts: str = "transact_time", file: str = "_file", order: str = "_pos", size: int = SLICE) -> DataFrame:
+    """Per file, over all its rows: whether times never go back, and the longest step.
 
-    d = rows.withColumn("_d", F.col(ts) - F.lag(ts).over(Window.partitionBy(file).orderBy(order)))
-    return d.groupBy(file).agg(F.count("*").alias("rows"), (F.count_if(F.col("_d") < 0) == 0).alias("monotonic"), F.coalesce(F.max("_d"), F.lit(0)).alias("max_step_ms"))
+    A range of `size` positions is summed up as its first and last time, and its least and longest step; the steps between
+    ranges come from those summaries, so that a file is as many tasks as it has ranges.
+    """
+    part = [file, "_s"]
+    d = rows.withColumn("_s", F.floor(F.col(order) / size))
+    d = d.withColumn("_d", F.col(ts) - F.lag(ts).over(Window.partitionBy(*part).orderBy(order)))
+    one = d.groupBy(*part).agg(F.count("*").alias("n"), F.min_by(ts, order).alias("_first"), F.max_by(ts, order).alias("_last"), F.min("_d").alias("_least"), F.max("_d").alias("_most"))
+    one = one.withColumn("_x", F.col("_first") - F.lag("_last").over(Window.partitionBy(file).orderBy("_s")))
+    least, most = F.min(F.least("_least", "_x")), F.max(F.greatest("_most", "_x"))
+    return one.groupBy(file).agg(F.sum("n").alias("rows"), F.coalesce(least >= 0, F.lit(True)).alias("monotonic"), F.coalesce(most, F.lit(0)).alias("max_step_ms"))
 
 
 def report(bars: DataFrame, interval: str, threshold: float = 99.9) -> DataFrame:

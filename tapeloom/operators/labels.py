@@ -5,8 +5,9 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from tapeloom.functions.lineage import cut
 from tapeloom.functions.scalar import DAY_MS, safe_divide
-from tapeloom.operators.series import index_bars, on_slices
+from tapeloom.operators.series import SLICE, index_bars, on_slices
 
 
 def fixed_horizon(bars: DataFrame, k: int = 6) -> DataFrame:
@@ -54,17 +55,34 @@ def label_statistics(labelled: DataFrame, by: list[str] | None = None) -> DataFr
     return labelled.groupBy(*(by or [])).agg(n.alias("total"), *(count(v).alias(name) for name, v in (("long_n", 1), ("short_n", -1), ("vertical_n", 0))), *(pct(count(v)).alias(name) for name, v in (("long_pct", 1), ("short_pct", -1), ("vertical_pct", 0))), pct(count(1) + count(-1)).alias("coverage"))
 
 
-def uniqueness_weights(spans: DataFrame, first: str = "_bar_idx", last: str = "t1_bar") -> DataFrame:
+def uniqueness_weights(spans: DataFrame, first: str = "_bar_idx", last: str = "t1_bar", size: int = SLICE) -> DataFrame:
     """Weight of a labelled row: the mean of 1 / (labels that overlap a bar) over its span, divided by the symbol's mean.
 
-    A span is a few bars long (the horizon), so each is laid out bar by bar.
+    A sweep over the ends of the spans: between two ends the number of labels stays, so the sum of 1 / labels up to an end is
+    a prefix sum over the ends before it, and a span's sum the difference of its two. How long spans are is of no matter. Ends
+    are swept slice by slice; what a slice inherits comes from a row per symbol and slice.
     """
-    laid = spans.select("symbol", F.col(first).alias("_a"), F.col(last).alias("_b"), F.explode(F.sequence(first, last)).alias("_t"))
-    load = laid.groupBy("symbol", "_t").agg(F.count("*").alias("_c"))
-    own = laid.join(load, ["symbol", "_t"]).groupBy("symbol", "_a", "_b").agg((F.sum(1.0 / F.col("_c")) / F.count("*")).alias("_u"), F.count("*").alias("_k"))
-    rows = spans.join(own, (spans["symbol"] == own["symbol"]) & (F.col(first) == F.col("_a")) & (F.col(last) == F.col("_b"))).select(spans["*"], "_u")
-    mean = rows.groupBy("symbol").agg(F.avg("_u").alias("_m"))
-    return rows.join(mean, "symbol").withColumn("weight", safe_divide("_u", "_m", 1.0)).drop("_u", "_m")
+    ends = F.array(F.struct(F.col(first).alias("p"), F.lit(1).alias("d")), F.struct((F.col(last) + 1).alias("p"), F.lit(-1).alias("d")))
+    rows = spans.where(F.col(first).isNotNull() & F.col(last).isNotNull()).select(F.monotonically_increasing_id().alias("_row"), F.col("symbol").alias("_k"), (F.col(last) - F.col(first) + 1).alias("_n"), F.struct(*spans.columns).alias("_r"), ends.alias("_e")).withColumn("_e", F.explode("_e"))
+    at = cut(rows.select("_row", "_k", "_n", F.when(F.col("_e.d") == 1, F.col("_r")).alias("_r"), F.col("_e.p").alias("_p"), F.col("_e.d").alias("_d"), F.floor(F.col("_e.p") / size).alias("_s")), "ends")
+
+    def inherited(d, *aggs):
+        """Per symbol and slice what the slices before it add up to."""
+        before = Window.partitionBy("_k").orderBy("_s").rowsBetween(Window.unboundedPreceding, -1)
+        return d.groupBy("_k", "_s").agg(*(f(c).alias(n) for n, f, c, _ in aggs)).select("_k", "_s", *(g(n).over(before).alias(n) for n, _, _, g in aggs))
+
+    inside = Window.partitionBy("_k", "_s").orderBy("_p")
+    past, here = inside.rangeBetween(Window.unboundedPreceding, -1), inside.rangeBetween(Window.unboundedPreceding, 0)
+    x = at.join(inherited(at, ("_c0", F.sum, "_d", F.sum), ("_p0", F.max, "_p", F.max)), ["_k", "_s"])
+    load = F.coalesce("_c0", F.lit(0)) + F.coalesce(F.sum("_d").over(past), F.lit(0))  # labels over the bars since the end before
+    gap = F.when(load > 0, (F.col("_p") - F.coalesce(F.max("_p").over(past), "_p0")) / load)
+    x = x.withColumn("_g", F.when(F.row_number().over(inside) == F.rank().over(inside), gap))  # once an end
+    x = cut(x.select("_row", "_k", "_n", "_r", "_d", "_s", F.coalesce(F.sum("_g").over(here), F.lit(0.0)).alias("_h")), "sweep")
+    x = x.join(inherited(x, ("_h0", F.max, "_h", F.sum)).select("_k", "_s", F.coalesce("_h0", F.lit(0.0)).alias("_h0")), ["_k", "_s"])
+    own = x.groupBy("_row", "_k", "_n").agg(F.first("_r", ignorenulls=True).alias("_r"), (F.sum(-F.col("_d") * F.col("_h")) + F.sum(-F.col("_d") * F.col("_h0"))).alias("_u"))
+    own = cut(own.select("_k", "_r", (F.col("_u") / F.col("_n")).alias("_u")), "uniqueness")
+    mean = own.groupBy("_k").agg(F.avg("_u").alias("_m"))
+    return own.join(mean, "_k").select("_r.*", safe_divide("_u", "_m", 1.0).alias("weight"))
 
 
 def weight_summary(rows: DataFrame, by: list[str] | None = None) -> DataFrame:

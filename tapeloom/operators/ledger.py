@@ -169,8 +169,9 @@ def cube(signals: DataFrame, as_of_ms: int, timeframes=("all", "4h", "15m", "1h"
 
 
 def monthly(closed: DataFrame) -> DataFrame:
-    """Per month of closing: trades, wins, losses, summed P&L, and wins among the decided (0 if none is)."""
-    d = closed.where(F.col("result").isin(*CLOSED))
+    """Per month of closing: trades, wins, losses, summed P&L, and wins among the decided (0 if none is). Rows that never
+    closed are left out."""
+    d = closed.where(F.col("result").isin(*CLOSED) & F.col("closed_at").isNotNull())
     n, win, loss, gain, cost = _stats()
     return d.groupBy(F.date_format(at("closed_at"), "yyyy-MM").alias("month")).agg(F.count("*").alias("trades"), win.alias("wins"), loss.alias("losses"), F.sum(F.coalesce("pnl_pct", F.lit(0.0))).alias("pnl_pct"), safe_divide(win, win + loss).alias("win_rate"))
 
@@ -182,16 +183,46 @@ def daily_stats(signals: DataFrame) -> DataFrame:
     return daily_equity(d, ["timeframe"]).join(wins, ["timeframe", "date"])
 
 
-def ledger_stats(signals: DataFrame, by: list[str] | None = None) -> DataFrame:
-    n, win, loss, gain, cost = _stats()
-    closed = F.col("result").isin(*CLOSED)
-    return signals.groupBy(*(by or [])).agg(F.count("*").alias("total"), n.alias("closed"), win.alias("wins"), loss.alias("losses"), gain.alias("gross_profit"), cost.alias("gross_loss"), F.avg(F.when(closed, F.col("pnl_pct"))).alias("avg_pnl"), F.max(F.when(closed, F.col("pnl_pct"))).alias("best"), F.min(F.when(closed, F.col("pnl_pct"))).alias("worst"), F.when(cost > 0, gain / cost).alias("profit_factor"), safe_divide(win, n).alias("win_rate"))
+def ledger_stats(signals: DataFrame, by: list[str] | None = None, as_of_ms: int | None = None, days: int = 30) -> DataFrame:
+    """Trading statistics of a ledger, of the signals of the last `days` before as_of_ms (None: of all): signals, open and
+    other ones (closed), wins, losses, wins among the decided (0 if none is), sum, mean, best and worst of P&L that isn't open
+    (0 without any), gains, losses (a number below 0), their ratio (null, for infinity, with gains alone, and 0 without
+    either) and the mean confidence."""
+    d = signals if as_of_ms is None else signals.where((F.col("created_at") >= as_of_ms - days * DAY_MS) & (F.col("created_at") <= as_of_ms))
+    n, open_ = F.count("*"), F.count_if(F.col("result") == "open")
+    win, loss = F.count_if(F.col("result") == "win"), F.count_if(F.col("result") == "loss")
+    zero = lambda x: F.coalesce(x, F.lit(0.0))
+    of = lambda kind: zero(F.sum(F.when(F.col("result") == kind, F.col("pnl_pct"))))
+    done = F.when(F.col("result") != "open", F.col("pnl_pct"))
+    return d.groupBy(*(by or [])).agg(
+        n.alias("total"), open_.alias("open"), (n - open_).alias("closed"), win.alias("wins"), loss.alias("losses"), safe_divide(win, win + loss).alias("win_rate"),
+        zero(F.sum(done)).alias("total_pnl"), zero(F.avg(done)).alias("avg_pnl"), zero(F.max(done)).alias("best"), zero(F.min(done)).alias("worst"),
+        of("win").alias("gross_win"), of("loss").alias("gross_loss"), _profit_factor(of("win"), of("loss")).alias("profit_factor"), zero(F.avg("confidence")).alias("avg_confidence"),
+    )
 
 
 def merge_stats(parts: DataFrame, by: list[str] | None = None) -> DataFrame:
-    """Exact totals from partial ledger_stats: sums of counts and gross amounts, ratios made anew."""
+    """Exact totals of several ledger_stats: counts and sums added, ratios made anew. The mean P&L is by closed signals, the
+    mean confidence by decided ones; best is 0 at least and worst 0 at most."""
     s = lambda c: F.sum(c)
-    return parts.groupBy(*(by or [])).agg(*(s(c).alias(c) for c in ("total", "closed", "wins", "losses", "gross_profit", "gross_loss")), F.max("best").alias("best"), F.min("worst").alias("worst"), F.when(s("gross_loss") > 0, s("gross_profit") / s("gross_loss")).alias("profit_factor"), safe_divide(s("wins"), s("closed")).alias("win_rate"))
+    decided = F.col("wins") + F.col("losses")
+    return parts.groupBy(*(by or [])).agg(
+        *(s(c).alias(c) for c in ("total", "open", "closed", "wins", "losses")), safe_divide(s("wins"), s(decided)).alias("win_rate"), s("total_pnl").alias("total_pnl"), safe_divide(s("total_pnl"), s("closed")).alias("avg_pnl"),
+        F.greatest(F.max("best"), F.lit(0.0)).alias("best"), F.least(F.min("worst"), F.lit(0.0)).alias("worst"), s("gross_win").alias("gross_win"), s("gross_loss").alias("gross_loss"),
+        _profit_factor(s("gross_win"), s("gross_loss")).alias("profit_factor"), safe_divide(s(F.col("avg_confidence") * decided), s(decided)).alias("avg_confidence"),
+    )
+
+
+def all_time_stats(signals: DataFrame, as_of_ms: int, by: list[str] | None = None) -> DataFrame:
+    """Signals, decided ones, wins, losses and open ones, wins among the decided of all time and of those created since the
+    day 30 days before as_of_ms (0 if none is), and the summed P&L of the decided."""
+    since = F.floor(F.lit(as_of_ms) / DAY_MS) * DAY_MS - 30 * DAY_MS
+    won, decided = F.col("result") == "win", F.col("result").isin("win", "loss")
+    late = F.col("created_at") >= since
+    return signals.groupBy(*(by or [])).agg(
+        F.count("*").alias("total"), F.count_if(decided).alias("closed"), F.count_if(won).alias("wins"), F.count_if(F.col("result") == "loss").alias("losses"), F.count_if(F.col("result") == "open").alias("open"),
+        safe_divide(F.count_if(won), F.count_if(decided)).alias("win_rate"), safe_divide(F.count_if(won & late), F.count_if(decided & late)).alias("win_rate_30d"), F.coalesce(F.sum(F.when(decided, F.col("pnl_pct"))), F.lit(0.0)).alias("total_pnl"),
+    )
 
 
 def revenue(payments: DataFrame, users: DataFrame, month: str) -> DataFrame:
@@ -209,6 +240,13 @@ def snapshot(signals: DataFrame) -> DataFrame:
     return signals.agg(F.count_if(F.col("result") == "open").alias("open_signals"), F.count("*").alias("signals"), last.alias("s")).select("open_signals", "signals", F.col("s.id").alias("last_id"), F.col("s.symbol").alias("last_symbol"), F.col("s.direction").alias("last_direction"), F.col("s.created_at").alias("last_created_at"))
 
 
+def live(signals: DataFrame, metrics: DataFrame) -> DataFrame:
+    """One row: the newest snapshot of metrics (equity, daily_pnl, regime, open_positions, updated_at; nulls if there is
+    none), the open signals, and the newest signal of all sources."""
+    m = metrics.agg(F.max_by(F.struct("equity", "daily_pnl", "regime", "open_positions", "updated_at"), F.col("updated_at")).alias("m"))
+    return snapshot(signals).crossJoin(m.select("m.*"))  # one row each
+
+
 def position_diff(own: DataFrame, exchange: DataFrame, tiny: float = 1e-10, same: float = 1e-8) -> DataFrame:
     """Own against exchange positions (symbol, qty; the sign is the direction): orphan (only there), ghost (only here),
     mismatch (direction, or size by `same` or more), ok. Exchange rows of size `tiny` or less are none."""

@@ -4,7 +4,6 @@ from __future__ import annotations
 
 from dataclasses import dataclass
 
-import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -103,43 +102,6 @@ def breaker(rows: DataFrame) -> DataFrame:
     return rows.select("*", state.alias("breaker"), F.when(stop, 0.0).when(half, 0.5).otherwise(1.0).alias("size_multiplier"), (c("drawdown") <= -0.10).alias("drawdown_warning"))
 
 
-def fold_account(fills: pd.DataFrame, cash: float = 10_000.0) -> pd.DataFrame:
-    """One account's fills (ts, symbol, side +1/-1, qty, price, fee, opens) in order: averaging in, realised P&L net of
-    fees, cash, streak of losses. A fill that would add against the position's direction is marked as an error."""
-    out, held, losses = [], {}, 0
-    for r in fills.sort_values(["ts", "fill_id"]).itertuples(index=False):
-        qty, price, side = held.get(r.symbol, (0.0, 0.0, 0))
-        realised, error = 0.0, None
-        if r.opens:
-            if side and side != r.side:
-                error = "direction"
-            else:
-                price = (qty * price + r.qty * r.price) / (qty + r.qty)
-                held[r.symbol] = (qty + r.qty, price, r.side)
-                cash -= r.fee
-        elif not side:
-            error = "no position"
-        else:
-            closed = min(qty, r.qty)
-            realised = (r.price - price) * side * closed - r.fee
-            cash += realised
-            losses = losses + 1 if realised < 0 else 0
-            held.pop(r.symbol, None)
-            if qty - closed > 1e-12:
-                held[r.symbol] = (qty - closed, price, side)
-        out.append((r.account, r.fill_id, r.ts, r.symbol, float(held.get(r.symbol, (0.0,))[0]), float(realised), float(cash), losses, error))
-    return pd.DataFrame(out, columns=["account", "fill_id", "ts", "symbol", "position", "realised", "cash", "loss_streak", "error"])
-
-
-ACCOUNT_SCHEMA = "account string, fill_id long, ts long, symbol string, position double, realised double, cash double, loss_streak long, error string"
-
-
-def accounts(fills: DataFrame, cash: float = 10_000.0) -> DataFrame:
-    """fold_account for every account. An account's fills are a sequential fold, so an account is one group; accounts are
-    what is parallel."""
-    return fills.groupBy("account").applyInPandas(lambda d: fold_account(d, cash), ACCOUNT_SCHEMA)
-
-
 def rebased(snapshots: DataFrame, unrealised: DataFrame) -> DataFrame:
     """Cash at each balance snapshot (account, ts, equity): the equity less the unrealised P&L as of then."""
     from tapeloom.operators.series import asof

@@ -18,13 +18,13 @@ SLICE = 8192
 Step = Callable[[DataFrame, WindowSpec], DataFrame]
 
 
-def index_bars(df: DataFrame, key: str = "symbol", ts: str = "open_time", name: str = "bar_idx", span_ms: int = DAY_MS) -> DataFrame:
+def index_bars(df: DataFrame, key: str = "symbol", ts: str = "open_time", name: str = "bar_idx", span_ms: int = DAY_MS, ties: tuple[str, ...] = ()) -> DataFrame:
     """A dense number per symbol in time order, from 0: rows are counted per symbol and day, the (small) counts are summed
-    up along the days, and rows are numbered inside their day. Equal times are numbered in any order."""
+    up along the days, and rows are numbered inside their day. Equal times are numbered by `ties`, else in any order."""
     day = F.floor(F.col(ts) / span_ms)
     counts = df.groupBy(F.col(key).alias("_k"), day.alias("_d")).agg(F.count("*").alias("_n"))
     before = counts.withColumn("_before", F.coalesce(F.sum("_n").over(Window.partitionBy("_k").orderBy("_d").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))).drop("_n")
-    inside = F.row_number().over(Window.partitionBy(key, "_day").orderBy(ts)) - 1
+    inside = F.row_number().over(Window.partitionBy(key, "_day").orderBy(ts, *ties)) - 1
     rows = df.withColumn("_day", day).withColumn("_in", inside)
     joined = rows.join(before, (F.col(key) == F.col("_k")) & (F.col("_day") == F.col("_d")))
     return joined.withColumn(name, F.col("_before") + F.col("_in")).drop("_day", "_in", "_k", "_d", "_before")
@@ -127,18 +127,20 @@ def ewm(df: DataFrame, value, alpha: float, name: str, adjust: bool = False, sta
 
 
 def running(df: DataFrame, outputs: dict[str, tuple[str, str]], key: str = "symbol", order: str = "open_time", span_ms: int = DAY_MS) -> DataFrame:
-    """Prefix operations along each key: name -> (kind, column), kind one of sum, max, min, last (the last not-null value).
+    """Prefix operations along each key: name -> (kind, column), kind one of sum, max, min, last (the last not-null value),
+    prev (the last not-null value before the row).
 
     Rows run inside (key, span); a table of one row per key and span is scanned for what each span inherits.
     """
     kinds = {"sum": F.sum, "max": F.max, "min": F.min}
     d = df.withColumn("_span", F.floor(F.col(order) / span_ms))
     inside = Window.partitionBy(key, "_span").orderBy(order).rowsBetween(Window.unboundedPreceding, 0)
+    until = Window.partitionBy(key, "_span").orderBy(order).rowsBetween(Window.unboundedPreceding, -1)
     before = Window.partitionBy(key).orderBy("_span").rowsBetween(Window.unboundedPreceding, -1)
     aggs, carry = [], []
     for n, (kind, c) in outputs.items():
-        if kind == "last":
-            d = d.withColumn(n, F.last(c, ignorenulls=True).over(inside))
+        if kind in ("last", "prev"):
+            d = d.withColumn(n, F.last(c, ignorenulls=True).over(inside if kind == "last" else until))
             aggs.append(F.max_by(F.col(c), F.when(F.col(c).isNotNull(), F.col(order))).alias(n))
             carry.append(F.last(n, ignorenulls=True).over(before).alias(f"_b_{n}"))
         else:
@@ -148,5 +150,5 @@ def running(df: DataFrame, outputs: dict[str, tuple[str, str]], key: str = "symb
     spans = df.withColumn("_span", F.floor(F.col(order) / span_ms)).groupBy(key, "_span").agg(*aggs)
     inherited = spans.select(F.col(key).alias("_k"), F.col("_span").alias("_s"), *carry)
     out = d.join(inherited, (F.col(key) == F.col("_k")) & (F.col("_span") == F.col("_s")))
-    merge = {"sum": lambda a, b: F.when(a.isNull() & b.isNull(), None).otherwise(F.coalesce(a, F.lit(0)) + F.coalesce(b, F.lit(0))), "max": F.greatest, "min": F.least, "last": lambda a, b: F.coalesce(a, b)}
+    merge = {"sum": lambda a, b: F.when(a.isNull() & b.isNull(), None).otherwise(F.coalesce(a, F.lit(0)) + F.coalesce(b, F.lit(0))), "max": F.greatest, "min": F.least, "last": F.coalesce, "prev": F.coalesce}
     return out.withColumns({n: merge[kind](F.col(n), F.col(f"_b_{n}")) for n, (kind, _) in outputs.items()}).drop("_span", "_k", "_s", *(f"_b_{n}" for n in outputs))

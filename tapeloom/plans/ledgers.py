@@ -4,11 +4,14 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from tapeloom.functions.lineage import scratch
 from tapeloom.functions.scalar import DAY_MS, HOUR_MS, normal_symbol, rounded
-from tapeloom.operators import audit, backtest, jobs, labels, ledger, risk, validation
+from tapeloom.operators import accounts, audit, backtest, episodes, jobs, labels, ledger, risk, validation
 from tapeloom.operators.series import index_bars
 from tapeloom.plans import tapes as T
 from tapeloom.plans.tapes import DAILY, FUNDING, METRICS, PAYMENTS, SIGNALS, TRADES, USERS, bars_sql, div, out, with_
+from tapeloom.sources import ledgers as source_ledgers
+from tapeloom.sources import versions
 
 W = "window w as (partition by symbol order by open_time)"
 AS_OF = 904_608_000_000  # 1998-09-01
@@ -226,15 +229,36 @@ def monthly_pnl(spark, d):
     return rounded(ledger.monthly(T.signals(spark, d)))
 
 
-MONTHLY_SQL = with_(SIGNALS) + f" select strftime(make_timestamp(closed_at * 1000), '%Y-%m') as month, count(*) as trades, count(*) filter (result = 'win') as wins, count(*) filter (result = 'loss') as losses, " + out("sum(pnl_pct) as pnl_pct", "case when count(*) filter (result in ('win', 'loss')) > 0 then count(*) filter (result = 'win') / count(*) filter (result in ('win', 'loss')) else 0.0 end as win_rate") + f" from signals where result in {CLOSED} group by 1"
+MONTHLY_SQL = with_(SIGNALS) + f" select strftime(make_timestamp(closed_at * 1000), '%Y-%m') as month, count(*) as trades, count(*) filter (result = 'win') as wins, count(*) filter (result = 'loss') as losses, " + out("sum(pnl_pct) as pnl_pct", "case when count(*) filter (result in ('win', 'loss')) > 0 then count(*) filter (result = 'win') / count(*) filter (result in ('win', 'loss')) else 0.0 end as win_rate") + f" from signals where result in {CLOSED} and closed_at is not null group by 1"
 
 
 def ledger_stats(spark, d):
     return rounded(ledger.ledger_stats(T.signals(spark, d), ["symbol"]))
 
 
-_LSTATS = f"count(*) as total, count(*) filter (result in {CLOSED}) as closed, count(*) filter (result = 'win') as wins, count(*) filter (result = 'loss') as losses, " + out("coalesce(sum(pnl_pct) filter (pnl_pct > 0), 0) as gross_profit", "coalesce(-sum(pnl_pct) filter (pnl_pct < 0), 0) as gross_loss", f"max(pnl_pct) filter (result in {CLOSED}) as best", f"min(pnl_pct) filter (result in {CLOSED}) as worst", "sum(pnl_pct) filter (pnl_pct > 0) / nullif(-sum(pnl_pct) filter (pnl_pct < 0), 0) as profit_factor", f"count(*) filter (result = 'win') / count(*) filter (result in {CLOSED}) as win_rate")
-LEDGER_SQL = with_(SIGNALS) + f" select symbol, {_LSTATS}, " + out(f"avg(pnl_pct) filter (result in {CLOSED}) as avg_pnl") + " from signals group by 1"
+_GAIN, _COST = "coalesce(sum(pnl_pct) filter (result = 'win'), 0)", "coalesce(sum(pnl_pct) filter (result = 'loss'), 0)"
+_LSTATS = "count(*) as total, count(*) filter (result = 'open') as open, count(*) filter (result <> 'open') as closed, count(*) filter (result = 'win') as wins, count(*) filter (result = 'loss') as losses, " + out(
+    "case when count(*) filter (result in ('win', 'loss')) = 0 then 0.0 else count(*) filter (result = 'win') / count(*) filter (result in ('win', 'loss')) end as win_rate", "coalesce(sum(pnl_pct) filter (result <> 'open'), 0) as total_pnl", "coalesce(avg(pnl_pct) filter (result <> 'open'), 0) as avg_pnl", "coalesce(max(pnl_pct) filter (result <> 'open'), 0) as best",
+    "coalesce(min(pnl_pct) filter (result <> 'open'), 0) as worst", f"{_GAIN} as gross_win", f"{_COST} as gross_loss", f"case when {_COST} <> 0 then {_GAIN} / abs({_COST}) when {_GAIN} > 0 then null else 0.0 end as profit_factor", "coalesce(avg(confidence), 0) as avg_confidence",
+)
+LEDGER_SQL = with_(SIGNALS) + f" select symbol, {_LSTATS} from signals group by 1"
+
+
+def trading_stats(spark, d):
+    """Thirty days of each symbol and timeframe."""
+    return rounded(ledger.ledger_stats(ledger.with_timeframe(T.signals(spark, d)), ["symbol", "timeframe"], AS_OF - 60 * DAY_MS, 30))
+
+
+TRADING_SQL = with_(SIGNALS) + f" select symbol, coalesce(timeframe, '4h') as timeframe, {_LSTATS} from signals where created_at >= {AS_OF - 90 * DAY_MS} and created_at <= {AS_OF - 60 * DAY_MS} group by 1, 2"
+
+
+def all_time_stats(spark, d):
+    return rounded(ledger.all_time_stats(T.signals(spark, d), AS_OF, ["symbol"]))
+
+
+_SINCE = AS_OF // DAY_MS * DAY_MS - 30 * DAY_MS
+_RATE = "case when count(*) filter (result in ('win', 'loss'){0}) = 0 then 0.0 else count(*) filter (result = 'win'{0}) / count(*) filter (result in ('win', 'loss'){0}) end"
+ALL_TIME_SQL = with_(SIGNALS) + " select symbol, count(*) as total, count(*) filter (result in ('win', 'loss')) as closed, count(*) filter (result = 'win') as wins, count(*) filter (result = 'loss') as losses, count(*) filter (result = 'open') as open, " + out(_RATE.format("") + " as win_rate", _RATE.format(f" and created_at >= {_SINCE}") + " as win_rate_30d", "coalesce(sum(pnl_pct) filter (result in ('win', 'loss')), 0) as total_pnl") + " from signals group by 1"
 
 
 def merged_stats(spark, d):
@@ -242,7 +266,24 @@ def merged_stats(spark, d):
     return rounded(ledger.merge_stats(parts, ["timeframe"]))
 
 
-MERGED_SQL = with_(SIGNALS) + f" select coalesce(timeframe, '4h') as timeframe, {_LSTATS} from signals group by 1"
+MERGED_SQL = with_(SIGNALS, f"p as (select symbol, coalesce(timeframe, '4h') as timeframe, count(*) filter (result in ('win', 'loss')) as decided, avg(confidence) as conf, count(*) as total, count(*) filter (result = 'open') as open, count(*) filter (result = 'win') as wins, count(*) filter (result = 'loss') as losses, sum(pnl_pct) filter (result <> 'open') as pnl, max(pnl_pct) as best, min(pnl_pct) as worst, {_GAIN} as gain, {_COST} as cost from signals group by 1, 2)") + " select timeframe, cast(sum(total) as bigint) as total, cast(sum(open) as bigint) as open, cast(sum(total) - sum(open) as bigint) as closed, cast(sum(wins) as bigint) as wins, cast(sum(losses) as bigint) as losses, " + out(
+    "sum(wins) / sum(wins + losses) as win_rate", "sum(pnl) as total_pnl", "sum(pnl) / (sum(total) - sum(open)) as avg_pnl", "greatest(max(best), 0) as best", "least(min(worst), 0) as worst", "sum(gain) as gross_win", "sum(cost) as gross_loss", "case when sum(cost) <> 0 then sum(gain) / abs(sum(cost)) when sum(gain) > 0 then null else 0.0 end as profit_factor", "sum(conf * decided) / sum(decided) as avg_confidence"
+) + " from p group by 1"
+
+
+def ledger_upsert(spark, d):
+    """The ledger as a merged table: all signals logged as open, the closed ones closed in two merges, the rejected rejected."""
+    s = T.signals(spark, d).where("created_at is not null")
+    path = scratch(spark, "ledger")
+    source_ledgers.log_signals(spark, path, s.select("id", "symbol", "direction", "timeframe", "confidence", "created_at"))
+    closed = s.where(F.col("result").isin(*ledger.CLOSED)).withColumn("close_price", (100 + F.col("id") % 7).cast("double"))
+    for half in (0, 1):
+        source_ledgers.close_signals(spark, path, closed.where(F.pmod(F.col("id"), F.lit(2)) == half))
+    source_ledgers.reject_signals(spark, path, s.where("result = 'rejected'").select("id", "closed_at"))
+    return rounded(versions.read(spark, path).select("id", "symbol", "direction", "timeframe", "confidence", "created_at", "result", "closed_at", "close_price", "pnl_pct"))
+
+
+UPSERT_SQL = with_(SIGNALS) + " select id, symbol, direction, coalesce(timeframe, '4h') as timeframe, created_at, result, closed_at, " + out("confidence as confidence", f"case when result in {CLOSED} then (100 + id % 7)::double end as close_price", f"case when result in {CLOSED} then pnl_pct end as pnl_pct") + " from signals"
 
 
 def revenue(spark, d):
@@ -442,6 +483,15 @@ LEAK_SQL = with_(
 ) + " select \"column\", \"column\" = 'future_return' as suspicious_name, round(c, 4) + 0.0 as corr, \"column\" = 'future_return' or abs(c) > 0.9 as leak from l"
 
 
+def clock_drift(spark, d):
+    """Each symbol's trades as a feed of its own, in the order of their ids."""
+    t = T.trades(spark, d)
+    return audit.clock_drift(t.select(F.col("symbol").alias("feed"), "transact_time", F.col("trade_id").alias("_pos")), file="feed")
+
+
+DRIFT_SQL = with_(TRADES, "s as (select symbol, transact_time - lag(transact_time) over (partition by symbol order by trade_id) as step from trades)") + " select symbol as feed, count(*) as rows, coalesce(min(step) >= 0, true) as monotonic, coalesce(max(step), 0) as max_step_ms from s group by 1"
+
+
 def cost_table(spark, d):
     b = T.daily(spark, d)
     m = b.groupBy("symbol").agg(F.sum(F.col("volume") * F.col("close")).alias("daily_volume"), F.lit(0.6).alias("volatility"), F.lit(0.0001).alias("funding_rate"), F.lit(24.0).alias("hours_held"), F.lit(True).alias("is_long"))
@@ -457,6 +507,54 @@ COST_SQL = with_(
 ) + " select symbol, " + out("notional as notional", "fee as entry_fee", "slip as entry_slippage", "fund as funding_cost", "2 * fee + 2 * slip + fund as total_cost", "(2 * fee + 2 * slip + fund) / notional * 10000 as total_cost_bps", "(2 * fee + 2 * slip + fund) / notional * 30000 as min_required_return_bps", digits=4) + ", is_maker from x"
 
 
+def _fills(spark, d):
+    """orders as rows of five accounts, one of which has most: opens, closes and marks by the order's key."""
+    o = T.table(spark, d, "orders")
+    k, c = F.col("o_orderkey"), F.col("o_custkey")
+    kind = F.when(k % 4 == 0, "close").when(k % 4 == 3, "mark").otherwise("open")
+    return o.select(F.when(c % 3 == 0, F.concat(F.lit("a"), (c % 4).cast("string"))).otherwise("main").alias("account"), k.alias("fill_id"), T.millis("o_orderdate").alias("ts"), T.six("o_orderkey").alias("symbol"), kind.alias("kind"), F.when(k % 5 < 2, -1).otherwise(1).alias("side"), (1 + c % 7).cast("double").alias("qty"), (100 + F.floor("o_totalprice") % 40).cast("double").alias("price"), F.lit(0.25).alias("fee"))
+
+
+def account_fold(spark, d):
+    s = accounts.accounts(_fills(spark, d), 10_000.0)
+    return rounded(s)
+
+
+_ACCOUNT = (
+    f"""f as (select case when o_custkey % 3 = 0 then 'a' || (o_custkey % 4) else 'main' end as account, o_orderkey as fill_id, epoch_ms(cast(o_orderdate as timestamp)) as ts, {T._SIX_SQL.format('o_orderkey')} as symbol,
+      case when o_orderkey % 4 = 0 then 'close' when o_orderkey % 4 = 3 then 'mark' else 'open' end as kind, case when o_orderkey % 5 < 2 then -1 else 1 end as side, (1 + o_custkey % 7)::double as qty, (100 + floor(o_totalprice) % 40)::double as price, 0.25::double as fee from orders)""",
+    "g as (select *, coalesce(sum(case when kind = 'close' then 1 else 0 end) over (partition by account, symbol order by ts, fill_id rows between unbounded preceding and 1 preceding), 0) as seg from f)",
+    "h as (select *, coalesce(sum(case when kind = 'open' then qty end) over s, 0) as q, sum(case when kind = 'open' then qty * price end) over s as pq, sum(case when kind = 'open' then fee end) over s as fees, first_value(case when kind = 'open' then side end ignore nulls) over s as way from g window s as (partition by account, symbol, seg order by ts, fill_id rows between unbounded preceding and current row))",
+    "m as (select *, case when q > 0 then way * (price - pq / q) * q end as move from h)",
+    "u as (select *, coalesce(last_value(case when kind = 'mark' then move end ignore nulls) over (partition by account, symbol, seg order by ts, fill_id rows between unbounded preceding and 1 preceding), 0) as was from m)",
+    "r as (select *, case when kind = 'close' and q > 0 then move - fees - fee else 0 end as realised, case when kind = 'open' then -fee when kind = 'close' and q > 0 then move - fee else 0 end as paid, case when kind = 'mark' and q > 0 then move - was when kind = 'close' then -was else 0 end as fl, case when kind <> 'mark' then ts // 86400000 end as day from u)",
+    "c as (select *, 10000 + sum(paid) over w as cash, sum(fl) over w as unrealised, sum(realised) over w as reals, sum(case when realised < 0 then 1 else 0 end) over w as lost, last_value(day ignore nulls) over (partition by account order by ts, fill_id rows between unbounded preceding and 1 preceding) as dayp from r window w as (partition by account order by ts, fill_id rows between unbounded preceding and current row))",
+    """e as (select *, cash + unrealised as equity, case when q > 0 and kind = 'close' then cash + unrealised - fl when q > 0 and kind = 'mark' then cash + unrealised end as top,
+      case when day is not null and (dayp is null or day <> dayp) then reals - realised end as r0, case when day is not null and dayp is null then 10000 when day is not null and day <> dayp then cash - paid + unrealised - fl end as e0,
+      case when day is not null and (dayp is null or (day + 3) // 7 <> (dayp + 3) // 7) then reals - realised end as w0, case when kind = 'close' and q > 0 and realised >= 0 then lost end as clean from c)""",
+    "z as (select *, greatest(10000, max(top) over w) as peak, last_value(r0 ignore nulls) over w as r1, last_value(e0 ignore nulls) over w as e1, last_value(w0 ignore nulls) over w as w1, coalesce(last_value(clean ignore nulls) over w, 0) as l1 from e window w as (partition by account order by ts, fill_id rows between unbounded preceding and current row))",
+)
+ACCOUNT_SQL = with_(*_ACCOUNT) + " select account, fill_id, ts, symbol, kind, " + out("case when q > 0 and kind <> 'close' then q else 0 end as position", "case when q > 0 and kind <> 'close' then pq / q end as avg_price", "realised as realised", "cash as cash", "unrealised as unrealised", "equity as equity", "peak as peak", "greatest((peak - equity) / peak, 0) as drawdown", "(reals - coalesce(r1, 0) + unrealised) / case when coalesce(e1, 0) > 0 then e1 else 10000 end as daily_pnl_pct", "(reals - coalesce(w1, 0) + unrealised) / 10000 as weekly_pnl_pct") + ", cast(lost - l1 as bigint) as loss_streak from z"
+
+
+def breaker_episodes(spark, d):
+    """How long each account's circuit breaker was in each state, and the worst P&L of the day meanwhile."""
+    a = accounts.accounts(_fills(spark, d), 10_000.0)
+    null = F.lit(None).cast("double")
+    b = risk.breaker(a.select("account", "ts", "fill_id", (-F.col("drawdown")).alias("drawdown"), "weekly_pnl_pct", "daily_pnl_pct", F.col("loss_streak").alias("consecutive_losses"), null.alias("atr"), null.alias("avg_atr"), null.alias("funding_rate")))
+    return rounded(episodes.episodes(b.withColumn("day_pct", F.round("daily_pnl_pct", 6)), "breaker", "day_pct", ties=("fill_id",)))
+
+
+EPISODE_SQL = with_(
+    *_ACCOUNT,
+    "b0 as (select account, ts, fill_id, round((reals - coalesce(r1, 0) + unrealised) / case when coalesce(e1, 0) > 0 then e1 else 10000 end, 6) as day_pct, (reals - coalesce(r1, 0) + unrealised) / case when coalesce(e1, 0) > 0 then e1 else 10000 end as day_raw, (reals - coalesce(w1, 0) + unrealised) / 10000 as week_pct, greatest((peak - equity) / peak, 0) as dd, lost - l1 as streak from z)",
+    "b1 as (select *, case when dd >= 0.15 then 'kill' when week_pct <= -0.08 then 'weekly_loss' when day_raw <= -0.03 then 'daily_loss' when streak >= 5 then 'loss_streak' else 'ok' end as state from b0)",
+    "b2 as (select *, case when lag(state) over w is distinct from state then 1 else 0 end as turn from b1 window w as (partition by account order by ts, fill_id))",
+    "b3 as (select *, sum(turn) over (partition by account order by ts, fill_id rows between unbounded preceding and current row) - 1 as k from b2)",
+    "b4 as (select account, cast(k as bigint) as episode, min(state) as state, min(ts) as from_ts, count(*) as rows, min(day_pct) as worst from b3 group by 1, 2)",
+) + " select account, episode, state, from_ts, lead(from_ts) over (partition by account order by episode) as to_ts, rows, round(worst, 6) + 0.0 as worst from b4"
+
+
 def risk_chain(spark, d):
     s = _open(spark, d).withColumn("atr", F.col("entry_price") * 0.01).withColumn("equity", F.lit(10_000.0))
     k = F.col("id")
@@ -686,6 +784,8 @@ QUERIES = {
     "daily_stats": (daily_stats, DAYSTATS_SQL),
     "ledger_stats": (ledger_stats, LEDGER_SQL),
     "merged_stats": (merged_stats, MERGED_SQL),
+    "trading_stats": (trading_stats, TRADING_SQL),
+    "all_time_stats": (all_time_stats, ALL_TIME_SQL),
     "revenue": (revenue, REVENUE_SQL),
     "ledger_snapshot": (snapshot, SNAPSHOT_SQL),
     "newest_signals": (newest_page, PAGE_SQL),
@@ -704,6 +804,10 @@ QUERIES = {
     "leak_audit": (leak_audit, LEAK_SQL),
     "cost_table": (cost_table, COST_SQL),
     "risk_chain": (risk_chain, RISK_SQL),
+    "account_fold": (account_fold, ACCOUNT_SQL),
+    "breaker_episodes": (breaker_episodes, EPISODE_SQL),
+    "ledger_upsert": (ledger_upsert, UPSERT_SQL),
+    "clock_drift": (clock_drift, DRIFT_SQL),
     "buy_and_hold": (buy_and_hold, HOLD_SQL),
     "deflated_sharpe": (deflated_sharpe, DSR_SQL),
     "overfitting_probability": (overfitting, PBO_SQL),

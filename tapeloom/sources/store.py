@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -127,32 +129,84 @@ def validate_files(spark: SparkSession, path: str, key: str) -> DataFrame:
     return d.groupBy("file").agg(F.count("*").alias("rows"), F.count(key).alias("keys"), F.max("b").alias("bytes")).withColumn("valid", (F.col("rows") > 0) & (F.col("keys") > 0))
 
 
-def pending_files(spark: SparkSession, pattern: str, manifest: DataFrame | None) -> DataFrame:
-    """Source files (path, modified) that the manifest (path, converted_at) lacks or has older."""
-    found = spark.read.format("binaryFile").load(pattern).select("path", F.col("modificationTime").alias("modified"), F.col("length").alias("bytes"))
-    if manifest is None:
-        return found
-    done = manifest.groupBy("path").agg(F.max("converted_at").alias("converted_at"))
-    return found.join(done, "path", "left").where(F.col("converted_at").isNull() | (F.col("converted_at") < F.col("modified"))).drop("converted_at")
+def manifest_path(root: str, data_type: str) -> str:
+    """Where the manifest of a table is by default: a folder that readers of the table pass over."""
+    return f"{root}/{data_type}/_manifest"
 
 
-def convert(spark: SparkSession, pattern: str, root: str, data_type: str, symbol: str, manifest_path: str) -> DataFrame:
-    """Convert what is new under a pattern and append to the manifest: one row of counts (converted, skipped, empty)."""
+def manifest(spark: SparkSession, path: str) -> DataFrame | None:
+    """(path, source, batch, rows, converted_at) of every committed conversion of a file; None before the first."""
     try:
-        manifest = spark.read.parquet(manifest_path)
-    except Exception as e:  # no manifest yet
+        return spark.read.parquet(path)
+    except Exception as e:
         if "PATH_NOT_FOUND" not in str(e) and "UNABLE_TO_INFER_SCHEMA" not in str(e):
             raise
-        manifest = None
-    every = spark.read.format("binaryFile").load(pattern).select("path", "length")
-    todo = [(r["path"], r["bytes"]) for r in pending_files(spark, pattern, manifest).collect()]  # file names only
-    full = [p for p, n in todo if n]
-    total = every.count()
+        return None
+
+
+def source_files(spark: SparkSession, pattern: str) -> DataFrame:
+    """(path, modified, bytes) of the files under a pattern, empty ones too."""
+    at = spark._jvm.org.apache.hadoop.fs.Path(pattern)
+    found = at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).globStatus(at) or []
+    rows = [(s.getPath().toString(), s.getModificationTime(), s.getLen()) for s in found if s.isFile()]
+    return spark.createDataFrame(rows, "path string, modified long, bytes long").withColumn("modified", F.timestamp_millis("modified"))
+
+
+def pending_files(spark: SparkSession, pattern: str, done: DataFrame | None) -> DataFrame:
+    """Source files (path, modified) that the manifest (path, converted_at) lacks or has older."""
+    found = source_files(spark, pattern)
+    if done is None:
+        return found
+    newest = done.groupBy("path").agg(F.max("converted_at").alias("converted_at"))
+    return found.join(newest, "path", "left").where(F.col("converted_at").isNull() | (F.col("converted_at") < F.col("modified"))).drop("converted_at")
+
+
+def convert(spark: SparkSession, pattern: str, root: str, data_type: str, symbol: str, manifest_at: str | None = None) -> DataFrame:
+    """Convert what is new under a pattern: one row of counts (converted, skipped, empty, failed).
+
+    Rows are written first, as a batch of their own (a level of folders between symbol and date); then one file of the manifest
+    names the batch and its sources, and only then readers see it. A run that dies in between leaves a batch that is nobody's,
+    and the next run does the work again. A file that has changed is converted anew, and its older rows are passed over. Files
+    without a row that has a time are failed and tried again by the next run; empty ones are done.
+    """
+    where = manifest_at or manifest_path(root, data_type)
+    done = manifest(spark, where)
+    todo = pending_files(spark, pattern, done).select("path", "bytes", F.current_timestamp().alias("at")).collect()  # file names only
+    full = [r["path"] for r in todo if r["bytes"]]
+    batch, total = uuid.uuid4().hex, source_files(spark, pattern).count()
+    found = spark.createDataFrame([], "path string, rows long")
     if full:
-        write_store(read_csv(spark, full, data_type, symbol).where(F.col(TIME[kind_of(data_type)]).isNotNull()).drop("_file", "_file_date", "_bad"), root, data_type)
-    if todo:
-        spark.createDataFrame([(p,) for p, _ in todo], "path string").withColumn("converted_at", F.current_timestamp()).write.mode("append").parquet(manifest_path)
-    return spark.createDataFrame([(len(full), total - len(todo), len(todo) - len(full))], "converted long, skipped long, empty long")
+        d = read_csv(spark, full, data_type, symbol).where(F.col(TIME[kind_of(data_type)]).isNotNull())
+        d = d.withColumns({"source": F.xxhash64(_file_key("_file")), "batch": F.lit(batch)})
+        write_store(d.drop("_file", "_file_date", "_bad"), root, data_type, extra=("batch",))
+        counted = spark.read.parquet(f"{root}/{data_type}/symbol=*/batch={batch}").groupBy("source").agg(F.count("*").alias("rows")) if not d.isEmpty() else None
+        names = spark.createDataFrame([(p,) for p in full], "path string").withColumn("source", F.xxhash64(_file_key("path")))
+        found = names.join(counted, "source").select("path", "rows") if counted is not None else found
+    ok = [(r["path"], r["rows"]) for r in found.collect()] + [(r["path"], 0) for r in todo if not r["bytes"]]
+    if ok:
+        rows = spark.createDataFrame(ok, "path string, rows long").select("path", F.xxhash64(_file_key("path")).alias("source"), F.lit(batch).alias("batch"), "rows", F.lit(todo[0]["at"]).alias("converted_at"))
+        _commit(rows, where)
+    empty = len(todo) - len(full)
+    return spark.createDataFrame([(len(ok) - empty, total - len(todo), empty, len(full) - len(ok) + empty)], "converted long, skipped long, empty long, failed long")
+
+
+def _file_key(c: str):
+    """The part of a file's address that is the same however it is written."""
+    return F.regexp_replace(F.url_decode(F.regexp_replace(F.col(c), r"\+", "%2B")), "^[a-z]+:/+", "/")
+
+
+def _commit(rows: DataFrame, where: str) -> None:
+    """One file, which is there as a whole or not at all."""
+    rows.coalesce(1).write.mode("append").parquet(where)
+
+
+def committed(spark: SparkSession, root: str, data_type: str, manifest_at: str | None = None) -> DataFrame:
+    """A converted table as its manifest has it: of each source the rows of its last committed batch."""
+    done = manifest(spark, manifest_at or manifest_path(root, data_type))
+    if done is None:
+        raise FileNotFoundError(f"no conversion of {data_type} under {root} was committed")
+    valid = done.groupBy("source").agg(F.max_by("batch", "converted_at").alias("batch"))
+    return store(spark, root, data_type).join(valid, ["source", "batch"], "left_semi").drop("source", "batch")
 
 
 def checksums(spark: SparkSession, pattern: str, published: DataFrame) -> DataFrame:

@@ -5,7 +5,7 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Row
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 
@@ -25,13 +25,17 @@ def slow_counts(trades: DataFrame, minutes: int = 1, late: str = "1 minute") ->
     return g.agg(F.count("*").alias("trades"), F.count_if("slow").alias("slow"), F.avg("latency_ms").alias("mean_latency_ms")).select("symbol", F.unix_millis("w.start").alias("window_start"), "trades", "slow", "mean_latency_ms")
 
 
+def taken():
+    """The quantity that buyers took."""
+    return F.when(~F.col("is_buyer_maker"), F.col("quantity")).otherwise(0)
+
+
 def streaming_bars(trades: DataFrame, interval: str = "15 minutes", late: str = "10 minutes") -> DataFrame:
     """Tumbling bars as the batch operator makes them; a bar is final once the watermark has passed its end."""
     d = trades.withColumn("ts", F.timestamp_millis("transact_time")).withWatermark("ts", late)
     order = F.struct("transact_time", "trade_id")
-    taken = F.when(~F.col("is_buyer_maker"), F.col("quantity")).otherwise(0)
     g = d.groupBy("symbol", F.window("ts", interval).alias("w"))
-    out = g.agg(F.min_by("price", order).alias("open"), F.max("price").alias("high"), F.min("price").alias("low"), F.max_by("price", order).alias("close"), F.sum("quantity").cast("double").alias("volume"), F.sum(taken).cast("double").alias("taker_buy_volume"), F.count("*").alias("trade_count"))
+    out = g.agg(F.min_by("price", order).alias("open"), F.max("price").alias("high"), F.min("price").alias("low"), F.max_by("price", order).alias("close"), F.sum("quantity").cast("double").alias("volume"), F.sum(taken()).cast("double").alias("taker_buy_volume"), F.count("*").alias("trade_count"))
     return out.select("symbol", F.unix_millis("w.start").alias("open_time"), "open", "high", "low", "close", "volume", "taker_buy_volume", "trade_count")
 
 
@@ -52,12 +56,6 @@ def latest_funding(rates: DataFrame, warn: float = 5e-4) -> DataFrame:
     return latest_by(rates, "symbol", "ts", ["rate"]).withColumn("extreme", F.abs("rate") > warn)
 
 
-def new_signals(signals: DataFrame, late: str = "1 hour") -> DataFrame:
-    """Each signal once per source and id, however often it is delivered; old ones are dropped with the watermark."""
-    d = signals.withColumn("ts", F.timestamp_millis("created_at")).withWatermark("ts", late)
-    return d.dropDuplicatesWithinWatermark(["source", "id"])
-
-
 class LastTrades(StatefulProcessor):
     """Keeps the newest `n` trades of each symbol and puts out how many it holds, their volume and newest price."""
 
@@ -118,26 +116,30 @@ class FeedHealth(StatefulProcessor):
 
     def init(self, handle: StatefulProcessorHandle) -> None:
         self.handle = handle
-        self.seen = handle.getValueState("seen", "ts long")
+        self.seen = handle.getValueState("seen", "newest long, since long")
 
-    def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timer_values) -> Iterator[pd.DataFrame]:  # noqa: N802
-        newest = max(int(d["transact_time"].max()) for d in rows)
-        now = timer_values.getCurrentProcessingTimeInMs()
+    def handleInputRows(self, key, rows: Iterator[Row], timerValues) -> Iterator[Row]:  # noqa: N802, N803
+        newest, now = max(r["transact_time"] for r in rows), timerValues.getCurrentProcessingTimeInMs()
+        if self.seen.exists():
+            newest = max(newest, self.seen.get()[0])
         for t in list(self.handle.listTimers()):
             self.handle.deleteTimer(t)
         self.handle.registerTimer(now + self.quiet_ms)
-        self.seen.update((newest,))
-        yield pd.DataFrame(columns=["symbol", "last_trade", "quiet_since"])
+        self.seen.update((newest, now))
+        return iter([])
 
-    def handleExpiredTimer(self, key, timer_values, expired_timer_info) -> Iterator[pd.DataFrame]:  # noqa: N802
-        yield pd.DataFrame({"symbol": [key[0]], "last_trade": [int(self.seen.get()[0])], "quiet_since": [int(expired_timer_info.getExpiryTimeInMs()) - self.quiet_ms]})
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[Row]:  # noqa: N802, N803
+        newest, since = self.seen.get()
+        yield Row(symbol=key[0], last_trade=newest, quiet_since=since)
 
     def close(self) -> None:
         pass
 
 
 def feed_health(trades: DataFrame, quiet_ms: int = 30_000) -> DataFrame:
-    return trades.select("symbol", "transact_time").groupBy("symbol").transformWithStateInPandas(FeedHealth(quiet_ms), "symbol string, last_trade long, quiet_since long", "Update", "ProcessingTime")
+    """Symbols that have gone quiet (symbol, last_trade, quiet_since): one row each time one does. Update mode."""
+    d = trades.where(F.col("transact_time").isNotNull()).select("symbol", "transact_time")
+    return d.groupBy("symbol").transformWithState(FeedHealth(quiet_ms), "symbol string, last_trade long, quiet_since long", "Update", "ProcessingTime")
 
 
 class BreakerState(StatefulProcessor):

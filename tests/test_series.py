@@ -8,7 +8,7 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from tapeloom.functions import scalar as S
-from tapeloom.operators import labels, ledger, micro, regime, risk, session
+from tapeloom.operators import labels, ledger, micro, regime, session
 from tapeloom.operators.series import asof, ewm, index_bars, on_slices, rolling, running, zscore
 
 H = 3_600_000
@@ -155,13 +155,6 @@ def test_performance_of_small_and_winning_ledgers(spark):
     assert ledger.performance(d.limit(0), 10**12).first()["closed"] == 0
 
 
-def test_accounts_fold(spark):
-    rows = [("a", 1, 1, "X", 1, 1.0, 100.0, 0.1, True), ("a", 2, 2, "X", 1, 1.0, 110.0, 0.1, True), ("a", 3, 3, "X", -1, 1.0, 1.0, 0.0, True), ("a", 4, 4, "X", -1, 2.0, 120.0, 0.2, False)]
-    f = spark.createDataFrame(rows, "account string, fill_id long, ts long, symbol string, side int, qty double, price double, fee double, opens boolean")
-    got = risk.accounts(f, 1000.0).orderBy("fill_id").collect()
-    assert got[2]["error"] == "direction" and abs(got[3]["realised"] - 29.8) < 1e-9 and abs(got[3]["cash"] - 1029.6) < 1e-9
-
-
 def test_plans_have_no_cartesian_or_single_partition(spark):
     d = session.opening_ranges(micro.price_features(bars(spark)))
     plan = d._jdf.queryExecution().executedPlan().toString()

@@ -27,9 +27,9 @@ def test_csv_to_store_and_back(spark, tmp_dir):
     assert {r[0] for r in d.select("_file_date").distinct().collect()} == {"2024-01-01", "2024-01-02"}
     root, manifest = f"{tmp_dir}/store", f"{tmp_dir}/manifest"
     first = store.convert(spark, f"{tmp_dir}/*.csv", root, "klines_4h", "XUSDT", manifest).first()
-    assert tuple(first) == (2, 0, 0)
+    assert tuple(first) == (2, 0, 0, 0)
     again = store.convert(spark, f"{tmp_dir}/*.csv", root, "klines_4h", "XUSDT", manifest).first()
-    assert tuple(again) == (0, 2, 0)
+    assert tuple(again) == (0, 2, 0, 0)
     t = store.store(spark, root, "klines_4h")
     got = store.scan(t, "XUSDT", 1_704_067_200_000 + day, 1_704_067_200_000 + day + 14_400_000, ["open_time", "close"])
     assert got.count() == 2 and "PartitionFilters: [isnotnull(symbol" in got._jdf.queryExecution().toString()
