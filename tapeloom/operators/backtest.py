@@ -52,6 +52,19 @@ def trade_metrics(trades: DataFrame, by: list[str], pnl: str = "pnl") -> DataFra
     return trades.groupBy(*by).agg(F.count("*").alias("trades"), (safe_divide(F.count_if(F.col(pnl) > 0), F.count("*")) * 100.0).alias("win_rate"), F.when(lost > 0, won / lost).otherwise(F.lit(float("inf"))).alias("profit_factor"))
 
 
+def bot_metrics(trades: DataFrame, initial: float, by: list[str] | None = None, pnl: str = "pnl", per_year: float = 6 * 365.0) -> DataFrame:
+    """What a bot reports of its closed trades: trades, wins as a share, profit factor (0 without losses), and the Sharpe ratio of
+    P&L over the initial equity, by the periods of a year (4h bars); 0 for fewer than two trades or no deviation. A trade that
+    gains nothing is a lost one."""
+    r = F.col(pnl) / F.lit(float(initial))
+    won, lost = F.coalesce(F.sum(F.when(F.col(pnl) > 0, F.col(pnl))), F.lit(0.0)), F.coalesce(F.sum(F.when(~(F.col(pnl) > 0), F.col(pnl))), F.lit(0.0))
+    d = trades.where(F.col(pnl).isNotNull()).groupBy(*(by or []))
+    return d.agg(
+        F.count("*").alias("trades"), safe_divide(F.count_if(F.col(pnl) > 0), F.count("*")).alias("win_rate"), F.when(lost != 0, won / F.abs(lost)).otherwise(0.0).alias("profit_factor"),
+        F.when((F.count("*") >= 2) & (F.stddev_samp(r) >= 1e-10), F.avg(r) / F.stddev_samp(r) * F.sqrt(F.lit(per_year))).otherwise(0.0).alias("sharpe"),
+    )
+
+
 def window_performance(rows: DataFrame, by: list[str], ret: str = "future_return", p_up: str = "p_up", threshold: float = 0.55) -> DataFrame:
     """Of rows whose confidence reaches the threshold: win rate in percent (a zero return is no win), profit factor (at most
     999), rate of signals, mean confidence."""

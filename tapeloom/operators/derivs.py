@@ -5,7 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from tapeloom.functions.scalar import clip, flag, safe_divide, zero
+from tapeloom.functions.lineage import cut
+from tapeloom.functions.scalar import DAY_MS, HOUR_MS, clip, flag, safe_divide, zero
 from tapeloom.operators.series import SLICE, asof, full, on_slices, rolling, zscore
 
 
@@ -153,35 +154,65 @@ def sentiment(rows: DataFrame, fear_greed="fear_greed", ratio="long_short_ratio"
     return rows.select("*", (index / 100.0).alias("fear_greed_norm"), extreme.alias("fear_greed_extreme"), lean.alias("ls_divergence"), clip(score, -1.0, 1.0).alias("sentiment_score"))
 
 
+#: Grids of time that rows are likely to lie on, in milliseconds, the coarsest first.
+GRIDS = (86_400_000, 14_400_000, 3_600_000, 900_000, 300_000, 60_000, 1_000, 1)
+
+
+def order_index(orders: DataFrame, grid_ms: int) -> DataFrame:
+    """Orders (symbol, time, price, qty, side) as a row per symbol, day, side and price: `sums`, an array of (t, n), the notional
+    of each interval of the grid, by the grid time that ends it. However many orders there are, a day has a row a price."""
+    end = (F.ceil(F.col("time") / grid_ms) * grid_ms).cast("long")
+    one = orders.groupBy("symbol", "side", "price", end.alias("t")).agg(F.sum("n").alias("n"))
+    return one.groupBy("symbol", F.floor(F.col("t") / DAY_MS).alias("_day"), "side", "price").agg(F.array_sort(F.collect_list(F.struct("t", "n"))).alias("sums"))
+
+
+def _last_hour(rows: DataFrame, orders: DataFrame, lookback_ms: int) -> DataFrame:
+    """rows (symbol, open_time) with _hour: the notional of the last hour before the newest order up to each, no older than the
+    look-back; from sums over each day's orders, looked up at both ends."""
+    times = orders.groupBy("symbol", F.col("time").alias("_t")).agg(F.sum("n").alias("_n")).withColumn("_day", F.floor(F.col("_t") / DAY_MS))
+    days = times.groupBy("symbol", "_day").agg(F.sum("_n").alias("_total"))
+    sums = times.withColumn("_c", F.sum("_n").over(Window.partitionBy("symbol", "_day").orderBy("_t").rowsBetween(Window.unboundedPreceding, 0)))
+    sums = cut(sums.join(days.select("symbol", (F.col("_day") + 1).alias("_day"), F.col("_total").alias("_before")), ["symbol", "_day"], "left").select("symbol", "_t", "_c", F.coalesce("_before", F.lit(0.0)).alias("_before")), "order-sums")
+    look = lambda d, at, p: asof(d, sums.select("symbol", F.col("_t").alias(f"_t{p}"), F.col("_t").alias(f"_at{p}"), F.col("_c").alias(f"_c{p}"), F.col("_before").alias(f"_y{p}")), at, f"_t{p}", [f"_at{p}", f"_c{p}", f"_y{p}"])
+    oldest = F.col("open_time") - lookback_ms
+    d = look(rows, "open_time", 1).withColumn("_from", F.greatest(F.col("_at1") - HOUR_MS - 1, oldest))
+    d = look(cut(d, "newest"), "_from", 2)
+    day = lambda c: F.floor(F.col(c) / DAY_MS)
+    whole = F.when(day("_from") < day("_at1"), F.col("_y1")).otherwise(0.0)  # of the day before
+    gone = F.when(day("_at2") == day("_from"), F.col("_c2")).otherwise(0.0)
+    hour = F.when(F.col("_at1") > oldest, F.col("_c1") + whole - gone)
+    return d.withColumn("_hour", F.coalesce(hour, F.lit(0.0))).drop("_at1", "_c1", "_y1", "_from", "_at2", "_c2", "_y2")
+
+
 def liquidation_proximity(rows: DataFrame, liquidations: DataFrame, lookback_hours: int = 24) -> DataFrame:
     """rows (symbol, open_time, close, and atr if there is one) with what the forced orders (symbol, time, price, qty, side) of
     the hours up to each say: the distance in percent (10 at most, 0 without) to the nearest of the three largest clusters of
     SELL orders above the price and of BUY orders below it, the imbalance of their notionals, and the share and the notional of
     the last hour before the newest order. Clusters are bins of a tenth of the atr (of half a percent of the price where it is
-    unknown); equal ones rank by price. Orders without a positive price and quantity don't count. All 0 without orders."""
-    hour, day = 3_600_000, 86_400_000
+    unknown); equal ones rank by price. Orders without a positive price and quantity don't count. All 0 without orders.
+
+    Orders are summed up by price and by the grid of time that all rows lie on, so that a row meets the prices of its days and
+    not their orders.
+    """
+    lookback = lookback_hours * HOUR_MS
     price, atr = F.col("close"), F.col("atr") if "atr" in rows.columns else F.lit(None).cast("double")
     size = F.coalesce(F.nanvl(atr, F.lit(None)), price * 0.005) * 0.1
-    asked = rows.where(price > 0).select("symbol", "open_time", price.alias("_p"), F.when(size > 0, size).otherwise(price * 0.0005).alias("_bin"))
-    days = F.sequence(F.floor((F.col("open_time") - lookback_hours * hour) / day), F.floor(F.col("open_time") / day))
-    orders = liquidations.where("price > 0 and qty > 0").select("symbol", F.col("time").alias("_t"), "price", (F.col("price") * F.col("qty")).alias("_n"), F.upper("side").alias("_side"), F.floor(F.col("time") / day).alias("_day"))
-    near = asked.withColumn("_day", F.explode(days)).join(orders, ["symbol", "_day"]).where((F.col("_t") <= F.col("open_time")) & (F.col("_t") > F.col("open_time") - lookback_hours * hour))
     key = ["symbol", "open_time"]
-    newest = near.groupBy(*key).agg(F.max("_t").alias("_now"))
-    near = near.join(newest, key)
-    recent = F.when(F.col("_t") >= F.col("_now") - hour, F.col("_n")).otherwise(0.0)
-    bins = near.groupBy(*key, "_p", "_bin", "_side", F.floor(F.col("price") / F.col("_bin")).alias("_b")).agg(F.sum("_n").alias("_n"), F.sum(recent).alias("_h"))
+    off = rows.agg(*(F.coalesce(F.count_if(F.pmod("open_time", F.lit(g)) != 0), F.lit(0)).alias(str(g)) for g in GRIDS)).first()
+    grid = next(g for g in GRIDS if off[str(g)] == 0 and lookback % g == 0)
+    orders = liquidations.where("price > 0 and qty > 0").select("symbol", F.col("time"), "price", (F.col("price") * F.col("qty")).alias("n"), F.upper("side").alias("side"))
+    asked = rows.where(price > 0).select(*key, price.alias("_p"), F.when(size > 0, size).otherwise(price * 0.0005).alias("_bin"))
+    days = F.sequence(F.floor((F.col("open_time") - lookback) / DAY_MS), F.floor(F.col("open_time") / DAY_MS))
+    near = asked.withColumn("_day", F.explode(days)).join(order_index(orders, grid), ["symbol", "_day"])
+    inside = F.filter("sums", lambda x: (x["t"] <= F.col("open_time")) & (x["t"] > F.col("open_time") - lookback))
+    near = near.withColumn("_n", F.aggregate(inside, F.lit(0.0), lambda s, x: s + x["n"])).where(F.size(inside) > 0)
+    bins = near.groupBy(*key, "_p", "_bin", F.col("side").alias("_side"), F.floor(F.col("price") / F.col("_bin")).alias("_b")).agg(F.sum("_n").alias("_n"))
     rank = F.row_number().over(Window.partitionBy(*key, "_side").orderBy(F.desc("_n"), "_b"))
     middle = (F.col("_b") + 0.5) * F.col("_bin")
     ranked = bins.withColumn("_k", rank).withColumn("_d", (middle - F.col("_p")) / F.col("_p") * 100.0)
     of = lambda side: F.coalesce(F.sum(F.when(F.col("_side") == side, F.col("_n"))), F.lit(0.0))
     nearest = lambda side, d: F.least(F.coalesce(F.min(F.when((F.col("_side") == side) & (F.col("_k") <= 3) & (d > 0), d)), F.lit(0.0)), F.lit(10.0))
-    total, last = of("SELL") + of("BUY"), F.coalesce(F.sum("_h"), F.lit(0.0))
-    found = ranked.groupBy(*key).agg(
-        nearest("SELL", F.col("_d")).alias("liq_cluster_long_pct"),
-        nearest("BUY", -F.col("_d")).alias("liq_cluster_short_pct"),
-        safe_divide(of("SELL") - of("BUY"), total).alias("liq_imbalance"),
-        clip(safe_divide(last, total), 0.0, 1.0).alias("liq_cascade_risk"),
-        last.alias("liq_volume_1h"),
-    )
+    found = ranked.groupBy(*key).agg(nearest("SELL", F.col("_d")).alias("liq_cluster_long_pct"), nearest("BUY", -F.col("_d")).alias("liq_cluster_short_pct"), safe_divide(of("SELL") - of("BUY"), of("SELL") + of("BUY")).alias("liq_imbalance"), F.sum("_n").alias("_total"))
+    hours = _last_hour(asked.select(*key).distinct(), orders, lookback)
+    found = found.join(hours, key).withColumns({"liq_cascade_risk": clip(safe_divide("_hour", "_total"), 0.0, 1.0), "liq_volume_1h": F.col("_hour")}).drop("_total", "_hour")
     return rows.join(found, key, "left").fillna(0.0, [c for c in found.columns if c.startswith("liq_")])

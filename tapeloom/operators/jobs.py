@@ -68,12 +68,6 @@ def dataset_summary(rows: DataFrame) -> DataFrame:
     return d.groupBy("split").agg(F.count("*").alias("rows"), F.round(safe_divide(F.count_if(F.col("target") == 1) * 100.0, F.count("*")), 4).alias("long_pct"), F.countDistinct("symbol").alias("symbols"), F.min("open_time").alias("first_time"), F.max("open_time").alias("last_time"))
 
 
-def null_audit(features: DataFrame, names: list[str]) -> DataFrame:
-    from tapeloom.operators.audit import null_counts
-
-    return null_counts(features, names)
-
-
 # The base models' regimes and barriers (up, down, bars).
 BASE_MODELS = {"trend": (("trend_up", "trend_down"), (1.25, 1.0, 4)), "high_vol": (("high_vol",), (1.25, 1.0, 6))}
 

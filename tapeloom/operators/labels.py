@@ -166,14 +166,43 @@ def walk_forward_windows(spark, start_ms: int, end_ms: int, train_months: int =
     return spark.createDataFrame(rows, "fold int, train_from long, train_to long, test_from long, test_to long")
 
 
-def grid_balance(bars: DataFrame, grid: list[tuple[float, float, int]], low: float = 35.0, high: float = 65.0) -> DataFrame:
+def grid_labels(bars: DataFrame, grid: list[tuple[float, float, int]], min_atr: float = 0.005, keep: list[str] | None = None) -> DataFrame:
+    """triple_barrier of every cell (up, down, horizon) of a grid in one pass over the bars: a row per bar and cell, with up,
+    down, horizon, label, future_return, t1_bar and the columns to keep (all).
+
+    The closes ahead are gathered once, for the longest horizon, with their running extremes; those never fall (or rise), so
+    the first touch of a barrier is found by how many of them don't reach it.
+    """
+    longest, kept = max(h for _, _, h in grid), keep or bars.columns
+
+    def step(d, w):
+        ahead = d.withColumn("_ahead", F.collect_list("close").over(w.rowsBetween(1, longest)))
+        run = lambda f: F.expr(f"transform(sequence(1, greatest(size(_ahead), 1)), k -> {f}(slice(_ahead, 1, k)))")
+        return ahead.withColumns({"_tops": run("array_max"), "_lows": run("array_min")})
+
+    d = on_slices(bars, step, 0, longest)
+    a = F.greatest(F.coalesce(F.nanvl("atr_pct", F.lit(min_atr)), F.lit(min_atr)), F.lit(min_atr))
+    d = d.withColumn("_a", a)
+
+    def cell(up, down, h):
+        high, low = F.col("close") * (1 + up * F.col("_a")), F.col("close") * (1 - down * F.col("_a"))
+        over = F.size(F.filter(F.slice("_tops", 1, h), lambda x: x < high)) + 1
+        under = F.size(F.filter(F.slice("_lows", 1, h), lambda x: x > low)) + 1
+        label = F.when((over <= h) & (over <= under), 1).when(under <= h, -1).otherwise(0)
+        k = F.least(over, under, F.lit(h))
+        out = F.get("_ahead", k - 1)
+        found = F.struct(F.lit(float(up)).alias("up"), F.lit(float(down)).alias("down"), F.lit(h).alias("horizon"), label.alias("label"), safe_divide(out - F.col("close"), F.col("close")).alias("future_return"), (F.col("bar_idx") + k).alias("t1_bar"))
+        return F.when(F.size("_ahead") >= h, found)
+
+    cells = F.array_compact(F.array(*(cell(*g) for g in grid)))
+    return d.select(*(c for c in dict.fromkeys([*kept, "bar_idx"])), F.inline(cells))
+
+
+def grid_balance(bars: DataFrame, grid: list[tuple[float, float, int]], low: float = 35.0, high: float = 65.0, by: list[str] | None = None) -> DataFrame:
     """Class balance of every barrier cell (up, down, horizon): rows, share of longs among decided labels, gate."""
-    out = None
-    for up, down, horizon in grid:  # a few cells
-        one = triple_barrier(bars, up, down, horizon).where("label <> 0").agg(F.count("*").alias("n"), F.round(safe_divide(F.count_if(F.col("label") == 1) * 100.0, F.count("*")), 4).alias("long_pct"))
-        one = one.select(F.lit(up).alias("up"), F.lit(down).alias("down"), F.lit(horizon).alias("horizon"), "n", "long_pct", F.col("long_pct").between(low, high).alias("balanced"))
-        out = one if out is None else out.unionByName(one)
-    return out
+    d = grid_labels(bars, grid, keep=["symbol", "open_time"]).where("label <> 0")
+    long_pct = F.round(safe_divide(F.count_if(F.col("label") == 1) * 100.0, F.count("*")), 4)
+    return d.groupBy(*(by or []), "up", "down", "horizon").agg(F.count("*").alias("n"), long_pct.alias("long_pct"), long_pct.between(low, high).alias("balanced"))
 
 
 def meta_labels(scored: DataFrame, cost: float = 0.0007) -> DataFrame:

@@ -284,6 +284,17 @@ def pending_payments(payments: DataFrame, method: str | None = None) -> DataFram
     return (d.where(F.col("method") == method) if method else d).orderBy(F.desc("created_at"), F.desc("payment_id"))
 
 
+def newest_events(events: DataFrame, event_type: str | None = None, limit: int = 50) -> DataFrame:
+    """Events of one type or of any, the newest first."""
+    d = events.where(F.col("event_type") == event_type) if event_type else events
+    return d.orderBy(F.desc("created_at"), F.desc("id")).limit(limit)
+
+
+def open_page(signals: DataFrame, timeframe: str | None = None, limit: int = 50, offset: int = 0) -> DataFrame:
+    """A page of the open signals, of one timeframe or of all, the newest first."""
+    return page(filter_signals(signals, timeframe, status="open"), limit=limit, offset=offset)
+
+
 def created_per_day(signals: DataFrame) -> DataFrame:
     """How many signals were created on each date."""
     return signals.groupBy(F.to_date(at("created_at")).alias("date")).agg(F.count("*").alias("signals"))

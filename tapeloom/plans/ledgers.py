@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from tapeloom.functions.lineage import scratch
 from tapeloom.functions.scalar import DAY_MS, HOUR_MS, normal_symbol, rounded
-from tapeloom.operators import accounts, audit, backtest, episodes, jobs, labels, ledger, risk, validation
+from tapeloom.operators import accounts, audit, backtest, episodes, jobs, labels, ledger, models, risk, validation
 from tapeloom.operators.series import index_bars
 from tapeloom.plans import tapes as T
 from tapeloom.plans.tapes import DAILY, FUNDING, METRICS, PAYMENTS, SIGNALS, TRADES, USERS, bars_sql, div, out, with_
@@ -286,6 +286,56 @@ def ledger_upsert(spark, d):
 UPSERT_SQL = with_(SIGNALS) + " select id, symbol, direction, coalesce(timeframe, '4h') as timeframe, created_at, result, closed_at, " + out("confidence as confidence", f"case when result in {CLOSED} then (100 + id % 7)::double end as close_price", f"case when result in {CLOSED} then pnl_pct end as pnl_pct") + " from signals"
 
 
+def bot_metrics(spark, d):
+    t = T.signals(spark, d).where("pnl_pct is not null")
+    return rounded(backtest.bot_metrics(t.withColumn("pnl", F.col("pnl_pct") * 100.0), 10_000.0, ["symbol"]))
+
+
+BOT_SQL = with_(SIGNALS, "t as (select symbol, pnl_pct * 100.0::double as pnl from signals where pnl_pct is not null)") + " select symbol, count(*) as trades, " + out("count(*) filter (pnl > 0) / count(*) as win_rate", "case when coalesce(sum(pnl) filter (not pnl > 0), 0) <> 0 then coalesce(sum(pnl) filter (pnl > 0), 0) / abs(sum(pnl) filter (not pnl > 0)) else 0.0 end as profit_factor", "case when count(*) >= 2 and stddev_samp(pnl / 10000) >= 1e-10 then avg(pnl / 10000) / stddev_samp(pnl / 10000) * sqrt(2190) else 0.0 end as sharpe") + " from t group by 1"
+
+
+def open_signals_page(spark, d):
+    return ledger.open_page(T.signals(spark, d), "1h", 100, 20).select("id", "symbol", "direction", "timeframe", "created_at", "result")
+
+
+OPEN_PAGE_SQL = with_(SIGNALS) + " select id, symbol, direction, coalesce(timeframe, '4h') as timeframe, created_at, result from signals where result = 'open' and coalesce(timeframe, '4h') = '1h' order by created_at desc, id desc limit 100 offset 20"
+
+
+def walk_forward_ml(spark, d):
+    """The windows' results of a stand-in probability, of each symbol."""
+    rows = labels.assign_folds(_scored(spark, d), labels.walk_forward_windows(spark, 694_224_000_000, 883_612_800_000, 12, 3)).where("role = 'test'")
+    return rounded(models.walk_forward_ml(backtest.window_performance(rows, ["symbol", "fold"]), ["symbol"]))
+
+
+def _windows():
+    import datetime as dt
+
+    at, end, rows = dt.datetime(1992, 1, 1), dt.datetime(1998, 1, 1), []
+    month = lambda d, n: d.replace(year=d.year + (d.month - 1 + n) // 12, month=(d.month - 1 + n) % 12 + 1)
+    ms = lambda d: int(d.replace(tzinfo=dt.UTC).timestamp() * 1000)
+    while month(at, 15) <= end:
+        rows.append(f"({len(rows) + 1}, {ms(month(at, 12))}, {ms(month(at, 15))})")
+        at = month(at, 3)
+    return "wf(fold, a, b) as (values " + ", ".join(rows) + ")"
+
+
+_CONF = "greatest(p_up, 1 - p_up)"
+WALK_ML_SQL = with_(
+    DAILY, _SCORED, _windows(),
+    "n as (select symbol, fold, p_up, (f / close - 1) * case when p_up >= 0.5 then 1 else -1 end as net from sc join wf on open_time >= a and open_time < b)",
+    f"p as (select symbol, fold, 100.0 * count(*) filter ({_CONF} >= 0.55 and net > 0) / nullif(count(*) filter ({_CONF} >= 0.55), 0) as wr, coalesce(sum(net) filter ({_CONF} >= 0.55 and net > 0), 0) as won, -coalesce(sum(net) filter ({_CONF} >= 0.55 and net < 0), 0) as lost from n group by 1, 2)",
+    "q as (select symbol, coalesce(wr, 0) as wr, case when lost > 0 then least(won / lost, 999) when won > 0 then 999 else 0 end as pf from p)",
+) + " select symbol, count(*) as windows, " + out("100.0 * count(*) filter (pf > 1) / count(*) as profitable_windows_pct", "avg(wr) as avg_win_rate", "coalesce(avg(pf) filter (pf < 100), 0) as avg_profit_factor") + ", 100.0 * count(*) filter (pf > 1) / count(*) >= 60 as passes from q group by 1"
+
+
+def selection_data(spark, d):
+    b = T.daily(spark, d).withColumns({"atr_pct": F.lit(0.01), "regime": F.when(F.col("trade_count") % 3 == 0, "trend_up").when(F.col("trade_count") % 3 == 1, "trend_down").otherwise("high_vol")})
+    return models.selection_data(b, "trend", 1.5, 1.0, 8).select("symbol", "open_time", "target", "role")
+
+
+SELECTION_SQL = with_(DAILY, _BARRIER, "s as (select tb.symbol, tb.open_time, tb.label as target from tb join bars b using (symbol, open_time) where label <> 0 and trade_count % 3 < 2)") + " select symbol, open_time, target, case when row_number() over w - 1 < floor(count(*) over (partition by symbol) * 0.8::double) then 'train' else 'test' end as role from s window w as (partition by symbol order by open_time)"
+
+
 def revenue(spark, d):
     return rounded(ledger.revenue(T.payments(spark, d), T.users(spark, d), "1995-03"), 2)
 
@@ -808,6 +858,10 @@ QUERIES = {
     "breaker_episodes": (breaker_episodes, EPISODE_SQL),
     "ledger_upsert": (ledger_upsert, UPSERT_SQL),
     "clock_drift": (clock_drift, DRIFT_SQL),
+    "bot_metrics": (bot_metrics, BOT_SQL),
+    "open_signals_page": (open_signals_page, OPEN_PAGE_SQL),
+    "walk_forward_ml": (walk_forward_ml, WALK_ML_SQL),
+    "selection_data": (selection_data, SELECTION_SQL),
     "buy_and_hold": (buy_and_hold, HOLD_SQL),
     "deflated_sharpe": (deflated_sharpe, DSR_SQL),
     "overfitting_probability": (overfitting, PBO_SQL),

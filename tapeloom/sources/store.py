@@ -85,9 +85,25 @@ def scan(df: DataFrame, symbol: str, start_ms: int, end_ms: int, columns: list[s
 
 
 def bar_events(df: DataFrame, symbol: str, start_ms: int, end_ms: int, smallest: float = 0.001) -> DataFrame:
-    """Bars in [start, end) by close time, with volumes of at least `smallest`."""
+    """Bars that open in [start, end) as events: ts_event is when they close (their open time where there is no
+    close_time), volumes are at least `smallest`; in the order of events."""
     d = scan(df, symbol, start_ms, end_ms, ts="open_time", closed=False)
-    return d.withColumn("volume", F.greatest("volume", F.lit(smallest)))
+    when = F.coalesce("close_time", "open_time") if "close_time" in df.columns else F.col("open_time")
+    return d.withColumn("volume", F.greatest("volume", F.lit(smallest))).withColumn("ts_event", when).orderBy("ts_event")
+
+
+def first_filled(spark: SparkSession, roots: list[str], data_type: str) -> DataFrame | None:
+    """The table of the first root that has rows of a data type; None if none has."""
+    for root in roots:  # a few places
+        try:
+            d = store(spark, root, data_type)
+        except Exception as e:
+            if "PATH_NOT_FOUND" not in str(e) and "UNABLE_TO_INFER_SCHEMA" not in str(e):
+                raise
+            continue
+        if not d.isEmpty():
+            return d
+    return None
 
 
 def stride_sample(trades: DataFrame, start_ms: int, end_ms: int, k: int) -> DataFrame:
