@@ -100,6 +100,11 @@ def gate(rows: DataFrame, thresholds: dict[str, tuple[str, float]]) -> DataFrame
 BACKTEST_GATE = {"sharpe": (">=", 1.0), "win_rate": (">=", 52.0), "profit_factor": (">=", 1.3), "max_drawdown": ("<=", 20.0)}
 MODEL_GATE = {"win_rate": (">=", 52.0), "profit_factor": (">=", 1.3), "signal_rate": (">=", 0.10)}
 STATISTICS_GATE = {"dsr": (">=", 0.95), "pbo": ("<=", 0.30), "t_stat": (">=", 3.0), "signals": (">=", 300)}
+#: Of models at 1h: the Sharpe ratio, win rate and profit factor out of sample, whether the trades are enough, the share of
+#: profitable windows, the mean return as a multiple of the cost, and the statistics. Windows of 12 months and 4 months every
+#: 2 months, with 48 bars between them.
+VALIDATION_GATE_1H = {"sharpe": (">=", 0.9), "win_rate": (">=", 51.0), "profit_factor": (">=", 1.25), "enough": (">=", 1), "profitable_windows_pct": (">=", 55.0), "fee_multiple": (">=", 3.5), "dsr": (">=", 0.95), "pbo": ("<=", 0.30), "t_stat": (">=", 3.0)}
+WINDOWS_1H = {"train_months": 12, "test_months": 4, "step_months": 2, "embargo_bars": 48}
 WALK_FORWARD_GATE = {"profitable_pct": (">=", 60.0), "avg_sharpe": (">=", 0.0), "worst_sharpe": (">=", -1.0), "sum_return": (">=", 0.0)}
 
 

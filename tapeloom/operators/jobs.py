@@ -51,6 +51,25 @@ def chain(features: DataFrame, interval: str, bars_1h: DataFrame | None = None,
     return mtf.for_15m(d, bars_1h, bars_4h) if bars_1h is not None and bars_4h is not None else d
 
 
+# How regimes are told at an interval below 4h, and the bars that its features need before the first row.
+REGIME_1H = {"period": 10, "lookback": 168, "min_bars": 100, "window": 100, "vol_threshold": 0.75, "trend_threshold": 20.0}
+WARMUP_1H, BARRIERS_1H = 200, (1.5, 1.0, 6)
+
+
+def without_warmup(features: DataFrame, bars: int) -> DataFrame:
+    """Without each symbol's first bars; a symbol that has no more than them keeps all."""
+    d = features if "bar_idx" in features.columns else index_bars(features)
+    n = d.groupBy("symbol").agg(F.max("bar_idx").alias("_last"))
+    return d.join(n, "symbol").where((F.col("bar_idx") >= bars) | (F.col("_last") < bars)).drop("_last")
+
+
+def dataset_1h(bars: DataFrame, bars_4h: DataFrame, funding: DataFrame, metrics: DataFrame, warmup: int = WARMUP_1H) -> DataFrame:
+    """Labelled 1h rows of all symbols: the feature matrix, the clock, session prices, derived features and the 4h context, without
+    the warm-up; decided labels with the splits trend and high_vol."""
+    features = chain(matrix(bars, funding, metrics, 60, **REGIME_1H), "1h", bars_4h=bars_4h)
+    return dataset(cut(without_warmup(features, warmup).drop("bar_idx")), *BARRIERS_1H, False, "high_vol")
+
+
 def dataset(features: DataFrame, up: float, down: float, horizon: int, trap_filter: bool, splits: str = "orb") -> DataFrame:
     """Labelled rows with the tags of the splits they belong to: decided labels only, those in a trap zone left out if
     asked (an unknown zone stays), trend by regime, and breakouts (orb) or high volatility."""

@@ -120,6 +120,16 @@ def round_trips(fills: DataFrame, slip_bps: float = 2.0) -> DataFrame:
     return e.join(x, "order_id").select("order_id", "symbol", "side", "qty", "opened_at", "closed_at", entry.alias("entry"), exit_.alias("exit"), (F.col("f0") + F.col("f1")).alias("fees"), ((exit_ - entry) * F.col("side") * F.col("qty") - F.col("f0") - F.col("f1")).alias("pnl"))
 
 
+def paper_stats(trips: DataFrame, fills: DataFrame, initial: float = 10_000.0) -> DataFrame:
+    """One row over round trips and the fills they are made of: equity, summed P&L and its share of the initial equity, trades,
+    won and lost ones (a trade that gains nothing is lost), the share of the won, and positions that are still open. Entry
+    fees of open positions are paid."""
+    done = trips.agg(F.count("*").alias("total_trades"), F.count_if(F.col("pnl") > 0).alias("winning_trades"), F.coalesce(F.sum("pnl"), F.lit(0.0)).alias("total_pnl"))
+    left = fills.where("opens").join(trips.select("order_id"), "order_id", "left_anti").agg(F.count_distinct("symbol").alias("open_positions"), F.coalesce(F.sum("fee"), F.lit(0.0)).alias("_fees"))
+    n, won, pnl = F.col("total_trades"), F.col("winning_trades"), F.col("total_pnl")
+    return done.crossJoin(left).select((F.lit(float(initial)) + pnl - F.col("_fees")).alias("equity"), F.lit(float(initial)).alias("initial_equity"), pnl, (pnl / F.lit(float(initial))).alias("total_pnl_pct"), n, won, (n - won).alias("losing_trades"), safe_divide(won, n).alias("win_rate"), "open_positions")  # one row each
+
+
 def route(rows: DataFrame, range_threshold: float = 0.60, threshold: float = 0.55) -> DataFrame:
     """Which model a regime uses and the confidence it asks for; a range asks for more."""
     model = F.when(F.col("regime").isin("trend_up", "trend_down"), "trend").when(F.col("regime") == "high_vol", "high_vol").otherwise("trend")

@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tapeloom.functions.scalar import normal_cdf, safe_divide
-from tapeloom.operators.backtest import STATISTICS_GATE, gate
+from tapeloom.operators.backtest import STATISTICS_GATE, VALIDATION_GATE_1H, gate
 
 _EULER = 0.5772156649015329
 
@@ -104,6 +104,19 @@ def validation_report(oos: DataFrame, dsr: DataFrame, pbo: DataFrame, t: DataFra
     return gate(d, STATISTICS_GATE)
 
 
+def validation_report_1h(oos: DataFrame, windows: DataFrame, dsr: DataFrame, pbo: DataFrame, t: DataFrame) -> DataFrame:
+    """One row of a 1h model's measures with its gate: trades out of sample, the windows of the walk-forward (win_rate,
+    profit_factor), the statistics, and whether the trades are enough to know the win rate within 5 %."""
+    from tapeloom.operators.labels import sample_size_ok
+    from tapeloom.operators.models import walk_forward_ml
+
+    d = sample_size_ok(oos.select(F.col("trades").alias("signals"), "win_rate", "profit_factor", "sharpe", "fee_multiple", "coverage", (F.col("win_rate") / 100.0).alias("_p")), "signals", "_p")
+    d = d.withColumn("enough", (F.col("sufficient") & (F.col("_p") > 0) & (F.col("_p") < 1)).cast("int")).drop("_p", "margin", "sufficient")
+    w = walk_forward_ml(windows).select("windows", "profitable_windows_pct", "avg_win_rate", "avg_profit_factor")
+    d = d.crossJoin(w).crossJoin(dsr.select("dsr").limit(1)).crossJoin(pbo.select("pbo")).crossJoin(t.select("t_stat"))  # one row each
+    return gate(d, VALIDATION_GATE_1H)
+
+
 def manifest(rows: DataFrame, features: list[str], target: str = "target", verdict: bool = True) -> DataFrame:
     """One row that describes a training run: rows and time range by role, class balance, hash of the sorted feature names."""
     role = lambda r: F.col("role") == r

@@ -361,28 +361,39 @@ def regimes(spark, d):
     return rounded(x.select(*KEY, "atr", "adx", "atr_pct", "atr_percentile", "regime", "hurst", "trend_strength"))
 
 
-_WILDER = """n as (select *, row_number() over w as k, lag(close) over w as pc, high - lag(high) over w as up, lag(low) over w - low as dn from bars window w as (partition by symbol order by open_time)),
+def wilder_sql(period: int = 14) -> str:
+    """Recurrences of the published averages over bars."""
+    n = period
+    return f"""n as (select *, row_number() over w as k, lag(close) over w as pc, high - lag(high) over w as up, lag(low) over w - low as dn from bars window w as (partition by symbol order by open_time)),
 m as (select *, greatest(high - low, coalesce(abs(high - pc), 0), coalesce(abs(low - pc), 0)) as tr, case when up > dn and up > 0 then up else 0.0 end as pdm, case when dn > up and dn > 0 then dn else 0.0 end as mdm from n),
-s as (select *, avg(tr) over q as tr14, avg(pdm) over q as p14, avg(mdm) over q as m14 from m window q as (partition by symbol order by open_time rows between 13 preceding and current row)),
+s as (select *, avg(tr) over q as tr14, avg(pdm) over q as p14, avg(mdm) over q as m14 from m window q as (partition by symbol order by open_time rows between {n - 1} preceding and current row)),
 r as (select symbol, open_time, k, close, close as ema, null::double as atr, null::double as a, null::double as p, null::double as mm from s where k = 1
-  union all select s.symbol, s.open_time, s.k, s.close, r.ema + 2 / 15.0::double * (s.close - r.ema),
-    case when s.k < 14 then null when s.k = 14 then s.tr14 else (r.atr * 13 + s.tr) / 14 end,
-    case when s.k < 15 then null when s.k = 15 then s.tr14 else (r.a * 13 + s.tr) / 14 end,
-    case when s.k < 15 then null when s.k = 15 then s.p14 else (r.p * 13 + s.pdm) / 14 end,
-    case when s.k < 15 then null when s.k = 15 then s.m14 else (r.mm * 13 + s.mdm) / 14 end
+  union all select s.symbol, s.open_time, s.k, s.close, r.ema + 2 / {n + 1}.0::double * (s.close - r.ema),
+    case when s.k < {n} then null when s.k = {n} then s.tr14 else (r.atr * {n - 1} + s.tr) / {n} end,
+    case when s.k < {n + 1} then null when s.k = {n + 1} then s.tr14 else (r.a * {n - 1} + s.tr) / {n} end,
+    case when s.k < {n + 1} then null when s.k = {n + 1} then s.p14 else (r.p * {n - 1} + s.pdm) / {n} end,
+    case when s.k < {n + 1} then null when s.k = {n + 1} then s.m14 else (r.mm * {n - 1} + s.mdm) / {n} end
   from r join s on s.symbol = r.symbol and s.k = r.k + 1),
-x as (select *, case when k >= 15 then coalesce(case when pi_ + mi > 0 then abs(pi_ - mi) / (pi_ + mi) end, 0.0) * 100 end as dx from (select *, case when a > 0 then p / a else 0.0 end * 100 as pi_, case when a > 0 then mm / a else 0.0 end * 100 as mi from r) t),
-y as (select *, avg(dx) over (partition by symbol order by open_time rows between 13 preceding and current row) as dx14 from x),
+x as (select *, case when k >= {n + 1} then coalesce(case when pi_ + mi > 0 then abs(pi_ - mi) / (pi_ + mi) end, 0.0) * 100 end as dx from (select *, case when a > 0 then p / a else 0.0 end * 100 as pi_, case when a > 0 then mm / a else 0.0 end * 100 as mi from r) t),
+y as (select *, avg(dx) over (partition by symbol order by open_time rows between {n - 1} preceding and current row) as dx14 from x),
 z as (select symbol, open_time, k, null::double as adx from y where k = 1
-  union all select y.symbol, y.open_time, y.k, case when y.k < 28 then null when y.k = 28 then y.dx14 else (z.adx * 13 + y.dx) / 14 end from z join y on y.symbol = z.symbol and y.k = z.k + 1)"""
-_REGIME = (
-    DAILY,
-    _WILDER,
-    "f as (select y.symbol, y.open_time, y.k, y.close, coalesce(y.atr, 0.0) as atr, coalesce(z.adx, 0.0) as adx, case when y.k > 4 then y.ema - lag(y.ema, 4) over (partition by y.symbol order by y.k) else coalesce(y.close - lag(y.close) over (partition by y.symbol order by y.k), 0.0) end as slope from y join z using (symbol, k, open_time))",
-    "h as (select *, list(atr) over (partition by symbol order by k rows between 119 preceding and current row) as seen from f)",
-    "g as (select *, case when len(list_filter(seen, lambda x: x > 0)) > 0 then cast(len(list_filter(seen, lambda x: x > 0 and x < atr)) as double) / len(list_filter(seen, lambda x: x > 0)) else 0.5 end as pct from h)",
-    "lab as (select symbol, open_time, k, atr, adx, case when k > 100 then atr / close else 0.0 end as atr_pct, case when k > 100 then pct else 0.5 end as atr_percentile, case when k <= 100 then 'range' when pct > 0.8 then 'high_vol' when adx > 20 then case when slope > 0 then 'trend_up' else 'trend_down' end else 'range' end as regime from g)",
-)
+  union all select y.symbol, y.open_time, y.k, case when y.k < {2 * n} then null when y.k = {2 * n} then y.dx14 else (z.adx * {n - 1} + y.dx) / {n} end from z join y on y.symbol = z.symbol and y.k = z.k + 1)"""
+
+
+def regime_ctes(*source: str, period: int = 14, lookback: int = 120, min_bars: int = 100, vol: float = 0.8) -> tuple[str, ...]:
+    """lab: each bar of the source's bars with its regime and what that is made of."""
+    k = max(2, period // 3)
+    return (
+        *source,
+        wilder_sql(period),
+        f"f as (select y.symbol, y.open_time, y.k, y.close, coalesce(y.atr, 0.0) as atr, coalesce(z.adx, 0.0) as adx, case when y.k > {k} then y.ema - lag(y.ema, {k}) over (partition by y.symbol order by y.k) else coalesce(y.close - lag(y.close) over (partition by y.symbol order by y.k), 0.0) end as slope from y join z using (symbol, k, open_time))",
+        f"h as (select *, list(atr) over (partition by symbol order by k rows between {lookback - 1} preceding and current row) as seen from f)",
+        "g as (select *, case when len(list_filter(seen, lambda x: x > 0)) > 0 then cast(len(list_filter(seen, lambda x: x > 0 and x < atr)) as double) / len(list_filter(seen, lambda x: x > 0)) else 0.5 end as pct from h)",
+        f"lab as (select symbol, open_time, k, close, atr, adx, case when k > {min_bars} then atr / close else 0.0 end as atr_pct, case when k > {min_bars} then pct else 0.5 end as atr_percentile, case when k <= {min_bars} then 'range' when pct > {vol} then 'high_vol' when adx > 20 then case when slope > 0 then 'trend_up' else 'trend_down' end else 'range' end as regime from g)",
+    )
+
+
+_REGIME = regime_ctes(DAILY)
 _HURST = (
     "u0 as (select symbol, open_time, close, row_number() over (partition by symbol order by open_time) - 1 as k from bars)",
     "u1 as (select symbol, k, list(close) over (partition by symbol order by k rows between 99 preceding and current row) as p from u0)",
@@ -422,7 +433,11 @@ def vpin(spark, d):
     return rounded(micro.vpin(T.trades(spark, d), 200.0, 50), 4)
 
 
-VPIN_SQL = with_(
+def vpin_latest(spark, d):
+    return rounded(micro.vpin(T.trades(spark, d), 200.0, 20, "last"), 4)
+
+
+_VPIN = (
     TRADES,
     "t as (select symbol, price, quantity as q, row_number() over w as k, coalesce(ln(price / lag(price) over w), 0.0) as r, sum(quantity) over w as upto from trades where quantity > 0 window w as (partition by symbol order by transact_time))",
     "s as (select symbol, stddev_pop(r) as sg from t group by 1)",
@@ -430,7 +445,18 @@ VPIN_SQL = with_(
     "y as (select *, least(upto, (b + 1) * 200) - greatest(upto - q, b * 200) as share, abs(r / sg) / sqrt(2) as z, 1 / (1 + 0.3275911 * abs(r / sg) / sqrt(2)) as tt from x)",
     "p as (select *, (1 - tt * (0.254829592 + tt * (-0.284496736 + tt * (1.421413741 + tt * (-1.453152027 + tt * 1.061405429)))) * exp(-z * z)) * case when r < 0 then -1 else 1 end as erf from y)",
     "g as (select symbol, b, abs(sum(share * erf)) as gap, sum(share) as filled from p group by 1, 2)",
-) + " select symbol, count(*) as buckets, round(sum(gap) / (count(*) * 200.0), 4) + 0.0 as vpin from g where filled >= 200 and b < 50 group by symbol"
+)
+VPIN_SQL = with_(*_VPIN) + " select symbol, count(*) as buckets, round(sum(gap) / (count(*) * 200.0), 4) + 0.0 as vpin from g where filled >= 200 and b < 50 group by symbol"
+VPIN_LATEST_SQL = with_(*_VPIN, "full_ as (select *, row_number() over (partition by symbol order by b desc) as n from g where filled >= 200)") + " select symbol, count(*) as buckets, round(sum(gap) / (count(*) * 200.0), 4) + 0.0 as vpin from full_ where n <= 20 group by symbol"
+
+
+def regime_defaults(spark, d):
+    """Regimes with the look-backs of 4h bars, 540 and 300."""
+    return rounded(regime.detect(T.daily(spark, d)).select(*KEY, "atr", "adx", "atr_pct", "atr_percentile", "regime"))
+
+
+REGIME_DEFAULTS_SQL = with_(*regime_ctes(DAILY, lookback=540, min_bars=300), recursive=True) + " select symbol, open_time, regime, " + out("atr as atr", "adx as adx", "atr_pct as atr_pct", "atr_percentile as atr_percentile") + " from lab"
+
 
 
 def settlement_rates(spark, d):
@@ -471,5 +497,7 @@ QUERIES = {
     "regime_transitions": (regime_transitions, TRANSITIONS_SQL),
     "hurst_histogram": (hurst_histogram, HISTOGRAM_SQL),
     "vpin": (vpin, VPIN_SQL),
+    "vpin_latest": (vpin_latest, VPIN_LATEST_SQL),
+    "regime_defaults": (regime_defaults, REGIME_DEFAULTS_SQL),
     "funding_settlements": (settlement_rates, SETTLEMENTS_SQL),
 }

@@ -9,6 +9,7 @@ from tapeloom.functions.scalar import DAY_MS, HOUR_MS, normal_symbol, rounded
 from tapeloom.operators import accounts, audit, backtest, episodes, jobs, labels, ledger, models, risk, validation
 from tapeloom.operators.series import index_bars
 from tapeloom.plans import tapes as T
+from tapeloom.plans.features import regime_ctes
 from tapeloom.plans.tapes import DAILY, FUNDING, METRICS, PAYMENTS, SIGNALS, TRADES, USERS, bars_sql, div, out, with_
 from tapeloom.sources import ledgers as source_ledgers
 from tapeloom.sources import versions
@@ -40,6 +41,16 @@ tb as (select symbol, open_time, k, close, coalesce(sign(hit), 0)::int as label,
 BARRIER_SQL = with_(DAILY, _BARRIER) + " select symbol, open_time, label, " + out("future_return as future_return") + ", t1 as t1_bar from tb"
 
 
+def triple_barrier_hl(spark, d):
+    """Barriers touched by highs and lows."""
+    bars = T.daily(spark, d).withColumn("atr_pct", F.lit(0.02))
+    return rounded(labels.triple_barrier(bars, 2.0, 1.5, 5, touch="hl").select("symbol", "open_time", "label", "future_return", "t1_bar"))
+
+
+_HL = ", ".join(f"case when lead(high, {k}) over w >= close * (1 + 2.0 * 0.02) then {k} when lead(low, {k}) over w <= close * (1 - 1.5 * 0.02) then -{k} end" for k in range(1, 6))
+BARRIER_HL_SQL = with_(DAILY, f"t0 as (select *, row_number() over w - 1 as k, coalesce({_HL}) as hit, lead(close, 5) over w as f, list(close) over (partition by symbol order by open_time rows between 1 following and 5 following) as ahead from bars {W})") + " select symbol, open_time, coalesce(sign(hit), 0)::int as label, " + out("ahead[coalesce(abs(hit), 5)] / close - 1 as future_return") + ", k + coalesce(abs(hit), 5) as t1_bar from t0 where f is not null"
+
+
 def label_statistics(spark, d):
     return labels.label_statistics(_barrier(spark, d), ["symbol"])
 
@@ -336,6 +347,35 @@ def selection_data(spark, d):
 SELECTION_SQL = with_(DAILY, _BARRIER, "s as (select tb.symbol, tb.open_time, tb.label as target from tb join bars b using (symbol, open_time) where label <> 0 and trade_count % 3 < 2)") + " select symbol, open_time, target, case when row_number() over w - 1 < floor(count(*) over (partition by symbol) * 0.8::double) then 'train' else 'test' end as role from s window w as (partition by symbol order by open_time)"
 
 
+def dataset_1h(spark, d):
+    """Labelled 1h rows, from trades to splits."""
+    x = jobs.dataset_1h(T.bars(spark, d, "1h"), T.bars(spark, d, "4h"), T.funding(spark, d), T.metrics(spark, d))
+    return rounded(x.select("symbol", "open_time", "close", "regime", "atr_pct", "adx", "target", "future_return", F.array_join("splits", ",").alias("splits")))
+
+
+def dataset_daily_rows(spark, d):
+    """Labelled daily rows with the splits trend and high_vol."""
+    m = jobs.matrix(T.daily(spark, d), T.funding(spark, d), T.metrics(spark, d), 1440, lookback=120, min_bars=100, window=100)
+    x = jobs.dataset(jobs.trim(m, 120, 100).drop("bar_idx"), 1.5, 1.0, 6, False, "high_vol")
+    return rounded(x.select("symbol", "open_time", "close", "regime", "atr_pct", "adx", "target", "future_return", F.array_join("splits", ",").alias("splits")))
+
+
+def _dataset_sql(*source, first: str, up: float, down: float, horizon: int, **options):
+    """Regimes over the source's bars, labels by them from the first bar that counts on."""
+    a = "greatest(atr_pct, 0.005)"
+    hits = ", ".join(f"case when lead(close, {k}) over w >= close * (1 + {up} * {a}) then {k} when lead(close, {k}) over w <= close * (1 - {down} * {a}) then -{k} end" for k in range(1, horizon + 1))
+    return with_(
+        *regime_ctes(*source, **options),
+        f"warm as (select * from (select *, max(k) over (partition by symbol) as n from lab) t where {first})",
+        f"lb as (select *, coalesce({hits}) as hit, lead(close, {horizon}) over w as fh, list(close) over (partition by symbol order by open_time rows between 1 following and {horizon} following) as ahead from warm {W})",
+        recursive=True,
+    ) + " select symbol, open_time, regime, sign(hit)::int as target, " + out("close as close", "atr_pct as atr_pct", "adx as adx", "ahead[abs(hit)] / close - 1 as future_return") + ", case when regime in ('trend_up', 'trend_down') then 'trend' when regime = 'high_vol' then 'high_vol' else '' end as splits from lb where fh is not null and hit is not null"
+
+
+DATASET_1H_SQL = _dataset_sql(TRADES, bars_sql("1h"), first="k > 200 or n <= 200", up=1.5, down=1.0, horizon=6, period=10, lookback=168, min_bars=100, vol=0.75)
+DATASET_DAILY_SQL = _dataset_sql(DAILY, first="case when n > 220 then k > 220 when n > 100 then k > 100 else k = n end", up=1.5, down=1.0, horizon=6)
+
+
 def revenue(spark, d):
     return rounded(ledger.revenue(T.payments(spark, d), T.users(spark, d), "1995-03"), 2)
 
@@ -815,6 +855,7 @@ DAYSTATS_SQL = with_(SIGNALS) + f" select coalesce(timeframe, '4h') as timeframe
 QUERIES = {
     "fixed_horizon": (fixed_horizon, FIXED_SQL),
     "triple_barrier": (triple_barrier, BARRIER_SQL),
+    "triple_barrier_hl": (triple_barrier_hl, BARRIER_HL_SQL),
     "label_statistics": (label_statistics, LABEL_STATS_SQL),
     "uniqueness_weights": (uniqueness_weights, WEIGHTS_SQL),
     "weight_summary": (weight_summary, WEIGHT_SUMMARY_SQL),
@@ -874,6 +915,8 @@ QUERIES = {
     "signals_per_day": (created_per_day, CREATED_SQL),
     "newest_of_all_ledgers": (newest_of_all, NEWEST_SQL),
     "best_runs": (best_runs, BEST_SQL),
+    "dataset_1h": (dataset_1h, DATASET_1H_SQL),
+    "dataset_daily_rows": (dataset_daily_rows, DATASET_DAILY_SQL),
     "dataset_daily": (dataset_4h, None),
     "dataset_15m": (dataset_15m, None),
     "random_entries": (random_entries, None),

@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, Row
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 
-from tapeloom.functions.scalar import safe_divide
+from tapeloom.functions.scalar import DAY_MS, safe_divide
 
 
 def with_latency(trades: DataFrame, warn_ms: int = 1000, received: str = "received_at") -> DataFrame:
@@ -181,19 +181,30 @@ def merge_history(batch: DataFrame, backfill: DataFrame, keep: int) -> DataFrame
     return one.withColumn("_k", rank).where(F.col("_k") <= keep).drop("_k")
 
 
+def _days(spark, table_path: str, first_ms: int, last_ms: int) -> list[str]:
+    """The folders of the days from one time to another that are there."""
+    path = spark._jvm.org.apache.hadoop.fs.Path
+    fs = path(table_path).getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    names = (f"{table_path}/day={k}" for k in range(first_ms // DAY_MS, last_ms // DAY_MS + 1))
+    return [n for n in names if fs.exists(path(n))]
+
+
 def live_features(table_path: str, out_path: str, features, tail_bars: int, bar_ms: int):
     """A foreachBatch function: write the batch's bars to the table, run the batch feature function on the newest tail_bars
-    of the symbols it touches, and write their last rows. Every epoch has a folder of its own in either table, so that one
-    that is replayed replaces what it wrote; of the table only bars no older than the tail are read."""
+    of the symbols it touches, and write their last rows. The table has a folder a day, and in it one an epoch, so that an epoch
+    that is replayed replaces what it wrote, and only the days of the tail are listed and read."""
 
     def run(batch: DataFrame, epoch: int) -> None:
         spark = batch.sparkSession
-        batch.write.mode("overwrite").parquet(f"{table_path}/epoch={epoch}")
+        rows = batch.withColumns({"day": F.floor(F.col("open_time") / DAY_MS), "epoch": F.lit(epoch)})
+        rows.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("day", "epoch").parquet(table_path)
         touched = batch.groupBy("symbol").agg(F.min("open_time").alias("_from"))
-        oldest = touched.agg(F.min("_from")).first()[0]
-        if oldest is None:
+        ends = batch.agg(F.min("open_time").alias("a"), F.max("open_time").alias("b")).first()
+        if ends["a"] is None:
             return
-        history = spark.read.parquet(table_path).where((F.col("open_time") > oldest - tail_bars * bar_ms) & (F.col("epoch") <= epoch)).drop("epoch")
+        oldest = ends["a"] - tail_bars * bar_ms
+        history = spark.read.option("basePath", table_path).parquet(*_days(spark, table_path, oldest, ends["b"]))
+        history = history.where((F.col("open_time") > oldest) & (F.col("epoch") <= epoch)).drop("epoch", "day")
         tail = merge_history(batch, history.join(touched.select("symbol"), "symbol", "left_semi"), tail_bars)
         rows = features(tail)
         newest = rows.groupBy("symbol").agg(F.max("open_time").alias("open_time"))

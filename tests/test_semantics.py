@@ -108,6 +108,8 @@ def test_round_trips_and_rebased_cash(spark):
     d = spark.createDataFrame([(1, "X", 1, 2.0, 100.0, 0.5, 10, True), (1, "X", 1, 2.0, 110.0, 0.5, 20, False), (2, "X", -1, 1.0, 50.0, 0.1, 11, True)], "order_id long, symbol string, side int, qty double, price double, fee double, ts long, opens boolean")
     r = risk.round_trips(d, 0.0).collect()
     assert len(r) == 1 and r[0]["pnl"] == pytest.approx(19.0) and r[0]["fees"] == 1.0
+    s = risk.paper_stats(risk.round_trips(d, 0.0), d, 1000.0).first()
+    assert s["equity"] == pytest.approx(1018.9) and (s["total_trades"], s["winning_trades"], s["losing_trades"], s["win_rate"], s["open_positions"]) == (1, 1, 0, 1.0, 1) and s["total_pnl_pct"] == pytest.approx(0.019)
     snap = spark.createDataFrame([("a", 5 * DAY, 1000.0), ("b", 5 * DAY, 50.0)], "account string, ts long, equity double")
     open_ = spark.createDataFrame([("a", 4 * DAY, 30.0), ("a", 4 * DAY, 20.0), ("a", 6 * DAY, 99.0)], "account string, ts long, unrealised double")
     assert {x["account"]: x["cash"] for x in risk.rebased(snap, open_).collect()} == {"a": 950.0, "b": 50.0}
@@ -256,6 +258,17 @@ def test_out_of_sample_report(spark):
     assert v["failed"] == ["t_stat", "signals"]
 
 
+def test_validation_of_1h_models(spark):
+    """Enough trades for a margin of 5 %, windows with a profit factor over 1, and thresholds of their own."""
+    one = lambda name, v: spark.createDataFrame([(v,)], f"{name} double")
+    oos = lambda n, wr: spark.createDataFrame([(n, wr, 1.5, 1.2, 4.0, 0.3)], "trades long, win_rate double, profit_factor double, sharpe double, fee_multiple double, coverage double")
+    w = spark.createDataFrame([(55.0, 1.4), (52.0, 1.1), (40.0, 0.7)], "win_rate double, profit_factor double")
+    good = validation.validation_report_1h(oos(500, 55.0), w, one("dsr", 0.99), one("pbo", 0.1), one("t_stat", 3.5)).first()
+    assert good["passed"] and good["profitable_windows_pct"] == pytest.approx(200 / 3)
+    bad = validation.validation_report_1h(oos(300, 50.0), w.limit(0), one("dsr", 0.99), one("pbo", 0.4), one("t_stat", 3.5)).first()
+    assert bad["failed"] == ["win_rate", "enough", "profitable_windows_pct", "pbo"]
+
+
 def test_store_splits_and_funding(spark, tmp_dir):
     d = spark.createDataFrame([("X", 1, 0.2), ("X", 2, 0.8), ("Y", 3, 0.9)], "symbol string, open_time long, p double")
     store.write_splits(d, f"{tmp_dir}/s", {"high": F.col("p") > 0.5, "all": F.lit(True)})
