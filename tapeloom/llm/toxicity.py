@@ -35,6 +35,8 @@ _REPORTS = frozenset(
     " sagte schrieb nannte zitat zitiert wort wörter begriff dit écrit appelé citation cite mot mots terme"
     " dijo escribió llamó cita citó palabra palabras término".split()
 )
+#: Letters of a beginning that may be a stem, least and most; states that an automaton keeps before it starts afresh.
+STEM_LETTERS, MOST_STATES = (4, 24), 200_000
 _SPAN = 8  # words on either side of a hit that make its window
 _FUZZY, _QUOTED, _REPORTED = 0.7, 0.3, 0.1
 
@@ -65,6 +67,10 @@ class Automaton:
                 at = self.child[at][c]
                 self.most[at] = max(self.most[at], edits)
             ends[at] = word
+        self._forget()
+
+    def _forget(self) -> None:
+        """No states but the first two: they come back as words ask for them."""
         self.ids: dict[frozenset, int] = {}
         self.sets: list[frozenset] = []
         self.next: list[dict[str, int]] = []
@@ -118,6 +124,8 @@ class Automaton:
 
     def match(self, word: str) -> tuple[int, str] | None:
         """(edits, term) of the nearest term, or None. A word that begins with a stem is a match without edits."""
+        if len(self.sets) > MOST_STATES:
+            self._forget()
         at, rows, done = self.start, self.next, self.done
         for c in word:
             to = rows[at].get(c)
@@ -167,10 +175,10 @@ class Lexicon:
         self.terms, self.stems, self.allowed, self.weights = list(terms), list(stems), frozenset(allowed), weights
 
     def matcher(self):
-        """A memo of word -> weight of a hit on it (0 for none)."""
-        auto, allowed = Automaton(self.terms, self.stems), self.allowed
+        """A memo of word -> weight of a hit on it (0 for none), or (the bare word, its stem) where it begins with one."""
+        auto, allowed, stems, terms = Automaton(self.terms, self.stems), self.allowed, frozenset(self.stems), frozenset(self.terms)
 
-        def judge(word: str) -> float:
+        def judge(word: str):
             w = word.strip(_EDGE)
             if len(w) < 3:
                 return 0.0
@@ -178,6 +186,8 @@ class Lexicon:
             if got is None:
                 return 0.0
             edits, term = got
+            if term in stems and w not in terms:
+                return w, term
             if edits == 0:
                 return 1.0
             if w in allowed or len(term) < 5 and w.isalpha():
@@ -187,9 +197,18 @@ class Lexicon:
         return Memo(judge)
 
     def features(self, text: str, memo) -> list[float]:
-        """(abuse, quoted, densest window): what the score is made of; zeros without a hit. The length plays no part."""
+        """(abuse, quoted, densest window): what the score is made of; zeros without a hit. The length plays no part.
+
+        A stem is abuse where the text has two or more different words that begin with it; one such word is chance.
+        """
         words = text.lower().split()
         hits = {w: k for w in set(words) if (k := memo[w])}
+        endings: dict[str, set[str]] = {}
+        for k in hits.values():
+            if isinstance(k, tuple):
+                endings.setdefault(k[1], set()).add(k[0])
+        if endings:
+            hits = {w: 1.0 if isinstance(k, tuple) else k for w, k in hits.items() if not isinstance(k, tuple) or len(endings[k[1]]) > 1}
         if not hits:
             return [0.0, 0.0, 0.0]
         spots = [(i, hits[w]) for i, w in enumerate(words) if w in hits]
@@ -220,10 +239,17 @@ class Lexicon:
 
 
 def _grams(text: str) -> set[str]:
-    """Distinct words of a text and, marked by a star, their beginnings of 4 to 6 letters."""
+    """Distinct words of a text and, marked by a star, the beginnings that two or more of them share."""
     words = {w.strip(_EDGE) for w in set(text.lower().split())}
     words.discard("")
-    return words | {w[:n] + "*" for w in words for n in (4, 5, 6) if len(w) > n}
+    least, most = STEM_LETTERS
+    once: set[str] = set()
+    shared: set[str] = set()
+    for w in words:
+        for n in range(least, min(len(w), most + 1)):
+            head = w[:n]
+            (shared if head in once else once).add(head)
+    return words | {h + "*" for h in shared}
 
 
 def one_of_copies(rows: DataFrame) -> DataFrame:
@@ -281,8 +307,9 @@ def word_counts(rows: DataFrame) -> DataFrame:
 
 
 def choose_terms(counts: DataFrame, n_toxic: int, n_clean: int) -> tuple[list[str], list[str]]:
-    """Words that stand in toxic rows too often for chance (binomial log-likelihood against the number of candidates),
-    and productive stems: beginnings that do so with three or more different endings."""
+    """Words that stand in toxic rows too often for chance (binomial log-likelihood against the number of candidates), and
+    productive stems: beginnings that two or more different words of a row share, by the same test over rows. Of stems that
+    begin alike the strongest stays, the longest if equal; words that begin with a stem are no terms of their own."""
     base = n_toxic / max(1, n_toxic + n_clean)
     if not 0 < base < 1:
         return [], []
@@ -291,19 +318,15 @@ def choose_terms(counts: DataFrame, n_toxic: int, n_clean: int) -> tuple[list[st
     gain = a * F.log(share / base) + F.when(b > 0, b * F.log((1 - share) / (1 - base))).otherwise(0.0)
     tried = counts.where("toxic > 1").count()
     strong = (share >= 0.6) & (share > base) & (gain >= math.log(max(2, tried)) + 3)
-    rows = counts.where("toxic > 1").where(strong).withColumn("gain", gain).orderBy(F.desc("gain"), "word").collect()  # of a bounded sample
-    terms = [r["word"] for r in rows if not r["word"].endswith("*") and len(r["word"]) > 2]
-    stems = sorted((r["word"][:-1] for r in rows if r["word"].endswith("*") and r["clean"] == 0), key=lambda s: (len(s), s))
-    if stems:
-        heads = counts.sparkSession.createDataFrame([(s,) for s in stems], "stem string")
-        stem_of = counts.where("toxic > 0 and not endswith(word, '*')").select(F.explode(F.array(*(F.substring("word", 1, n) for n in (4, 5, 6)))).alias("stem"), "word").join(F.broadcast(heads), "stem")
-        endings = {r["stem"]: r["n"] for r in stem_of.groupBy("stem").agg(F.countDistinct("word").alias("n")).collect()}
-        kept: list[str] = []
-        for s in stems:
-            if endings.get(s, 0) >= 3 and not any(s.startswith(k) for k in kept):
-                kept.append(s)
-        stems = kept
-    return terms, stems
+    rows = counts.where("toxic > 1").where(strong).withColumn("gain", gain).orderBy(F.desc("gain"), F.desc(F.length("word")), "word").collect()  # of a bounded sample
+    stems: list[str] = []
+    for r in rows:
+        s = r["word"][:-1]
+        if r["word"].endswith("*") and not any(s.startswith(k) or k.startswith(s) for k in stems):
+            stems.append(s)
+    heads = tuple(stems)
+    terms = [r["word"] for r in rows if not r["word"].endswith("*") and len(r["word"]) > 2 and not (heads and r["word"].startswith(heads))]
+    return terms, sorted(stems)
 
 
 def fit_weights(x: np.ndarray, y: np.ndarray, penalty: float = 0.05, rounds: int = 40) -> tuple:
