@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from tapeloom.plans import features, ledgers
+from tapeloom.plans import features, ledgers, live, stores
 
-_ALL = {**features.QUERIES, **ledgers.QUERIES}
+_ALL = {**features.QUERIES, **ledgers.QUERIES, **live.QUERIES, **stores.QUERIES}
 
 
 def queries() -> dict:

@@ -92,16 +92,24 @@ class AsofTail(StatefulProcessor):
         return iter([])
 
     def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[Row]:  # noqa: N802, N803
-        t = expiredTimerInfo.getExpiryTimeInMs()
-        if not self.waiting.containsKey((t,)):
+        """All left rows that are due, in one pass over both; the timers of the others find nothing left to do."""
+        if not self.waiting.containsKey((expiredTimerInfo.getExpiryTimeInMs(),)):
             return
-        past = sorted(k[0] for k in self.context.keys() if k[0] <= t)
-        found = self.context.getValue((past[-1],))[0] if past else None
+        until = timerValues.getCurrentWatermarkInMs()
+        due = sorted(k[0] for k in self.waiting.keys() if k[0] <= until)
+        past = sorted(k[0] for k in self.context.keys() if k[0] <= until)
+        at, found = -1, None
+        for t in due:
+            while at + 1 < len(past) and past[at + 1] <= t:
+                at += 1
+                found = None
+            if found is None and at >= 0:
+                found = self.context.getValue((past[at],))[0]
+            for row in json.loads(self.waiting.getValue((t,))[0]):
+                yield Row(key=key[0], l=row, r=found)
+            self.waiting.removeKey((t,))
         for old in past[:-1]:
             self.context.removeKey((old,))
-        for row in json.loads(self.waiting.getValue((t,))[0]):
-            yield Row(key=key[0], l=row, r=found)
-        self.waiting.removeKey((t,))
 
     def close(self) -> None:
         pass
