@@ -69,8 +69,13 @@ def write_store(df: DataFrame, root: str, data_type: str, mode: str = "append",
 
 def store(spark: SparkSession, root: str, data_type: str) -> DataFrame:
     """A table of the store, files merged by column names; partition columns stay text."""
-    spark.conf.set("spark.sql.sources.partitionColumnTypeInference.enabled", "false")
-    return spark.read.option("mergeSchema", "true").parquet(f"{root}/{data_type}")
+    name = "spark.sql.sources.partitionColumnTypeInference.enabled"
+    before = spark.conf.get(name)
+    spark.conf.set(name, "false")
+    try:  # the session's own setting holds again once the folders are listed
+        return spark.read.option("mergeSchema", "true").parquet(f"{root}/{data_type}")
+    finally:
+        spark.conf.set(name, before)
 
 
 def scan(df: DataFrame, symbol: str, start_ms: int, end_ms: int, columns: list[str] | None = None, ts: str = "open_time", closed: bool = True) -> DataFrame:

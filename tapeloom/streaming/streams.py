@@ -204,7 +204,7 @@ def live_features(table_path: str, out_path: str, features, tail_bars: int, bar_
             return
         oldest = ends["a"] - tail_bars * bar_ms
         history = spark.read.option("basePath", table_path).parquet(*_days(spark, table_path, oldest, ends["b"]))
-        history = history.where((F.col("open_time") > oldest) & (F.col("epoch") <= epoch)).drop("epoch", "day")
+        history = history.where((F.col("open_time") > oldest) & (F.col("epoch").cast("long") <= epoch)).drop("epoch", "day")
         tail = merge_history(batch, history.join(touched.select("symbol"), "symbol", "left_semi"), tail_bars)
         rows = features(tail)
         newest = rows.groupBy("symbol").agg(F.max("open_time").alias("open_time"))
