@@ -332,8 +332,7 @@ def score_texts(docs: DataFrame, train, id_col: str = "doc_id", text: str = "tex
         return out if known is None else [np.maximum(a, b) for a, b in zip(out, known)]
 
     def known_of(b, col, a, z):
-        raw = np.frombuffer(b"".join(b.column(col).slice(a, z - a).to_pylist()), np.uint8)
-        return raw
+        return np.frombuffer(b"".join(b.column(col).slice(a, z - a).to_pylist()), np.uint8)
 
     def look(part):
         """A pass over the texts that adds what one segment holds to the levels of their tokens, a byte each."""

@@ -109,8 +109,7 @@ class Best:
     """The k best (score, id) of an item so far: higher scores first, equal ones by smaller id, rows without one last."""
 
     def __init__(self, k: int):
-        self.k, self.score, self.id = k, np.zeros(0, np.int64), np.zeros(0, np.float64)
-        self.null, self.id = np.zeros(0, bool), np.zeros(0, np.int64)
+        self.k, self.score, self.id, self.null = k, np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, bool)
 
     @property
     def floor(self) -> int:
