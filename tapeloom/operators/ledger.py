@@ -102,10 +102,11 @@ def first_touch(signals: DataFrame, bars: DataFrame, bar_ms: int = DAY_MS, skip_
 
 def daily_equity(closed: DataFrame, by: list[str] | None = None, start: float = 100.0) -> DataFrame:
     """Per day of closing: trades, summed P&L in percent (a missing one is 0), the equity that compounds it, and how far, in
-    percent (0 or less), that is from its running peak. Rows that never closed are left out."""
+    percent (0 or less), that is from its running peak. Rows that never closed are left out. The sum is rounded to nine places,
+    so that a day whose gains and losses cancel out is 0 in whatever order they were added."""
     by = by or []
     pnl = F.coalesce("pnl_pct", F.lit(0.0))
-    days = closed.where(F.col("result").isin(*CLOSED) & F.col("closed_at").isNotNull()).groupBy(*by, F.to_date(at("closed_at")).alias("date")).agg(F.sum(pnl).alias("pnl_pct"), F.count("*").alias("trades"))
+    days = closed.where(F.col("result").isin(*CLOSED) & F.col("closed_at").isNotNull()).groupBy(*by, F.to_date(at("closed_at")).alias("date")).agg(F.round(F.sum(pnl), 9).alias("pnl_pct"), F.count("*").alias("trades"))
     w = Window.partitionBy(*by).orderBy("date").rowsBetween(Window.unboundedPreceding, 0)
     d = days.withColumn("equity", F.lit(start) * F.product(1.0 + F.col("pnl_pct") / 100.0).over(w))
     peak = F.greatest(F.max("equity").over(w), F.lit(start))

@@ -209,7 +209,7 @@ def _perf_sql(cells: str, keys: str) -> str:
         f"s as ({cells})",
         f"b as (select {lead}count(*) as total, count(*) filter (result in {CLOSED}) as closed, count(*) filter (result = 'win') as wins, count(*) filter (result = 'loss') as losses, count(*) filter (result = 'rejected') as rejected, count(*) filter (result = 'open') as open, coalesce(sum(pnl_pct) filter (result = 'win'), 0) as g, coalesce(-sum(pnl_pct) filter (result = 'loss'), 0) as l,"
         f" avg(coalesce(pnl_pct, 0)) filter (result in {CLOSED}) as ev, avg(rr_ratio) filter (result in {CLOSED}) as rr, avg(duration_minutes) filter (result in {CLOSED}) / 60.0 as hours, avg(confidence) as conf, min(created_at) as live_since, greatest(1, ({AS_OF} - {first}) // 86400000) as days_tracked from s {group})",
-        f"d as (select {lead}closed_at // 86400000 as day, sum(coalesce(pnl_pct, 0)) as p from s where result in {CLOSED} and closed_at is not null group by {lead}closed_at // 86400000)",
+        f"d as (select {lead}closed_at // 86400000 as day, round(sum(coalesce(pnl_pct, 0)), 9) as p from s where result in {CLOSED} and closed_at is not null group by {lead}closed_at // 86400000)",
         f"e as (select *, 100 * product(1 + p / 100) over ({part}order by day) as eq from d)",
         f"f as (select *, greatest(max(eq) over ({part}order by day), 100.0) as peak from e)",
         f"r as (select {lead}min((eq - peak) / peak * 100) as mdd, arg_max(eq, day) as eq, avg(p / 100) as m, stddev_samp(p / 100) as sd, stddev_samp(p / 100) filter (p < 0) as dsd from f {group})",

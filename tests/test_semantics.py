@@ -52,6 +52,18 @@ def test_performance_of_few_or_only_winning_signals(spark):
     assert [(x["month"], x["trades"], x["win_rate"]) for x in m] == [("1970-01", 3, 0.5), ("1970-02", 1, 0.0)]
 
 
+def test_a_day_that_cancels_out_is_no_losing_day(spark):
+    """In doubles 0.3 - 0.1 - 0.2 is below 0 and -0.2 - 0.1 + 0.3 is not, by the order of adding alone."""
+    rest = [("loss", -1.0, 1), ("loss", -2.0, 2)] + [("win", 1.0, k) for k in range(3, 12)]
+    day = [("win", 0.3, 0), ("loss", -0.1, 0), ("loss", -0.2, 0)]
+    want = statistics.mean([0.0, -0.01, -0.02] + [0.01] * 9) / statistics.stdev([-0.01, -0.02]) * math.sqrt(365)
+    for d in (day, day[::-1], [day[1], day[0], day[2]]):
+        r = ledger.performance(signals(spark, d + rest).coalesce(1), 30 * DAY).first()
+        assert r["sortino"] == pytest.approx(want)
+    d = ledger.daily_equity(signals(spark, day).coalesce(1)).first()
+    assert (d["pnl_pct"], d["drawdown_pct"]) == (0.0, 0.0)
+
+
 def test_first_touch_equals_a_plain_scan(spark):
     rng = random.Random(5)
     tape, price = [], 100.0
