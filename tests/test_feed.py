@@ -94,6 +94,35 @@ def test_forgotten_signals_are_not_announced_again(spark, tmp_dir):
     assert collections.Counter((r["kind"], r["id"]) for r in got) == {("open", 1): 1, ("close", 1): 1, ("open", 2): 1, ("open", 3): 1, ("open", 4): 1}
 
 
+def test_signals_share_a_state_by_blocks_of_ids(spark, tmp_dir):
+    """Thousands of signals, ids below 0 and at the edges of blocks, each row twice: a state a block, and the same as signal by signal."""
+    rng, rows, want = random.Random(5), [], set()
+    for s in "ab":
+        for i in [*rng.sample(range(-3 * feed.BLOCK, 3 * feed.BLOCK), 1000), -feed.BLOCK - 1, 4 * feed.BLOCK, 5 * feed.BLOCK - 1]:
+            t = rng.randrange(1, 50) * MIN
+            rows.append((s, i, "X", "long", rng.choice([None, "1h"]), t, None, "open", None, t))
+            result = rng.choice(["open", "rejected", "win", "loss"])
+            slow = rng.choice([0, 0, 11 * MIN])
+            if result != "open":
+                rows.append((s, i, "X", "long", None, t, t + MIN, result, 1.5, t + MIN + slow))
+            want |= {(s, i, "open")} if i > (10 if s == "a" else 0) else set()
+            want |= {(s, i, "close")} if result in ("win", "loss") and not slow else set()
+    rows = list({(r[0], r[1], r[7]): r for r in rows}.values()) * 2
+    rng.shuffle(rows)
+    files = Files(spark, tmp_dir, "changes", CHANGES)
+    for k in range(0, len(rows), len(rows) // 3 + 1):
+        files.put(rows[k : k + len(rows) // 3 + 1])
+    marks = spark.createDataFrame([("a", 10)], "source string, mark long")
+    df = feed.announcements(files.stream(), marks, late="1000 days", late_ms=1000 * 86_400_000)
+    q = df.writeStream.format("parquet").option("path", f"{tmp_dir}/out").option("checkpointLocation", f"{tmp_dir}/ck").trigger(availableNow=True).start()
+    q.awaitTermination(300)
+    assert q.exception() is None
+    got = [(r["source"], r["id"], r["kind"]) for r in spark.read.parquet(f"{tmp_dir}/out").collect()]
+    assert len(got) == len(set(got)) and set(got) == want
+    held = max(o["numRowsTotal"] for p in q.recentProgress for o in p["stateOperators"])
+    assert 0 < held <= 2 * 8 * 8  # of 16 blocks a value and a few rows of timers, where there are 2006 signals
+
+
 def test_events_come_once(spark, tmp_dir):
     files = Files(spark, tmp_dir, "events", "source string, id long, event_type string, message string, created_at long")
     rows = [("a", 1, "regime_change", '{"old": "range", "new": "trend_up"}', 5), ("a", 2, "circuit_breaker", "daily loss", MIN), ("a", 3, "error", "x", MIN), ("b", 1, "regime_change", "{}", MIN)]
