@@ -1,27 +1,36 @@
 """States that last: episodes of equal states along a key, and what held at a time.
 
-Breaker and regime events are the beginnings of such episodes. Rows are numbered, compared and added up in slices, so that a
-key with very many rows is many tasks.
+Breaker and regime events are the beginnings of such episodes. Rows are compared and added up inside days, and days that go on
+with an episode put together from a row per day, so that a key with very many rows is many tasks and is shuffled once.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from tapeloom.functions.lineage import cut
-from tapeloom.operators.series import SLICE, asof, index_bars, on_slices, running
+from tapeloom.functions.scalar import DAY_MS
+from tapeloom.operators.series import SLICE, asof, on_slices
 
 
 def episodes(rows: DataFrame, state: str, worst: str, key: str = "account", ts: str = "ts", ties: tuple[str, ...] = (), size: int = SLICE) -> DataFrame:
     """Runs of rows with the same state (nulls are a state): (key, episode from 0, state, from_ts, to_ts, rows, worst). to_ts is
     when the next one begins, null for the one that is still open; worst is the least value of that column."""
     d = rows.where(F.col(key).isNotNull() & F.col(ts).isNotNull()).select(F.col(key), F.col(ts), *(c for c in ties if c not in (key, ts, state, worst)), F.col(state).alias("_state"), F.col(worst).alias("_worst"))
-    d = cut(index_bars(d, key, ts, "_seq", ties=ties), "states").withColumn("_held", F.struct("_state"))
-    d = running(d, {"_was": ("prev", "_held")}, key, "_seq", size)
-    turns = F.when(F.col("_was").isNull() | ~F.col("_was._state").eqNullSafe(F.col("_state")), 1).otherwise(0)
-    d = running(cut(d.withColumn("_turn", turns.cast("long")), "turns"), {"_n": ("sum", "_turn")}, key, "_seq", size)
-    one = d.groupBy(F.col(key), (F.col("_n") - 1).alias("bar_idx")).agg(F.first("_state").alias("state"), F.min(ts).alias("from_ts"), F.count("*").alias("rows"), F.min("_worst").alias("worst"))
+    d = d.withColumn("_d", F.floor(F.col(ts) / DAY_MS))
+    along = Window.partitionBy(key, "_d").orderBy(ts, *(c for c in ties if c not in (key, ts)))
+    held = F.struct("_state")
+    d = d.withColumn("_was", F.lag(held).over(along)).withColumn("_turn", (F.col("_was").isNotNull() & ~F.col("_was").eqNullSafe(held)).cast("long"))
+    d = d.withColumn("_n", F.sum("_turn").over(along.rowsBetween(Window.unboundedPreceding, 0)))
+    parts = cut(d.groupBy(key, "_d", "_n", "_state").agg(F.min(ts).alias("from_ts"), F.count("*").alias("rows"), F.min("_worst").alias("worst")), "parts")
+    # a day goes on with the episode that the day before it ended with, if its first state is the same
+    days = parts.groupBy(key, "_d").agg(F.max("_n").alias("_turns"), F.min_by(held, "_n").alias("_first"), F.max_by(held, "_n").alias("_last"))
+    order = Window.partitionBy(key).orderBy("_d")
+    days = days.withColumn("_new", (~F.lag("_last").over(order).eqNullSafe(F.col("_first"))).cast("long"))
+    start = F.sum(F.col("_new") + F.col("_turns")).over(order.rowsBetween(Window.unboundedPreceding, 0)) - F.col("_turns") - 1
+    one = parts.join(days.select(key, "_d", start.alias("_start")), [key, "_d"]).groupBy(key, (F.col("_start") + F.col("_n")).alias("bar_idx"))
+    one = one.agg(F.first("_state").alias("state"), F.min("from_ts").alias("from_ts"), F.sum("rows").alias("rows"), F.min("worst").alias("worst"))
     out = on_slices(cut(one, "episodes"), lambda x, w: x.withColumn("to_ts", F.lead("from_ts").over(w)), 0, 1, key=key, ts="from_ts", size=size)
     return out.select(key, F.col("bar_idx").alias("episode"), "state", "from_ts", "to_ts", "rows", "worst")
 

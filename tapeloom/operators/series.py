@@ -30,6 +30,14 @@ def index_bars(df: DataFrame, key: str = "symbol", ts: str = "open_time", name:
     return joined.withColumn(name, F.col("_before") + F.col("_in")).drop("_day", "_in", "_k", "_d", "_before")
 
 
+def pieces(df: DataFrame, key: str, ts: str, ties: tuple[str, ...] = (), size: int = SLICE) -> DataFrame:
+    """df with its day _d, the row's number _in inside the key's day, and _sub, its piece of `size` rows of that day: pieces
+    in the order of (_d, _sub) and rows in that of _in are in time order, without a number along the whole key."""
+    d = df.withColumn("_d", F.floor(F.col(ts) / DAY_MS))
+    d = d.withColumn("_in", F.row_number().over(Window.partitionBy(key, "_d").orderBy(ts, *ties)) - 1)
+    return d.withColumn("_sub", F.floor(F.col("_in") / size).cast("int"))
+
+
 def on_slices(df: DataFrame, step: Step, back: int, ahead: int = 0, key: str = "symbol", ts: str = "open_time", size: int = SLICE) -> DataFrame:
     """step(df, window) on slices of `size` bars, where no frame of step reaches more than `back` bars into the past or
     `ahead` into the future. The result equals step over whole symbols. bar_idx is there for gates on the first bars."""

@@ -7,6 +7,7 @@ import random
 import pytest
 from pyspark.sql import functions as F
 
+from tapeloom.functions import lineage
 from tapeloom.operators import accounts, audit, episodes, labels, ledger
 from tapeloom.sources import ledgers, store, versions
 
@@ -259,6 +260,28 @@ def test_conversions_commit_once(spark, tmp_dir, monkeypatch):
     assert now.count() == 8 and now.where("volume = 99").count() == 2 and now.where("volume = 10").count() == 6
 
 
+def test_fold_and_episodes_write_their_rows_twice(spark, monkeypatch):
+    """Few passes over the rows, with positions and syncs that reach over many pieces of a day and over days."""
+    written = []
+
+    def counted(df, name="cut"):
+        out = lineage.cut(df, name)
+        written.append(out.count())
+        return out
+
+    monkeypatch.setattr(accounts, "cut", counted)
+    monkeypatch.setattr(episodes, "cut", counted)
+    rows = fills(3, 1200)
+    states = accounts.accounts(spark.createDataFrame(rows, FILLS), size=5)
+    want = fold(rows)
+    same(states.orderBy("fill_id").collect(), want)
+    got = episodes.episodes(states.withColumn("state", F.col("loss_streak") >= 2), "state", "equity", ties=("fill_id",)).orderBy("episode").collect()
+    runs = [list(g) for _, g in itertools.groupby(want, key=lambda w: w[10] >= 2)]
+    assert [r["rows"] for r in got] == [len(g) for g in runs]
+    assert [r["worst"] for r in got] == pytest.approx([min(w[5] for w in g) for g in runs])
+    assert sum(n >= len(rows) for n in written) <= 2
+
+
 # --- sweeps and episodes ------------------------------------------------------------------------------------------
 
 
