@@ -4,8 +4,10 @@ A table, made and written once, holds the distances of every vector to a few doz
 pivot p, |d(q, p) - d(x, p)| is a lower bound of d(q, x), and the largest of them bounds the inner product from above:
 q.x = (|q|^2 + |x|^2 - d(q, x)^2) / 2. Vectors are dealt out in blocks of those with the same nearest pivot. A query looks
 first into the blocks of its own nearest pivot; the k-th best score that it finds there goes with it, and it is sent on only
-to blocks where the range of distances to every pivot leaves room for a better one. In a block it looks at candidates in
-the order of their bounds and stops as soon as no further bound reaches its k-th best score.
+to blocks where the range of distances to every pivot leaves room for a better one. A block's rows are split in the same way,
+by the pivot whose distances range farthest, into short runs; of a block's queries those whose bounds leave a run, nearer runs
+first, take its scores in one product of matrices. Where products may exceed what a double holds exactly, a query looks at
+candidates one by one in the order of their bounds and stops as soon as no further bound reaches its k-th best score.
 """
 
 from __future__ import annotations
@@ -22,6 +24,7 @@ from tapeloom.llm.common import materialise
 PIVOTS, PIVOT_SAMPLE = 32, 4096
 #: Candidates, and queries, that one task holds at most, about.
 BLOCK, QUERY_BLOCK = 32_768, 8192
+_RUN = 64  # rows of a run at most
 _PER_STEP = 64  # candidates evaluated at a time, in the order of their bounds
 
 
@@ -87,15 +90,68 @@ def _gaps(a, b, axis):
         return np.nan_to_num(np.abs(a - b), nan=0.0, posinf=0.0).max(axis=axis, initial=0.0)
 
 
+def _runs(d: np.ndarray) -> list[np.ndarray]:
+    """Rows with like distances to the pivots, in halves of halves of a block."""
+    runs, left = [], [np.arange(len(d))]
+    while left:
+        at = left.pop()
+        if len(at) <= _RUN:
+            runs.append(np.sort(at))
+            continue
+        with np.errstate(all="ignore"):
+            widest = int(np.argmax(np.nan_to_num(np.ptp(d[at], axis=0), nan=0.0)))
+        half = np.argpartition(d[at, widest], len(at) // 2)
+        left += [at[half[: len(at) // 2]], at[half[len(at) // 2 :]]]
+    return runs
+
+
+def _search_runs(q, q_rows, q_d, floor, x, rows, ids, d, k: int, largest: float) -> tuple[list, int]:
+    """search_block for vectors whose products are exact in doubles."""
+    runs, x2, q2 = _runs(d), (x * x).sum(axis=1), (q * q).sum(axis=1)
+    gaps, run_of = np.empty((len(runs), len(q)), np.float32), np.empty(len(x), int)
+    for r, at in enumerate(runs):
+        run_of[at] = r
+        with np.errstate(all="ignore"):
+            off = np.maximum(0, np.maximum(d[at].min(axis=0) - q_d, q_d - d[at].max(axis=0)))
+        gaps[r] = np.nan_to_num(off, nan=0.0, posinf=0.0).max(axis=1, initial=0.0)
+    by_row = np.argsort(rows)
+    own = by_row[np.minimum(np.searchsorted(rows, q_rows, sorter=by_row), len(rows) - 1)]
+    own_run = np.where(rows[own] == q_rows, run_of[own], -1)
+    best, of = np.full((len(q), k), -np.inf), np.full((len(q), k), np.iinfo(np.int64).max)
+    reached, seen = floor.astype(float), 0
+    for r in np.argsort(gaps.mean(axis=1), kind="stable"):
+        at = runs[r]
+        asks = np.flatnonzero(_bounds(q2, x2[at].max(), gaps[r].astype(float), largest) >= reached)
+        if not len(asks):
+            continue
+        scores = q[asks] @ x[at].T
+        mine = np.flatnonzero(own_run[asks] == r)
+        scores[mine, np.searchsorted(at, own[asks[mine]])] = -np.inf
+        seen += scores.size - len(mine)
+        good = (scores >= reached[asks][:, None]) & (scores > -np.inf)
+        hit = np.flatnonzero(good.any(axis=1))
+        if len(hit):
+            j = asks[hit]
+            both = np.concatenate([best[j], np.where(good[hit], scores[hit], -np.inf)], axis=1)
+            who = np.concatenate([of[j], np.broadcast_to(ids[at], (len(hit), len(at)))], axis=1)
+            first = np.lexsort((who, -both), axis=1)[:, :k]
+            best[j], of[j] = np.take_along_axis(both, first, 1), np.take_along_axis(who, first, 1)
+            reached[j] = np.maximum(floor[j], best[j, -1])
+    return [(int(j), int(best[j, i]), int(of[j, i])) for j, i in np.argwhere(best > -np.inf)], seen
+
+
 def search_block(q: np.ndarray, q_rows, q_d: np.ndarray, floor: np.ndarray, x: np.ndarray, rows, ids, d: np.ndarray, k: int) -> tuple[list, int]:
     """The k best of a block for every query, of those that reach its floor: (index of query, score, id), and how many
     candidates were evaluated. Exact; ties go to the smaller id."""
     order = np.argsort(ids, kind="stable")
-    x, ids, rows, d = x[order], ids[order], rows[order], d[order].T.copy()
+    x, ids, rows, d = x[order], ids[order], rows[order], d[order]
     with np.errstate(all="ignore"):
         x2, q2 = (x * x).sum(axis=1), (q * q).sum(axis=1)
+        top = np.abs(x).max(initial=0) * np.abs(q).max(initial=0) * max(1, x.shape[1])
     largest = max(x2.max(initial=0), q2.max(initial=0), float(np.square(d.astype(float)).max(initial=0)))
-    safe = np.abs(x).max(initial=0) * np.abs(q).max(initial=0) * max(1, x.shape[1]) < 2.0**62
+    if top < 2.0**53:
+        return _search_runs(q, q_rows, q_d, floor, x, rows, ids, d, k, largest)
+    safe, d = top < 2.0**62, d.T.copy()
     xi, qi = (x.astype(np.int64), q.astype(np.int64)) if safe else ([[int(c) for c in v] for v in x], [[int(c) for c in v] for v in q])
     out, seen = [], 0
     for j in range(len(q)):

@@ -3,6 +3,7 @@
 import collections
 import itertools
 import random
+import time
 import zlib
 
 import numpy as np
@@ -480,6 +481,25 @@ def test_search_evaluates_few_candidates_of_clustered_vectors(spark):
     assert share < 0.2
 
 
+def test_block_of_evenly_spread_vectors_takes_little_time():
+    """Where the bounds leave nearly all pairs, they are evaluated many at a time: about a tenth of the time for each pair."""
+    rng = np.random.default_rng(8)
+    x = rng.normal(size=(10_000, 64))
+    x = np.floor(256 * x / np.sqrt((x * x).sum(axis=1))[:, None])
+    x[7] = x[11]
+    pivots, asks = search.pivots_of(x[:2000], 32), np.arange(0, 10_000, 25)
+    d = np.sqrt(np.maximum(0, (x * x).sum(axis=1)[:, None] + (pivots * pivots).sum(axis=1) - 2 * x @ pivots.T)).astype(np.float32)
+    ids, start = np.arange(10_000) * 3, time.process_time()
+    got, seen = search.search_block(x[asks], asks, d[asks], np.full(len(asks), -np.inf), x, np.arange(10_000), ids, d, 5)
+    took = time.process_time() - start
+    want, scores = [], x[asks] @ x.T
+    for j, a in enumerate(asks):
+        scores[j, a] = -np.inf
+        want += [(j, int(scores[j, i]), int(ids[i])) for i in np.lexsort((ids, -scores[j]))[:5]]
+    assert sorted(got) == sorted(want) and 0 < seen <= len(asks) * 9999
+    assert took < 3
+
+
 # --- sharding -----------------------------------------------------------------------------------------------------
 
 
